@@ -118,28 +118,29 @@ class Words:
         return self.substrings.hash(self.begin[first], self.end[first + n - 1]), first
 
 
-def set_bits(spark: SparkSession, positions: DataFrame, n_bits: int) -> np.ndarray:
-    """A bit array of n_bits (a multiple of 2**16) with the bits in column `position` set.
+BLOCK_BITS = 20
 
-    The blocks of 2**16 bits are built by groups of at most 2**16 distinct positions; the array that reaches the
-    driver has n_bits/8 bytes, whatever the input.
+
+def set_bits(positions: DataFrame, n_bits: int) -> np.ndarray:
+    """A bit array of n_bits (a multiple of 2**BLOCK_BITS) with the bits in column `position` set.
+
+    A block of 2**BLOCK_BITS bits is built from its distinct positions, at most as many; the array that reaches the
+    driver has n_bits / 8 bytes, whatever the input.
     """
 
     def block(frame):
         import pandas as pd
 
-        bits = np.zeros(1 << 16, dtype=np.uint8)
-        bits[frame["position"].to_numpy() & 0xFFFF] = 1
-        return pd.DataFrame({"block": [int(frame["position"].iloc[0]) >> 16], "bits": [np.packbits(bits).tobytes()]})
+        bits = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
+        bits[frame["position"].to_numpy() & ((1 << BLOCK_BITS) - 1)] = 1
+        return pd.DataFrame({"block": [int(frame["position"].iloc[0]) >> BLOCK_BITS], "bits": [np.packbits(bits).tobytes()]})
 
-    rows = (
-        positions.select("position").distinct().groupBy(F.shiftright("position", 16).alias("b")).applyInPandas(block, "block long, bits binary").collect()
-    )
-    out = np.zeros((n_bits >> 16, 1 << 13), dtype=np.uint8)
-    for row in rows:
+    grouped = positions.select("position").distinct().groupBy(F.shiftright("position", BLOCK_BITS).alias("b"))
+    out = np.zeros((n_bits >> BLOCK_BITS, 1 << (BLOCK_BITS - 3)), dtype=np.uint8)
+    for row in grouped.applyInPandas(block, "block long, bits binary").collect():
         out[row["block"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out.reshape(-1)
 
 
-def test_bits(bits: np.ndarray, position: np.ndarray) -> np.ndarray:
+def has_bits(bits: np.ndarray, position: np.ndarray) -> np.ndarray:
     return (bits[(position >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (position & np.uint64(7)).astype(np.uint8))) & 1 == 1
