@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import language_model
 from quire.llm.packing import pack
-from quire.llm.shared import table
+from quire.llm.shared import fold, table
 from quire.llm.simhash import near_duplicates
 from quire.llm.sketches import edited_likeness
 from quire.llm.substrings import remove_repeats
@@ -31,10 +32,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score(docs.select("doc_id", "text"), fold(F.col("doc_id"), 7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op6_fingerprints": op6_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES: dict[str, str] = {}
