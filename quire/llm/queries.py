@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language_model, media, toxicity
+from quire.llm import language_model, media, pieces, toxicity
 from quire.llm.packing import pack
 from quire.llm.shared import fold, table
 from quire.llm.simhash import near_duplicates
@@ -35,6 +35,16 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = docs.withColumn("pieces", pieces.encode(spark, F.col("text"), F.col("doc_id")))
+    decoded = encoded.withColumn("decoded", pieces.decode(spark, F.col("pieces")))
+    return decoded.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.size("pieces").cast("long").alias("n_pieces"), F.hex(F.xxhash64("pieces")).alias("pieces_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"),
+    )
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature"]
     return media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns, "shard", "offset", "width", "height", "depth")
@@ -55,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_media": op8_media,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_scoring": op10_lm_scoring,
