@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import language_model, media, pieces, toxicity
+from quire.llm.html_text import main_text
 from quire.llm.packing import pack
 from quire.llm.shared import fold, table
 from quire.llm.simhash import near_duplicates
@@ -15,6 +16,10 @@ from quire.llm.sketches import edited_likeness
 from quire.llm.substrings import remove_repeats
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
