@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language_model, media, pieces, toxicity
+from quire.llm import language_model, licenses, media, pieces, toxicity
 from quire.llm.html_text import main_text
 from quire.llm.packing import pack
 from quire.llm.shared import fold, table
@@ -28,6 +28,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths are made of the row: <source>/<lang>/<hundred>/<doc_id>.txt, every twentieth being a LICENSE."""
+    name = F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat("doc_id", F.lit(".txt")))
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100), name)
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files).select("doc_id", "path", "own_license", "own_score", "license", "from_path")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
@@ -69,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
     "op7_sentencepiece": op7_sentencepiece,
