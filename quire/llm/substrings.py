@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Words, chunked, has_bits, set_bits, stored, utf8_rows
+from quire.llm.shared import Words, chunked, has_bits, mix64, set_bits, stored, utf8_rows
 
 WINDOW_WORDS, MINIMISER_WORDS = 13, 5
 FILTER_BITS = 27
-HOT_KEYS = 10_000
+HOT_KEYS, SALT_ROWS, SLICE_ROWS = 100_000, 1024, 1 << 16
 LONGEST_RUN = 64
 
 
@@ -66,16 +66,12 @@ def _minimisers(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
     return found.groupBy("minimiser").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("minimiser", "n")
 
 
-def _counter(n: np.ndarray) -> np.ndarray:
-    """0, 1, ... n[0]-1, 0, 1, ... n[1]-1, ..."""
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-
-
 def _packed(docs: DataFrame, bits, hot, window: int, minimiser: int) -> DataFrame:
-    """(key, doc_id, text_key, first, packed, hot): the super-k-mers whose minimiser may be repeated, words joined by
-    spaces. Under a hot minimiser each window travels alone, keyed by its own words."""
+    """(key, salt, doc_id, text_key, first, packed): the super-k-mers whose minimiser may be repeated, words joined by
+    spaces. Salt 0: the bucket is whole. Those of a hot minimiser are dealt by document over salts from 1 up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_keys, hot_salts = hot.value
         for batch in batches:
             texts, ids, texts_key = utf8_rows(batch.column("text")), batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
             for i, j in chunked(texts):
@@ -83,73 +79,101 @@ def _packed(docs: DataFrame, bits, hot, window: int, minimiser: int) -> DataFram
                 first, n, key = super_kmers(words, window, minimiser)
                 kept = has_bits(bits.value, key >> np.uint64(64 - FILTER_BITS))
                 first, n, key = first[kept], n[kept], key[kept]
-                at_hot = np.isin(key, hot.value)
-                alone = np.repeat(first[at_hot], n[at_hot]) + _counter(n[at_hot])
-                key = np.concatenate((key[~at_hot], words.substrings.hash(words.begin[alone], words.end[alone + window - 1])))
-                end = words.end[np.concatenate((first[~at_hot] + n[~at_hot], alone + 1)) + window - 2]
-                first, at_hot = np.concatenate((first[~at_hot], alone)), np.arange(len(key)) >= len(key) - len(alone)
                 row = words.row[first]
-                packed = [words.buffer[x:y] for x, y in zip(words.begin[first].tolist(), end.tolist(), strict=True)]
-                columns = [key.view(np.int64), ids[i:j][row], texts_key[i:j][row], first - words.bounds[row], pa.array(packed, pa.binary()), at_hot]
-                yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=["key", "doc_id", "text_key", "first", "packed", "hot"])
-
-    return _texts(docs).mapInArrow(run, "key long, doc_id long, text_key long, first long, packed binary, hot boolean")
-
-
-def _repeats(packed: list[bytes], doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and first word of each window whose words stand in a row of a smaller doc_id too."""
-    words = Words(packed)
-    h, at = words.hashes(window)
-    row = words.row[at]
-    order = np.lexsort((doc[row], h))
-    h, at, row = h[order], at[order], row[order]
-    opens = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(opens, np.arange(len(h)), 0))
-    later = np.flatnonzero(doc[row] > doc[row[head]])
-    begin, end = words.begin[at], words.end[at + window - 1]
-    text = lambda i: words.buffer[begin[i] : end[i]]
-    same = np.fromiter((text(i) == text(k) for i, k in zip(later.tolist(), head[later].tolist(), strict=True)), bool, len(later))
-    if not same.all():  # different windows with one hash: settle their runs by the words themselves
-        settled = set()
-        for k in np.unique(head[later[~same]]).tolist():
-            members = np.flatnonzero(head == k).tolist()
-            least: dict[bytes, int] = {}
-            for i in members:
-                least[text(i)] = min(least.get(text(i), doc[row[i]]), doc[row[i]])
-            settled.update(i for i in members if doc[row[i]] > least[text(i)])
-            later = later[head[later] != k]
-        later = np.concatenate((later, np.array(sorted(settled), dtype=np.int64)))
-    return row[later], at[later] - words.bounds[row[later]]
-
-
-def _cold_ranges(cold: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_key, begin, end) of words covered by repeated windows; a bucket of super-k-mers is read sorted."""
-
-    def ranges(part: pa.Table) -> pa.RecordBatch:
-        doc, key, first = (part.column(c).to_numpy() for c in ("doc_id", "text_key", "first"))
-        row, at = _repeats(part.column("packed").to_pylist(), doc, window)
+                doc = ids[i:j][row]
+                salt = np.zeros(len(key), dtype=np.int32)
+                if len(hot_keys):
+                    at = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
+                    salt = np.where(hot_keys[at] == key, 1 + mix64(doc.astype(np.uint64)) % hot_salts[at], 0).astype(np.int32)
+                packed = [words.buffer[x:y] for x, y in zip(words.begin[first].tolist(), words.end[first + n + window - 2].tolist(), strict=True)]
+                columns = [key.view(np.int64), salt, doc, texts_key[i:j][row], first - words.bounds[row]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(packed, pa.binary())], names=["key", "salt", "doc_id", "text_key", "first", "packed"])
+
+    return _texts(docs).mapInArrow(run, "key long, salt int, doc_id long, text_key long, first long, packed binary")
+
+
+class _Windows:
+    """The windows of a table of packed super-k-mers, sorted, with the least document of each."""
+
+    def __init__(self, part: pa.Table, window: int):
+        self.doc, self.text_key, self.first = (part.column(c).to_numpy() for c in ("doc_id", "text_key", "first"))
+        self.words = words = Words(part.column("packed").to_pylist())
+        h, at = words.hashes(window)
+        order = np.lexsort((self.doc[words.row[at]], h))
+        h, at = h[order], at[order]
+        self.row, self.at = words.row[at], at
+        self.begin, self.end = words.begin[at], words.end[at + window - 1]
+        opens = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+        self.head = np.maximum.accumulate(np.where(opens, np.arange(len(h)), 0))  # the run's window of least document
+        self._settle()
+
+    def text(self, i: int) -> bytes:
+        return self.words.buffer[self.begin[i] : self.end[i]]
+
+    def _settle(self) -> None:
+        """Compare each window with its head word for word; other words under one hash get a head of their own."""
+        rest = np.flatnonzero(self.head != np.arange(len(self.head)))
+        same = np.fromiter((self.text(i) == self.text(k) for i, k in zip(rest.tolist(), self.head[rest].tolist(), strict=True)), bool, len(rest))
+        for k in np.unique(self.head[rest[~same]]).tolist():
+            heads: dict[bytes, int] = {}
+            for i in np.flatnonzero(self.head == k).tolist():
+                self.head[i] = heads.setdefault(self.text(i), i)
+
+    def ranges(self, window: int) -> list[np.ndarray]:
+        """doc_id, text_key, begin and end of the words that windows of an earlier document cover."""
+        late = np.flatnonzero(self.doc[self.row] > self.doc[self.row[self.head]])
+        row, at = self.row[late], self.at[late]
         order = np.lexsort((at, row))
         row, at = row[order], at[order]
         opens = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))) if len(row) else np.zeros(0, np.int64)
         last = np.concatenate((opens[1:], [len(row)])) - 1 if len(row) else opens
-        at_row = row[opens]
-        columns = [doc[at_row], key[at_row], first[at_row] + at[opens], first[at_row] + at[last] + window]
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["doc_id", "text_key", "begin", "end"])
+        begin = self.first[row[opens]] + at[opens] - self.words.bounds[row[opens]]
+        return [self.doc[row[opens]], self.text_key[row[opens]], begin, begin + (at[last] - at[opens]) + window]
+
+    def heads(self, of_row: np.ndarray, window: int) -> tuple[list[np.ndarray], list[bytes]]:
+        """The same of the first of each window in the rows chosen by of_row, and its words."""
+        first = np.flatnonzero((self.head == np.arange(len(self.head))) & of_row[self.row])
+        row, begin = self.row[first], self.first[self.row[first]] + self.at[first] - self.words.bounds[self.row[first]]
+        return [self.doc[row], self.text_key[row], begin, begin + window], [self.text(i) for i in first.tolist()]
+
+
+def _by_bucket(packed: DataFrame, keys: list[str], window: int, open_end: bool) -> DataFrame:
+    """(doc_id, text_key, begin, end, packed): the ranges covered by windows that are repeated within a bucket, packed
+    null. If open_end, also the least row of each window of the buckets that are only a part of their minimiser's:
+    salted ones, and slices of a bucket longer than SLICE_ROWS, which bound the memory."""
+    names = ["doc_id", "text_key", "begin", "end", "packed"]
+
+    def found(part: pa.Table, cut: bool) -> Iterator[pa.RecordBatch]:
+        windows = _Windows(part, window)
+        columns = windows.ranges(window)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in columns), pa.nulls(len(columns[0]), pa.binary())], names=names)
+        if open_end:
+            partial = np.full(len(part), cut) | (part.column("salt").to_numpy() > 0)
+            columns, texts = windows.heads(partial, window)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in columns), pa.array(texts, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, cut = None, False
         for batch in batches:
             part = pa.Table.from_batches([batch])
             part = pa.concat_tables([held, part]) if held is not None else part
-            keys = part.column("key").to_numpy()
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
+            if not len(part):
+                continue
+            key = np.stack([part.column(c).to_numpy() for c in keys])
+            changes = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            whole = int(changes[-1]) if len(changes) else 0  # the last bucket may go on
             if whole:
-                yield ranges(part.slice(0, whole))
+                yield from found(part.slice(0, whole), cut)
+                cut = False
             held = part.slice(whole)
+            if open_end and len(held) > SLICE_ROWS:
+                yield from found(held, True)
+                held, cut = None, True
         if held is not None and len(held):
-            yield ranges(held)
+            yield from found(held, cut)
 
-    return cold.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, text_key long, begin long, end long")
+    dealt = packed.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "doc_id long, text_key long, begin long, end long, packed binary")
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW_WORDS, minimiser: int = MINIMISER_WORDS) -> DataFrame:
@@ -159,21 +183,25 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW_WORDS, minimiser: int
     counts the minimisers of all super-k-mers and sets the bits of the repeated ones in a filter of fixed size
     (2**FILTER_BITS bits; a bit set by another minimiser lets more rows through, never fewer). A second scan sends the
     super-k-mers that pass to the bucket of their minimiser, where their windows are sorted and compared word for
-    word. A minimiser with over 1/HOT_KEYS of these super-k-mers would make a large bucket: its windows are keyed by
-    their own words, the least document of each is pre-aggregated, and a join brings it back.
+    word.
+
+    A minimiser with many super-k-mers (over SALT_ROWS, and over 1/HOT_KEYS of all, so that such keys are a bounded
+    list) is dealt over salts by document. What is repeated within a salt is settled there; the first of each window
+    goes on, keyed by its own words, to a second round where a window has a row a salt at most.
     """
     spark = docs.sparkSession
     counted = stored(_minimisers(docs, window, minimiser), "minimisers")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in counted.where(F.col("n") * HOT_KEYS > total).select("minimiser").collect()]
+    rows = max(SALT_ROWS, (counted.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = np.array([(r[0], -(-r[1] // rows)) for r in counted.where(F.col("n") > rows).collect()], dtype=np.int64).reshape(-1, 2)
+    keys = hot[:, 0].view(np.uint64) if len(hot) else np.zeros(0, np.uint64)
+    order = np.argsort(keys)
+    hot = spark.sparkContext.broadcast((keys[order], hot[order, 1].astype(np.uint64)))
     positions = counted.select(F.shiftrightunsigned("minimiser", 64 - FILTER_BITS).alias("position"))
     bits = spark.sparkContext.broadcast(set_bits(positions, 1 << FILTER_BITS))
-    hot = spark.sparkContext.broadcast(np.array(hot, dtype=np.int64).view(np.uint64))
-    packed = stored(_packed(docs, bits, hot, window, minimiser), "super-k-mers")
-    alone = packed.where("hot").select("doc_id", "text_key", "first", "packed")
-    least = stored(alone.groupBy("packed").agg(F.min("doc_id").alias("least")).withColumnRenamed("packed", "words"), "hot-windows")
-    hot_ranges = alone.join(least, F.col("packed") == F.col("words")).where("doc_id > least").select("doc_id", "text_key", F.col("first").alias("begin"), (F.col("first") + window).alias("end"))
-    return _cold_ranges(packed.where("not hot").drop("hot"), window).unionAll(hot_ranges)
+    first = stored(_by_bucket(_packed(docs, bits, hot, window, minimiser), ["key", "salt"], window, True), "repeats")
+    ranges = ["doc_id", "text_key", "begin", "end"]
+    again = first.where("packed is not null").select(F.xxhash64("packed").alias("key"), "doc_id", "text_key", F.col("begin").alias("first"), "packed")
+    return first.where("packed is null").select(*ranges).unionAll(_by_bucket(again, ["key"], window, False).select(*ranges))
 
 
 def _cut(text: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
