@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from quire.plans import facts, score
+from quire.plans import facts, layout, match, score, series
 from quire.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "facts", "score"]
+__all__ = ["ORACLES", "QUERIES", "facts", "layout", "match", "score", "series"]
