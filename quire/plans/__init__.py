@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from quire.plans import facts, layout, match, score, series
+from quire.plans import evaluation, facts, functions, incremental, layout, match, score, series, streaming, text
 from quire.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "facts", "layout", "match", "score", "series"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "facts", "functions", "incremental", "layout", "match", "score", "series", "streaming", "text"]

@@ -109,8 +109,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
-    z = F.explode(F.sequence(F.lit(0), (F.col("p_partkey") % 4).cast("int")))
-    return part.select(F.floor(F.col("p_partkey") / 50).alias("scene"), (F.col("p_size") % 5).cast("long").alias("x"), (F.col("p_partkey") % 5).alias("y"), z.cast("long").alias("z")).distinct()
+    z = F.explode(F.sequence(F.lit(0).cast("long"), F.col("p_partkey") % 4))
+    return part.select(F.floor(F.col("p_partkey") / 50).alias("scene"), (F.col("p_size") % 5).cast("long").alias("x"), (F.col("p_partkey") % 5).alias("y"), z.alias("z")).distinct()
 
 
 def voxels_after(spark: SparkSession, sf_dir: str) -> DataFrame:
