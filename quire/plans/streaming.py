@@ -84,7 +84,7 @@ def ss06(spark, sf_dir):
 
 @query("ss01_quota_stream")
 def ss01_stream(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda s: quota.quota_stream(s, "1 day", "12 hours", 5), "append")
+    return _streamed(spark, sf_dir, lambda s: quota.quota_stream(s, "1 day", "12 hours", 2), "append")
 
 
 @query("ss05_sessions_stream")
