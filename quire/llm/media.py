@@ -15,11 +15,11 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import shared_folder, stored, utf8_rows
+from quire.llm.shared import set_bits, shared_folder, stored, utf8_rows
 
 UNIT_BYTES = 64
 SHARD_BYTES = 128 << 20
-SEEN_DIGESTS = 100_000
+SEEN_DIGESTS, FILTER_BITS = 100_000, 27
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -69,64 +69,94 @@ def from_png(data: bytes) -> bytes:
     return b"".join(lines[i * (width + 1) + 1 : (i + 1) * (width + 1)] for i in range(height))
 
 
+class _Shards:
+    """Writes images into tar shards of a folder, under names of its own."""
+
+    def __init__(self, folder: str):
+        self.folder, self.out, self.at, self.shard = folder, None, 0, ""
+        self.fs, self.base = pyarrow.fs.FileSystem.from_uri(folder)
+
+    def add(self, digest: str, image: bytes) -> tuple[str, str, int, int, str]:
+        if self.out is None or self.at > SHARD_BYTES:
+            self.close()
+            self.fs.create_dir(self.base, recursive=True)
+            self.shard, self.at = f"{uuid.uuid4().hex}.tar", 0
+            self.out = self.fs.open_output_stream(f"{self.base}/{self.shard}")
+        member = tarfile.TarInfo(f"{digest}.png")
+        member.size = len(image)
+        self.out.write(member.tobuf(tarfile.USTAR_FORMAT))
+        self.out.write(image)
+        self.out.write(bytes(-len(image) % 512))
+        row = (digest, f"{self.folder}/{self.shard}", self.at + 512, len(image), hashlib.sha256(image).hexdigest())
+        self.at += 512 + len(image) + -len(image) % 512
+        return row
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.write(bytes(1024))
+            self.out.close()
+
+
+_INDEX = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("media_sha256", pa.string())])
+_INDEX_SQL = "digest string, shard string, offset long, length long, media_sha256 string"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], names=schema.names)
+
+
 def store_payloads(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Store each distinct payload of docs(text) once; the index (digest, shard, offset, length, media_sha256).
 
-    Copies are dropped where they are read, as far as SEEN_DIGESTS remembers them, and again where a digest's rows
-    meet, so that many copies of one payload don't. A task writes tar shards of about SHARD_BYTES under names of its
-    own; the stored index lists those of the tasks that succeeded, so a task that is lost and run again does no harm.
-    folder: a shared one that Arrow's file systems reach, by default below spark.checkpoint.dir.
-    """
-    folder = folder or f"{shared_folder(docs.sparkSession)}/quire/media-{uuid.uuid4().hex}"
+    A first scan counts digests and sets the bits of the repeated ones in a filter of fixed size, 2**FILTER_BITS bits. A
+    second one writes the payloads whose bit isn't set where it reads them. The others, once a task as far as
+    SEEN_DIGESTS remembers them, are shuffled by digest and written once; so many copies of one payload don't meet.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+    A task writes tar shards of about SHARD_BYTES under names of its own; the stored index lists those of the tasks that
+    succeeded, so a task that is lost and run again does no harm. folder: a shared one that Arrow's file systems reach,
+    by default below spark.checkpoint.dir.
+    """
+    spark = docs.sparkSession
+    folder = folder or f"{shared_folder(spark)}/quire/media-{uuid.uuid4().hex}"
+    _, digest = payload_digest(F.col("text"))
+    repeated = docs.groupBy(digest.alias("digest")).agg(F.count("*").alias("n")).where("n > 1")
+    position = F.shiftright(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), 32 - FILTER_BITS)
+    bits = spark.sparkContext.broadcast(set_bits(repeated.select(position.alias("position")), 1 << FILTER_BITS))
+    first_schema = _INDEX.append(pa.field("image", pa.binary()))
+
+    def write_unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, seen = _Shards(folder), set()
         for batch in batches:
-            digests, images = [], []
+            rows = []
             for text in utf8_rows(batch.column("text")):
                 payload = padded(text)
                 digest = hashlib.sha256(payload).digest()
-                if digest not in seen:
+                place = int.from_bytes(digest[:4], "big") >> (32 - FILTER_BITS)
+                if not bits.value[place >> 3] >> (7 - (place & 7)) & 1:
+                    rows.append((*shards.add(digest.hex(), to_png(payload)), None))
+                elif digest not in seen:
                     if len(seen) >= SEEN_DIGESTS:
                         seen.clear()
                     seen.add(digest)
-                    digests.append(digest.hex())
-                    images.append(to_png(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["digest", "image"])
+                    rows.append((digest.hex(), None, None, None, None, to_png(payload)))
+            yield _batch(rows, first_schema)
+        shards.close()
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        out, shard, at, last = None, "", 0, None
+    def write_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, last = _Shards(folder), None
         for batch in batches:
             rows = []
             for digest, image in zip(batch.column("digest").to_pylist(), batch.column("image").to_pylist(), strict=True):
-                if digest == last:
-                    continue
+                if digest != last:
+                    rows.append(shards.add(digest, image))
                 last = digest
-                if out is None or at > SHARD_BYTES:
-                    if out is not None:
-                        out.write(bytes(1024))
-                        out.close()
-                    fs.create_dir(base, recursive=True)
-                    shard, at = f"{uuid.uuid4().hex}.tar", 0
-                    out = fs.open_output_stream(f"{base}/{shard}")
-                member = tarfile.TarInfo(f"{digest}.png")
-                member.size = len(image)
-                out.write(member.tobuf(tarfile.USTAR_FORMAT))
-                out.write(image)
-                out.write(bytes(-len(image) % 512))
-                rows.append((digest, f"{folder}/{shard}", at + 512, len(image), hashlib.sha256(image).hexdigest()))
-                at += 512 + len(image) + -len(image) % 512
-            names = ["digest", "shard", "offset", "length", "media_sha256"]
-            columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-        if out is not None:
-            out.write(bytes(1024))
-            out.close()
-
-    images = docs.select(F.col("text").cast("string")).mapInArrow(encode, "digest string, image binary")
-    index = images.repartition("digest").sortWithinPartitions("digest").mapInArrow(write, "digest string, shard string, offset long, length long, media_sha256 string")
-    return stored(index, "media-index")
+            yield _batch(rows, _INDEX)
+        shards.close()
+
+    first = stored(docs.select(F.col("text").cast("string")).mapInArrow(write_unique, f"{_INDEX_SQL}, image binary"), "media-first")
+    once = first.where("image is not null").select("digest", "image").repartition("digest").sortWithinPartitions("digest").mapInArrow(write_once, _INDEX_SQL)
+    return stored(first.where("image is null").drop("image").unionAll(once), "media-index")
 
 
 def _read(index: DataFrame, columns: str, types: list[pa.DataType], row) -> DataFrame:
