@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,14 +72,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY_WORDS, length: Column | None
     n = sized.select(F.sum(F.greatest(F.lit(1), F.ceil(F.col("words") / capacity)))).first()[0] or 0
     groups = max(1, -(-int(n) // GROUP_ITEMS))
 
-    def run(frame):
-        import pandas as pd
-
-        frame = frame.sort_values(["length", "doc_id", "part", "cluster"], ascending=[False, True, True, True], kind="stable", na_position="last")
-        items = [(int(x), None if pd.isna(s) else s, None if pd.isna(c) else c) for x, s, c in zip(frame["length"], frame["source"], frame["cluster"], strict=True)]
-        placed = best_fit(items, capacity)
-        base = int(frame["pack"].iloc[0]) << 20
-        return frame[["doc_id", "part", "doc_offset", "length"]].assign(bin_id=[base + b for b, _ in placed], bin_offset=[o for _, o in placed])
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("part", "ascending"), ("cluster", "ascending")])
+        placed = best_fit(list(zip(*(group.column(c).to_pylist() for c in ("length", "source", "cluster")), strict=True)), capacity)
+        base = group.column("pack")[0].as_py() << 20
+        bins = pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())
+        return pa.Table.from_arrays([*(group.column(c) for c in ("doc_id", "part", "doc_offset", "length")), *bins], names=["doc_id", "part", "doc_offset", "length", "bin_id", "bin_offset"])
 
     dealt = parts.withColumn("pack", F.pmod(F.xxhash64("doc_id", "part", "cluster"), F.lit(groups)))
-    return dealt.groupBy("pack").applyInPandas(run, "doc_id long, part int, doc_offset long, length long, bin_id long, bin_offset long")
+    return dealt.groupBy("pack").applyInArrow(run, "doc_id long, part int, doc_offset long, length long, bin_id long, bin_offset long")

@@ -85,4 +85,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS j, ws FROM w WHERE len(ws) >= 13), t AS (SELECT doc_id, j, array_to_string(ws[j:j + 12], ' ') AS t FROM s),
+    late AS (SELECT doc_id, j FROM (SELECT doc_id, j, min(doc_id) OVER (PARTITION BY t) AS least FROM t) WHERE doc_id > least),
+    gone AS (SELECT DISTINCT doc_id, j + k AS p FROM late, (SELECT unnest(range(13)) AS k)), p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM p ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+}

@@ -1,0 +1,357 @@
+"""The training-data operators against brute force on small documents, and on the awkward cases of each docstring."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quire.llm import html_text, language_model, licenses, media, packing, pieces, simhash, sketches, substrings, toxicity
+from quire.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(seed: int = 3, n: int = 60) -> list[tuple]:
+    """Texts with shared passages, copies, near copies, empties, nulls, one long one, repeated rows and a null id."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7))) for _ in range(150)]
+    passage = " ".join(rng.choice(vocabulary) for _ in range(30))
+    texts: list[str | None] = []
+    for i in range(n):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(1, 120))]
+        if i % 4 == 0:
+            words[len(words) // 2 : 0] = passage.split()
+        texts.append(rng.choice([" ", "\n", "\t "]).join(words))
+    texts += [texts[0], texts[0], texts[5], texts[5] + " more", texts[8].upper(), "", None, " \n ", "one", "x " * 3000, "the same " * 50, "👍 ▁ ÿ\u0000z"]
+    rows = [(i * 3 + 1, t, "en" if i % 2 else None, "s0" if i % 3 == 0 else f"s{i % 7}", None if t is None else len(t)) for i, t in enumerate(texts)]
+    return [*rows, rows[4], (None, texts[0], "en", None, 1)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    for clash in ("words", "code", "least", "key", "packed", "hot", "begin", "n", "bucket", "own", "digest", "shard", "pack", "length", "term", "line"):
+        df = df.withColumn(clash, F.lit(1))
+    return df.repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().split()
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 200), (102, 101), (None, 3)]
+    got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 130)}}
+
+
+def brute_fingerprint(text: str | None) -> int:
+    w = [x.lower() for x in words_of(text)]
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_links_all_within_two_bits(docs, nothing):
+    got = simhash.near_duplicates(docs).collect()
+    rows = corpus()
+    prints = {(i, brute_fingerprint(t)) for i, t, *_ in rows}
+    assert Counter((r["doc_id"], int(r["fingerprint"], 16)) for r in got) == Counter((i, brute_fingerprint(t)) for i, t, *_ in rows)
+    codes = sorted({c for _, c in prints})
+    group = {c: c for c in codes}
+
+    def find(c):
+        while group[c] != c:
+            c = group[c]
+        return c
+
+    for i, a in enumerate(codes):
+        for b in codes[:i]:
+            if (a ^ b).bit_count() <= 2:
+                group[max(find(a), find(b))] = min(find(a), find(b))
+    least: dict = {}
+    for i, c in prints:
+        if i is not None:
+            least[find(c)] = min(least.get(find(c), i), i)
+    assert all(r["component_id"] == least[find(int(r["fingerprint"], 16))] for r in got)
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_ball_links_join_planted_neighbours(spark):
+    rng = random.Random(1)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    near = [c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in base]
+    signed = lambda c: c - (1 << 64) if c >> 63 else c
+    codes = sorted({signed(c) for c in base + near + [0, (1 << 64) - 1, 1 << 63]})
+    links = connected_components(simhash.ball_links(spark.createDataFrame([(c,) for c in codes], "code long")))
+    root = {r[0]: r[1] for r in links.collect()}
+    assert all(root.get(signed(a), signed(a)) == root.get(signed(b), signed(b)) for a, b in zip(base, near, strict=True))
+    assert root[0] == root[signed(1 << 63)]
+
+
+def brute_removal(rows, window: int = 13) -> list[tuple]:
+    least: dict = {}
+    for i, t, *_ in rows:
+        w = words_of(t)
+        for j in range(len(w) - window + 1):
+            key = tuple(w[j : j + window])
+            if i is not None:
+                least[key] = min(least.get(key, i), i)
+    out = []
+    for i, t, *_ in rows:
+        w = words_of(t)
+        gone = {k for j in range(len(w) - window + 1) if i is not None and least[tuple(w[j : j + window])] < i for k in range(j, j + window)}
+        out.append((i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("salt_rows,slice_rows", [(1024, 1 << 16), (2, 20)])
+def test_repeated_windows_are_removed_exactly(docs, nothing, monkeypatch, salt_rows, slice_rows):
+    monkeypatch.setattr(substrings, "SALT_ROWS", salt_rows)
+    monkeypatch.setattr(substrings, "SLICE_ROWS", slice_rows)
+    got = substrings.remove_repeats(docs)
+    assert set(docs.columns) <= set(got.columns)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()), key=str) == brute_removal(corpus())
+    assert substrings.remove_repeats(nothing).count() == 0
+
+
+def test_super_kmers_cover_every_window_once():
+    from quire.llm.shared import Words
+
+    words = Words([(t or "").encode() for _, t, *_ in corpus()])
+    first, n, _ = substrings.super_kmers(words, 13, 5)
+    covered = [k for f, c in zip(first.tolist(), n.tolist(), strict=True) for k in range(f, f + c)]
+    assert sorted(covered) == [k for k in range(len(words.row) - 12) if words.row[k] == words.row[k + 12]]
+
+
+def test_edited_texts_and_likeness(docs, nothing):
+    rows = sorted(((i, t or "") for i, t, *_ in corpus()), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1]))
+    got = sketches.edited_likeness(docs).collect()
+    want, near = [], []
+    shingles = lambda t: {t[i : i + 8] for i in range(max(1, len(t) - 7))} if t else set()
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+        a, b = shingles(t), shingles(edited)
+        near.append((i, len(t), len(a & b) / len(a | b) if a or b else 1.0))
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == Counter(want)
+    off = sorted(((r["doc_id"] or -1, r["n_chars"], r["near_edited"]) for r in got)), sorted((i or -1, n, x) for i, n, x in near)
+    assert all(abs(a[2] - b[2]) < 0.2 for a, b in zip(*off, strict=True))
+    assert len({r["fingerprint"] for r in got if r["doc_id"] in (1, 1 + 60 * 3)}) == 1
+    assert sketches.edited_likeness(nothing).count() == 0
+
+
+def test_one_row_is_its_own_successor(spark):
+    row = sketches.edited_likeness(spark.createDataFrame([(5, "abcdefghijkl")], "doc_id long, text string")).first()
+    assert row["edited_sha256"] == hashlib.sha256(b"abcdefabcdef").hexdigest() and row["near_next"] == 1.0
+
+
+def test_sketches_merge_across_parts(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdef ") for _ in range(4000))
+    parts = [text[i : i + 507] for i in range(0, len(text), 500)]
+    whole = sketches.sketch_texts([text])[0].astype(np.int64).tolist()
+    df = spark.createDataFrame([(1, p) for p in parts], "k int, text string")
+    got = sketches.sketch_parts(df, ["k"])
+    assert got.first()["sketch"] == whole
+    count = got.select(sketches.distinct_count(F.col("sketch"))).first()[0]
+    assert abs(count / len({text[i : i + 8] for i in range(len(text) - 7)}) - 1) < 0.3
+    half = sketches.sketch_parts(spark.createDataFrame([(1, text[:2000])], "k int, text string"), ["k"]).withColumnRenamed("sketch", "half")
+    both = got.join(half, "k").select(sketches.containment_of(F.col("half"), F.col("sketch")).alias("c"), sketches.resemblance_of(F.col("half"), F.col("sketch")).alias("r")).first()
+    assert both["c"] > 0.75 and 0.35 < both["r"] < 0.65
+
+
+def test_packing_keeps_every_word_and_no_conflict(docs, nothing):
+    rows = packing.pack(docs, 100).collect()
+    sizes = [len(words_of(t)) for _, t, *_ in corpus()]
+    assert sum(r["length"] for r in rows) == sum(sizes) and max(r["length"] for r in rows) <= 100
+    assert len(rows) == sum(max(1, -(-n // 100)) for n in sizes)
+    source = {i: s for i, _, _, s, _ in corpus()}
+    bins: dict = {}
+    for r in rows:
+        bins.setdefault(r["bin_id"], []).append(r)
+    for held in bins.values():
+        held.sort(key=lambda r: (r["bin_offset"], r["length"]))
+        assert all(a["bin_offset"] + a["length"] == b["bin_offset"] for a, b in zip(held, held[1:], strict=False)) and held[-1]["bin_offset"] + held[-1]["length"] <= 100
+        named = [source[r["doc_id"]] for r in held if source[r["doc_id"]] is not None]
+        assert len(named) == len(set(named))
+    assert packing.pack(nothing).count() == 0
+
+
+def test_best_fit_takes_the_tightest_compatible_bin():
+    items = [(6, "a", 1), (5, "b", 2), (4, "c", 3), (4, "a", 4), (5, "c", 2)]
+    placed = packing.best_fit(items, 10)
+    assert placed == [(0, 0), (1, 0), (0, 6), (1, 5), (2, 0)]
+
+
+def test_media_round_trip(docs, nothing):
+    got = media.media_columns(docs).collect()
+    want = []
+    for i, t, *_ in corpus():
+        data = (t or "").encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
+    assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == Counter(want)
+    assert all(r["width"] == r["payload_bytes"] and r["depth"] == 8 for r in got)
+    assert len({(r["shard"], r["offset"]) for r in got}) == len({r["payload_sha256"] for r in got})
+    assert media.media_columns(nothing).count() == 0
+
+
+def test_png_is_lossless():
+    for payload in (bytes(64), bytes(range(256)) * 3):
+        assert media.from_png(media.to_png(payload)) == payload
+    with pytest.raises(ValueError):
+        media.png_header(b"x" * 33)
+
+
+def test_pieces_are_lossless_and_reproducible(spark, docs, nothing):
+    encoded = docs.withColumn("pieces", pieces.encode(spark, F.col("text"), F.col("doc_id")))
+    back = encoded.withColumn("back", pieces.decode(spark, F.col("pieces"))).select("doc_id", "text", "back", F.hash("pieces").alias("h")).collect()
+    assert all(r["back"] == (r["text"] or "") for r in back)
+    again = docs.repartition(7).withColumn("pieces", pieces.encode(spark, F.col("text"), F.col("doc_id"))).select("doc_id", F.hash("pieces").alias("h")).collect()
+    assert Counter((r["doc_id"], r["h"]) for r in back) == Counter((r["doc_id"], r["h"]) for r in again)
+    other = docs.withColumn("pieces", pieces.encode(spark, F.col("text"), F.col("doc_id"), seed=8)).select("doc_id", F.hash("pieces").alias("h")).collect()
+    assert Counter((r["doc_id"], r["h"]) for r in back) != Counter((r["doc_id"], r["h"]) for r in other)
+    assert nothing.withColumn("pieces", pieces.encode(spark, F.col("text"), F.col("doc_id"))).count() == 0
+
+
+def test_segmentations_are_drawn_by_their_weights():
+    p, text, n = pieces.load_pieces(theta=0.5), "that", 20000
+    weight = {p.decoded[i].decode(): w for i, w in zip(p.ids.tolist(), p.weights.tolist(), strict=True)}
+
+    def ways(s):
+        return [((), 0.0)] if not s else [((s[:k], *r), weight[s[:k]] + x) for k in range(1, len(s) + 1) if s[:k] in weight for r, x in ways(s[k:])]
+
+    every = ways(" " + text)
+    total = sum(math.exp(x) for _, x in every)
+    ids, counts = pieces.sample(p, [text.encode()] * n, np.arange(n))
+    ends = np.cumsum(counts)
+    seen = Counter(tuple(p.decoded[i].decode() for i in ids[a:b]) for a, b in zip(ends - counts, ends, strict=True))
+    assert all(abs(seen[w] / n - math.exp(x) / total) < 0.015 for w, x in every)
+
+
+def test_base_scores_are_exact_and_held_out_rows_are_not_learnt(docs, nothing):
+    held = F.col("doc_id") % 7 == 2
+    rows = corpus()
+    tokens = lambda t: [w.lower() for w in words_of(t)] + [None]
+    c = Counter(x for i, t, *_ in rows if not (i is not None and i % 7 == 2) for x in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = Counter((i, len(tokens(t)), sum(c[x] > 0 for x in tokens(t)), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tokens(t)), 6)) for i, t, *_ in rows)
+    for head in (1 << 18, 5):
+        language_model.HEAD_TOKENS, before = head, language_model.HEAD_TOKENS
+        try:
+            got = language_model.score(docs, held).collect()
+        finally:
+            language_model.HEAD_TOKENS = before
+        assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+        assert all(r["score"] <= 0 for r in got)
+    assert language_model.score(nothing, held).count() == 0
+
+
+def test_levels_come_back_from_the_filter():
+    values = language_model.count_at(20)
+    assert values[0] == 0 and values[1] == 1 and values[3] == 2 and values[5] == 4.5
+
+
+def test_toxicity_finds_words_and_their_endings(spark):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    rows = []
+    for i in range(1500):
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 60))]
+        toxic = i % 5 == 0
+        if toxic:
+            words.insert(rng.randrange(len(words)), rng.choice(["idiot", "lowei" + rng.choice(plain)]))
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000, None), (9001, ""), (None, "idiot")], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 3] + [(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.with_scores(docs, toxicity.fit(docs, labels)).collect()}
+    held = [(got[i] >= 0.5) == bool(y) for i, _, y in rows if i % 3 == 0]
+    assert sum(held) / len(held) > 0.97 and 0 <= got[9000] == got[9001] <= 1
+    empty = toxicity.fit(docs, labels.limit(0))
+    assert toxicity.with_scores(docs, empty).where("toxic_score >= 0.5").count() == 0
+
+
+def test_counterfactual_penalty_evens_out_identity_terms():
+    rng = random.Random(6)
+    texts, toxic = [], []
+    for i in range(400):
+        y = i % 2
+        words = [f"w{rng.randrange(60)}" for _ in range(12)] + (["vile"] if y else [])
+        words.append("muslim" if y and rng.random() < 0.7 else rng.choice(["women", "men", "old"]))
+        texts.append(" ".join(words).encode())
+        toxic.append(y)
+    rows = toxicity.distinct_features(texts)
+    keep = np.unique(np.concatenate(toxicity.distinct_features([t.encode() for t in toxicity.IDENTITY_TERMS])))
+    twins = [p for k, t in enumerate(texts) for p in toxicity.swapped(t, ("muslim", "women", "men", "old"), k)]
+    pairs = list(zip(toxicity.distinct_features([a for a, _ in twins]), toxicity.distinct_features([b for _, b in twins]), strict=True))
+
+    def gap(model):
+        at = [model.place[c] for c in toxicity.distinct_features([b"muslim", b"women"])]
+        z = [model.weight[a[a > 0]].sum() for a in at]
+        return abs(z[0] - z[1])
+
+    assert gap(toxicity.train(rows, np.array(toxic), 0.5, pairs, keep)) < 0.5 * gap(toxicity.train(rows, np.array(toxic), 0.5, [], keep))
+
+
+PAGE = (
+    '<html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><!-- <p>no</p> --><div class="ad">Buy</div><article><h1>Head&amp;line</h1><p>One <b>bo</b>ld&nbsp; word<br>two.'
+    "<p>Three &lt;four&gt;<script>var t='</p>';</script><aside>Side</aside><ul><li>a<li>b</ul></article><div class='comments'><p>I agree with all of that.</p></div><footer>&copy; me</footer></body></html>"
+)
+
+
+def test_main_text(spark):
+    rows = [(1, "u", PAGE), (2, "u", None), (3, None, ""), (4, "u", "<article><p>cut &am"), (4, "u", "<article><p>cut &am"), (5, "u", "<article>" + "<div>" * 3000 + "deep words in here."), (6, "u", "<p" * 50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = sorted(((r["page_id"], r["text"][:80], r["n_chars"]) for r in html_text.main_text(df).collect()))
+    one = "Head&line One bold word two. Three <four> a b"
+    assert got[0] == (1, one, len(one)) and got[1:3] == [(2, "", 0), (3, "", 0)]
+    assert got[3] == got[4] == (4, "cut &am", 7)
+    assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(4)
+    model = html_text.Model({}, np.zeros((2, 1)), np.log(rng.dirichlet(np.ones(20), 2)), 0.3)
+    parent, depth = np.array([-1, 0, 0, 1, 1]), np.array([0, 1, 1, 2, 2])
+    odds, kind = rng.normal(size=(5, 2)), np.array([-1, -1, 5, 7, 2])
+    total, ones = 0.0, np.zeros(5)
+    for y in range(32):
+        label = [y >> i & 1 for i in range(5)]
+        p = 0.3 if label[0] else 0.7
+        for i in range(1, 5):
+            q = 1 / (1 + math.exp(-odds[i, label[parent[i]]]))
+            p *= q if label[i] else 1 - q
+        p *= math.exp(sum(model.kinds[label[i], k] for i, k in enumerate(kind) if k >= 0))
+        total += p
+        ones += p * np.array(label)
+    assert np.allclose(html_text.marginals(model, parent, depth, odds, kind), ones / total)
+
+
+def test_licences_and_their_inheritance(spark):
+    rows = [
+        ("a/LICENSE", "Released under the MIT License.\nmore words"), ("a/b/c/x.txt", "nothing"), ("a/b/y.txt", "x\nLicensed under the Apache License, Version 2.0."), ("z/w.txt", "All rights reserved."),
+        ("z/v.txt", None), ("COPYING.txt", "Licensed under CC BY-NC 4.0."), (None, "Released under the MIT License."), ("a/b/y.txt", "x\nLicensed under the Apache License, Version 2.0."),
+    ]
+    df = spark.createDataFrame(rows, "path string, text string").withColumn("license", F.lit("clash")).withColumn("line", F.lit(1))
+    got = sorted((tuple(r) for r in licenses.scan(df).select("path", "own_license", "license", "from_path").collect()), key=str)
+    want = [
+        ("a/LICENSE", "MIT", "MIT", "a/LICENSE"), ("a/b/c/x.txt", None, "MIT", "a/LICENSE"), ("a/b/y.txt", "Apache-2.0", "Apache-2.0", "a/b/y.txt"), ("a/b/y.txt", "Apache-2.0", "Apache-2.0", "a/b/y.txt"),
+        ("z/w.txt", "LicenseRef-proprietary", "LicenseRef-proprietary", "z/w.txt"), ("z/v.txt", None, "CC-BY-NC-4.0", "COPYING.txt"), ("COPYING.txt", "CC-BY-NC-4.0", "CC-BY-NC-4.0", "COPYING.txt"), (None, "MIT", "MIT", None),
+    ]
+    assert got == sorted(want, key=str)
+    assert licenses.scan(df.limit(0)).count() == 0
