@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import chunked, utf8_rows
+from quire.llm.shared import bounded_batches, chunked, utf8_rows
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -308,6 +308,7 @@ def main_text(pages: DataFrame, labelled: list[tuple[Dom, list[int]]] | None = N
     one whose nodes are all less likely content than `threshold`, has the empty text. Pages are read whole; repeated
     rows give repeated results. Other columns pass through (own columns text and n_chars are replaced).
     """
+    bounded_batches(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(train(labelled or labelled_pages(600)))
 
     def run(html: pa.Array) -> pa.Array:

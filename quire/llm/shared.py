@@ -41,6 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows are whole texts, so that the usual 10,000 of them would fill a worker's memory: from now on batches for Python
+    hold BATCH_ROWS rows, unless the session has a number of its own."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def fold(doc_id, folds: int):
     """crc32 of the id as text, modulo folds (null id: the crc32 of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
-from quire.llm.shared import stored, utf8_rows
+from quire.llm.shared import bounded_batches, stored, utf8_rows
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 
@@ -38,6 +38,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
             codes = np.array([text_fingerprint(t, words, seed) for t in utf8_rows(batch.column("text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(codes.view(np.int64))], names=["doc_id", "code"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, code long")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Substrings, chunked, mix64, utf8_rows
+from quire.llm.shared import Substrings, bounded_batches, chunked, mix64, utf8_rows
 
 SHINGLE_CHARS, K, HASH_BITS = 8, 128, 48
 BUCKET_ROWS, MOST_BUCKETS = 1024, 2000
@@ -92,6 +92,7 @@ def with_next_row(docs: DataFrame) -> DataFrame:
     The ranges end at approximate quantiles of the ids; there are at most MOST_BUCKETS, so ends and heads are a
     bounded list. A range is streamed, not held. Equal ids are ordered by text; null ids come last.
     """
+    bounded_batches(docs.sparkSession)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID))
     docs = docs.select(order.alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = docs.count()

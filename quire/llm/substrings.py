@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Words, chunked, has_bits, mix64, set_bits, stored, utf8_rows
+from quire.llm.shared import Words, bounded_batches, chunked, has_bits, mix64, set_bits, stored, utf8_rows
 
 WINDOW_WORDS, MINIMISER_WORDS = 13, 5
 FILTER_BITS = 27
@@ -42,6 +42,7 @@ def super_kmers(words: Words, window: int, minimiser: int) -> tuple[np.ndarray,
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).where("doc_id is not null")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Words, chunked, mix64, utf8_rows
+from quire.llm.shared import Words, bounded_batches, chunked, mix64, utf8_rows
 
 SAMPLE_ROWS = 6000
 FEATURES = 4096
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, term
     feature codes reach the driver. Labels other than 0 and 1 and null ids are ignored; of several labels of a document
     the largest counts. Without labels of both classes the score is the share of toxic labels (without any, 0).
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     each = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where("doc_id is not null")
     count = {r[0]: r[1] for r in each.groupBy("toxic").count().collect()}
@@ -163,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, term
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs plus toxic_score (0 to 1): every whole text; null texts are empty and score by the bias alone."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(text: pa.Array) -> pa.Array:
