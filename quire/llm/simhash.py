@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
-from quire.llm.shared import bounded_batches, stored, utf8_rows
+from quire.llm.shared import Words, bounded_batches, chunked, mix64, stored, utf8_rows
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 
@@ -42,6 +42,11 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, code long")
 
 
+def _spread(codes: DataFrame, *keys: str) -> DataFrame:
+    """A row becomes dozens: deal them over all partitions first, as few bytes would be joined to a few."""
+    return codes.repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ball_links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) among distinct fingerprints `code` that join the same classes as all pairs within radius 1 or 2.
 
@@ -52,7 +57,7 @@ def ball_links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius not in (1, 2):
         raise ValueError("variants within half the radius are emitted for a radius of 1 or 2")
     variants = F.concat(F.array("code"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("code").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    balls = codes.select("code", F.explode(variants).alias("variant"))
+    balls = _spread(codes, "code").select("code", F.explode(variants).alias("variant"))
     members = balls.groupBy("variant").agg(F.min("code").alias("a"), F.collect_list("code").alias("members")).where(F.size("members") > 1)
     pairs = members.select("a", F.explode("members").alias("b")).where("a <> b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
@@ -73,3 +78,82 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEE
     least = stored(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "fingerprint-least")
     named = rooted.select("code", "root").join(least, "root").select("code", "component_id")
     return each.join(named, "code").select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+
+
+COPY_WORDS, COPY_SIMILARITY, TABLES, SKETCH = 5, 0.8, 8, 64
+
+
+def _code_bits(rows: int) -> int:
+    """Bits of a table's codes: so many that among `rows` unrelated texts a code has less than one in its ball."""
+    return min(62, max(24, rows.bit_length() + 12))
+
+
+def _copy_codes(docs: DataFrame, words: int, bits: int, tables: int) -> DataFrame:
+    """(doc_id, text_key, codes, sketch): `tables` independent SimHash codes of the shingles' hashes, and their bottom-k
+    sketch. Equal sequences of words, letter case aside, have equal keys. Texts shorter than a shingle are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = mix64(np.arange(1, tables + 1, dtype=np.uint64))
+        for batch in batches:
+            texts = [t.lower() for t in utf8_rows(batch.column("text"))]
+            for i, j in chunked(texts):
+                part = Words(texts[i:j])
+                h, at = part.hashes(words)
+                row = part.row[at]
+                begin = np.searchsorted(row, np.arange(j - i + 1))
+                keys, codes, sketches = [], [], []
+                for k in range(j - i):
+                    own = h[begin[k] : begin[k + 1]]
+                    whole = b" ".join(texts[i + k].split())
+                    keys.append(xxhash.xxh64_intdigest(whole, SEED))
+                    if not len(own):
+                        own = np.array([keys[-1]], dtype=np.uint64)
+                    ones = [sum(np.unpackbits(mix64(own[a : a + (1 << 16)] ^ s).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for a in range(0, len(own), 1 << 16)) for s in salts]
+                    codes.append([int.from_bytes(np.packbits(2 * o > len(own)).tobytes(), "big") >> (64 - bits) for o in ones])
+                    sketches.append((np.unique(own)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+                columns = [batch.column("doc_id").slice(i, j - i), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(codes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "codes", "sketch"])
+
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_key long, codes array<long>, sketch binary")
+
+
+def _likeness(a: pa.Array, b: pa.Array) -> pa.Array:
+    out = []
+    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        u, v = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
+        both = np.sort(np.concatenate((u, v)))
+        twice = both[1:] == both[:-1]
+        union = both[np.concatenate(([True], ~twice))][:SKETCH]
+        out.append(float(np.count_nonzero(both[1:][twice] <= union[-1])) / len(union))
+    return pa.array(out, pa.float64())
+
+
+def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, tables: int = TABLES) -> DataFrame:
+    """(doc_id, component_id) for every row of docs(doc_id, text): near copies by shingles of `words` words.
+
+    A single fingerprint is within two bits for few pairs of a resemblance of 0.8, so there are several tables of shorter
+    codes, each searched by ball hashing. Texts of one code are linked to the least; in a ball, of distinct codes and so
+    bounded, to the least and to the next. The links are verified by the resemblance that bottom-k sketches of the
+    shingles estimate. Exact copies are one node. component_id is the least doc_id reachable; nulls and repeated rows
+    are treated as in near_duplicates.
+    """
+    bits = _code_bits(docs.count())
+    each = stored(_copy_codes(docs, words, bits, tables), "copy-codes")
+    nodes = stored(each.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.first("codes").alias("codes"), F.first("sketch").alias("sketch")), "copy-nodes")
+    coded = nodes.select(F.col("text_key").alias("id"), F.posexplode("codes").alias("t", "code"))
+    least = stored(coded.groupBy("t", "code").agg(F.min("id").alias("a")), "copy-least")
+    same = coded.join(least, ["t", "code"]).where("a <> id").select("a", F.col("id").alias("b"))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.col("code").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    balls = _spread(least, "t", "code").select("t", F.struct("code", "a").alias("m"), F.explode(F.concat(F.array("code"), flips)).alias("variant"))
+    members = balls.groupBy("t", "variant").agg(F.array_sort(F.collect_list("m")).alias("ms")).where(F.size("ms") > 1)
+    pairs = F.transform(F.sequence(F.lit(2), F.size("ms")), lambda i: F.array(F.struct(F.element_at("ms", 1)["a"].alias("a"), F.element_at("ms", i)["a"].alias("b")), F.struct(F.element_at("ms", i - 1)["a"].alias("a"), F.element_at("ms", i)["a"].alias("b"))))
+    near = members.select(F.explode(F.flatten(pairs)).alias("p")).select("p.a", "p.b").where("a <> b")
+    links = stored(same.unionAll(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copy-links")
+    sketch = lambda key, name: nodes.select(F.col("text_key").alias(key), F.col("sketch").alias(name))
+    checked = links.join(sketch("a", "sa"), "a").join(sketch("b", "sb"), "b").where(F.arrow_udf(_likeness, "double")("sa", "sb") >= similarity)
+    roots = connected_components(checked.select("a", "b"))
+    rooted = stored(nodes.join(roots, F.col("text_key") == F.col("node"), "left").select("text_key", "least_id", F.coalesce("root", "text_key").alias("root")), "copy-classes")
+    first = stored(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "copy-first")
+    named = rooted.join(first, "root").select("text_key", "component_id")
+    return each.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "component_id")

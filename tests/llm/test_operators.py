@@ -102,6 +102,26 @@ def test_ball_links_join_planted_neighbours(spark):
     assert root[0] == root[signed(1 << 63)]
 
 
+def test_near_copies_of_five_word_shingles(spark, docs, nothing):
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(30)]
+    rows, group = [], {}
+    for g, words in enumerate(base):
+        for k in range(4):
+            copy = list(words)
+            for _ in range(k):  # each change touches five of about 196 shingles
+                copy[rng.randrange(200)] = "changed"
+            rows.append((len(rows), " ".join(copy)))
+            group[len(rows) - 1] = g
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows) and all(group[r["doc_id"]] == group[r["component_id"]] for r in got)
+    assert sum(r["component_id"] == 4 * group[r["doc_id"]] for r in got) >= 0.97 * len(rows)
+    found = simhash.near_copies(docs).collect()
+    same = {r["component_id"] for r in found if r["doc_id"] in (1, 1 + 60 * 3, 1 + 61 * 3, None)}
+    assert len(found) == docs.count() and len(same) == 1
+    assert simhash.near_copies(nothing).count() == 0
+
+
 def brute_removal(rows, window: int = 13) -> list[tuple]:
     least: dict = {}
     for i, t, *_ in rows:
@@ -308,6 +328,24 @@ def test_counterfactual_penalty_evens_out_identity_terms():
     assert gap(toxicity.train(rows, np.array(toxic), 0.5, pairs, keep)) < 0.5 * gap(toxicity.train(rows, np.array(toxic), 0.5, [], keep))
 
 
+def test_pipeline_stages_keep_what_they_should(spark, docs, sf_dir):
+    import corpus_pipeline
+
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert len(names) == 4
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages[names[0]](spark, docs, sf_dir)
+    assert kept.columns == docs.columns and kept.count() <= docs.count()
+    unique = stages[names[1]](spark, docs, sf_dir)
+    first = {r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert unique.columns == docs.columns and {r["doc_id"] for r in unique.collect()} == first | {None}
+    cut = stages[names[2]](spark, docs, sf_dir)
+    brute = Counter((i, n - gone) for i, n, gone, _ in brute_removal(corpus()))
+    assert cut.columns == docs.columns and Counter((r["doc_id"], len(words_of(r["text"]))) for r in cut.collect()) == brute
+    packed = stages[names[3]](spark, cut, sf_dir)
+    assert packed.agg(F.sum("length")).first()[0] == sum(n * times for (_, n), times in brute.items())
+
+
 PAGE = (
     '<html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><!-- <p>no</p> --><div class="ad">Buy</div><article><h1>Head&amp;line</h1><p>One <b>bo</b>ld&nbsp; word<br>two.'
     "<p>Three &lt;four&gt;<script>var t='</p>';</script><aside>Side</aside><ul><li>a<li>b</ul></article><div class='comments'><p>I agree with all of that.</p></div><footer>&copy; me</footer></body></html>"
