@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Substrings, chunked, mix64, utf8_rows
+from quire.llm.shared import Substrings, bounded_batches, chunked, mix64, utf8_rows
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, SEED = 0.4, 7
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, CHUNK_IDS = 1 << 20, 1 << 19
 _SPACE, _LITERAL = 0x2581, 0x110000
 _SLOT_BITS = 20
 
@@ -185,6 +185,7 @@ def sample(p: Pieces, texts: list[bytes], keys: np.ndarray, seed: int = SEED) ->
 def encode(spark: SparkSession, text: Column, key: Column, model_file: str = MODEL_FILE, theta: float = THETA, seed: int = SEED) -> Column:
     """array<int> of piece ids, sampled by the row's key (a long; null counts as 0). Null and empty texts: no pieces.
     Equal texts with equal keys get equal pieces."""
+    bounded_batches(spark)
     pieces = spark.sparkContext.broadcast(load_pieces(model_file, theta))
 
     def run(text: pa.Array, key: pa.Array) -> pa.Array:
@@ -200,10 +201,22 @@ def encode(spark: SparkSession, text: Column, key: Column, model_file: str = MOD
 
 def decode(spark: SparkSession, pieces: Column, model_file: str = MODEL_FILE) -> Column:
     """The text of piece ids; null and empty arrays: the empty text."""
-    table = spark.sparkContext.broadcast(load_pieces(model_file).decoded)
+    decoded = load_pieces(model_file).decoded
+    size = np.array([len(d) for d in decoded])
+    table = spark.sparkContext.broadcast((np.frombuffer(b"".join(decoded), dtype=np.uint8), np.cumsum(size) - size, size))
 
     def run(pieces: pa.Array) -> pa.Array:
-        look, offsets, ids = table.value, pieces.offsets.to_pylist(), pieces.values.to_pylist()
-        return pa.array([b"".join(map(look.__getitem__, ids[a:b]))[1:] for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary()).cast(pa.string())
+        letters, start, size = table.value
+        offsets, ids, out, row = pieces.offsets.to_numpy(), pieces.values.to_numpy(), [], 0
+        while row < len(pieces):
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_IDS)) - 1)
+            part = ids[offsets[row] : offsets[end]]
+            n = size[part]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            text = letters[np.repeat(start[part] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+            ends = upto[offsets[row : end + 1] - offsets[row]].tolist()
+            out += [text[a + 1 : b] for a, b in zip(ends, ends[1:], strict=False)]  # without the space put first
+            row = end
+        return pa.array(out, pa.binary()).cast(pa.string())
 
     return F.arrow_udf(run, "string")(F.coalesce(pieces, F.array().cast("array<int>")))
