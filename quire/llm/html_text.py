@@ -26,7 +26,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+|[^a-z\W]+")
 
 
@@ -132,58 +132,69 @@ def _evidence(text: str, linked: bool) -> int:
     return size * 4 + 2 * (text.rstrip()[-1:] in tuple(".!?…\"”»")) + linked if n else 0
 
 
+NEUTRAL, CONTENT, BOILERPLATE = 0, 1, 2
+
+
 @dataclass
 class Model:
     """Log potentials: of a child's label given its parent's by the child's features, and of a text by its kind."""
 
     index: dict[str, int]
-    weights: np.ndarray  # [parent's label][feature], the last one the bias
+    weights: np.ndarray  # [parent's label][own label][feature], the last one the bias
     kinds: np.ndarray  # [label][kind]
-    root: float
+    root: np.ndarray  # [label]
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def _potentials(model: Model, features: tuple[str, ...]) -> tuple[float, float]:
-    """Log odds that a child is content, for a parent that isn't and one that is."""
+def potentials(model: Model, features: tuple[str, ...]) -> np.ndarray:
+    """[parent's label][own label]: log probability of a child's label. A text is never neutral."""
     at = [model.index[f] for f in features if f in model.index]
-    return tuple(float(w[at].sum() + w[-1]) for w in model.weights)
+    z = model.weights[:, :, at].sum(axis=2) + model.weights[:, :, -1]
+    if features == ("tag=#text",):
+        z[:, NEUTRAL] -= 20
+    return z - _log_sum(z, 1)[:, None]
 
 
-def marginals(model: Model, parent: np.ndarray, depth: np.ndarray, odds: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Probability that each node is content, by sum-product messages up to the roots and down again.
+def marginals(model: Model, parent: np.ndarray, depth: np.ndarray, pair: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """[node][label]: probabilities by sum-product messages up to the roots and down again.
 
-    Many pages may be given at once: a root has parent -1. odds: [node][parent's label]; kind: -1 without text.
+    Many pages may be given at once: a root has parent -1. pair: [node][parent's label][own label]; kind: -1 without text.
     """
-    pair = np.stack((-np.logaddexp(0, odds), -np.logaddexp(0, -odds)), axis=2)  # [node][parent's label][own label]
     up = np.where(kind[:, None] >= 0, model.kinds[:, np.maximum(kind, 0)].T, 0.0)
     message = np.zeros_like(up)
     order = np.argsort(depth, kind="stable")
     steps = np.searchsorted(depth[order], np.arange(depth.max() + 2))
     levels = [order[a:b] for a, b in zip(steps, steps[1:], strict=False)]
     for level in reversed(levels[1:]):
-        message[level] = np.logaddexp(pair[level, :, 0] + up[level, None, 0], pair[level, :, 1] + up[level, None, 1])
+        message[level] = _log_sum(pair[level] + up[level, None, :], 2)
         np.add.at(up, parent[level], message[level])
     down = np.zeros_like(up)
-    down[levels[0]] = (np.log1p(-model.root), np.log(model.root))
+    down[levels[0]] = np.log(model.root)
     for level in levels[1:]:
         above = down[parent[level]] + up[parent[level]] - message[level]
         above -= above.max(axis=1, keepdims=True)
-        down[level] = np.logaddexp(above[:, 0, None] + pair[level, 0], above[:, 1, None] + pair[level, 1])
+        down[level] = _log_sum(above[:, :, None] + pair[level], 1)
     both = down + up
-    return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
+    return np.exp(both - _log_sum(both, 1)[:, None])
 
 
 def extract(model: Model, pages: list[str], threshold: float = 0.5) -> list[str]:
     """The main text of each page."""
     signatures: dict = {}
-    cache: dict[tuple[str, ...], tuple[float, float]] = {}
+    known: dict[tuple[str, ...], int] = {}
     doms = [parse(p, signatures) for p in pages]
     sizes = [len(d.parent) for d in doms]
     base = np.repeat(np.cumsum(sizes) - sizes, sizes)
     parent = np.concatenate([d.parent for d in doms])
     parent = np.where(parent >= 0, parent + base, -1)
-    odds = np.array([cache.get(f) or cache.setdefault(f, _potentials(model, f)) for d in doms for f in d.features])
+    which = np.array([known.setdefault(f, len(known)) for d in doms for f in d.features])
+    pair = np.array([potentials(model, f) for f in known])[which]
     kind = np.array([-1 if t is None else _evidence(t, k) for d in doms for t, k in zip(d.text, d.linked, strict=True)])
-    keep = (marginals(model, parent, np.concatenate([d.depth for d in doms]), odds, kind) >= threshold).tolist()
+    keep = (marginals(model, parent, np.concatenate([d.depth for d in doms]), pair, kind)[:, CONTENT] >= threshold).tolist()
     out, at = [], 0
     for dom, size in zip(doms, sizes, strict=True):
         parts, last = [], None
@@ -200,8 +211,8 @@ def extract(model: Model, pages: list[str], threshold: float = 0.5) -> list[str]
 
 # What the labelled pages are put together from. Each part has its opening and closing tags and whether
 # the text between is content.
-CONTAINERS = ("article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-content"', 'div class="entry"', 'section class="story"', 'div class="article-body"', "div", "div", "div", "section")
-BOILERPLATE = (
+CONTAINERS = ("article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-content"', 'div class="entry"', 'section class="story"', 'div class="article-body"', 'div class="story-text"', 'div itemprop="articleBody"', 'div role="main"', 'div class="post"', "div", "div", "div", "section")
+BOILER_PARTS = (
     "nav", "header", "footer", "aside", "form", 'div class="menu"', 'ul class="nav-menu"', 'div class="navbar"', 'div class="breadcrumb"', 'div id="header"', 'div class="site-header"',
     'div class="masthead"', 'div id="footer"', 'div class="site-footer"', 'div class="copyright"', 'div class="sidebar"', 'div id="side"', 'div class="widget"', 'section class="sidebar"',
     'div class="notice"', 'div class="cookie-notice"', 'div id="cookie-consent"', 'div class="cookie-banner"', 'div class="banner"', 'div class="popup"', 'div class="modal"', 'div class="alert"',
@@ -209,14 +220,15 @@ BOILERPLATE = (
     'div class="sponsored"', 'div class="promo"', 'p class="ad"', 'section class="ad"', 'p class="notice"', 'div class="share"', 'div class="social"', 'div class="related"', 'div class="recommended"', 'div class="comments"',
     'section id="comments"', 'section class="comments"', 'div class="comment"', 'article class="comment"', 'ol class="comment-list"', 'li class="comment"', 'div class="reply"', 'div class="respond"', 'div class="search"', 'div class="login"',
     'div class="pagination"', 'div class="tags"', 'div class="legal"', 'div role="navigation"', 'div role="banner"', 'div role="contentinfo"', 'div role="complementary"', "div hidden", 'div class="gdpr"',
-    'div class="disclaimer"', 'div class="toolbar"', 'div class="skip"', "button", "dialog", 'div role="dialog"', 'div role="alert"', 'div role="search"', 'ul class="menu"', 'ul class="breadcrumbs"',
+    'div class="disclaimer"', 'div class="toolbar"', 'div class="skip"', "button", "dialog", 'div role="dialog"', 'div role="alert"', 'div role="search"', 'ul class="menu"', 'ul class="breadcrumbs"', "menu", "fieldset", 'div class="top-bar"', 'div id="disqus-thread"', 'div class="user-reviews"', 'div class="author-bio"', 'div class="caption-ad"',
 )
 CONTENT_PARTS = ("p", "p", "p", "p", "h1", "h2", "h3", "blockquote", "ul", "ol", "table", "pre", "figure", "div", "section")
 INLINE_PARTS = ("b", "i", "em", "strong", "a", "span", "code")
 
 
 def labelled_pages(n: int, seed: int = 11) -> list[tuple[Dom, list[int]]]:
-    """Pages with a label for every node, put together from the parts above."""
+    """Pages with a label for every node, put together from the parts above. What holds both content and boilerplate is
+    neutral."""
     rng, out = Random(seed), []
 
     def words(low: int, high: int) -> str:
@@ -240,65 +252,65 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[Dom, list[int]]]:
                 add(at, None, label, words(low, high) + ".")
 
         def boiler(at: int, add=add, line=line) -> None:
-            node = add(at, rng.choice(BOILERPLATE), 0)
+            node = add(at, rng.choice(BOILER_PARTS), BOILERPLATE)
             for _ in range(rng.randint(1, 4)):
                 kind = rng.random()
                 if kind < 0.5:
-                    item = add(add(node, rng.choice(("ul", "ol", "div")), 0), rng.choice(("li", "p", "span")), 0)
-                    add(add(item, "a", 0), None, 0, words(1, 3), True)
+                    item = add(add(node, rng.choice(("ul", "ol", "div")), BOILERPLATE), rng.choice(("li", "p", "span")), BOILERPLATE)
+                    add(add(item, "a", BOILERPLATE), None, BOILERPLATE, words(1, 3), True)
                 elif kind < 0.8:
-                    line(add(node, rng.choice(("p", "div", "span", "h3", "blockquote")), 0), 0, 2, rng.choice((8, 10, 12, 25)))
+                    line(add(node, rng.choice(("p", "div", "span", "h3", "blockquote")), BOILERPLATE), BOILERPLATE, 2, rng.choice((8, 10, 12, 25)))
                 else:
-                    line(node, 0, 1, 12)
+                    line(node, BOILERPLATE, 1, 12)
 
-        body = add(add(0, "html", 0), "body", 0)
+        body = add(add(0, "html", NEUTRAL), "body", NEUTRAL)
         for _ in range(rng.randint(1, 4)):
             boiler(body)
-        outer = add(body, rng.choice(('div class="wrapper"', 'div id="page"', "div", 'div class="container"')), 0) if rng.random() < 0.5 else body
+        outer = add(body, rng.choice(('div class="wrapper"', 'div id="page"', "div", 'div class="container"')), NEUTRAL) if rng.random() < 0.5 else body
         container = rng.choice(CONTAINERS)
-        inside = add(outer, container, 1)
+        inside = add(outer, container, CONTENT)
         for _ in range(rng.randint(2, 9)):
             if rng.random() < 0.12:
                 boiler(inside)
                 continue
-            part = add(inside, rng.choice(CONTENT_PARTS), 1)
+            part = add(inside, rng.choice(CONTENT_PARTS), CONTENT)
             kind = dom.features[part][0][4:]
             if kind in ("ul", "ol", "table", "figure", "div", "section"):
                 for _ in range(rng.randint(1, 4)):
-                    line(add(part, {"table": "tr", "figure": "figcaption", "div": "p", "section": "p"}.get(kind, "li"), 1), 1, 2, 30)
+                    line(add(part, {"table": "tr", "figure": "figcaption", "div": "p", "section": "p"}.get(kind, "li"), CONTENT), CONTENT, 2, 30)
             else:
-                line(part, 1, 1 if kind[0] == "h" else 4, 6 if kind[0] == "h" else 60)
+                line(part, CONTENT, 1 if kind[0] == "h" else 4, 6 if kind[0] == "h" else 60)
         for _ in range(rng.randint(1, 5)):
             boiler(rng.choice((body, outer)))
         out.append((dom, labels))
     return out
 
 
-def train(pages: list[tuple[Dom, list[int]]], ridge: float = 0.05, rounds: int = 400) -> Model:
-    """Potentials from labelled pages: for either label of the parent a ridge logistic regression of the child's label on
-    its features; for texts the smoothed frequencies of their kinds by label."""
+def train(pages: list[tuple[Dom, list[int]]], ridge: float = 0.05, rounds: int = 300) -> Model:
+    """Potentials from labelled pages: for each label of the parent a ridge logistic regression of the child's label on its
+    features, in steps under a fixed bound of the curvature; for texts the smoothed frequencies of their kinds by label."""
     index = {f: i for i, f in enumerate(sorted({f for dom, _ in pages for fs in dom.features for f in fs}))}
-    weights = np.zeros((2, len(index) + 1))
-    kinds = np.ones((2, 20))
+    weights = np.zeros((3, 3, len(index) + 1))
+    kinds = np.ones((3, 20))
     examples: dict[tuple[int, tuple[str, ...]], list[int]] = {}
     for dom, labels in pages:
         for node in range(1, len(labels)):
-            examples.setdefault((labels[dom.parent[node]], dom.features[node]), [0, 0])[labels[node]] += 1
+            examples.setdefault((labels[dom.parent[node]], dom.features[node]), [0, 0, 0])[labels[node]] += 1
             if dom.text[node] is not None:
                 kinds[labels[node], _evidence(dom.text[node], dom.linked[node])] += 1
-    for label in (0, 1):
+    for label in range(3):
         rows = [(f, n) for (above, f), n in examples.items() if above == label]
-        x, n = np.zeros((len(rows), len(index) + 1)), np.array([c for _, c in rows], dtype=float)
+        x, n = np.zeros((len(rows), len(index) + 1)), np.array([c for _, c in rows], dtype=float).reshape(-1, 3)
         for i, (fs, _) in enumerate(rows):
             x[i, [index[f] for f in fs]] = 1
         x[:, -1] = 1
-        for _ in range(rounds // 40):  # Newton steps
-            p = 1 / (1 + np.exp(-np.clip(x @ weights[label], -30, 30)))
-            total = n.sum(axis=1)
-            curve = (x * (total * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(index) + 1)
-            weights[label] -= np.linalg.solve(curve, x.T @ (total * p - n[:, 1]) + ridge * weights[label])
+        step = np.linalg.inv((x * n.sum(axis=1)[:, None]).T @ x / 2 + ridge * np.eye(len(index) + 1))
+        for _ in range(rounds):
+            z = x @ weights[label].T
+            p = np.exp(z - _log_sum(z, 1)[:, None]) if len(z) else z
+            weights[label] += ((n - p * n.sum(axis=1)[:, None]).T @ x - ridge * weights[label]) @ step
     kinds[:, 0] = kinds[:, 0].sum()  # white space tells nothing
-    return Model(index, weights, np.log(kinds / kinds.sum(axis=1, keepdims=True)), 1e-3)
+    return Model(index, weights, np.log(kinds / kinds.sum(axis=1, keepdims=True)), np.array([0.998, 1e-3, 1e-3]))
 
 
 def main_text(pages: DataFrame, labelled: list[tuple[Dom, list[int]]] | None = None, threshold: float = 0.5) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -364,20 +365,24 @@ def test_main_text(spark):
 
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(4)
-    model = html_text.Model({}, np.zeros((2, 1)), np.log(rng.dirichlet(np.ones(20), 2)), 0.3)
+    model = html_text.Model({}, np.zeros((3, 3, 1)), np.log(rng.dirichlet(np.ones(20), 3)), rng.dirichlet(np.ones(3)))
     parent, depth = np.array([-1, 0, 0, 1, 1]), np.array([0, 1, 1, 2, 2])
-    odds, kind = rng.normal(size=(5, 2)), np.array([-1, -1, 5, 7, 2])
-    total, ones = 0.0, np.zeros(5)
-    for y in range(32):
-        label = [y >> i & 1 for i in range(5)]
-        p = 0.3 if label[0] else 0.7
-        for i in range(1, 5):
-            q = 1 / (1 + math.exp(-odds[i, label[parent[i]]]))
-            p *= q if label[i] else 1 - q
-        p *= math.exp(sum(model.kinds[label[i], k] for i, k in enumerate(kind) if k >= 0))
+    pair, kind = np.log(rng.dirichlet(np.ones(3), (5, 3))), np.array([-1, -1, 5, 7, 2])
+    total, sums = 0.0, np.zeros((5, 3))
+    for label in itertools.product(range(3), repeat=5):
+        p = model.root[label[0]] * math.exp(sum(pair[i, label[parent[i]], label[i]] for i in range(1, 5)) + sum(model.kinds[label[i], k] for i, k in enumerate(kind) if k >= 0))
         total += p
-        ones += p * np.array(label)
-    assert np.allclose(html_text.marginals(model, parent, depth, odds, kind), ones / total)
+        sums[np.arange(5), label] += p
+    assert np.allclose(html_text.marginals(model, parent, depth, pair, kind), sums / total)
+
+
+@pytest.mark.parametrize("container", ["article", "main", "div", 'div class="col-7"', 'div id="content"'])
+@pytest.mark.parametrize("other", ['<div class="sidebar-left"><p>Some words at the side.</p></div>', "<form><p>Your name</p></form>", '<section class="comments"><p>I agree with every word of this.</p></section>', '<div class="notice"><p>We use cookies here.</p></div>'])
+def test_main_text_of_other_layouts(container, other):
+    model, want = html_text.train(html_text.labelled_pages(600)), "This paragraph has quite a few words in it, and then it ends here. " * 4 + "Short end."
+    text = want.replace(". ", ".</p><p>")
+    page = f"<html><body><nav><a href=1>Home</a></nav><div class=wrap><{container}><h1></h1><p>{text}</p>{other}</{container.split()[0]}></div>{other}<footer>x y</footer></body></html>"
+    assert html_text.extract(model, [page]) == [want]
 
 
 def test_licences_and_their_inheritance(spark):
