@@ -31,9 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once in the shared folder and read it back: a short lineage that outlives lost executors."""
+    """Write df once in the shared folder and read it back: a short lineage that outlives lost executors. The table goes
+    when the driver's file system is closed, at the end of the application."""
     path = f"{shared_folder(df.sparkSession)}/quire/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    context = df.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
