@@ -23,9 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored_checkpoint(df: DataFrame) -> DataFrame:
-    """df written in the shared folder and read back."""
+    """df written in the shared folder and read back; the table goes at the end of the application."""
     path = f"{shared_folder(df.sparkSession)}/quire/checkpoint-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
