@@ -15,7 +15,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import set_bits, shared_folder, stored, utf8_rows
+from quire.llm.shared import bounded_batches, set_bits, shared_folder, stored, utf8_rows
 
 UNIT_BYTES = 64
 SHARD_BYTES = 128 << 20
@@ -98,6 +98,7 @@ class _Shards:
 
 
 _INDEX = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("media_sha256", pa.string())])
+_IMAGES = pa.schema([("digest", pa.string()), ("image", pa.binary())])
 _INDEX_SQL = "digest string, shard string, offset long, length long, media_sha256 string"
 
 
@@ -110,38 +111,44 @@ def store_payloads(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Store each distinct payload of docs(text) once; the index (digest, shard, offset, length, media_sha256).
 
     A first scan counts digests and sets the bits of the repeated ones in a filter of fixed size, 2**FILTER_BITS bits. A
-    second one writes the payloads whose bit isn't set where it reads them. The others, once a task as far as
-    SEEN_DIGESTS remembers them, are shuffled by digest and written once; so many copies of one payload don't meet.
+    second one writes the payloads whose bit isn't set where it reads them. A third takes the others, once a task as far
+    as SEEN_DIGESTS remembers them, to be shuffled by digest and written once; so many copies of one payload don't meet.
 
     A task writes tar shards of about SHARD_BYTES under names of its own; the stored index lists those of the tasks that
     succeeded, so a task that is lost and run again does no harm. folder: a shared one that Arrow's file systems reach,
     by default below spark.checkpoint.dir.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/quire/media-{uuid.uuid4().hex}"
     _, digest = payload_digest(F.col("text"))
     repeated = docs.groupBy(digest.alias("digest")).agg(F.count("*").alias("n")).where("n > 1")
     position = F.shiftright(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), 32 - FILTER_BITS)
     bits = spark.sparkContext.broadcast(set_bits(repeated.select(position.alias("position")), 1 << FILTER_BITS))
-    first_schema = _INDEX.append(pa.field("image", pa.binary()))
+    def occurs_once(digest: bytes) -> bool:
+        place = int.from_bytes(digest[:4], "big") >> (32 - FILTER_BITS)
+        return not bits.value[place >> 3] >> (7 - (place & 7)) & 1
 
-    def write_unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, seen = _Shards(folder), set()
+    def write_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = _Shards(folder)
+        for batch in batches:
+            payloads = [padded(t) for t in utf8_rows(batch.column("text"))]
+            digests = [hashlib.sha256(p) for p in payloads]
+            yield _batch([shards.add(d.hexdigest(), to_png(p)) for p, d in zip(payloads, digests, strict=True) if occurs_once(d.digest())], _INDEX)
+        shards.close()
+
+    def encode_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             rows = []
-            for text in utf8_rows(batch.column("text")):
-                payload = padded(text)
+            for payload in map(padded, utf8_rows(batch.column("text"))):
                 digest = hashlib.sha256(payload).digest()
-                place = int.from_bytes(digest[:4], "big") >> (32 - FILTER_BITS)
-                if not bits.value[place >> 3] >> (7 - (place & 7)) & 1:
-                    rows.append((*shards.add(digest.hex(), to_png(payload)), None))
-                elif digest not in seen:
+                if digest not in seen and not occurs_once(digest):
                     if len(seen) >= SEEN_DIGESTS:
                         seen.clear()
                     seen.add(digest)
-                    rows.append((digest.hex(), None, None, None, None, to_png(payload)))
-            yield _batch(rows, first_schema)
-        shards.close()
+                    rows.append((digest.hex(), to_png(payload)))
+            yield _batch(rows, _IMAGES)
 
     def write_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, last = _Shards(folder), None
@@ -154,9 +161,10 @@ def store_payloads(docs: DataFrame, folder: str | None = None) -> DataFrame:
             yield _batch(rows, _INDEX)
         shards.close()
 
-    first = stored(docs.select(F.col("text").cast("string")).mapInArrow(write_unique, f"{_INDEX_SQL}, image binary"), "media-first")
-    once = first.where("image is not null").select("digest", "image").repartition("digest").sortWithinPartitions("digest").mapInArrow(write_once, _INDEX_SQL)
-    return stored(first.where("image is null").drop("image").unionAll(once), "media-index")
+    texts = docs.select(F.col("text").cast("string"))
+    single = texts.mapInArrow(write_single, _INDEX_SQL)
+    repeated_images = texts.mapInArrow(encode_repeated, "digest string, image binary").repartition("digest").sortWithinPartitions("digest")
+    return stored(single.unionAll(repeated_images.mapInArrow(write_once, _INDEX_SQL)), "media-index")
 
 
 def _read(index: DataFrame, columns: str, types: list[pa.DataType], row) -> DataFrame:
