@@ -72,7 +72,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEE
     are not read. Copies meet as one fingerprint before any link is made.
     """
     each = stored(fingerprints(docs, words, seed), "fingerprints")
-    classes = each.groupBy("code").agg(F.min("doc_id").alias("least_id"))
+    classes = stored(each.groupBy("code").agg(F.min("doc_id").alias("least_id")), "fingerprint-ids")
     roots = connected_components(ball_links(classes.select("code"), radius)).withColumnRenamed("node", "code")
     rooted = stored(classes.join(roots, "code", "left").select("code", "least_id", F.coalesce("root", "code").alias("root")), "fingerprint-classes")
     least = stored(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "fingerprint-least")
