@@ -98,6 +98,7 @@ class _Windows:
 
     def __init__(self, part: pa.Table, window: int):
         self.doc, self.text_key, self.first = (part.column(c).to_numpy() for c in ("doc_id", "text_key", "first"))
+        self.more = part.column("more").to_numpy() if "more" in part.column_names else np.zeros(len(part), np.int64)  # words that a row covers beyond its window
         self.words = words = Words(part.column("packed").to_pylist())
         h, at = words.hashes(window)
         order = np.lexsort((self.doc[words.row[at]], h))
@@ -129,19 +130,30 @@ class _Windows:
         opens = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))) if len(row) else np.zeros(0, np.int64)
         last = np.concatenate((opens[1:], [len(row)])) - 1 if len(row) else opens
         begin = self.first[row[opens]] + at[opens] - self.words.bounds[row[opens]]
-        return [self.doc[row[opens]], self.text_key[row[opens]], begin, begin + (at[last] - at[opens]) + window]
+        return [self.doc[row[opens]], self.text_key[row[opens]], begin, begin + (at[last] - at[opens]) + window + self.more[row[opens]]]
 
     def heads(self, of_row: np.ndarray, window: int) -> tuple[list[np.ndarray], list[bytes]]:
-        """The same of the first of each window in the rows chosen by of_row, and its words."""
-        first = np.flatnonzero((self.head == np.arange(len(self.head))) & of_row[self.row])
-        row, begin = self.row[first], self.first[self.row[first]] + self.at[first] - self.words.bounds[self.row[first]]
-        return [self.doc[row], self.text_key[row], begin, begin + window], [self.text(i) for i in first.tolist()]
+        """The same of every place of a window in its least document, in the rows chosen by of_row, and the window's words.
+        Places that overlap or touch are one range."""
+        own = np.flatnonzero((self.doc[self.row] == self.doc[self.row[self.head]]) & of_row[self.row])
+        begin = self.first[self.row[own]] + self.at[own] - self.words.bounds[self.row[own]]
+        order = np.lexsort((begin, self.text_key[self.row[own]], self.head[own]))
+        own, begin = own[order], begin[order]
+        head, text_key = self.head[own], self.text_key[self.row[own]]
+        opens = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (text_key[1:] != text_key[:-1]) | (begin[1:] > begin[:-1] + window)))) if len(own) else np.zeros(0, np.int64)
+        last = np.concatenate((opens[1:], [len(own)])) - 1 if len(own) else opens
+        return [self.doc[self.row[own[opens]]], text_key[opens], begin[opens], begin[last] + window], [self.text(i) for i in own[opens].tolist()]
+
+    def first_rows(self) -> np.ndarray:
+        """A row of the least document of each window."""
+        return np.unique(self.row[self.head == np.arange(len(self.head))])
 
 
 def _by_bucket(packed: DataFrame, keys: list[str], window: int, open_end: bool) -> DataFrame:
     """(doc_id, text_key, begin, end, packed): the ranges covered by windows that are repeated within a bucket, packed
-    null. If open_end, also the least row of each window of the buckets that are only a part of their minimiser's:
-    salted ones, and slices of a bucket longer than SLICE_ROWS, which bound the memory."""
+    null. If open_end, also all places of each window in the least document of the buckets that are only a part of their
+    minimiser's: salted ones, and slices of a bucket longer than SLICE_ROWS, which bound the memory. Else a bucket is
+    sorted by document and has the rows of few windows; its slices hand on a row of each window's least document."""
     names = ["doc_id", "text_key", "begin", "end", "packed"]
 
     def found(part: pa.Table, cut: bool) -> Iterator[pa.RecordBatch]:
@@ -167,13 +179,13 @@ def _by_bucket(packed: DataFrame, keys: list[str], window: int, open_end: bool)
                 yield from found(part.slice(0, whole), cut)
                 cut = False
             held = part.slice(whole)
-            if open_end and len(held) > SLICE_ROWS:
+            if len(held) > SLICE_ROWS:
                 yield from found(held, True)
-                held, cut = None, True
+                held, cut = None if open_end else held.take(_Windows(held, window).first_rows()), True
         if held is not None and len(held):
             yield from found(held, cut)
 
-    dealt = packed.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = packed.repartition(*keys).sortWithinPartitions(*keys, *([] if open_end else ["doc_id"]))
     return dealt.mapInArrow(run, "doc_id long, text_key long, begin long, end long, packed binary")
 
 
@@ -187,8 +199,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW_WORDS, minimiser: int
     word.
 
     A minimiser with many super-k-mers (over SALT_ROWS, and over 1/HOT_KEYS of all, so that such keys are a bounded
-    list) is dealt over salts by document. What is repeated within a salt is settled there; the first of each window
-    goes on, keyed by its own words, to a second round where a window has a row a salt at most.
+    list) is dealt over salts by document. What later documents of a salt repeat is settled there; all places of a window
+    in the salt's least document go on, keyed by the window's words, to a second round.
     """
     spark = docs.sparkSession
     counted = stored(_minimisers(docs, window, minimiser), "minimisers")
@@ -201,7 +213,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW_WORDS, minimiser: int
     bits = spark.sparkContext.broadcast(set_bits(positions, 1 << FILTER_BITS))
     first = stored(_by_bucket(_packed(docs, bits, hot, window, minimiser), ["key", "salt"], window, True), "repeats")
     ranges = ["doc_id", "text_key", "begin", "end"]
-    again = first.where("packed is not null").select(F.xxhash64("packed").alias("key"), "doc_id", "text_key", F.col("begin").alias("first"), "packed")
+    again = first.where("packed is not null").select(F.xxhash64("packed").alias("key"), "doc_id", "text_key", F.col("begin").alias("first"), (F.col("end") - F.col("begin") - window).alias("more"), "packed")
     return first.where("packed is null").select(*ranges).unionAll(_by_bucket(again, ["key"], window, False).select(*ranges))
 
 

@@ -149,6 +149,24 @@ def test_repeated_windows_are_removed_exactly(docs, nothing, monkeypatch, salt_r
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("slice_rows", [3, 1 << 16])
+def test_repeats_within_the_least_document_of_a_salt_are_removed(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(substrings, "SALT_ROWS", 2)
+    monkeypatch.setattr(substrings, "SLICE_ROWS", slice_rows)
+    rng = random.Random(8)
+    lines = [" ".join(f"w{rng.randrange(400)}" for _ in range(n)) for n in (15, 13, 20)]
+    texts = []
+    for i in range(40):
+        parts = [rng.choice(lines) for _ in range(rng.randint(2, 6))] + ["x " * rng.choice([20, 300]), "a b " * 20]
+        parts += [" ".join(f"own{i}-{rng.randrange(50)}" for _ in range(rng.randint(0, 9))) for _ in range(4)]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    rows = [(i * 5 % 37, t) for i, t in enumerate(texts)]  # three ids have two texts
+    rows.append(rows[7])
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()), key=str) == brute_removal(rows)
+
+
 def test_super_kmers_cover_every_window_once():
     from quire.llm.shared import Words
 
