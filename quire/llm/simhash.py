@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing."""
+"""SimHash near-duplicates by meet-in-the-middle ball hashing, and near copies by a prefix-filtered join of shingles."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
-from quire.llm.shared import Words, bounded_batches, chunked, mix64, stored, utf8_rows
+from quire.llm.shared import Words, bounded_batches, chunked, stored, utf8_rows
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 
@@ -80,80 +80,131 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEE
     return each.join(named, "code").select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
-COPY_WORDS, COPY_SIMILARITY, TABLES, SKETCH = 5, 0.8, 8, 64
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+COMMON_SAMPLE, COMMON_SHINGLES = 16, 1 << 17
+_SLACK = 1e-9  # lets rounding add a candidate, never take one away
 
 
-def _code_bits(rows: int) -> int:
-    """Bits of a table's codes: so many that among `rows` unrelated texts a code has less than one in its ball."""
-    return min(62, max(24, rows.bit_length() + 12))
+def _shingle_sets(texts: list[bytes], words: int) -> tuple[list[int], list[np.ndarray]]:
+    """Of each text its key and the distinct hashes of its shingles, ascending. Equal sequences of words, letter case
+    aside, have equal keys. A text shorter than a shingle is one."""
+    texts = [t.lower() for t in texts]
+    part = Words(texts)
+    h, at = part.hashes(words)
+    begin = np.searchsorted(part.row[at], np.arange(len(texts) + 1))
+    keys = [xxhash.xxh64_intdigest(b" ".join(t.split()), SEED) for t in texts]
+    return keys, [np.unique(h[a:b]) if b > a else np.array([k], dtype=np.uint64) for a, b, k in zip(begin[:-1].tolist(), begin[1:].tolist(), keys, strict=True)]
 
 
-def _copy_codes(docs: DataFrame, words: int, bits: int, tables: int) -> DataFrame:
-    """(doc_id, text_key, codes, sketch): `tables` independent SimHash codes of the shingles' hashes, and their bottom-k
-    sketch. Equal sequences of words, letter case aside, have equal keys. Texts shorter than a shingle are one."""
+def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of a sample, sorted, and in how many they are: at most COMMON_SHINGLES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = mix64(np.arange(1, tables + 1, dtype=np.uint64))
         for batch in batches:
-            texts = [t.lower() for t in utf8_rows(batch.column("text"))]
+            texts = utf8_rows(batch.column("text"))
             for i, j in chunked(texts):
-                part = Words(texts[i:j])
-                h, at = part.hashes(words)
-                row = part.row[at]
-                begin = np.searchsorted(row, np.arange(j - i + 1))
-                keys, codes, sketches = [], [], []
-                for k in range(j - i):
-                    own = h[begin[k] : begin[k + 1]]
-                    whole = b" ".join(texts[i + k].split())
-                    keys.append(xxhash.xxh64_intdigest(whole, SEED))
-                    if not len(own):
-                        own = np.array([keys[-1]], dtype=np.uint64)
-                    ones = [sum(np.unpackbits(mix64(own[a : a + (1 << 16)] ^ s).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for a in range(0, len(own), 1 << 16)) for s in salts]
-                    codes.append([int.from_bytes(np.packbits(2 * o > len(own)).tobytes(), "big") >> (64 - bits) for o in ones])
-                    sketches.append((np.unique(own)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
-                columns = [batch.column("doc_id").slice(i, j - i), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(codes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "codes", "sketch"])
-
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_key long, codes array<long>, sketch binary")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_shingle_sets(texts[i:j], words)[1]).view(np.int64))], names=["shingle"])
 
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(COMMON_SAMPLE)) == 0).select("text").distinct()
+    found = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).toArrow()
+    shingle, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
 
-def _likeness(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        u, v = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
-        both = np.sort(np.concatenate((u, v)))
-        twice = both[1:] == both[:-1]
-        union = both[np.concatenate(([True], ~twice))][:SKETCH]
-        out.append(float(np.count_nonzero(both[1:][twice] <= union[-1])) / len(union))
-    return pa.array(out, pa.float64())
 
+def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, text_key, raw, n, prefix): the number of distinct shingles, and so many of the rarest that two texts of
+    the similarity share one of them. All texts order the shingles alike: by their number in a sample, then by hash; the
+    sample bears on how many candidates there are, not on which pairs are found."""
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
 
-def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, tables: int = TABLES) -> DataFrame:
-    """(doc_id, component_id) for every row of docs(doc_id, text): near copies by shingles of `words` words.
-
-    A single fingerprint is within two bits for few pairs of a resemblance of 0.8, so there are several tables of shorter
-    codes, each searched by ball hashing. Texts of one code are linked to the least; in a ball, of distinct codes and so
-    bounded, to the least and to the next. The links are verified by the resemblance that bottom-k sketches of the
-    shingles estimate. Exact copies are one node. component_id is the least doc_id reachable; nulls and repeated rows
-    are treated as in near_duplicates.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, times = common.value
+        for batch in batches:
+            texts = utf8_rows(batch.column("text"))
+            for i, j in chunked(texts):
+                keys, sets = _shingle_sets(texts[i:j], words)
+                prefixes = []
+                for own in sets:
+                    if len(shingle):
+                        at = np.minimum(np.searchsorted(shingle, own), len(shingle) - 1)
+                        own = own[np.argsort(np.where(shingle[at] == own, times[at], 0), kind="stable")]
+                    prefixes.append(own[: len(own) - int(np.ceil(similarity * len(own) - _SLACK)) + 1].view(np.int64))
+                columns = [batch.column("doc_id").slice(i, j - i), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), batch.column("raw").slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "raw", "n", "prefix"])
+
+    return docs.mapInArrow(run, "doc_id long, text_key long, raw long, n long, prefix array<long>")
+
+
+def _resemblance(words: int):
+    """A function of two columns of texts: the share of the union's distinct shingles that both have."""
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        pairs, out = list(zip(utf8_rows(a), utf8_rows(b), strict=True)), []
+        for i, j in chunked([x + y for x, y in pairs]):
+            each = list({t: None for pair in pairs[i:j] for t in pair})
+            own = dict(zip(each, _shingle_sets(each, words)[1], strict=True))
+            for x, y in pairs[i:j]:
+                both = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                out.append(both / (len(own[x]) + len(own[y]) - both))
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(run, "double")
+
+
+def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for every row of docs(doc_id, text): the components of all pairs of texts whose sets of
+    shingles of `words` words have a Jaccard resemblance of `similarity` or more.
+
+    Exact at any size, by prefixes: a text is listed under the rarest of its shingles, so many that such a pair has one
+    in common. The members of a list are compared with its least, then with another of its own if that is of another
+    component. All pairs that are still in different components are then compared, but for those of which the lengths or the shared
+    part of the prefixes rule out the resemblance: so each candidate is compared or already joined. Comparisons read
+    both whole texts. Many relatives just below the similarity make that last step quadratic in their number.
+    Exact copies are one node. component_id is the least doc_id reachable; nulls and repeated rows are treated as in
+    near_duplicates.
     """
-    bits = _code_bits(docs.count())
-    each = stored(_copy_codes(docs, words, bits, tables), "copy-codes")
-    nodes = stored(each.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.first("codes").alias("codes"), F.first("sketch").alias("sketch")), "copy-nodes")
-    coded = nodes.select(F.col("text_key").alias("id"), F.posexplode("codes").alias("t", "code"))
-    least = stored(coded.groupBy("t", "code").agg(F.min("id").alias("a")), "copy-least")
-    same = coded.join(least, ["t", "code"]).where("a <> id").select("a", F.col("id").alias("b"))
-    flips = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.col("code").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    balls = _spread(least, "t", "code").select("t", F.struct("code", "a").alias("m"), F.explode(F.concat(F.array("code"), flips)).alias("variant"))
-    members = balls.groupBy("t", "variant").agg(F.array_sort(F.collect_list("m")).alias("ms")).where(F.size("ms") > 1)
-    pairs = F.transform(F.sequence(F.lit(2), F.size("ms")), lambda i: F.array(F.struct(F.element_at("ms", 1)["a"].alias("a"), F.element_at("ms", i)["a"].alias("b")), F.struct(F.element_at("ms", i - 1)["a"].alias("a"), F.element_at("ms", i)["a"].alias("b"))))
-    near = members.select(F.explode(F.flatten(pairs)).alias("p")).select("p.a", "p.b").where("a <> b")
-    links = stored(same.unionAll(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copy-links")
-    sketch = lambda key, name: nodes.select(F.col("text_key").alias(key), F.col("sketch").alias(name))
-    checked = links.join(sketch("a", "sa"), "a").join(sketch("b", "sb"), "b").where(F.arrow_udf(_likeness, "double")("sa", "sb") >= similarity)
-    roots = connected_components(checked.select("a", "b"))
-    rooted = stored(nodes.join(roots, F.col("text_key") == F.col("node"), "left").select("text_key", "least_id", F.coalesce("root", "text_key").alias("root")), "copy-classes")
+    bounded_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("raw"))
+    each = stored(_prefixes(docs, words, similarity), "copy-prefixes")
+    nodes = stored(each.groupBy(F.col("text_key").alias("id")).agg(F.min("doc_id").alias("least_id"), F.min("raw").alias("raw"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "copy-nodes")
+    listed = nodes.select("id", "n", F.explode("prefix").alias("shingle"))
+    shared = listed.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("shingle")
+    members = stored(listed.join(shared, "shingle"), "copy-members")
+    wanted = members.select("id").distinct().join(nodes.select("id", "raw"), "id")
+    texts = stored(docs.select("raw", "text").join(wanted, "raw").groupBy("id").agg(F.first("text").alias("text")), "copy-texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        return stored(pairs.join(a, "a").join(b, "b").where(_resemblance(words)("text_a", "text_b") >= similarity).select("a", "b"), "copy-links")
+
+    def in_components(links: DataFrame | None) -> DataFrame:
+        """The members of lists that lie in several components, with their root and two hubs of the list."""
+        rooted = members.withColumn("root", F.col("id"))
+        if links is not None:
+            roots = connected_components(links).withColumnRenamed("node", "id")
+            rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        least, drawn = F.min(F.struct("id", "n", "root")), F.min(F.struct(F.xxhash64("id", "shingle"), "id", "n", "root"))
+        ends = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), least.alias("least"), drawn.alias("drawn")).where("lo < hi")
+        return stored(rooted.join(ends.select("shingle", "least", "drawn"), "shingle"), "copy-open")
+
+    def alike(n, m):
+        return F.least(n, m) >= similarity * F.greatest(n, m) - _SLACK
+
+    links = None
+    for hub in ("least", "drawn"):
+        pairs = in_components(links).where((F.col("root") != F.col(hub)["root"]) & alike(F.col("n"), F.col(hub)["n"]))
+        found = verified(pairs.select(F.least("id", F.col(hub)["id"]).alias("a"), F.greatest("id", F.col(hub)["id"]).alias("b")).distinct())
+        links = found if links is None else links.unionAll(found)
+    rest = in_components(links)
+    a, b = (rest.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
+    n, m = F.col("n_a"), F.col("n_b")
+    pairs = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike(n, m)).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
+    beyond = F.ceil(similarity * F.greatest(n, m) - _SLACK) - 1  # of one of them at most what follows its prefix is shared besides
+    pairs = pairs.where(F.col("both") + beyond >= similarity / (1 + similarity) * (n + m) - _SLACK)
+    roots = connected_components(links.unionAll(verified(pairs.select("a", "b")))).withColumnRenamed("node", "id")
+    rooted = stored(nodes.join(roots, "id", "left").select("id", "least_id", F.coalesce("root", "id").alias("root")), "copy-classes")
     first = stored(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "copy-first")
-    named = rooted.join(first, "root").select("text_key", "component_id")
+    named = rooted.join(first, "root").select(F.col("id").alias("text_key"), "component_id")
     return each.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "component_id")

@@ -123,6 +123,42 @@ def test_near_copies_of_five_word_shingles(spark, docs, nothing):
     assert simhash.near_copies(nothing).count() == 0
 
 
+def shingles_of(text: str, n: int = 5) -> set:
+    w = [x.lower() for x in words_of(text)]
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or {tuple(w)}
+
+
+def brute_components(rows, similarity: float = 0.8) -> dict:
+    sets, group = [(i, shingles_of(t)) for i, t in rows], {i: i for i, _ in rows}
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if group[i] != group[j] and 5 * len(x & y) >= 4 * len(x | y):
+                low, high = sorted((group[i], group[j]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return group
+
+
+def copies_of(spark, rows) -> dict:
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+
+
+def edited(rng, words: list, changes: int) -> list:
+    """Each change, five words or more from the next, touches five shingles."""
+    copy = list(words)
+    for k in rng.sample(range(1, len(words) // 6), changes):
+        copy[6 * k] = f"new{rng.randrange(10**9)}"
+    return copy
+
+
+def test_all_pairs_of_a_low_resemblance_are_candidates(spark):
+    rng = random.Random(21)
+    rows = []
+    for _ in range(60):  # 4 changes: 176 of 216 shingles, 0.81
+        base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((base, edited(rng, base, 4)))]
+    assert copies_of(spark, rows) == {i: i - i % 2 for i, _ in rows}
+
+
 def brute_removal(rows, window: int = 13) -> list[tuple]:
     least: dict = {}
     for i, t, *_ in rows:
