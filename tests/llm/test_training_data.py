@@ -159,6 +159,16 @@ def test_all_pairs_of_a_low_resemblance_are_candidates(spark):
     assert copies_of(spark, rows) == {i: i - i % 2 for i, _ in rows}
 
 
+def test_true_pairs_beside_mere_relatives_are_joined(spark):
+    rng = random.Random(22)
+    base, rows = [f"w{rng.randrange(9000)}" for _ in range(400)], []
+    for _ in range(150):  # relatives of about 0.74 by the common base, each with a near copy of its own
+        one = edited(rng, base, 6)
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((one, edited(rng, one, 6)))]
+    want = brute_components(rows)
+    assert len(set(want.values())) > 50 and copies_of(spark, rows) == want
+
+
 def brute_removal(rows, window: int = 13) -> list[tuple]:
     least: dict = {}
     for i, t, *_ in rows:
