@@ -169,6 +169,15 @@ def test_true_pairs_beside_mere_relatives_are_joined(spark):
     assert len(set(want.values())) > 50 and copies_of(spark, rows) == want
 
 
+def test_resemblance_is_decided_exactly(spark):
+    rng = random.Random(23)
+    rows = []
+    for n, changes in [(184, 4), (184, 5)] * 40:  # 160 of 200 shingles, exactly 0.8, and 155 of 205, 0.76
+        base = [f"w{rng.randrange(9000)}" for _ in range(n)]
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((base, edited(rng, base, changes)))]
+    assert copies_of(spark, rows) == {i: i - i % 2 if i % 4 < 2 else i for i, _ in rows}
+
+
 def brute_removal(rows, window: int = 13) -> list[tuple]:
     least: dict = {}
     for i, t, *_ in rows:
