@@ -157,10 +157,11 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = CO
     shingles of `words` words have a Jaccard resemblance of `similarity` or more.
 
     Exact at any size, by prefixes: a text is listed under the rarest of its shingles, so many that such a pair has one
-    in common. The members of a list are compared with its least, then with another of its own if that is of another
-    component. All pairs that are still in different components are then compared, but for those of which the lengths or the shared
-    part of the prefixes rule out the resemblance: so each candidate is compared or already joined. Comparisons read
-    both whole texts. Many relatives just below the similarity make that last step quadratic in their number.
+    in common. All of a pair's common shingles come no earlier in either text than the first of them does, so a list
+    proposes a pair only if what is left of both texts from its shingle on is enough for the resemblance: the rare
+    shingles that each has alone rule out mere relatives before a row is made. The members of a list are compared with
+    the text that has the least before the shingle; then all proposed pairs that are still in different components are
+    compared, both whole texts. So each pair of the resemblance is compared or already joined.
     Exact copies are one node. component_id is the least doc_id reachable; nulls and repeated rows are treated as in
     near_duplicates.
     """
@@ -169,7 +170,7 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = CO
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("raw"))
     each = stored(_prefixes(docs, words, similarity), "copy-prefixes")
     nodes = stored(each.groupBy(F.col("text_key").alias("id")).agg(F.min("doc_id").alias("least_id"), F.min("raw").alias("raw"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "copy-nodes")
-    listed = nodes.select("id", "n", F.explode("prefix").alias("shingle"))
+    listed = nodes.select("id", "n", F.posexplode("prefix").alias("at", "shingle")).select("id", "shingle", "n", (F.col("n") - F.col("at")).alias("left"))
     shared = listed.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("shingle")
     members = stored(listed.join(shared, "shingle"), "copy-members")
     wanted = members.select("id").distinct().join(nodes.select("id", "raw"), "id")
@@ -179,32 +180,23 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = CO
         a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return stored(pairs.join(a, "a").join(b, "b").where(_resemblance(words)("text_a", "text_b") >= similarity).select("a", "b"), "copy-links")
 
-    def in_components(links: DataFrame | None) -> DataFrame:
-        """The members of lists that lie in several components, with their root and two hubs of the list."""
-        rooted = members.withColumn("root", F.col("id"))
-        if links is not None:
-            roots = connected_components(links).withColumnRenamed("node", "id")
-            rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        least, drawn = F.min(F.struct("id", "n", "root")), F.min(F.struct(F.xxhash64("id", "shingle"), "id", "n", "root"))
-        ends = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), least.alias("least"), drawn.alias("drawn")).where("lo < hi")
-        return stored(rooted.join(ends.select("shingle", "least", "drawn"), "shingle"), "copy-open")
-
-    def alike(n, m):
-        return F.least(n, m) >= similarity * F.greatest(n, m) - _SLACK
-
-    links = None
-    for hub in ("least", "drawn"):
-        pairs = in_components(links).where((F.col("root") != F.col(hub)["root"]) & alike(F.col("n"), F.col(hub)["n"]))
-        found = verified(pairs.select(F.least("id", F.col(hub)["id"]).alias("a"), F.greatest("id", F.col(hub)["id"]).alias("b")).distinct())
-        links = found if links is None else links.unionAll(found)
-    rest = in_components(links)
-    a, b = (rest.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
-    n, m = F.col("n_a"), F.col("n_b")
-    pairs = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike(n, m)).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
-    beyond = F.ceil(similarity * F.greatest(n, m) - _SLACK) - 1  # of one of them at most what follows its prefix is shared besides
-    pairs = pairs.where(F.col("both") + beyond >= similarity / (1 + similarity) * (n + m) - _SLACK)
-    roots = connected_components(links.unionAll(verified(pairs.select("a", "b")))).withColumnRenamed("node", "id")
-    rooted = stored(nodes.join(roots, "id", "left").select("id", "least_id", F.coalesce("root", "id").alias("root")), "copy-classes")
-    first = stored(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "copy-first")
-    named = rooted.join(first, "root").select(F.col("id").alias("text_key"), "component_id")
+    def proposed(n, left, m, left_m):
+        """Whether two texts of n and m shingles, left of them from a common one on, may have the resemblance."""
+        return F.least(left, left_m) >= similarity / (1 + similarity) * (n + m) - _SLACK
+
+    central = F.min(F.struct((F.col("n") - F.col("left")).alias("before"), "id", "n", "left"))
+    hub = F.col("hub")
+    pairs = members.join(members.groupBy("shingle").agg(central.alias("hub")), "shingle").where((F.col("id") != hub["id"]) & proposed(F.col("n"), F.col("left"), hub["n"], hub["left"]))
+    links = verified(pairs.select(F.least("id", hub["id"]).alias("a"), F.greatest("id", hub["id"]).alias("b")).distinct())
+    roots = connected_components(links).withColumnRenamed("node", "id")
+    each_root = stored(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "copy-rooted")
+    several = each_root.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+    rest = each_root.join(several, "shingle")
+    a, b = (rest.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"left_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
+    pairs = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & proposed(F.col("n_a"), F.col("left_a"), F.col("n_b"), F.col("left_b")))
+    pairs = pairs.select("a", "b").distinct()
+    roots = connected_components(links.unionAll(verified(pairs))).withColumnRenamed("node", "id")
+    classes = stored(nodes.join(roots, "id", "left").select("id", "least_id", F.coalesce("root", "id").alias("root")), "copy-classes")
+    first = stored(classes.groupBy("root").agg(F.min("least_id").alias("component_id")), "copy-first")
+    named = classes.join(first, "root").select(F.col("id").alias("text_key"), "component_id")
     return each.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "component_id")
