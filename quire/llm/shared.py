@@ -109,6 +109,10 @@ class Substrings:
         return mix64(h + (end - begin).astype(np.uint64) * _BASE)
 
 
+def byte_hashes(data: np.ndarray) -> Substrings:
+    return Substrings(_BYTE_CODES[data])
+
+
 class Words:
     """The white-space words of a chunk of texts, joined by single spaces in one buffer."""
 
@@ -121,7 +125,7 @@ class Words:
         gaps = np.flatnonzero(data == 32)
         self.begin = np.concatenate(([0], gaps + 1)) if len(data) else np.zeros(0, dtype=np.int64)
         self.end = np.concatenate((gaps, [len(data)])) if len(data) else np.zeros(0, dtype=np.int64)
-        self.substrings = Substrings(_BYTE_CODES[data])
+        self.substrings = byte_hashes(data)
         self.row = np.repeat(np.arange(len(lists)), self.counts)
 
     def hashes(self, n: int = 1) -> tuple[np.ndarray, np.ndarray]:
