@@ -18,12 +18,19 @@ from quire.llm.shared import bounded_batches, chunked, utf8_rows
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg iframe object textarea select title head math canvas audio video".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+# What a start tag ends: open elements of the first set, unless one of the second is nearer.
+_LIST, _TABLE = frozenset({"ul", "ol", "menu"}), frozenset({"table"})
+ENDS = {
+    "li": (frozenset({"li"}), _LIST), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})), "tr": (frozenset({"tr", "td", "th"}), _TABLE),
+    "td": (frozenset({"td", "th"}), _TABLE | {"tr"}), "th": (frozenset({"td", "th"}), _TABLE | {"tr"}), "option": (frozenset({"option"}), frozenset({"select"})),
+} | {tag: (frozenset({"p"}), (CLOSES_P - {"p"}) | {"td", "th", "table", "button"}) for tag in CLOSES_P}
+# Elements that end an unclosed one: drawings and choices hold no blocks.
+BLOCKLESS = ("svg", "math", "select")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -31,7 +38,8 @@ _NAME = re.compile(r"[a-z]+|[^a-z\W]+")
 
 
 def signature(tag: str, attributes: str) -> tuple[str, ...]:
-    """The features of an element: its name and the words of its class, id and role."""
+    """The features of an element alone: its name, the words of its class, id and role, and the three-letter parts of
+    these, which words that no labelled page has may share."""
     found = [f"tag={tag}"]
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name = name.lower()
@@ -40,13 +48,15 @@ def signature(tag: str, attributes: str) -> tuple[str, ...]:
         elif name in ("hidden", "aria-hidden"):
             found += ["hidden"] if "false" not in value else []
         else:
-            found += [f"name={w}" for w in dict.fromkeys(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))]
-    return tuple(found)
+            words = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
+            found += [f"name={w}" for w in words] + [f"part={w[i : i + 3]}" for w in words for i in range(len(w) - 2) if len(w) > 3]
+    return tuple(dict.fromkeys(found))
 
 
 @dataclass
 class Dom:
-    """Nodes in page order. A text node has its text; block is the number of the block a text stands in."""
+    """Nodes in page order, so that what is inside a node are those from it to `last`. A text node has its text; block is
+    the number of the block a text stands in."""
 
     parent: list[int]
     depth: list[int]
@@ -54,14 +64,40 @@ class Dom:
     text: list[str | None]
     linked: list[bool]
     block: list[int]
+    last: list[int]
+
+    @classmethod
+    def empty(cls) -> Dom:
+        return cls([-1], [0], [("tag=#root",)], [None], [False], [0], [0])
+
+    def add(self, parent: int, depth: int, features: tuple[str, ...], text: str | None, linked: bool, block: int) -> int:
+        for column, value in ((self.parent, parent), (self.depth, depth), (self.features, features), (self.text, text), (self.linked, linked), (self.block, block), (self.last, len(self.parent))):
+            column.append(value)
+        return len(self.parent) - 1
 
 
 def parse(page: str, signatures: dict | None = None) -> Dom:
-    """A forgiving parse: missing end tags are implied, stray ones ignored, cut tags and comments end with the page."""
+    """A forgiving parse in linear time: missing end tags are implied (of a head by what stands in no head, of a drawing or a
+    choice by a block), stray ones ignored, cut tags and comments end with the page."""
     known = {} if signatures is None else signatures
-    dom = Dom([-1], [0], [("tag=#root",)], [None], [False], [0])
+    dom = Dom.empty()
     stack: list[tuple[str, int]] = [("#root", 0)]
+    opened: dict[str, list[int]] = {}  # where in the stack the elements of a name are
     silent, links, block, at = 0, 0, 0, 0
+
+    def close(depth: int) -> None:
+        """End the elements from this place of the stack up."""
+        nonlocal silent, links
+        while len(stack) > depth:
+            name, node = stack.pop()
+            opened[name].pop()
+            dom.last[node] = len(dom.parent) - 1
+            silent -= name in SILENT
+            links -= name == "a"
+
+    def nearest(names) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=-1)
+
     while m := _TOKEN.match(page, at):
         at = m.end()
         token = m[0]
@@ -69,13 +105,10 @@ def parse(page: str, signatures: dict | None = None) -> Dom:
         if tag is None:
             if token[0] == "<" and len(token) > 1:
                 continue
+            if silent and stack[-1][0] == "head" and not token.isspace():
+                close(len(stack) - 1)
             if not silent:
-                dom.parent.append(stack[-1][1])
-                dom.depth.append(len(stack))
-                dom.features.append(("tag=#text",))
-                dom.text.append(entities.unescape(token) if "&" in token else token)
-                dom.linked.append(links > 0)
-                dom.block.append(block)
+                dom.add(stack[-1][1], len(stack), ("tag=#text",), entities.unescape(token) if "&" in token else token, links > 0, block)
             continue
         if m[5] and token[-1] != ">":
             continue  # a tag cut at the end of the page
@@ -83,53 +116,84 @@ def parse(page: str, signatures: dict | None = None) -> Dom:
         if tag not in INLINE:
             block += 1
         if m[1] or m[4]:
-            if any(name == tag for name, _ in reversed(stack)):
-                while True:
-                    name, _ = stack.pop()
-                    silent -= name in SILENT
-                    links -= name == "a"
-                    if name == tag:
-                        break
+            if opened.get(tag):
+                close(opened[tag][-1])
             continue
         attributes = m[3] or m[6] or ""
-        closing = ({"p"}, {"td", "th", "table", "button"}) if tag in CLOSES_P else (SIBLINGS[tag], FENCE[tag]) if tag in SIBLINGS else None
-        if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in closing[0]:
-                    for name, _ in stack[i:]:
-                        silent -= name in SILENT
-                        links -= name == "a"
-                    del stack[i:]
-                    break
-                if stack[i][0] in closing[1] or (tag in CLOSES_P and stack[i][0] in CLOSES_P):
-                    break
+        if silent:
+            if stack[-1][0] == "head" and tag not in IN_HEAD:
+                close(len(stack) - 1)
+            elif tag in CLOSES_P or tag == "body":
+                inside = nearest(BLOCKLESS)
+                if inside >= 0 and not opened.get("foreignobject"):
+                    close(inside)
+        if tag in ENDS:
+            ended, fence = ENDS[tag]
+            while (i := nearest(ended)) > nearest(fence):
+                close(i)
         if tag in VOID or attributes.endswith("/") and tag in SILENT:
             continue
         key = (tag, attributes)
         features = known.get(key)
         if features is None:
             known[key] = features = signature(tag, attributes)
-        node = len(dom.parent)
-        dom.parent.append(stack[-1][1])
-        dom.depth.append(len(stack))
-        dom.features.append(features)
-        dom.text.append(None)
-        dom.linked.append(False)
-        dom.block.append(block)
+        node = dom.add(stack[-1][1], len(stack), features, None, False, block)
+        opened.setdefault(tag, []).append(len(stack))
         stack.append((tag, node))
         silent += tag in SILENT
         links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else len(page)
+    close(1)
+    dom.last[0] = len(dom.parent) - 1
     return dom
 
 
+# What notices, forms, adverts and comments say, in the languages of the pages.
+CUES = (
+    "cookie", "privacy|datenschutz|confidentialité|privacidad", "subscri|newsletter|sign up|abonn|suscr", "advert|sponsor|promoted|anzeige|werbung|publicité|publicidad|patrocin",
+    "©|copyright|all rights reserved|impressum|mentions légales|aviso legal", "log in|login|sign in|anmelden|connexion|iniciar sesión|password|your name|your email", "share|tweet|facebook|twitter|whatsapp|teilen|partager|compartir",
+    "comment|repl(?:y|ies)|kommentar|antworten|répondre|comentario|responder", "read more|related|recommended|trending|most read|also like|weiterlesen|mehr lesen|lire aussi|leer más",
+)
+_CUES = re.compile("|".join(f"({c})" for c in CUES))
+_SIZES, _SHARES = np.array([1, 4, 10, 25, 60, 150, 500]), np.array([0.02, 0.2, 0.5, 0.8])
+_SENTENCE_ENDS = tuple(".!?…\"”»")
+#: Families of features that say what is inside a node, and how many values each has.
+STRUCTURE = {"words": 8, "of_page": 5, "linked": 5, "long": 5, "blocks": 4, "heading": 2, **{f"cue{i}": 2 for i in range(len(CUES))}}
+
+
+def structure(dom: Dom) -> np.ndarray:
+    """[node][family]: the number of words inside, their share of the page's, the shares of words in links and of texts of
+    ten words or more, the number of paragraphs and items, a heading, and which cues few words hold."""
+    n = len(dom.parent)
+    own = np.zeros((6 + len(CUES), n + 1), dtype=np.int64)
+    for i, text in enumerate(dom.text):
+        if text is None:
+            tag = dom.features[i][0]
+            own[4, i] = tag in ("tag=p", "tag=li")
+            own[5, i] = tag in ("tag=h1", "tag=h2")
+        elif words := len(text.split()):
+            own[0, i], own[1, i], own[2, i], own[3, i] = words, words * dom.linked[i], 1, words >= 10
+            if words <= 40:
+                for m in _CUES.finditer(text.lower()):
+                    own[5 + m.lastindex, i] = 1
+    upto = np.zeros((len(own), n + 1), dtype=np.int64)
+    np.cumsum(own[:, :n], axis=1, out=upto[:, 1:])
+    inside = upto[:, np.array(dom.last) + 1] - upto[:, :n]
+    words = np.maximum(inside[0], 1)
+    families = [
+        np.searchsorted(_SIZES, inside[0], side="right"), np.searchsorted(_SHARES, inside[0] / words[0], side="right"), np.searchsorted(_SHARES, inside[1] / words, side="right"),
+        np.searchsorted(_SHARES, inside[3] / np.maximum(inside[2], 1), side="right"), np.minimum(inside[4], 3), np.minimum(inside[5], 1), *((inside[6:] > 0) & (inside[0] <= 80)),
+    ]
+    return np.stack(families, axis=1).astype(np.int64)
+
+
 def _evidence(text: str, linked: bool) -> int:
     """Which of a few kinds of text a node holds: by number of words, end of a sentence and link."""
     n = len(text.split())
     size = 0 if n == 0 else 1 if n <= 2 else 2 if n <= 6 else 3 if n <= 15 else 4
-    return size * 4 + 2 * (text.rstrip()[-1:] in tuple(".!?…\"”»")) + linked if n else 0
+    return size * 4 + 2 * (text.rstrip()[-1:] in _SENTENCE_ENDS) + linked if n else 0
 
 
 NEUTRAL, CONTENT, BOILERPLATE = 0, 1, 2
@@ -150,13 +214,17 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def potentials(model: Model, features: tuple[str, ...]) -> np.ndarray:
-    """[parent's label][own label]: log probability of a child's label. A text is never neutral."""
-    at = [model.index[f] for f in features if f in model.index]
-    z = model.weights[:, :, at].sum(axis=2) + model.weights[:, :, -1]
-    if features == ("tag=#text",):
-        z[:, NEUTRAL] -= 20
-    return z - _log_sum(z, 1)[:, None]
+def potentials(model: Model, features: list[tuple[str, ...]], inside: np.ndarray) -> np.ndarray:
+    """[node][parent's label][own label]: log probability of a child's label. A text is never neutral."""
+    known: dict[tuple[str, ...], int] = {}
+    which = np.array([known.setdefault(f, len(known)) for f in features])
+    z = np.stack([model.weights[:, :, [model.index[f] for f in fs if f in model.index]].sum(axis=2) + model.weights[:, :, -1] for fs in known])[which]
+    for k, (family, values) in enumerate(STRUCTURE.items()):
+        at = [model.index.get(f"{family}={v}", -2) for v in range(values)]
+        each = np.stack([model.weights[:, :, i] if i >= 0 else np.zeros((3, 3)) for i in at])
+        z += each[inside[:, k]]
+    z[np.array([fs == ("tag=#text",) for fs in known])[which], :, NEUTRAL] -= 20
+    return z - _log_sum(z, 2)[:, :, None]
 
 
 def marginals(model: Model, parent: np.ndarray, depth: np.ndarray, pair: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -185,14 +253,12 @@ def marginals(model: Model, parent: np.ndarray, depth: np.ndarray, pair: np.ndar
 def extract(model: Model, pages: list[str], threshold: float = 0.5) -> list[str]:
     """The main text of each page."""
     signatures: dict = {}
-    known: dict[tuple[str, ...], int] = {}
     doms = [parse(p, signatures) for p in pages]
     sizes = [len(d.parent) for d in doms]
     base = np.repeat(np.cumsum(sizes) - sizes, sizes)
     parent = np.concatenate([d.parent for d in doms])
     parent = np.where(parent >= 0, parent + base, -1)
-    which = np.array([known.setdefault(f, len(known)) for d in doms for f in d.features])
-    pair = np.array([potentials(model, f) for f in known])[which]
+    pair = potentials(model, [f for d in doms for f in d.features], np.concatenate([structure(d) for d in doms]))
     kind = np.array([-1 if t is None else _evidence(t, k) for d in doms for t, k in zip(d.text, d.linked, strict=True)])
     keep = (marginals(model, parent, np.concatenate([d.depth for d in doms]), pair, kind)[:, CONTENT] >= threshold).tolist()
     out, at = [], 0
@@ -222,93 +288,146 @@ BOILER_PARTS = (
     'div class="pagination"', 'div class="tags"', 'div class="legal"', 'div role="navigation"', 'div role="banner"', 'div role="contentinfo"', 'div role="complementary"', "div hidden", 'div class="gdpr"',
     'div class="disclaimer"', 'div class="toolbar"', 'div class="skip"', "button", "dialog", 'div role="dialog"', 'div role="alert"', 'div role="search"', 'ul class="menu"', 'ul class="breadcrumbs"', "menu", "fieldset", 'div class="top-bar"', 'div id="disqus-thread"', 'div class="user-reviews"', 'div class="author-bio"', 'div class="caption-ad"',
 )
+SEMANTIC_PARTS = ("nav", "header", "footer", "aside", "form", "button", "label")
 CONTENT_PARTS = ("p", "p", "p", "p", "h1", "h2", "h3", "blockquote", "ul", "ol", "table", "pre", "figure", "div", "section")
 INLINE_PARTS = ("b", "i", "em", "strong", "a", "span", "code")
+CUE_TEXTS = (
+    "We use cookies to improve", "Accept all cookies", "Privacy policy", "Subscribe to our newsletter", "Sign up for", "Advertisement", "Sponsored content", "Copyright 2020", "© 2021 All rights reserved", "Log in", "Sign in to", "Your name",
+    "Share this", "Tweet", "Leave a comment", "Reply", "3 comments", "Posted a reply", "Read more", "Related articles", "Recommended for you", "You may also like", "Datenschutz", "Impressum", "Anzeige", "Werbung", "Kommentare", "Weiterlesen",
+    "Mentions légales", "Abonnez-vous", "Publicité", "Commentaires", "Lire aussi", "Aviso legal", "Suscríbete", "Publicidad", "Comentarios", "Leer más",
+)
 
 
-def labelled_pages(n: int, seed: int = 11) -> list[tuple[Dom, list[int]]]:
+def labelled_pages(n: int, seed: int = 11, containers: tuple[str, ...] = CONTAINERS, boiler_parts: tuple[str, ...] = BOILER_PARTS, unnamed: float = 0.35) -> list[tuple[Dom, list[int]]]:
     """Pages with a label for every node, put together from the parts above. What holds both content and boilerplate is
-    neutral."""
+    neutral. A share `unnamed` of the parts has invented names, so that the model learns to do without them."""
     rng, out = Random(seed), []
 
+    def invented(low: int, high: int) -> str:
+        return "".join(rng.choice("aeiourstlnmdcp") for _ in range(rng.randint(low, high)))
+
     def words(low: int, high: int) -> str:
-        return " ".join("".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(low, high)))
+        return " ".join(invented(2, 8) for _ in range(rng.randint(low, high)))
+
+    def part(opening: str, label: int) -> list:
+        tag, _, attributes = opening.partition(" ")
+        if rng.random() < unnamed and (attributes or tag in ("div", "section")):
+            opening = rng.choice((tag if tag in ("div", "section", "ul", "ol") else "div", f'div class="{invented(3, 9)}"', f'div id="{invented(2, 6)}-{invented(2, 6)}"', f'{tag} class="{invented(2, 5)}-{rng.randint(1, 9)}"'))
+        return [opening, label]
+
+    def line(label: int, low: int, high: int) -> list:
+        """The texts of one block."""
+        found: list = [(words(low, high) + rng.choice(("", ".", ".", ".")), label)]
+        if rng.random() < 0.3:
+            found += [[rng.choice(INLINE_PARTS), label, (words(1, 5), label)], (words(low, high) + ".", label)]
+        return found
+
+    def boiler() -> list:
+        node = part(rng.choice(SEMANTIC_PARTS if rng.random() < 0.25 else boiler_parts), BOILERPLATE)
+        kind = rng.random()
+        if kind < 0.35:  # links
+            items = [[rng.choice(("li", "li", "p", "span", "div")), BOILERPLATE, ["a", BOILERPLATE, (words(1, 3), BOILERPLATE)]] for _ in range(rng.randint(1, 9))]
+            node += [[rng.choice(("ul", "ol", "div")), BOILERPLATE, *items]] if rng.random() < 0.8 else items
+        elif kind < 0.5:  # reader comments
+            node += [[rng.choice(("h2", "h3", "p")), BOILERPLATE, (rng.choice(("Comments", "2 comments", "Leave a comment", "Kommentare", "Commentaires", "Comentarios")), BOILERPLATE)]] if rng.random() < 0.7 else []
+            for _ in range(rng.randint(1, 4)):
+                said = [["p", BOILERPLATE, *line(BOILERPLATE, 3, 25)]]
+                said += [["a", BOILERPLATE, (rng.choice(("Reply", "Antworten", "Répondre", "Responder", words(1, 2))), BOILERPLATE)]] if rng.random() < 0.6 else []
+                node.append([*part(rng.choice(("div", 'div class="comment"', "li", "article")), BOILERPLATE), *said])
+        else:
+            for _ in range(rng.randint(1, 3)):
+                said = [(rng.choice(CUE_TEXTS) + rng.choice(("", ".", " " + words(1, 12), " " + words(2, 9) + ".")), BOILERPLATE)] if rng.random() < 0.5 else line(BOILERPLATE, 1, rng.choice((4, 10, 12, 25)))
+                node += [[rng.choice(("p", "p", "div", "span", "h3", "blockquote", "label", "button")), BOILERPLATE, *said]] if rng.random() < 0.7 else said
+        return node
+
+    def content(longest: int) -> list:
+        tag = rng.choice(CONTENT_PARTS) if rng.random() < 0.8 else "p"
+        if tag in ("ul", "ol", "table", "figure", "div", "section"):
+            inner = {"table": "tr", "figure": "figcaption", "div": "p", "section": "p"}.get(tag, "li")
+            return [*part(tag, CONTENT), *([inner, CONTENT, *line(CONTENT, 2, 30)] for _ in range(rng.randint(1, 4)))]
+        most = 9 if tag[0] == "h" else min(longest, rng.choice((5, 20, 60, longest)))
+        return [tag, CONTENT, *line(CONTENT, 1 if tag[0] == "h" or most < 5 else rng.choice((1, 4, 4)), most)]
+
+    def flatten(node, parent: int, depth: int, dom: Dom, labels: list[int], linked: bool) -> None:
+        if isinstance(node, tuple):
+            dom.add(parent, depth, ("tag=#text",), node[0], linked, 0)
+            labels.append(node[1])
+            return
+        tag, _, attributes = node[0].partition(" ")
+        at = dom.add(parent, depth, signature(tag, attributes), None, False, 0)
+        labels.append(node[1])
+        for kid in node[2:]:
+            flatten(kid, at, depth + 1, dom, labels, linked or tag == "a")
+        dom.last[at] = len(dom.parent) - 1
 
     for _ in range(n):
-        dom, labels = Dom([-1], [0], [("tag=#root",)], [None], [False], [0]), [0]
-
-        def add(at: int, opening: str | None, label: int, text: str | None = None, linked: bool = False, dom=dom, labels=labels) -> int:
-            tag, _, attributes = (opening or "#text").partition(" ")
-            for column, value in zip((dom.parent, dom.depth, dom.features, dom.text, dom.linked, dom.block), (at, dom.depth[at] + 1, signature(tag, attributes), text, linked, 0), strict=True):
-                column.append(value)
-            labels.append(label)
-            return len(labels) - 1
-
-        def line(at: int, label: int, low: int, high: int, add=add) -> None:
-            add(at, None, label, words(low, high) + rng.choice(("", ".", ".", ".")))
-            if rng.random() < 0.3:
-                part = rng.choice(INLINE_PARTS)
-                add(add(at, part, label), None, label, words(1, 5), part == "a")
-                add(at, None, label, words(low, high) + ".")
-
-        def boiler(at: int, add=add, line=line) -> None:
-            node = add(at, rng.choice(BOILER_PARTS), BOILERPLATE)
-            for _ in range(rng.randint(1, 4)):
-                kind = rng.random()
-                if kind < 0.5:
-                    item = add(add(node, rng.choice(("ul", "ol", "div")), BOILERPLATE), rng.choice(("li", "p", "span")), BOILERPLATE)
-                    add(add(item, "a", BOILERPLATE), None, BOILERPLATE, words(1, 3), True)
-                elif kind < 0.8:
-                    line(add(node, rng.choice(("p", "div", "span", "h3", "blockquote")), BOILERPLATE), BOILERPLATE, 2, rng.choice((8, 10, 12, 25)))
-                else:
-                    line(node, BOILERPLATE, 1, 12)
-
-        body = add(add(0, "html", NEUTRAL), "body", NEUTRAL)
-        for _ in range(rng.randint(1, 4)):
-            boiler(body)
-        outer = add(body, rng.choice(('div class="wrapper"', 'div id="page"', "div", 'div class="container"')), NEUTRAL) if rng.random() < 0.5 else body
-        container = rng.choice(CONTAINERS)
-        inside = add(outer, container, CONTENT)
-        for _ in range(rng.randint(2, 9)):
-            if rng.random() < 0.12:
-                boiler(inside)
-                continue
-            part = add(inside, rng.choice(CONTENT_PARTS), CONTENT)
-            kind = dom.features[part][0][4:]
-            if kind in ("ul", "ol", "table", "figure", "div", "section"):
-                for _ in range(rng.randint(1, 4)):
-                    line(add(part, {"table": "tr", "figure": "figcaption", "div": "p", "section": "p"}.get(kind, "li"), CONTENT), CONTENT, 2, 30)
+        inside = part(rng.choice(containers), CONTENT)
+        headline = ["h1", CONTENT, (words(2, 9), CONTENT)]
+        above = []
+        if rng.random() < 0.6:
+            where = rng.random()
+            if where < 0.3:
+                inside.append([*part(rng.choice(("header", 'header class="article-header"', 'div class="headline"', 'div class="title"')), CONTENT), headline])
+            elif where < 0.8:
+                inside.append(headline)
             else:
-                line(part, CONTENT, 1 if kind[0] == "h" else 4, 6 if kind[0] == "h" else 60)
-        for _ in range(rng.randint(1, 5)):
-            boiler(rng.choice((body, outer)))
+                above.append(headline)
+        longest = rng.choice((3, 12, 60, 60, 60, 250))  # short remarks only, up to whole chapters
+        for _ in range(rng.randint(2, rng.choice((9, 9, 60)))):
+            inside.append(boiler() if rng.random() < 0.12 else content(longest))
+        body = ["body", NEUTRAL, *(boiler() for _ in range(rng.randint(1, 4)))]
+        bare = rng.random() < 0.08  # no element holds the content alone
+        main = [*above, *(inside[2:] if bare else [inside]), *(boiler() for _ in range(rng.randint(0, 3)))]
+        if rng.random() < 0.5:
+            main = [[rng.choice(('div class="wrapper"', 'div id="page"', "div", 'div class="container"', f'div class="{invented(3, 8)}"')), NEUTRAL, *(boiler() for _ in range(rng.randint(0, 2))), *main]]
+        dom, labels = Dom.empty(), [NEUTRAL]
+        flatten(["html", NEUTRAL, [*body, *main, *(boiler() for _ in range(rng.randint(0, 3)))]], 0, 1, dom, labels, False)
+        dom.last[0] = len(dom.parent) - 1
         out.append((dom, labels))
     return out
 
 
-def train(pages: list[tuple[Dom, list[int]]], ridge: float = 0.05, rounds: int = 300) -> Model:
+def train(pages: list[tuple[Dom, list[int]]], ridge: float = 0.3, rounds: int = 120) -> Model:
     """Potentials from labelled pages: for each label of the parent a ridge logistic regression of the child's label on its
-    features, in steps under a fixed bound of the curvature; for texts the smoothed frequencies of their kinds by label."""
-    index = {f: i for i, f in enumerate(sorted({f for dom, _ in pages for fs in dom.features for f in fs}))}
-    weights = np.zeros((3, 3, len(index) + 1))
+    features, in accelerated steps under a fixed bound of the curvature; for texts the smoothed frequencies of their kinds
+    by label. Features seen fewer than three times are left out."""
     kinds = np.ones((3, 20))
     examples: dict[tuple[int, tuple[str, ...]], list[int]] = {}
+    seen: dict[str, int] = {}
     for dom, labels in pages:
+        inside = structure(dom)
         for node in range(1, len(labels)):
-            examples.setdefault((labels[dom.parent[node]], dom.features[node]), [0, 0, 0])[labels[node]] += 1
+            features = (*dom.features[node], *(f"{family}={v}" for family, v in zip(STRUCTURE, inside[node].tolist(), strict=True)))
+            examples.setdefault((labels[dom.parent[node]], features), [0, 0, 0])[labels[node]] += 1
+            for f in features:
+                seen[f] = seen.get(f, 0) + 1
             if dom.text[node] is not None:
                 kinds[labels[node], _evidence(dom.text[node], dom.linked[node])] += 1
+    index = {f: i for i, f in enumerate(sorted(f for f, times in seen.items() if times > 2))}
+    weights = np.zeros((3, 3, len(index) + 1))
+    m = len(index) + 1
     for label in range(3):
-        rows = [(f, n) for (above, f), n in examples.items() if above == label]
-        x, n = np.zeros((len(rows), len(index) + 1)), np.array([c for _, c in rows], dtype=float).reshape(-1, 3)
-        for i, (fs, _) in enumerate(rows):
-            x[i, [index[f] for f in fs]] = 1
-        x[:, -1] = 1
-        step = np.linalg.inv((x * n.sum(axis=1)[:, None]).T @ x / 2 + ridge * np.eye(len(index) + 1))
-        for _ in range(rounds):
-            z = x @ weights[label].T
-            p = np.exp(z - _log_sum(z, 1)[:, None]) if len(z) else z
-            weights[label] += ((n - p * n.sum(axis=1)[:, None]).T @ x - ridge * weights[label]) @ step
+        rows = [([*(index[f] for f in fs if f in index), m - 1], n) for (above, fs), n in examples.items() if above == label]
+        if not rows:
+            continue
+        n = np.array([c for _, c in rows], dtype=float)
+        width, at = np.array([len(r) for r, _ in rows]), np.concatenate([r for r, _ in rows])
+        row, heads = np.repeat(np.arange(len(rows)), width), np.cumsum(width) - width
+        gram = ridge * np.eye(m)
+        for i in range(0, len(rows), 4096):
+            x = np.zeros((min(4096, len(rows) - i), m), dtype=np.float32)
+            here = (row >= i) & (row < i + 4096)
+            x[row[here] - i, at[here]] = 1
+            gram += (x * n[i : i + 4096].sum(axis=1, keepdims=True).astype(np.float32)).T @ x / 2
+        step = np.linalg.inv(gram)
+        w = w_last = np.zeros((3, m))
+        for t in range(rounds):
+            v = w + t / (t + 3) * (w - w_last)
+            z = np.add.reduceat(v.T[at], heads)
+            off = n - np.exp(z - _log_sum(z, 1)[:, None]) * n.sum(axis=1, keepdims=True)
+            ascent = np.stack([np.bincount(at, off[row, k], m) for k in range(3)]) - ridge * v
+            w_last, w = w, v + ascent @ step
+        weights[label] = w
     kinds[:, 0] = kinds[:, 0].sum()  # white space tells nothing
     return Model(index, weights, np.log(kinds / kinds.sum(axis=1, keepdims=True)), np.array([0.998, 1e-3, 1e-3]))
 
