@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,16 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Words, bounded_batches, chunked, mix64, utf8_rows
+from quire.llm.shared import Words, bounded_batches, chunked, mix64, stored, utf8_rows
 
 SAMPLE_ROWS = 6000
 FEATURES = 4096
 PREFIXES = (3, 4, 5, 6)
 TABLE_BITS = 22
 RIDGE, COUNTERFACTUAL, ROUNDS = 2.0, 50.0, 300
-IDENTITY_TERMS = (
-    "women", "men", "woman", "man", "muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "black", "white", "asian", "latino", "african",
-    "european", "gay", "lesbian", "straight", "transgender", "immigrant", "refugee", "disabled", "deaf", "blind", "old", "young",
+INSERTED = 1
+# Identity terms by language, in groups within which one is put for another.
+IDENTITY_GROUPS = (
+    ("women", "men"), ("woman", "man"), ("girl", "boy"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+    ("black", "white", "asian", "latino", "african", "european"), ("gay", "lesbian", "straight", "bisexual", "transgender"), ("immigrant", "refugee", "foreigner", "citizen"), ("disabled", "deaf", "blind"), ("old", "young"),
+    ("frauen", "männer"), ("frau", "mann"), ("muslimisch", "christlich", "jüdisch"), ("muslime", "christen", "juden"), ("schwarze", "weiße", "asiaten"), ("schwul", "lesbisch", "transsexuell"), ("ausländer", "flüchtling", "bürger"), ("behindert", "taub"), ("alte", "junge"),
+    ("femmes", "hommes"), ("femme", "homme"), ("musulman", "chrétien", "juif"), ("musulmans", "chrétiens", "juifs"), ("noir", "blanc", "asiatique"), ("homosexuel", "lesbienne", "transgenre"), ("immigré", "réfugié", "citoyen"), ("handicapé", "sourd", "aveugle"), ("vieux", "jeune"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("musulmán", "cristiano", "judío"), ("musulmanes", "cristianos", "judíos"), ("negro", "blanco", "asiático"), ("homosexual", "lesbiana", "transexual"), ("inmigrante", "refugiado", "ciudadano"), ("discapacitado", "sordo", "ciego"), ("viejo", "joven"),
 )
 
 
@@ -41,22 +47,25 @@ def distinct_features(texts: list[bytes]) -> list[np.ndarray]:
     return [(x & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int32) for x in np.split(pairs, ends)]
 
 
-def swapped(text: bytes, terms: tuple[str, ...], seed: int) -> list[tuple[bytes, bytes]]:
-    """Pairs of sentences that differ in an identity term: each sentence with one against the same with another. A text
-    without any gives one pair: its first sentence with a term put in, against the bare sentence."""
+def swapped(text: bytes, groups: tuple[tuple[str, ...], ...], seed: int, inserted: int = INSERTED) -> list[tuple[bytes, bytes]]:
+    """Pairs of sentences that differ in an identity term: for every mention in every sentence, the sentence against the
+    same with another term of its group. A text without any mention gives `inserted` pairs: sentences drawn from the
+    whole text, with a term put in against without."""
     rng = np.random.default_rng(seed)
-    known = set(terms)
-    sentences = [x.split() for x in text.decode().replace("!", ".").replace("?", ".").split(".")]
+    known = {term: group for group in groups for term in group}
+    sentences = [w for w in (x.split() for x in re.split(r"[.!?\n]", text.decode())) if w]
     pairs = []
     for words in sentences:
-        at = [i for i, w in enumerate(words) if w.lower().strip(",;:") in known]
-        for i in at[:4]:
-            other = terms[int(rng.integers(len(terms)))]
-            pairs.append((" ".join(words), " ".join([*words[:i], other, *words[i + 1 :]])))
-    if not pairs and sentences[0]:
-        i = int(rng.integers(len(sentences[0]) + 1))
-        pairs.append((" ".join(sentences[0]), " ".join([*sentences[0][:i], terms[int(rng.integers(len(terms)))], *sentences[0][i:]])))
-    return [(a.encode(), b.encode()) for a, b in pairs[:8]]
+        for i, w in enumerate(words):
+            bare = w.lower().strip(",;:\"'()")
+            if bare in known:
+                others = [t for t in known[bare] if t != bare]
+                pairs.append((" ".join(words), " ".join([*words[:i], others[int(rng.integers(len(others)))], *words[i + 1 :]])))
+    for _ in range(0 if pairs or not sentences else inserted):
+        words, group = sentences[int(rng.integers(len(sentences)))], groups[int(rng.integers(len(groups)))]
+        i = int(rng.integers(len(words) + 1))
+        pairs.append((" ".join(words), " ".join([*words[:i], group[int(rng.integers(len(group)))], *words[i:]])))
+    return [(a.encode(), b.encode()) for a, b in pairs]
 
 
 @dataclass
@@ -66,25 +75,26 @@ class Model:
     bias: float
 
 
-def _choose(rows: list[np.ndarray], toxic: np.ndarray, keep: np.ndarray, n: int) -> np.ndarray:
-    """The n codes whose log-odds between the classes stand out most from chance, and those of `keep`."""
-    size = 1 << TABLE_BITS
-    of = [np.bincount(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t == c] or [np.zeros(0, np.int32)]), minlength=size) for c in (1, 0)]
-    totals = max(int(toxic.sum()), 1), max(int((toxic == 0).sum()), 1)
-    seen = np.flatnonzero(of[0] + of[1] >= 3)
-    a, b = of[0][seen] + 0.5, of[1][seen] + 0.5
-    odds = np.log(a / (totals[0] - a + 1)) - np.log(b / (totals[1] - b + 1))
-    z = np.abs(odds) / np.sqrt(1 / a + 1 / b + 1 / (totals[0] - a + 1) + 1 / (totals[1] - b + 1))
-    return np.union1d(seen[np.argsort(-z, kind="stable")[:n]], keep)
+def most_telling(coded: DataFrame, n: int) -> np.ndarray:
+    """The n codes of coded(kind, codes) whose log-odds between kinds 1 and 0 stand out most from chance."""
+    total = {r[0]: float(r[1]) for r in coded.groupBy("kind").count().collect()}
+    of = coded.select("kind", F.explode("codes").alias("code")).groupBy("code").agg(F.sum("kind").alias("a"), F.sum(1 - F.col("kind")).alias("b")).where("a + b >= 3")
+    odds, spread = [], []
+    for name, kind in (("a", 1), ("b", 0)):
+        seen, left = F.col(name) + 0.5, F.lit(total.get(kind, 0.0) + 0.5) - F.col(name)
+        odds.append(F.log(seen / left))
+        spread.append(1 / seen + 1 / left)
+    z = F.abs(odds[0] - odds[1]) / F.sqrt(spread[0] + spread[1])
+    return np.array([r[0] for r in of.orderBy(F.round(z, 9).desc(), "code").limit(n).select("code").collect()], dtype=np.int64)
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, share: float, pairs: list[tuple[np.ndarray, np.ndarray]], keep: np.ndarray) -> Model:
-    """Ridge logistic regression with a penalty on the squared change of the logit within each counterfactual pair.
+def train(rows: list[np.ndarray], toxic: np.ndarray, share: float, pairs: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> Model:
+    """Ridge logistic regression on the chosen codes, with a penalty on the squared change of the logit within each
+    counterfactual pair.
 
     share: that of toxic rows among all labelled ones; rows of the two classes are weighted to it. Accelerated gradient
     steps on a fixed number of rounds.
     """
-    chosen = _choose(rows, toxic, keep, FEATURES)
     place = np.zeros(1 << TABLE_BITS, dtype=np.int32)
     place[chosen] = np.arange(1, len(chosen) + 1)
 
@@ -123,43 +133,55 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, share: float, pairs: list[t
     return Model(place, w, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, terms: tuple[str, ...] = IDENTITY_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_features: int = FEATURES, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, inserted: int = INSERTED) -> Model:
     """A model of labels(doc_id, toxic) on docs(doc_id, text).
 
-    At most sample_rows labelled documents of each class are used, those of least hash of their id; only their distinct
-    feature codes reach the driver. Labels other than 0 and 1 and null ids are ignored; of several labels of a document
-    the largest counts. Without labels of both classes the score is the share of toxic labels (without any, 0).
+    At most sample_rows labelled documents of each class are used, those of least hash of their id. Their whole texts
+    become feature codes on the executors, which also choose the n_features most telling ones; only what the sample has
+    of these reaches the driver: at most 2 * sample_rows * n_features codes, beside those of the pairs. All mentions of
+    an identity term are swapped; a text without one gives `inserted` pairs. Labels other than 0 and 1 and null ids are
+    ignored; of several labels of a document the largest counts. Repeated documents count each time. Without labels of
+    both classes the score is the share of toxic labels (without any, 0).
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     each = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where("doc_id is not null")
     count = {r[0]: r[1] for r in each.groupBy("toxic").count().collect()}
     share = count.get(1, 0) / max(sum(count.values()), 1)
-    chosen = [each.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
-    sample = spark.createDataFrame(chosen[0].unionAll(chosen[1]).collect(), "doc_id long, toxic int")
+    least = [each.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
+    sample = spark.createDataFrame(least[0].unionAll(least[1]).collect(), "doc_id long, toxic int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids, toxic = utf8_rows(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist()
             for i, j in chunked(texts):
                 codes = distinct_features(texts[i:j])
-                twins = [p for k in range(i, j) for p in swapped(texts[k], terms, ids[k] & 0xFFFFFFFF)]
+                twins = [p for k in range(i, j) for p in swapped(texts[k], groups, ids[k] & 0xFFFFFFFF, inserted)]
                 first, second = distinct_features([a for a, _ in twins]), distinct_features([b for _, b in twins])
                 kind = toxic[i:j] + [2] * len(twins)
                 lists = [pa.array(x, pa.list_(pa.int32())) for x in (codes + first, [np.zeros(0, np.int32)] * (j - i) + second)]
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *lists], names=["kind", "codes", "twin"])
 
     matched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = matched.mapInArrow(run, "kind int, codes array<int>, twin array<int>").toArrow()
+    coded = stored(matched.mapInArrow(run, "kind int, codes array<int>, twin array<int>"), "toxicity-codes")
+    terms = np.unique(np.concatenate(distinct_features([t.encode() for group in groups for t in group])))
+    chosen = np.union1d(most_telling(coded.where("kind < 2"), n_features), terms)
+
+    def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [pa.array([x[np.isin(x, chosen)] for x in batch.column(c).to_numpy(zero_copy_only=False)], pa.list_(pa.int32())) for c in ("codes", "twin")]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), *lists], names=["kind", "codes", "twin"])
+
+    got = coded.mapInArrow(only_chosen, coded.schema).toArrow()
     kind = got.column("kind").to_numpy()
     codes, twin = ([np.asarray(x.values) for x in got.column(c)] for c in ("codes", "twin"))
-    rows, toxic = [c for c, k in zip(codes, kind, strict=True) if k < 2], kind[kind < 2]
-    if len(np.unique(toxic)) < 2:
+    rows = [(k, c) for k, c in zip(kind.tolist(), codes, strict=True) if k < 2]
+    if len({k for k, _ in rows}) < 2:
         return Model(np.zeros(1 << TABLE_BITS, np.int32), np.zeros(1), float(np.log((share + 1e-12) / (1 - share + 1e-12))))
-    pairs = [(a, b) for a, b, k in zip(codes, twin, kind, strict=True) if k == 2]
-    keep = np.unique(np.concatenate(distinct_features([t.encode() for t in terms])))
-    order = np.lexsort(([len(r) for r in rows], [int(r.sum()) for r in rows]))  # the same sums whatever the order of arrival
-    return train([rows[i] for i in order], toxic[order], share, pairs, keep)
+    # the same sums whatever the order of arrival
+    rows.sort(key=lambda x: (x[0], x[1].tobytes()))
+    pairs = sorted(((a, b) for a, b, k in zip(codes, twin, kind.tolist(), strict=True) if k == 2), key=lambda x: (x[0].tobytes(), x[1].tobytes()))
+    return train([c for _, c in rows], np.array([k for k, _ in rows]), share, pairs, chosen)
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
