@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import Substrings, bounded_batches, chunked, mix64, utf8_rows
 
 SHINGLE_CHARS, K, HASH_BITS = 8, 128, 48
-BUCKET_ROWS, MOST_BUCKETS = 1024, 2000
+BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
+HELD_KEYS = 1 << 14
 _FIRST_ID = -(1 << 63)
 
 
@@ -49,19 +51,48 @@ def to_string(sketch: np.ndarray) -> str:
     return sketch.astype(">u8").tobytes().hex() if HASH_BITS == 64 else "".join(f"{x:0{HASH_BITS // 4}x}" for x in sketch.tolist())
 
 
+def merged(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
+    return np.union1d(a, b)[:k]
+
+
 def sketch_parts(parts: DataFrame, keys: list[str], shingle: int = SHINGLE_CHARS, k: int = K) -> DataFrame:
     """(keys..., sketch array<long>) of the union of the parts' shingles, merged by key.
 
     Each row's text is sketched alone, then sketches of one key are merged: the k least of the union are those of the
-    whole. Shingles that cross from part to part are not seen, so parts should overlap by shingle - 1 characters.
+    whole. A task merges the parts of a key that it reads (of HELD_KEYS keys at a time), then what the tasks have is
+    merged in two levels, so that a key with a third of all parts is never gathered whole. Shingles that cross from part
+    to part are not seen, so parts should overlap by shingle - 1 characters. Null texts are empty; null keys are a key.
     """
 
-    def sketch(text: pa.Array) -> pa.Array:
-        texts = [t.decode() for t in utf8_rows(text)]
-        return pa.array([s.astype(np.int64) for i, j in chunked([t.encode() for t in texts]) for s in sketch_texts(texts[i:j], shingle, k)], pa.list_(pa.int64()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        task = TaskContext.get().partitionId() % 64
 
-    hashes = parts.select(*keys, F.explode_outer(F.arrow_udf(sketch, "array<long>")(F.col("text").cast("string"))).alias("h")).distinct()
-    return hashes.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("h")), 1, k).alias("sketch"))
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([key[c] for key in held], batch.schema.field(c).type) for c in range(len(keys))]
+            lists = pa.array([s.astype(np.int64) for s in held.values()], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([*columns, pa.array([task] * len(held), pa.int32()), lists], names=[*keys, "_task", "h"])
+
+        for batch in batches:
+            texts = [t.decode() for t in utf8_rows(batch.column(len(keys)))]
+            rows = list(zip(*(batch.column(c).to_pylist() for c in range(len(keys))), strict=True))
+            for i, j in chunked([t.encode() for t in texts]):
+                for key, sketch in zip(rows[i:j], sketch_texts(texts[i:j], shingle, k), strict=True):
+                    held[key] = merged(held[key], sketch, k) if key in held else sketch
+                if len(held) >= HELD_KEYS:
+                    yield flush()
+                    held = {}
+        if held:
+            yield flush()
+
+    bounded_batches(parts.sparkSession)
+    rows = parts.select(*keys, F.col("text").cast("string").alias("_text"))
+    types = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes[:-1])
+    hashes = rows.mapInArrow(run, f"{types}, _task int, h array<long>").select(*keys, "_task", F.explode_outer("h").alias("h"))
+    for by in ([*keys, "_task"], keys):
+        merged_once = hashes.groupBy(*by).agg(F.slice(F.array_sort(F.collect_set("h")), 1, k).alias("sketch"))
+        hashes = merged_once.select(*by, F.explode_outer("sketch").alias("h"))
+    return merged_once
 
 
 def _below(a: Column, b: Column, k: int) -> Column:
@@ -89,8 +120,8 @@ def with_next_row(docs: DataFrame) -> DataFrame:
     """(bucket, extra, doc_id, text): rows dealt by ranges of doc_id, sorted descending, each range followed by a copy
     of the row that comes after it (extra). After the last row comes the first.
 
-    The ranges end at approximate quantiles of the ids; there are at most MOST_BUCKETS, so ends and heads are a
-    bounded list. A range is streamed, not held. Equal ids are ordered by text; null ids come last.
+    The ranges end at approximate quantiles of the ids, one for BUCKET_ROWS rows. There are at most MOST_BUCKETS, so ends
+    and heads are a bounded list; then a range has more rows (of 100 TB, 1.5 GB). A range is streamed, not held. Equal ids are ordered by text; null ids come last.
     """
     bounded_batches(docs.sparkSession)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID))
