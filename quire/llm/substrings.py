@@ -241,11 +241,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, minimiser: int =
     words. Rows with a null doc_id keep all words and mark none. Of rows with equal doc_id none counts as smaller.
     kept_text joins the kept words by one space. Texts with fewer words than a window stay as they are.
     """
-    found = repeated_ranges(docs, window, minimiser).groupBy(F.col("doc_id").alias("_quire_id"), F.col("text_key").alias("_quire_key"))
-    found = found.agg(F.collect_list("begin").alias("_quire_begins"), F.collect_list("end").alias("_quire_ends"))
+    found = repeated_ranges(docs, window, minimiser).groupBy("doc_id", "text_key").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn("_quire_text_key", F.xxhash64(text)).join(found, (F.col("doc_id").cast("long") == F.col("_quire_id")) & (F.col("_quire_text_key") == F.col("_quire_key")), "left")
-    cut = F.arrow_udf(_cut, "struct<kept_text:string,n_words:long,n_removed:long>")(text, "_quire_begins", "_quire_ends")
-    joined = joined.withColumn("_quire_cut", cut)
     kept = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
-    return joined.select(*kept, "_quire_cut.kept_text", "_quire_cut.n_words", "_quire_cut.n_removed")
+    rows = docs.select(F.struct(*kept).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"))
+    cut = F.arrow_udf(_cut, "struct<kept_text:string,n_words:long,n_removed:long>")(F.col("row.text").cast("string"), F.col("begins"), F.col("ends"))
+    return rows.join(found, ["doc_id", "text_key"], "left").select("row", cut.alias("cut")).select("row.*", "cut.*")
