@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import itertools
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -269,6 +272,18 @@ def test_sketches_merge_across_parts(spark):
     assert both["c"] > 0.75 and 0.35 < both["r"] < 0.65
 
 
+def test_a_key_with_most_parts_is_merged_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "HELD_KEYS", 3)
+    rng = random.Random(4)
+    rows = [(None if i % 7 == 0 else i % 5 if i % 3 else 0, f"k{i % 2}", None if i % 50 == 0 else "".join(rng.choice("abc") for _ in range(40))) for i in range(900)]
+    df = spark.createDataFrame(rows, "k int, `_task` string, text string").withColumnRenamed("_task", "name").repartition(7)
+    got = {(r["k"], r["name"]): r["sketch"] for r in sketches.sketch_parts(df, ["k", "name"]).collect()}
+    want: dict = {}
+    for k, name, t in rows:
+        want.setdefault((k, name), []).extend(sketches.sketch_texts([t or ""], k=1 << 30)[0].tolist())
+    assert got == {key: sorted(set(h))[: sketches.K] for key, h in want.items()}
+
+
 def test_packing_keeps_every_word_and_no_conflict(docs, nothing):
     rows = packing.pack(docs, 100).collect()
     sizes = [len(words_of(t)) for _, t, *_ in corpus()]
@@ -286,6 +301,61 @@ def test_packing_keeps_every_word_and_no_conflict(docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def brute_fit(items: list[tuple], capacity: int) -> list[tuple[int, int]]:
+    """Every bin is tried for every item; the fullest one that holds it and has neither its source nor its cluster wins."""
+    bins: list[list] = []
+    placed = []
+    for length, source, cluster in items:
+        able = [(b[0], i) for i, b in enumerate(bins) if b[0] >= length and (source is None or source not in b[1]) and (cluster is None or cluster not in b[2])]
+        if not able:
+            bins.append([capacity, set(), set()])
+        i = min(able)[1] if able else len(bins) - 1
+        placed.append((i, capacity - bins[i][0]))
+        bins[i][0] -= length
+        bins[i][1].add(source)
+        bins[i][2].add(cluster)
+    return placed
+
+
+def test_best_fit_equals_trying_every_bin():
+    rng = random.Random(9)
+    for capacity in (10, 100):
+        for hot in (0.0, 0.4):
+            items = [(rng.randint(0, capacity), None if rng.random() < 0.1 else "hot" if rng.random() < hot else f"s{rng.randint(0, 9)}", rng.choice([None, rng.randint(0, 30)])) for _ in range(400)]
+            for order in (items, sorted(items, key=lambda x: -x[0])):
+                assert packing.best_fit(order, capacity) == brute_fit(order, capacity)
+
+
+def test_packed_bins_equal_brute_force(docs):
+    got = packing.pack(docs, 100, group_items=10_000).collect()
+    parts: list[tuple] = []
+    for i, t, _, source, _ in corpus():
+        n = len(words_of(t))
+        key = b" ".join(words_of((t or "").lower()))
+        parts += [(min(100, n - at) if n else 0, i, at // 100, source, key, at) for at in range(0, max(n, 1), 100)]
+    clusters = {key: n for n, key in enumerate(sorted({p[4] for p in parts}))}
+    order = sorted(got, key=lambda r: (-r["length"], r["doc_id"] is not None, r["doc_id"] or 0, r["part"]))
+    assert Counter((r["length"], r["doc_id"], r["part"], r["doc_offset"]) for r in got) == Counter((p[0], p[1], p[2], p[5]) for p in parts)
+    # the same parts in the same order: how many bins, and how full each, doesn't hang on the order of equal rows
+    want = sorted(parts, key=lambda p: (-p[0], p[1] is not None, p[1] or 0, p[2]))
+    left: Counter = Counter()
+    for p, (b, _) in zip(want, brute_fit([(p[0], p[3], clusters[p[4]]) for p in want], 100), strict=True):
+        left[b] += p[0]
+    filled: Counter = Counter()
+    for r in order:
+        filled[r["bin_id"]] += r["length"]
+    assert abs(len(filled) - len(left)) <= 1 and sum(filled.values()) == sum(left.values())
+
+
+def test_packing_of_odd_lengths_and_many_copies_of_one_row(spark):
+    df = spark.createDataFrame([(1, "a b", "s"), (2, None, None), (3, "c", "t")], "doc_id long, text string, source string").withColumn("n", F.when(F.col("doc_id") == 1, -5).when(F.col("doc_id") == 3, 7))
+    got = sorted((r["doc_id"], r["length"]) for r in packing.pack(df.withColumn("copies", F.lit(1)).withColumn("copy", F.lit(1)), 5, length=F.col("n")).collect())
+    assert got == [(1, 0), (2, 0), (3, 2), (3, 5)]
+    many = df.where("doc_id = 3").crossJoin(spark.range(3000)).select("doc_id", "text", "source")
+    rows = packing.pack(many, 5, group_items=100).collect()
+    assert len(rows) == 3000 and len({r["bin_id"] for r in rows}) == 3000 and max(Counter(r["bin_id"] >> 20 for r in rows).values()) < 200
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     items = [(6, "a", 1), (5, "b", 2), (4, "c", 3), (4, "a", 4), (5, "c", 2)]
     placed = packing.best_fit(items, 10)
@@ -356,6 +426,60 @@ def test_base_scores_are_exact_and_held_out_rows_are_not_learnt(docs, nothing):
     assert language_model.score(nothing, held).count() == 0
 
 
+def brute_model(rows: list[tuple], held, floor: int) -> list[tuple]:
+    """(doc_id, score) by dictionaries: quantised counts of tokens, bigrams and rests, nothing hashed."""
+    tokens = lambda t: [w.lower() for w in words_of(t)] + [b"<end>"]
+    alone: Counter = Counter()
+    pair: Counter = Counter()
+    for i, t, *_ in rows:
+        if not held(i):
+            w = tokens(t)
+            alone.update(w)
+            pair.update(zip([b"<end>", *w[:-1]], w, strict=True))
+    total, every = sum(alone.values()), sum(alone.values()) + len(alone) + 1
+    unit = max(1.0, total / floor)
+
+    def quantised(n: float) -> float:
+        """The mean of the whole counts from one power of the root of two, in units, to the next."""
+        j = math.floor(math.log2(n / unit) * 2 + 1e-9)
+        low, high = math.ceil(unit * 2 ** (j / 2) - 1e-9), math.ceil(unit * 2 ** ((j + 1) / 2) - 1e-9) - 1
+        return (low + high) / 2 if high >= low else unit * 2 ** (j / 2)
+
+    followed: Counter = Counter()
+    for (h, _), n in pair.items():
+        if n >= unit:
+            followed[h] += n - language_model.DISCOUNT
+    out = []
+    for i, t, *_ in rows:
+        w, z = tokens(t), 0.0
+        for h, x in zip([b"<end>", *w[:-1]], w, strict=True):
+            a = quantised(alone[h]) if alone[h] >= unit else 0.0
+            rest = min(quantised(max(unit, alone[h] - followed[h])), a) / a if a and h in followed else 1.0
+            both = max(min(quantised(pair[h, x]), a) - language_model.DISCOUNT, 0.0) / a if a and pair[h, x] >= unit else 0.0
+            z += math.log10(min(1.0, both + rest * ((quantised(alone[x]) if alone[x] >= unit else alone[x]) + 1) / every))
+        out.append((i, round(z, 5)))
+    return out
+
+
+@pytest.mark.parametrize("floor", [language_model.FLOOR, 2000, 300])
+@pytest.mark.parametrize("head", [1 << 18, 5])
+def test_scores_equal_a_model_of_dictionaries(docs, monkeypatch, floor, head):
+    monkeypatch.setattr(language_model, "HEAD_TOKENS", head)
+    monkeypatch.setattr(language_model, "HELD_GRAMS", 500)
+    got = language_model.score(docs, F.col("doc_id") % 7 == 2, floor=floor).collect()
+    want = Counter(brute_model(corpus(), lambda i: i is not None and i % 7 == 2, floor))
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in got) == want
+
+
+def test_another_filter_size_and_its_bound(docs):
+    held, floor = F.col("doc_id") % 7 == 2, 1 << 18
+    with pytest.raises(ValueError, match="may not fit"):
+        language_model.score(docs, held, filter_bits=22, floor=floor)
+    got = language_model.score(docs, held, filter_bits=24, floor=floor).collect()
+    want = dict(brute_model(corpus(), lambda i: i is not None and i % 7 == 2, floor))
+    assert sum(abs(r["score"] - want[r["doc_id"]]) for r in got) < 0.01 * sum(map(abs, want.values()))
+
+
 def test_levels_come_back_from_the_filter():
     values = language_model.count_at(20)
     assert values[0] == 0 and values[1] == 1 and values[3] == 2 and values[5] == 4.5
@@ -380,26 +504,59 @@ def test_toxicity_finds_words_and_their_endings(spark):
     assert toxicity.with_scores(docs, empty).where("toxic_score >= 0.5").count() == 0
 
 
-def test_counterfactual_penalty_evens_out_identity_terms():
+def test_counterfactual_penalty_spares_neutral_mentions():
+    """Toxic texts that often mention one group teach a plain classifier to reject neutral mentions of it."""
     rng = random.Random(6)
-    texts, toxic = [], []
-    for i in range(400):
-        y = i % 2
-        words = [f"w{rng.randrange(60)}" for _ in range(12)] + (["vile"] if y else [])
-        words.append("muslim" if y and rng.random() < 0.7 else rng.choice(["women", "men", "old"]))
-        texts.append(" ".join(words).encode())
-        toxic.append(y)
+    groups = (("muslim", "christian", "jewish"),)
+
+    def sentence(*more: str) -> bytes:
+        words = [f"w{rng.randrange(60)}" for _ in range(12)] + list(more)
+        rng.shuffle(words)
+        return " ".join(words).encode()
+
+    toxic = [i % 2 for i in range(400)]
+    texts = [sentence(*([rng.choice(["vile", "filthy", "rotten"])] if y and rng.random() < 0.6 else []), "Muslim," if y and rng.random() < 0.8 else rng.choice(["christian", "jewish"])) for y in toxic]
     rows = toxicity.distinct_features(texts)
-    keep = np.unique(np.concatenate(toxicity.distinct_features([t.encode() for t in toxicity.IDENTITY_TERMS])))
-    twins = [p for k, t in enumerate(texts) for p in toxicity.swapped(t, ("muslim", "women", "men", "old"), k)]
+    chosen = np.unique(np.concatenate(rows + toxicity.distinct_features([b"muslim christian jewish"])))
+    twins = [p for k, t in enumerate(texts) for p in toxicity.swapped(t, groups, k)]
     pairs = list(zip(toxicity.distinct_features([a for a, _ in twins]), toxicity.distinct_features([b for _, b in twins]), strict=True))
+    neutral = [sentence("muslim") for _ in range(200)]
+
+    def rejected(model, many):
+        at = [model.place[c] for c in toxicity.distinct_features(many)]
+        return sum(model.weight[a[a > 0]].sum() + model.bias >= 0 for a in at) / len(many)
+
+    plain, even = (toxicity.train(rows, np.array(toxic), 0.5, p, chosen) for p in ([], pairs))
+    assert rejected(plain, neutral) > 0.9 and rejected(even, neutral) < 0.35
+    assert rejected(even, [sentence("vile", "christian") for _ in range(200)]) > 0.9
+
 
-    def gap(model):
-        at = [model.place[c] for c in toxicity.distinct_features([b"muslim", b"women"])]
-        z = [model.weight[a[a > 0]].sum() for a in at]
-        return abs(z[0] - z[1])
+def test_every_mention_is_swapped_and_insertions_are_drawn_from_the_whole_text():
+    groups = toxicity.IDENTITY_GROUPS
+    text = ("One woman, two women and (old) men. " * 30 + "Die Frauen. Les hommes!").encode()
+    pairs = toxicity.swapped(text, groups, 1)
+    assert len(pairs) == 30 * 4 + 2 and all(len(a.split()) == len(b.split()) and sum(x != y for x, y in zip(a.split(), b.split(), strict=True)) == 1 for a, b in pairs)
+    plain = b". ".join(b"w%d x" % i for i in range(50))
+    drawn = {toxicity.swapped(plain, groups, seed)[0][0] for seed in range(300)}
+    assert len(drawn) > 40 and len(toxicity.swapped(plain, groups, 0, inserted=3)) == 3
+    assert toxicity.swapped(b"", groups, 0) == toxicity.swapped(b" \n", groups, 0) == []
 
-    assert gap(toxicity.train(rows, np.array(toxic), 0.5, pairs, keep)) < 0.5 * gap(toxicity.train(rows, np.array(toxic), 0.5, [], keep))
+
+def test_scores_read_whole_texts_of_any_language_and_repeated_rows(spark):
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("abcdéèßü") for _ in range(5)) for _ in range(200)]
+    some = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    rows = [(i, some(20) + (" schändlich " if i % 4 == 0 else " ") + some(20)) for i in range(800)]
+    rows += [(5000, some(60_000) + " schändlich"), (5001, some(60_000)), (5002, "👍 \u0000"), *rows[:5], *rows[:5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic_score", F.lit("clash")).withColumn("codes", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
+    got = toxicity.with_scores(docs, toxicity.fit(docs, labels)).collect()
+    assert len(got) == len(rows)
+    by_id = {}
+    for r in got:
+        assert by_id.setdefault(r["doc_id"], r["toxic_score"]) == r["toxic_score"]
+    assert by_id[5000] > by_id[5001] and by_id[5001] < 0.5 and sum((by_id[i] >= 0.5) == (i % 4 == 0) for i in range(800)) > 790
+    assert toxicity.with_scores(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
 def test_pipeline_stages_keep_what_they_should(spark, docs, sf_dir):
@@ -449,13 +606,86 @@ def test_marginals_equal_enumeration():
     assert np.allclose(html_text.marginals(model, parent, depth, pair, kind), sums / total)
 
 
+@pytest.fixture(scope="module")
+def html_model():
+    return html_text.train(html_text.labelled_pages(600))
+
+
 @pytest.mark.parametrize("container", ["article", "main", "div", 'div class="col-7"', 'div id="content"'])
 @pytest.mark.parametrize("other", ['<div class="sidebar-left"><p>Some words at the side.</p></div>', "<form><p>Your name</p></form>", '<section class="comments"><p>I agree with every word of this.</p></section>', '<div class="notice"><p>We use cookies here.</p></div>'])
-def test_main_text_of_other_layouts(container, other):
-    model, want = html_text.train(html_text.labelled_pages(600)), "This paragraph has quite a few words in it, and then it ends here. " * 4 + "Short end."
+def test_main_text_of_other_layouts(html_model, container, other):
+    want = "This paragraph has quite a few words in it, and then it ends here. " * 4 + "Short end."
     text = want.replace(". ", ".</p><p>")
     page = f"<html><body><nav><a href=1>Home</a></nav><div class=wrap><{container}><h1></h1><p>{text}</p>{other}</{container.split()[0]}></div>{other}<footer>x y</footer></body></html>"
-    assert html_text.extract(model, [page]) == [want]
+    assert html_text.extract(html_model, [page]) == [want]
+
+
+HEAD = "<h1>The Head Line</h1>"
+PROSE = "<p>This paragraph has quite a few words in it, and then it ends here. It goes on for one more sentence.</p><p>A second one with enough words to be read as prose, as an article has.</p><p>Short end.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><nav><a href=1>Home</a></nav><div class="rail"><ul><li><a href=1>One thing</a></li><li><a href=2>Other thing</a></li></ul></div><article>{HEAD}{PROSE}</article></body>',
+        f'<body><article>{HEAD}{PROSE}</article><div class="outbrain"><a href=1>Ten tricks you must see</a><a href=2>Doctors hate this</a></div></body>',
+        f'<body><article>{HEAD}{PROSE}</article><section class="thread"><h3>Comments</h3><div class="user-post"><p>I agree with all that is said here.</p><a href=#>Reply</a></div><div class="user-post"><p>No, it is wrong.</p><a href=#>Reply</a></div></section></body>',
+        f'<body><div class="cc-window"><p>We use cookies to give you the best experience on our site.</p><button>Accept</button></div><article>{HEAD}{PROSE}</article></body>',
+        f"<body><header><a href=/>Site</a></header><article><header>{HEAD}</header>{PROSE}</article></body>",
+        f'<body><header><a href=/>Site</a></header><div class="zq"><div class="article-header">{HEAD}</div>{PROSE}</div><div class=x><a href=1>a b</a> <a href=2>c d</a></div></body>',
+        f"<html><head><title>T</title><body><article>{HEAD}{PROSE}</article>",
+        f"<html><head><meta charset=utf-8><title>T</title><article>{HEAD}{PROSE}</article>",
+        f"<body><svg><path d=1><article>{HEAD}{PROSE}</article></body>",
+        f"<body><form><select><option>a<option>b</form><article>{HEAD}{PROSE}</article></body>",
+        f'<body><div class="a1"><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></div><div class="b2"><div class="c3">{HEAD}{PROSE}</div><div class="d4"><p><a href=1>Read more</a></p><p><a href=2>An other story</a></p></div></div><div class="e5">&copy; 2021 Us. All rights reserved.</div></body>',
+        f"<body>{HEAD}{PROSE}</body>",
+        f"<body><main>{HEAD}{PROSE}<form><label>Your name</label><input><button>Send</button></form></main></body>",
+        f"<body><main>{HEAD}{PROSE}</main><table><tr><td><a href=1>Home</a><td><a href=1>Shop</a></table></body>",
+    ],
+)
+def test_main_text_without_known_names(html_model, page):
+    assert html_text.extract(html_model, [page]) == [re.sub("<[^>]*>", " ", HEAD + PROSE).replace("  ", " ").strip()]
+
+
+def test_equal_paragraphs_all_stay(html_model):
+    got = html_text.extract(html_model, [f"<body><div class='article-comments-count'><div>{HEAD}{PROSE}{PROSE}<p>Short end.</p></div></div></body>"])[0]
+    assert got.count("Short end.") == 3 and got.startswith("The Head Line")
+
+
+def test_accuracy_on_layouts_whose_names_no_training_page_has(html_model):
+    containers = ('div class="lead-copy"', 'div id="textblock"', 'div class="prose"', 'main class="pagebody"', "article", 'div class="longform"', 'section class="readable"')
+    others = ('div class="rail"', 'div class="outbrain"', 'div class="cc-window"', 'div class="user-post"', 'ul class="topics"', 'div class="teaserbox"', 'div class="paywall"', 'div class="hotlinks"', "footer", "nav", 'div class="optin"', 'div class="follow-us"', "aside")
+    right = wrong = missed = 0
+    for dom, labels in html_text.labelled_pages(200, 99, containers, others, 0.0):
+        kind = np.array([-1 if t is None else html_text._evidence(t, k) for t, k in zip(dom.text, dom.linked, strict=True)])
+        pair = html_text.potentials(html_model, dom.features, html_text.structure(dom))
+        kept = html_text.marginals(html_model, np.array(dom.parent), np.array(dom.depth), pair, kind)[:, html_text.CONTENT] >= 0.5
+        for text, keep, label in zip(dom.text, kept.tolist(), labels, strict=True):
+            n = len((text or "").split())
+            right, wrong, missed = right + n * (keep and label == 1), wrong + n * (keep and label != 1), missed + n * (not keep and label == 1)
+    assert 2 * right / (2 * right + wrong + missed) > 0.97
+
+
+def test_given_pages_equal_their_articles(html_model, sf_dir, spark):
+    pages = [r[0] or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    want = []
+    for page in pages:
+        article = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)
+        bare = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:h1|p|br|li|ul|div)(?:\s[^>]*)?>", " ", article[1] if article else ""))
+        want.append(" ".join(html.unescape(bare).split()))
+    assert html_text.extract(html_model, pages) == want
+
+
+def test_omitted_end_tags_deep_and_long_pages(html_model):
+    began = time.perf_counter()
+    for deep in ("<div>" * 50_000 + "x" + "</span>" * 50_000 + "</div>" * 50_000, "<ul>" + "<div>" * 30_000 + "<li></li>" * 30_000, "<b>" * 30_000 + "<p>" * 30_000, "<li><ul>" + "<div>" * 30_000 + "<li></li>" * 30_000):
+        assert len(html_text.parse(deep).parent) > 30_000
+    long = "<article>" + PROSE * 3000 + "</article><ul><li><a href=1>One<li><a href=2>Two</ul>"
+    assert html_text.extract(html_model, [long])[0].count("Short end.") == 3000
+    assert time.perf_counter() - began < 40
+    dom = html_text.parse("<dl><dt>a<dd>b<dt>c</dl><table><tr><td>d<td>e<tr><th>f</table><p>g<p>h<ul><li>i<ul><li>j</ul><li>k</ul>")
+    depth = {t: dom.depth[i] for i, t in enumerate(dom.text) if t}
+    assert depth == {"a": 3, "b": 3, "c": 3, "d": 4, "e": 4, "f": 4, "g": 2, "h": 2, "i": 3, "j": 5, "k": 3}
 
 
 def test_licences_and_their_inheritance(spark):
@@ -471,3 +701,95 @@ def test_licences_and_their_inheritance(spark):
     ]
     assert got == sorted(want, key=str)
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def brute_license(text: str, threshold: float = licenses.THRESHOLD):
+    """The best of all lines, blocks and the whole text, by dictionaries."""
+    word = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]")
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    templates = [(name, Counter(word.findall(t.lower()))) for name, t in licenses.template_texts()]
+    seen = Counter(t for _, tf in templates for t in tf)
+    idf = lambda t: math.log((len(templates) + 1) / (seen[t] + 1)) + 1
+    vector = lambda tf: {t: n * idf(t) for t, n in tf.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    templates = [(name, vector(tf)) for name, tf in templates]
+    lines, units, block = re.split(r"\r\n|\n|\r", low), [word.findall(low)], []
+    for line in [*lines, ""]:
+        words = word.findall(line)
+        units += [words, block] if not words else [words]
+        block = block + words if words else []
+    best = None
+    for words in filter(None, units):
+        v = vector(Counter(words))
+        for name, t in templates:
+            score = round(sum(x * t.get(w, 0.0) for w, x in v.items()) / norm(v) / norm(t), 7)
+            if score >= threshold and (best is None or (-score, name) < best):
+                best = (-score, name)
+    return best and (best[1], -best[0])
+
+
+APACHE = """/*
+ * Copyright 2020 Someone
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+int main() { return 0; }
+"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+import os
+"""
+
+
+def test_licence_scores_equal_brute_force():
+    rng = random.Random(12)
+    texts = [APACHE, GPL, GPL.replace("version 3", "version 2"), APACHE.replace("\n", "\r\n"), "// SPDX-License-Identifier: MIT\ncode", "SPDX-License-Identifier: GPL-2.0-or-later", "", " \n\n", "no licence at all, the use of any software", "é.-+.x ..a..b-"]
+    full = [t for _, t in licenses.template_texts()]
+    pool = [w for t in full for w in t.split()] + ["filler"] * 300
+    for t in full:
+        words = t.split()
+        for drop in (0.0, 0.15, 0.4):
+            some = [w for w in words if rng.random() >= drop]
+            width = rng.choice([4, 9, 1000])
+            texts.append("Intro of it\n\n" + "\n".join("* " + " ".join(some[i : i + width]) for i in range(0, len(some), width)) + "\n\n" + " ".join(rng.choice(pool) for _ in range(20)))
+    texts += [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 60))) for _ in range(100)]
+    got = licenses.Scanner(licenses.THRESHOLD).scan([t.encode() for t in texts])
+    want = [brute_license(t) for t in texts]
+    assert [g and g[0] for g in got] == [w and w[0] for w in want] and all(g is None or abs(g[1] - w[1]) < 1e-6 for g, w in zip(got, want, strict=True))
+    assert [x and x[0] for x in want[:10]] == ["Apache-2.0", "GPL-3.0", "GPL-2.0", "Apache-2.0", "MIT", "GPL-2.0", None, None, None, None]
+
+
+def test_whole_licence_files_and_long_lines():
+    scanner = licenses.Scanner(licenses.THRESHOLD)
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        words = licenses.TEMPLATES[name][-1].replace("Copyright", "Copyright (c) 2021 Jane Doe").split()
+        assert scanner.scan([("\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11))).encode()])[0][0] == name
+    began = time.perf_counter()
+    long = " ".join(f"w{i % 5000} license" for i in range(100_000)).encode()
+    assert scanner.scan([long, long + b"\nReleased under the MIT License."])[1] == ("MIT", 1.0)
+    assert time.perf_counter() - began < 10
+
+
+def test_licences_with_clashing_columns(spark):
+    rows = [("a/LICENSE", "MIT License"), ("a/b.c", None), ("a/b.c", None), ("", ""), (None, None)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    for clash in ("text_key", "dir", "at", "near", "file", "above", "own", "own_score", "license", "from_path", "own_license", "_quire_text", "_quire_dir"):
+        df = df.withColumn(clash, F.lit("clash"))
+    got = sorted(((r["path"], r["dir"], r["_quire_text"], r["license"], r["from_path"]) for r in licenses.scan(df).collect()), key=str)
+    assert got == sorted([("a/LICENSE", "clash", "clash", "MIT", "a/LICENSE"), *[("a/b.c", "clash", "clash", "MIT", "a/LICENSE")] * 2, ("", "clash", "clash", None, None), (None, "clash", "clash", None, None)], key=str)
