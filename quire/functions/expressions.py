@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 # Ordered rewrites of mathematical text, command symbols, and terms of each notation profile.
 MATH_REWRITES = (
-    (r"\\left|\\right", ""), (r"\\cdot|\\times|×|·", "*"), (r"\\div|÷", "/"), (r"\\leq|\\le|≤", "<="), (r"\\geq|\\ge|≥", ">="), (r"\\neq|≠", "!="), (r"−|–", "-"), (r"\\,|\;|\\!", ""),
-    (r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", "($1)/($2)"), (r"\^\{([^{}])\}", "^$1"), (r"_\{([^{}])\}", "_$1"), (r"[{}]", ""), (r"\$", ""), (r"\s+", ""),
-)
+    (r"^[\s$]+|[\s$]+$", ""), (r"\\(?:left|right|[bB]igg?)(?![A-Za-z])", ""), (r"\\[,;:!> ]|~|\\q?quad(?![A-Za-z])", ""), (r"\\(?:mathrm|mathit|text|operatorname)\{([^{}]*)\}", "$1"), (r"\\[dt]frac", r"\\frac"),
+    (r"\\cdot(?![A-Za-z])", "·"), (r"\\times(?![A-Za-z])", "×"), (r"[−–]", "-"), (r"\\leq?(?![A-Za-z])", "≤"), (r"\\geq?(?![A-Za-z])", "≥"), (r"\\neq?(?![A-Za-z])", "≠"),
+    (r"\{,\}", ","), (r"\s+", ""), (r"([_^])\{(\w)\}", "$1$2"), (r"\{([^{}\\])\}", "$1"), (r"[.,]+$", ""),
+)
 SYMBOLS = ((r"\alpha", "α"), (r"\beta", "β"), (r"\gamma", "γ"), (r"\pi", "π"), (r"\infty", "∞"), (r"\sqrt", "√"), (r"\angle", "∠"), (r"\perp", "⊥"), (r"\parallel", "∥"), (r"\cdot", "·"))
 NOTATION = {"mean": r"\\mu|\\bar\{x\}|x̄", "deviation": r"\\sigma|\bSD\b|\bs\b", "variance": r"\\sigma\^2|s\^2|\bVar\b"}
 PROFILES = {"greek": ((r"\\bar\{x\}|x̄", "\\\\mu"), (r"s\^2", "\\\\sigma^2"), (r"\bSD\b", "\\\\sigma")), "latin": ((r"\\mu", "x̄"), (r"\\sigma\^2", "s^2"), (r"\\sigma", "s"))}
@@ -22,12 +23,13 @@ def _chain(text: Column, rules) -> Column:
 
 
 def word(text: Column) -> Column:
-    """SC-01: without marks and quotes around and inside."""
-    return F.lower(F.regexp_replace(text, r"[.,;:!?\"'()\[\]*#$%&]", ""))
+    """SC-01: without marks and quotes around and inside, vowel points and the quote marks of abbreviations included."""
+    return F.lower(F.regexp_replace(text, r"[.,;:!?\"'()\[\]*#$%&\u0591-\u05C7\u05F3\u05F4]", ""))
 
 
 def number(text: Column) -> Column:
-    """SC-02: thousands joined if the commas part groups of three, else a comma is a point."""
+    """SC-02: thousands joined if the commas part groups of three, else a comma is a point. A comma may stand in braces."""
+    text = F.replace(text, F.lit("{,}"), F.lit(","))
     return F.when(text.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?$"), F.replace(text, F.lit(","), F.lit(""))).otherwise(F.replace(text, F.lit(","), F.lit(".")))
 
 
@@ -37,13 +39,13 @@ def maths(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """SC-04: array of tokens: whole formulas between dollars, and words."""
-    return F.regexp_extract_all(text, F.lit(r"\$[^$]*\$|[^\s$]+"), 0)
+    """SC-04: array of tokens: whole formulas between double or single dollars, and words, parted by the hyphen mark too."""
+    return F.regexp_extract_all(text, F.lit(r"\$\$[^$]+\$\$|\$[^$]+\$|[^\s$\u05BE]+"), 0)
 
 
 def token_kind(token: Column) -> Column:
     """SC-04: M for a formula, W for a word."""
-    return F.when(token.rlike(r"^\$[^$]*\$$"), "M").otherwise("W")
+    return F.when(token.rlike(r"^\$\$?[^$]+\$\$?$"), "M").otherwise("W")
 
 
 def numbers_in(text: Column) -> Column:
@@ -53,8 +55,8 @@ def numbers_in(text: Column) -> Column:
 
 
 def strip_label(text: Column) -> Column:
-    """SC-06: without a leading label such as (3), 3. or a)."""
-    return F.regexp_replace(text, r"^\s*(\([0-9]+\)|[0-9]+[.)]|[a-z]\))\s*", "")
+    """SC-06: without a leading label such as (3), 3., a), IV. or a Hebrew letter."""
+    return F.regexp_replace(text, r"^\s*(\([0-9]+\)|[0-9]{1,2}[.)]|[IVX]+\.|[a-z]\)|[\u05D0-\u05EA]\.)\s*", "")
 
 
 def section_id(text: Column) -> Column:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def category_scores(checks: DataFrame, key: str, categories: list[str], default: float = 1.0) -> DataFrame:
@@ -46,12 +47,29 @@ def label_pr(got: DataFrame, required: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(ratio("_g").alias("precision"), ratio("_r").alias("recall"), extra.alias("hallucinated"))
 
 
+def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float], buckets: int = 1024) -> DataFrame:
+    """(key, one column for each named share): exact percentiles, interpolated between neighbours. Equal values are counted
+    first, then buckets of the range of values; only the buckets that hold a wanted rank are put in order."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranges = counted.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_all"))
+    bucket = F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)) * buckets))
+    placed = counted.join(ranges, key).withColumn("_b", F.coalesce(bucket, F.lit(0)))
+    sums = placed.groupBy(key, "_b").agg(F.sum("_c").alias("_in"), F.first("_all").alias("_all"))
+    sums = sums.withColumn("_before", F.sum("_in").over(Window.partitionBy(key).orderBy("_b")) - F.col("_in"))
+    rank = {name: share * (F.col("_all") - 1) for name, share in shares.items()}
+    ends = [f(r) for r in rank.values() for f in (F.floor, F.ceil)]
+    wanted = sums.where(reduce(lambda x, y: x | y, ((k >= F.col("_before")) & (k < F.col("_before") + F.col("_in")) for k in ends)))
+    inside = placed.join(wanted.select(key, "_b", "_before"), [key, "_b"])
+    inside = inside.withColumn("_to", F.col("_before") + F.sum("_c").over(Window.partitionBy(key, "_b").orderBy("_v")))
+    at = lambda k: F.max(F.when((k < F.col("_to")) & (k >= F.col("_to") - F.col("_c")), F.col("_v")))
+    return inside.groupBy(key).agg(*((at(F.floor(r)) + (F.max(r) - F.max(F.floor(r))) * (at(F.ceil(r)) - at(F.floor(r)))).alias(name) for name, r in rank.items()))
+
+
 def timing_summary(rows: DataFrame, stage: str, seconds: str, failed: str) -> DataFrame:
     """AG-26: (stage, n, failures, mean, p50, p95, total)."""
-    return rows.groupBy(stage).agg(
-        F.count("*").alias("n"), F.count_if(F.col(failed)).alias("failures"), F.round(F.avg(seconds), 6).alias("mean"), F.round(F.percentile(seconds, 0.5), 6).alias("p50"),
-        F.round(F.percentile(seconds, 0.95), 6).alias("p95"), F.round(F.sum(seconds), 4).alias("total"),
-    )
+    sums = rows.groupBy(stage).agg(F.count("*").alias("n"), F.count_if(F.col(failed)).alias("failures"), F.round(F.avg(seconds), 6).alias("mean"), F.round(F.sum(seconds), 4).alias("total"))
+    ranked = percentiles(rows, stage, seconds, {"p50": 0.5, "p95": 0.95})
+    return sums.join(ranked, stage, "left").select(stage, "n", "failures", "mean", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "total")
 
 
 def gate(issues: list[DataFrame], items: DataFrame, key: str) -> DataFrame:

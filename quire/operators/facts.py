@@ -68,7 +68,7 @@ def contradictions(facts: DataFrame, exclusive: DataFrame, entities: str = "enti
     exclusive(first, second) is a short rule table. Types are distinct per entities before they are paired.
     """
     stated = facts.select(entities, "fact_type").distinct()
-    first = stated.join(F.broadcast(exclusive), stated["fact_type"] == exclusive["first"]).select(entities, "first", "second")
+    first = stated.join(exclusive, stated["fact_type"] == exclusive["first"]).select(entities, "first", "second")
     return first.join(stated.withColumnRenamed("fact_type", "second"), [entities, "second"], "left_semi").select(entities, "first", "second")
 
 

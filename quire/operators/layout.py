@@ -103,24 +103,27 @@ def touching(boxes: DataFrame, key: str, gap: int) -> DataFrame:
     return pairs.where((F.col("box_id") < F.col("o_id")) & (F.col("x0") <= F.col("o_x1") + gap) & (F.col("o_x0") <= F.col("x1") + gap)).select(key, F.col("box_id").alias("a"), F.col("o_id").alias("b"))
 
 
-def clusters(boxes: DataFrame, gap: int, key: str = "page", rounds: int = 30) -> DataFrame:
+def clusters(boxes: DataFrame, gap: int, key: str = "page", rounds: int = 60) -> DataFrame:
     """WN-13: (key, box_id, cluster): boxes joined by chains of gaps of `gap` at most; a cluster is named by its least box.
 
-    Least labels are passed on along the edges, then followed one step, until none changes. Each round is a checkpoint.
+    A round maps each box to the least of itself and its neighbours and replaces the ends of all edges by what they map
+    to, so that the graph shrinks until no edge is left; then the maps are followed. Each round is a checkpoint. Rounds
+    grow with the logarithm of the longest chain; more than `rounds` is an error.
     """
-    edges = touching(boxes, key, gap)
-    edges = stored_checkpoint(edges.unionAll(edges.select(key, F.col("b"), F.col("a"))))
-    labels = stored_checkpoint(boxes.select(key, "box_id", F.col("box_id").alias("cluster")))
-    for _ in range(rounds):
-        low = edges.join(labels.select(key, F.col("box_id").alias("b"), F.col("cluster").alias("_l")), [key, "b"]).groupBy(key, F.col("a").alias("box_id")).agg(F.min("_l").alias("_l"))
-        moved = labels.join(low, [key, "box_id"], "left").select(key, "box_id", F.least("cluster", "_l").alias("cluster"))
-        at = moved.select(key, F.col("box_id").alias("cluster"), F.col("cluster").alias("_to"))
-        jumped = stored_checkpoint(moved.join(at, [key, "cluster"]).select(key, "box_id", F.col("_to").alias("cluster")))
-        changed = jumped.join(labels.withColumnRenamed("cluster", "_was"), [key, "box_id"]).where("cluster <> _was").isEmpty()
-        labels = jumped
-        if changed:
-            return labels
-    raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+    edges, maps = stored_checkpoint(touching(boxes, key, gap)), []
+    while not edges.isEmpty():
+        if len(maps) == rounds:
+            raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+        ends = edges.unionAll(edges.select(key, F.col("b"), F.col("a")))
+        to = stored_checkpoint(ends.groupBy(key, F.col("a").alias("box_id")).agg(F.least("a", F.min("b")).alias("cluster")))
+        maps.append(to)
+        named = lambda x, to=to: to.select(key, F.col("box_id").alias(x), F.col("cluster").alias(f"_{x}"))
+        moved = edges.join(named("a"), [key, "a"]).join(named("b"), [key, "b"]).where("_a <> _b")
+        edges = stored_checkpoint(moved.select(key, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+    found = boxes.select(key, "box_id", F.col("box_id").alias("cluster"))
+    for to in maps:
+        found = found.join(to.select(key, F.col("box_id").alias("cluster"), F.col("cluster").alias("_to")), [key, "cluster"], "left").select(key, "box_id", F.coalesce("_to", "cluster").alias("cluster"))
+    return found
 
 
 def classify_clusters(members: DataFrame, keys: list[str]) -> DataFrame:

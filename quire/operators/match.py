@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.operators.ranges import as_of, near_join, overlap_join
+from quire.sources.incremental import stored_checkpoint
 
 
 def bag_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,18 +59,30 @@ def bind_regions(items: DataFrame, markers: DataFrame, key: str = "page") -> Dat
     return held.unionByName(as_of(top.where("region IS NULL").drop("region"), markers, key, "y1", "y", "region"))
 
 
+def one_to_one(pairs: DataFrame, left: list[str], right: list[str], cost: list[Column], rounds: int = 30) -> DataFrame:
+    """The pairs that a greedy pass in order of cost takes, each end once: pairs that are the best of both their ends are
+    taken together and what they touch goes, until no pair is left. cost must order all pairs of an end strictly. Each
+    round at least halves chains of falling cost; more than `rounds` is an error."""
+    taken, open_pairs = [], stored_checkpoint(pairs)
+    while not open_pairs.isEmpty():
+        if len(taken) == rounds:
+            raise RuntimeError(f"matching did not settle in {rounds} rounds")
+        best = lambda ends: F.row_number().over(Window.partitionBy(*ends).orderBy(*cost))
+        now = stored_checkpoint(open_pairs.withColumns({"_ra": best(left), "_rb": best(right)}).where("_ra = 1 AND _rb = 1").drop("_ra", "_rb"))
+        taken.append(now)
+        open_pairs = stored_checkpoint(open_pairs.join(now.select(*left), left, "left_anti").join(now.select(*right), right, "left_anti"))
+    return reduce(DataFrame.unionByName, taken, pairs.limit(0))
+
+
 def tolerance_match(a: DataFrame, b: DataFrame, key: str, tx: float, ty: float) -> DataFrame:
-    """JN-06: (key, pid, match_id, status) for points(key, pid, x, y): pairs that are each other's nearest within the
-    tolerances, and the points of either side that have none. contested: another candidate was in reach of either."""
+    """JN-06: (key, pid, match_id, status) for points(key, pid, x, y): pairs within the tolerances, the nearest first, each
+    point once, and the points of either side that are left. contested: another candidate was in reach of either."""
     other = b.select(key, F.col("pid").alias("o_pid"), F.col("x").alias("o_x"), F.col("y").alias("o_y"))
     pairs = near_join(a, other, [key], F.col("x"), F.col("o_x"), tx).where(F.abs(F.col("y") - F.col("o_y")) <= ty)
     d = F.round((F.col("x") - F.col("o_x")) ** 2 + (F.col("y") - F.col("o_y")) ** 2, 9)
-    of_a, of_b = Window.partitionBy(key, "pid"), Window.partitionBy(key, "o_pid")
-    ranked = pairs.withColumn("d", d).select(
-        key, "pid", "o_pid", F.row_number().over(of_a.orderBy("d", "o_pid")).alias("ra"), F.row_number().over(of_b.orderBy("d", "pid")).alias("rb"),
-        ((F.count("*").over(of_a) > 1) | (F.count("*").over(of_b) > 1)).alias("contested"),
-    )
-    matched = ranked.where("ra = 1 AND rb = 1").select(key, "pid", F.col("o_pid").alias("match_id"), F.when(F.col("contested"), "contested").otherwise("matched").alias("status"))
+    several = (F.count("*").over(Window.partitionBy(key, "pid")) > 1) | (F.count("*").over(Window.partitionBy(key, "o_pid")) > 1)
+    found = one_to_one(pairs.select(key, "pid", "o_pid", d.alias("d"), several.alias("contested")), [key, "pid"], [key, "o_pid"], [F.col("d"), F.col("pid"), F.col("o_pid")])
+    matched = found.select(key, "pid", F.col("o_pid").alias("match_id"), F.when(F.col("contested"), "contested").otherwise("matched").alias("status"))
     lost = a.select(key, "pid").join(matched, [key, "pid"], "left_anti").select(key, "pid", F.lit(None).cast("long").alias("match_id"), F.lit("unmatched").alias("status"))
     more = b.select(key, F.col("pid").alias("match_id")).join(matched, [key, "match_id"], "left_anti").select(key, F.lit(None).cast("long").alias("pid"), "match_id", F.lit("extra").alias("status"))
     return matched.unionByName(lost).unionByName(more)
@@ -86,7 +99,7 @@ def nearest_owner(tokens: DataFrame, segs: DataFrame, key: str = "page") -> Data
 
 
 def fuzzy_bind(a: DataFrame, b: DataFrame, key: str, threshold: float = 0.75) -> DataFrame:
-    """JN-08: (key, name, other, ratio): names of a and b that are each other's most similar, 1 - edits / longer length.
+    """JN-08: (key, name, other, ratio): names of a and b bound by 1 - edits / longer length, the likest first, each once.
 
     Only names whose lengths allow the threshold are compared, by buckets of length. This ratio is not that of matching
     blocks; both are 1 for equal names only.
@@ -96,9 +109,8 @@ def fuzzy_bind(a: DataFrame, b: DataFrame, key: str, threshold: float = 0.75) ->
     reach = F.sequence(F.ceil(F.length("other") * threshold), F.floor(F.length("other") / threshold))
     pairs = left.join(right.withColumn("_len", F.explode(reach)), [key, "_len"])
     ratio = F.round(1 - F.levenshtein("name", "other") / F.greatest(F.length("name"), F.length("other")), 6)
-    best = lambda by, then: F.row_number().over(Window.partitionBy(key, by).orderBy(F.desc("ratio"), then))
-    scored = pairs.withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
-    return scored.withColumn("ra", best("name", "other")).withColumn("rb", best("other", "name")).where("ra = 1 AND rb = 1").select(key, "name", "other", "ratio")
+    scored = pairs.withColumn("ratio", ratio).where(F.col("ratio") >= threshold).select(key, "name", "other", "ratio")
+    return one_to_one(scored, [key, "name"], [key, "other"], [F.desc("ratio"), F.col("name"), F.col("other")])
 
 
 def compare_cells(spec: DataFrame, observed: DataFrame, table: str, value: str) -> DataFrame:
@@ -171,7 +183,7 @@ def declared_vs_detected(docs: DataFrame, items: DataFrame, words: DataFrame) ->
     words(word, number) is a short table of number words.
     """
     stated = docs.select("doc_id", F.regexp_extract(F.lower("text"), r"(^|[^a-z0-9])([0-9]{1,4}|one|two|three|four|five|six|seven|eight|nine|ten)([^a-z0-9]|$)", 2).alias("word")).where("word <> ''")
-    number = stated.join(F.broadcast(words), "word", "left").select("doc_id", F.coalesce("number", F.col("word").try_cast("long")).alias("declared"))
+    number = stated.join(words, "word", "left").select("doc_id", F.coalesce("number", F.col("word").try_cast("long")).alias("declared"))
     found = items.groupBy("doc_id").agg(F.count("*").alias("detected"))
     return number.join(found, "doc_id", "left").select("doc_id", "declared", F.coalesce("detected", F.lit(0)).alias("detected")).where("declared <> detected")
 

@@ -80,18 +80,48 @@ def split_evenly(rows: DataFrame, key: str, order: str, total: str) -> DataFrame
 def rebalance(sections: DataFrame) -> DataFrame:
     """WN-08: sections plus new_points, scaled so that the answered total is `total`.
 
-    Mandatory sections keep their proportions and the options of a group become equal. The remainder goes to the last
-    section, but only if the question has no groups.
+    Mandatory sections keep their proportions and the options of a group become equal, at their mean or, if that is not
+    above 0, at 1. If nothing weighs anything, mandatory sections count alike. The remainder goes to the last section, but
+    only if the question has no groups.
     """
     question, group = Window.partitionBy("qid"), Window.partitionBy("qid", "grp")
     mandatory = F.col("grp") == ""
-    weight = F.when(mandatory, F.col("points").cast("double")).otherwise(F.avg(F.col("points").cast("double")).over(group))
-    counted = F.when(mandatory, F.col("weight")).otherwise(F.col("weight") * F.col("k") / F.count("*").over(group))
-    rows = sections.withColumn("weight", weight)
-    rows = rows.withColumn("all", F.sum(counted).over(question)).withColumn("raw", F.round(F.col("weight") * F.col("total").cast("double") / F.col("all") + 1e-9, 2).cast(CENTS))
+    mean = F.avg(F.col("points").cast("double")).over(group)
+    part = F.when(mandatory, F.lit(1.0)).otherwise(F.col("k") / F.count("*").over(group))
+    rows = sections.withColumns({"_weight": F.when(mandatory, F.col("points").cast("double")).when(mean > 0, mean).otherwise(1.0), "_part": part})
+    rows = rows.withColumns({"_all": F.sum(F.col("_weight") * F.col("_part")).over(question), "_even": F.sum("_part").over(question)})
+    flat = F.col("_all") <= 0
+    weight, every = F.when(flat, 1.0).otherwise(F.col("_weight")), F.when(flat, F.when(F.col("_even") > 0, F.col("_even")).otherwise(1.0)).otherwise(F.col("_all"))
+    rows = rows.withColumn("_raw", F.round(weight * F.col("total").cast("double") / every + 1e-9, 2).cast(CENTS))
     last = F.lead("sec").over(question.orderBy("sec")).isNull() & (F.max("grp").over(question) == "")
-    rest = F.col("total") - (F.sum("raw").over(question) - F.col("raw"))
-    return rows.withColumn("new_points", F.when(last, rest).otherwise(F.col("raw")).cast(CENTS)).drop("weight", "all", "raw")
+    rest = F.col("total") - (F.sum("_raw").over(question) - F.col("_raw"))
+    return rows.withColumn("new_points", F.when(last, rest).otherwise(F.col("_raw")).cast(CENTS)).drop("_weight", "_part", "_all", "_even", "_raw")
+
+
+def rebalance_rubric(sections: DataFrame, rubric: DataFrame, most_general: int = 50) -> DataFrame:
+    """WN-08: rubric(qid, sec, step, pct) plus new_pct, for sections(qid, sec, grp, total, new_points).
+
+    A step of no section of the question is general. Without groups, or with general steps only, all steps are scaled to
+    100 and the last takes the remainder (all 0: as they are). Else general steps keep theirs, and what they leave of 100,
+    counting `most_general` of them at most, goes to the sections by their points, and within a section to its steps by
+    their pct, or evenly if all are 0.
+    """
+    grouped = sections.groupBy("qid").agg(F.bool_or(F.col("grp") != "").alias("_grouped"), F.max("total").cast("double").alias("_total"))
+    steps = rubric.join(sections.select("qid", "sec", F.col("new_points").cast("double").alias("_points")), ["qid", "sec"], "left").join(grouped, "qid", "left")
+    question, section = Window.partitionBy("qid"), Window.partitionBy("qid", "sec")
+    pct, general = F.col("pct").cast("double"), F.col("_points").isNull()
+    steps = steps.withColumns({
+        "_sum": F.sum(pct).over(question), "_general": F.sum(F.when(general, pct).otherwise(0.0)).over(question), "_some": F.count("_points").over(question), "_own": F.sum(pct).over(section), "_n": F.count("*").over(section),
+        "_last": F.lead("step").over(question.orderBy("sec", "step")).isNull(),
+    })
+    cents = lambda x: F.round(x + 1e-9, 2).cast(CENTS)
+    whole = ~F.coalesce("_grouped", F.lit(False)) | (F.col("_some") == 0)
+    steps = steps.withColumn("_new", cents(100 * pct / F.nullif(F.col("_sum"), F.lit(0.0))))
+    scaled = F.when(F.col("_last"), 100 - (F.sum("_new").over(question) - F.col("_new"))).otherwise(F.col("_new"))
+    share = F.when(F.col("_total") > 0, (100 - F.least(F.col("_general"), F.lit(float(most_general)))) * F.col("_points") / F.nullif(F.col("_total"), F.lit(0.0))).otherwise(0.0)
+    dealt = cents(F.when(F.col("_own") > 0, share * pct / F.nullif(F.col("_own"), F.lit(0.0))).otherwise(share / F.col("_n")))
+    new = F.when(whole & (F.col("_sum") > 0), scaled).when(whole | general, F.col("pct")).otherwise(dealt).cast(CENTS)
+    return steps.withColumn("new_pct", new).select(*rubric.columns, "new_pct")
 
 
 def contiguous(members: DataFrame) -> DataFrame:

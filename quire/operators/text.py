@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.expressions import maths, number, token_kind
+from quire.operators.match import bag_diff
+
 # Letters of each script, as ranges of a character class, and those written from right to left.
 SCRIPTS = {"latin": "A-Za-z\u00c0-\u024f", "hebrew": "\u0590-\u05ff", "arabic": "\u0600-\u06ff", "cyrillic": "\u0400-\u04ff", "digit": "0-9"}
 RIGHT_TO_LEFT = ("hebrew", "arabic")
@@ -128,7 +133,7 @@ def formula_inventory(formulas: DataFrame, column: str, vocabulary: DataFrame) -
     tokens = formulas.select(F.explode(F.regexp_extract_all(column, F.lit(r"\\[a-zA-Z]+|[0-9]+|[a-zA-Z]|[^\sa-zA-Z0-9]"), 0)).alias("token"))
     kind = F.when(F.col("token").rlike(r"^\\"), "command").when(F.col("token").rlike("^[0-9]"), "number").when(F.col("token").rlike("^[a-zA-Z]"), "letter").otherwise("sign")
     counts = tokens.groupBy(kind.alias("kind"), "token").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(vocabulary.withColumn("known", F.lit(True))), "token", "left").fillna(False, ["known"]).select("kind", "token", "n", "known")
+    return counts.join(vocabulary.withColumn("known", F.lit(True)), "token", "left").fillna(False, ["known"]).select("kind", "token", "n", "known")
 
 
 def punctuation_commas(texts: DataFrame, key: str) -> DataFrame:
@@ -158,13 +163,21 @@ def clause_summary(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key, "kind").agg(F.count("*").alias("n"), F.array_join(ordered, "; ").alias("text"))
 
 
-def extract_facts(texts: DataFrame, key: str, patterns: DataFrame) -> DataFrame:
-    """WN-26: (key, fact_type, entities, value): all matches of a short table patterns(fact_type, pattern, symmetric), of
-    which group 1 is the first entity and group 2 the second; one row for each fact whatever its order or repeats."""
-    pairs = texts.select(key, "text").join(F.broadcast(patterns))
-    hits = pairs.select(key, "fact_type", "symmetric", F.explode(F.arrays_zip(F.regexp_extract_all("text", "pattern", F.lit(1)).alias("a"), F.regexp_extract_all("text", "pattern", F.lit(2)).alias("b"))).alias("m"))
-    both = F.array(F.lower("m.a"), F.lower("m.b"))
-    return hits.select(key, "fact_type", F.array_join(F.when(F.col("symmetric"), F.array_sort(both)).otherwise(both), ",").alias("entities")).distinct()
+def extract_facts(texts: DataFrame, key: str, patterns: DataFrame, most: int = 200) -> DataFrame:
+    """WN-26: (key, fact_type, entities, value): all matches of a table of at most `most` patterns(fact_type, pattern,
+    symmetric), more are an error. Group 1 is the first entity and group 2 the second; one row for each fact whatever its
+    order or repeats. The patterns become part of the plan, so each text is read once."""
+    rules = patterns.limit(most + 1).collect()
+    if len(rules) > most:
+        raise ValueError(f"over {most} patterns")
+
+    def found(rule) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(rule["pattern"]), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(rule["pattern"]), F.lit(2)).alias("b"))
+        order = F.array_sort if rule["symmetric"] else lambda both: both
+        return F.transform(pairs, lambda m: F.struct(F.lit(rule["fact_type"]).alias("fact_type"), F.array_join(order(F.array(F.lower(m["a"]), F.lower(m["b"]))), ",").alias("entities")))
+
+    none = F.array().cast("array<struct<fact_type:string,entities:string>>")
+    return texts.select(key, F.explode(F.concat(none, *map(found, rules))).alias("f")).select(key, "f.*").distinct()
 
 
 def visible_measures(found: DataFrame, labels: DataFrame, key: str, units: str) -> DataFrame:
@@ -176,10 +189,9 @@ def visible_measures(found: DataFrame, labels: DataFrame, key: str, units: str)
 
 def limit_per_group(rows: DataFrame, key: str, order: str, message: str, n: int) -> DataFrame:
     """WN-22: (key, place, message): the first n messages of each key, then one "and M more"."""
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    more = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > n)
-    rest = more.select(key, F.lit(n + 1).alias("place"), F.concat(F.lit("and "), F.col("_n") - n, F.lit(" more")).alias("message"))
-    return placed.where(F.col("place") <= n).select(key, "place", F.col(message).alias("message")).unionByName(rest)
+    by = Window.partitionBy(key)
+    placed = rows.select(key, F.row_number().over(by.orderBy(order)).alias("place"), F.count("*").over(by).alias("_n"), F.col(message).alias("_m")).where(F.col("place") <= n + 1)
+    return placed.select(key, "place", F.when(F.col("place") <= n, F.col("_m")).otherwise(F.concat(F.lit("and "), F.col("_n") - n, F.lit(" more"))).alias("message"))
 
 
 def question_span(lines: DataFrame, key: str, least: float = 0.4) -> DataFrame:
@@ -192,37 +204,123 @@ def question_span(lines: DataFrame, key: str, least: float = 0.4) -> DataFrame:
     return rows.where(kept).drop("_a", "_b")
 
 
-def anchors(a: DataFrame, b: DataFrame, key: str, window: int = 64) -> DataFrame:
-    """Words that are unique in both of a and b(key, pos, tok), as pairs of positions in rising order of both.
-
-    The order is by a running maximum: a pair stays if its place in b is above all before it and below the least of the
-    next `window` that rise too. It finds the usual alignment in one sort; crossing pairs are dropped.
-    """
+def _rising(places: pa.Array) -> pa.Array:
+    """Of each list which of its numbers are in its longest rising row (the one that ends lowest)."""
+    out = []
+    for row in places.to_pylist():
+        if all(x < y for x, y in zip(row, row[1:], strict=False)):
+            out.append([True] * len(row))
+            continue
+        lows: list[int] = []  # the lowest end of a rising row of each length, and which number it is
+        ends: list[int] = []
+        before: list[int] = []
+        for i, x in enumerate(row):
+            n = bisect_left(lows, x)
+            before.append(ends[n - 1] if n else -1)
+            lows[n : n + 1], ends[n : n + 1] = [x], [i]
+        keep, i = [False] * len(row), ends[-1]
+        while i >= 0:
+            keep[i], i = True, before[i]
+        out.append(keep)
+    return pa.array(out, pa.list_(pa.bool_()))
+
+
+def anchors(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Words that are unique in both of a and b(key, pos, tok), as pairs of positions in rising order of both: the longest
+    such row of a document, so that a word that has moved costs itself and no other."""
     one = lambda rows, name: rows.groupBy(key, "tok").agg(F.count("*").alias("_n"), F.min("pos").alias(name)).where("_n = 1").drop("_n")
     pairs = one(a, "pos_a").join(one(b, "pos_b"), [key, "tok"])
-    by = Window.partitionBy(key).orderBy("pos_a")
-    before = F.max("pos_b").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("pos_b").over(by.rowsBetween(1, window))
-    return pairs.where("pos_a IS NOT NULL").withColumns({"_b": before, "_c": after}).where("(_b IS NULL OR pos_b > _b) AND (_c IS NULL OR pos_b < _c)").drop("_b", "_c")
-
-
-def compare_readings(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """JN-19, fast path: (key, from_a, to_a, from_b, to_b, kind): the gaps between anchors in which the readings differ:
-    missing (only in a), extra (only in b), number or word. Gaps of equal words don't count."""
-    found = anchors(a, b, key)
-    size = lambda rows, name: rows.groupBy(key).agg((F.max("pos") + 1).alias(name))
-    ends = size(a, "pos_a").join(size(b, "pos_b"), key).withColumn("tok", F.lit(None).cast("string"))
-    by = Window.partitionBy(key).orderBy("pos_a", "pos_b")
-    marks = found.unionByName(ends)
-    gaps = marks.select(key, (F.coalesce(F.lag("pos_a").over(by), F.lit(-1)) + 1).alias("from_a"), F.col("pos_a").alias("to_a"), (F.coalesce(F.lag("pos_b").over(by), F.lit(-1)) + 1).alias("from_b"), F.col("pos_b").alias("to_b"))
-    gaps = gaps.where("to_a > from_a OR to_b > from_b")
-    words = lambda rows: rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("w"))
-    inside = gaps.join(words(a).withColumnRenamed("w", "wa"), key).join(words(b).withColumnRenamed("w", "wb"), key)
-    cut = lambda w, lo, hi: F.array_join(F.slice(w, F.col(lo) + 1, F.greatest(F.col(hi) - F.col(lo), F.lit(0))), " ")
-    inside = inside.withColumns({"text_a": cut("wa", "from_a", "to_a"), "text_b": cut("wb", "from_b", "to_b")}).where("text_a <> text_b")
+    rows = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos_a", "pos_b", "tok"))).alias("p"))
+    kept = rows.select(key, F.explode(F.arrays_zip("p", F.arrow_udf(_rising, "array<boolean>")(F.transform("p", lambda x: x["pos_b"].cast("long"))).alias("k"))).alias("z")).where("z.k")
+    return kept.select(key, "z.p.tok", "z.p.pos_a", "z.p.pos_b")
+
+
+def _trimmed(x: Column, y: Column) -> tuple[Column, Column]:
+    """How many words two lists have in common at the front, and then at the back."""
+    n = F.least(F.size(x), F.size(y))
+    front = F.coalesce(F.nullif(F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(F.get(x, i - 1) == F.get(y, i - 1), F.lit(False))), F.lit(False)), F.lit(0)) - 1, n).cast("int")
+    left = n - front
+    back = F.transform(F.sequence(F.lit(1), F.greatest(left, F.lit(1))), lambda i: F.coalesce((i <= left) & (F.get(x, F.size(x) - i) == F.get(y, F.size(y) - i)), F.lit(False)))
+    return front, F.coalesce(F.nullif(F.array_position(back, F.lit(False)), F.lit(0)) - 1, left).cast("int")
+
+
+def compare_readings(a: DataFrame, b: DataFrame, key: str, least: float = 0.7) -> DataFrame:
+    """JN-19, fast path: (key, from_a, to_a, from_b, to_b, kind, text_a, text_b): where the readings a and b(key, pos, tok)
+    differ between anchors, common words at either end of a gap taken off.
+
+    kind: unreadable ([?] in b), missing (only in a), extra (only in b), formula (a formula on either side; formulas are
+    compared in one spelling), number (digits on either side) or word. A document of which the second reading has less
+    than `least` of the words has one row more, incomplete. A document that one reading lacks altogether is missing or
+    extra as a whole. Each word meets only the gap that it stands in.
+    """
+    found = anchors(a, b, key).withColumn("gap", F.row_number().over(Window.partitionBy(key).orderBy("pos_a")))
+
+    def inside(rows: DataFrame, pos: str, words: str) -> DataFrame:
+        marks = found.select(key, F.col(pos).alias("pos"), F.lit(1).alias("_mark"))
+        placed = rows.select(key, "pos", "tok").join(marks, [key, "pos"], "left")
+        placed = placed.withColumn("gap", F.count("_mark").over(Window.partitionBy(key).orderBy("pos")).cast("int"))
+        one_spelling = F.when(token_kind(F.col("tok")) == "M", maths(F.col("tok"))).otherwise(F.col("tok"))
+        listed = F.array_sort(F.collect_list(F.when(F.col("_mark").isNull(), F.struct("pos", one_spelling.alias("norm"), "tok"))))
+        return placed.groupBy(key, "gap").agg(listed.alias(words), F.count("*").alias(f"all_{words}"))
+
+    none = F.from_json(F.lit("[]"), "array<struct<pos:int,norm:string,tok:string>>")
+    gaps = inside(a, "pos_a", "wa").join(inside(b, "pos_b", "wb"), [key, "gap"], "full_outer").join(found.select(key, "gap", "pos_a", "pos_b"), [key, "gap"], "left")
+    gaps = gaps.withColumns({"wa": F.coalesce("wa", none), "wb": F.coalesce("wb", none)})
+    front, back = _trimmed(*(F.transform(w, lambda t: t["norm"]) for w in ("wa", "wb")))
+    gaps = gaps.withColumns({"_f": front, "_b": back, "_s_a": F.coalesce(F.col("pos_a") + 1, F.lit(0)), "_s_b": F.coalesce(F.col("pos_b") + 1, F.lit(0))})
+    cut = lambda w: F.slice(w, F.col("_f") + 1, F.greatest(F.size(w) - F.col("_f") - F.col("_b"), F.lit(0)))
+    gaps = gaps.withColumns({"wa": cut("wa"), "wb": cut("wb")})
+    said = lambda w: F.array_join(F.transform(w, lambda t: t["tok"]), " ")
+    gaps = gaps.withColumns({"text_a": said("wa"), "text_b": said("wb"), "_of_a": F.coalesce("all_wa", F.lit(0))})
+    begins = {x: F.col(f"_s_{x}") + F.col("_f") for x in "ab"}
     digits = F.col("text_a").rlike("[0-9]") | F.col("text_b").rlike("[0-9]")
-    kind = F.when(F.col("text_b") == "", "missing").when(F.col("text_a") == "", "extra").when(digits, "number").otherwise("word")
-    return inside.select(key, "from_a", "to_a", "from_b", "to_b", kind.alias("kind"))
+    has_formula = reduce(lambda x, y: x | y, (F.exists(w, lambda t: token_kind(t["tok"]) == "M") for w in ("wa", "wb")))
+    kind = (
+        F.when(F.contains("text_b", F.lit("[?]")), "unreadable").when(F.size("wb") == 0, "missing").when(F.size("wa") == 0, "extra")
+        .when(has_formula, "formula").when(digits, "number").otherwise("word")
+    )
+    gaps = gaps.select(key, "_of_a", F.size("wa").alias("_off"), begins["a"].alias("from_a"), (begins["a"] + F.size("wa")).alias("to_a"), begins["b"].alias("from_b"), (begins["b"] + F.size("wb")).alias("to_b"), kind.alias("kind"), "text_a", "text_b")
+    by = Window.partitionBy(key)
+    gaps = gaps.withColumns({"_all": F.sum("_of_a").over(by), "_wrong": F.sum("_off").over(by), "_first": F.row_number().over(by.orderBy("from_a", "from_b")) == 1})
+    row = F.struct("from_a", "to_a", "from_b", "to_b", "kind", "text_a", "text_b")
+    whole = F.struct(F.lit(0).alias("from_a"), F.col("_all").cast("int").alias("to_a"), F.lit(0).alias("from_b"), F.lit(0).alias("to_b"), F.lit("incomplete").alias("kind"), F.lit("").alias("text_a"), F.lit("").alias("text_b"))
+    differs, few = (F.col("to_a") > F.col("from_a")) | (F.col("to_b") > F.col("from_b")), F.col("_first") & (F.col("_all") - F.col("_wrong") < least * F.col("_all"))
+    rows = F.concat(F.when(differs, F.array(row.cast(_GAP))).otherwise(F.array().cast(f"array<{_GAP}>")), F.when(few, F.array(whole.cast(_GAP))).otherwise(F.array().cast(f"array<{_GAP}>")))
+    return gaps.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+
+
+_GAP = "struct<from_a:int,to_a:int,from_b:int,to_b:int,kind:string,text_a:string,text_b:string>"
+
+
+def number_pairs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """JN-19: (key, place, number_a, number_b): the numbers of lines a and b(key, line_no, line), formulas included, that
+    only one reading has, repeats counted, those of a paired with those of b in reading order."""
+
+    def numbers(rows: DataFrame) -> DataFrame:
+        found = F.regexp_extract_all(F.replace("line", F.lit("{,}"), F.lit(",")), F.lit(r"[0-9]+(?:[.,][0-9]+)*"), 0)
+        return rows.select(key, "line_no", F.posexplode(F.transform(found, number)).alias("at", "number"))
+
+    def left_over(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        nth = numbers(rows).withColumn("_n", F.row_number().over(Window.partitionBy(key, "number").orderBy("line_no", "at")))
+        counts = numbers(other).groupBy(key, "number").agg(F.count("*").alias("_has"))
+        only = nth.join(counts, [key, "number"], "left").where(F.col("_n") > F.coalesce("_has", F.lit(0)))
+        return only.select(key, F.row_number().over(Window.partitionBy(key).orderBy("line_no", "at")).alias("place"), F.col("number").alias(name))
+
+    return left_over(a, b, "number_a").join(left_over(b, a, "number_b"), [key, "place"], "full_outer")
+
+
+def agreement(a: DataFrame, b: DataFrame, key: str, n: int = 6, least: float = 0.7) -> DataFrame:
+    """(key, recall, status, place, message): the bag difference of two readings a and b(key, tok) by document: the recall of
+    a's words, INCOMPLETE below `least`, AGREED or CONFLICTS, and the first n differing words, then one "and M more". The
+    bags are counted and joined once; what differs in a document is a list of its different words."""
+    diff = bag_diff(a, b, [key, "tok"])
+    missing, extra = F.col("missing"), F.col("extra")
+    said = F.struct("tok", F.concat_ws(" ", F.when(missing > 0, "missing").otherwise("extra"), "tok", (missing + extra).cast("string")).alias("message"))
+    rows = diff.groupBy(key).agg(F.sum("n_a").alias("_all"), F.sum(F.least("n_a", "n_b")).alias("_found"), F.array_sort(F.collect_list(F.when(missing + extra > 0, said))).alias("_said"))
+    more = F.when(F.size("_said") > n, F.array(F.concat(F.lit("and "), (F.size("_said") - n).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select(key, F.round(F.when(F.col("_all") > 0, F.col("_found") / F.col("_all")), 6).alias("recall"), F.concat(F.transform(F.slice("_said", 1, n), lambda x: x["message"]), more).alias("_m"))
+    status = F.when(F.col("recall") < least, "INCOMPLETE").when(F.size("_m") == 0, "AGREED").otherwise("CONFLICTS")
+    return rows.select(key, "recall", status.alias("status"), F.posexplode_outer("_m").alias("place", "message")).withColumn("place", F.col("place") + 1)
 
 
 def aligned_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

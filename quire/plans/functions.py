@@ -12,7 +12,7 @@ from quire.sources.tables import read
 _WORDS = "WITH w AS (SELECT lang, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents)"
 
 
-@query("sc01_word_normaliser", _WORDS + r""" SELECT lang, count(DISTINCT w) AS before, count(DISTINCT lower(regexp_replace(w, '[.,;:!?\"''()\[\]*#$%&]', '', 'g'))) AS after FROM w GROUP BY lang""")
+@query("sc01_word_normaliser", _WORDS + r""" SELECT lang, count(DISTINCT w) AS before, count(DISTINCT lower(regexp_replace(w, '[.,;:!?\"''()\[\]*#$%&\x{0591}-\x{05C7}\x{05F3}\x{05F4}]', '', 'g'))) AS after FROM w GROUP BY lang""")
 def sc01(spark, sf_dir):
     words = read(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     return words.groupBy("lang").agg(F.count_distinct("w").alias("before"), F.count_distinct(e.word(F.col("w"))).alias("after"))
@@ -30,14 +30,14 @@ def sc02(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy(e.number(text).alias("number")).agg(F.count("*").alias("n"))
 
 
-@query("sc03_maths_normaliser", "SELECT concat('x^', p_size, '+', p_partkey % 50) AS formula, count(*) AS n FROM part WHERE p_size < 10 GROUP BY ALL UNION ALL SELECT concat('x^', p_size, '+', p_partkey % 50), count(*) FROM part WHERE p_size >= 10 GROUP BY ALL")
+@query("sc03_maths_normaliser", "SELECT concat('x^', p_size, '+', p_partkey % 50) AS formula, count(*) AS n FROM part WHERE p_size < 10 GROUP BY ALL UNION ALL SELECT concat('x^{', p_size, '}+', p_partkey % 50), count(*) FROM part WHERE p_size >= 10 GROUP BY ALL")
 def sc03(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     spelling = F.concat(F.lit("$x^{"), "p_size", F.when(F.col("p_partkey") % 2 == 0, F.lit("} + ")).otherwise(F.lit(r"}\,+")), F.col("p_partkey") % 50, F.lit("$"))
     return part.groupBy(e.maths(spelling).alias("formula")).agg(F.count("*").alias("n"))
 
 
-@query("sc04_tokeniser", r"""WITH t AS (SELECT unnest(regexp_extract_all(concat('solve ', a, ' or ', b), '\$[^$]*\$|[^\s$]+')) AS t FROM v_formulas) SELECT CASE WHEN regexp_matches(t, '^\$[^$]*\$$') THEN 'M' ELSE 'W' END AS kind, count(*) AS n, count(DISTINCT t) AS tokens FROM t GROUP BY ALL""")
+@query("sc04_tokeniser", r"""WITH t AS (SELECT unnest(regexp_extract_all(concat('solve ', a, ' or ', b), '\$\$[^$]+\$\$|\$[^$]+\$|[^\s$\x{05BE}]+')) AS t FROM v_formulas) SELECT CASE WHEN regexp_matches(t, '^\$\$?[^$]+\$\$?$') THEN 'M' ELSE 'W' END AS kind, count(*) AS n, count(DISTINCT t) AS tokens FROM t GROUP BY ALL""")
 def sc04(spark, sf_dir):
     tokens = views.formulas(spark, sf_dir).select(F.explode(e.tokens(F.concat(F.lit("solve "), "a", F.lit(" or "), "b"))).alias("t"))
     return tokens.groupBy(e.token_kind(F.col("t")).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("t").alias("tokens"))
@@ -52,7 +52,7 @@ def sc05(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.explode(e.numbers_in(text)).alias("number")).groupBy("number").agg(F.count("*").alias("n"))
 
 
-@query("sc06_strip_label", r"SELECT doc, line_no, regexp_replace(line, '^\s*(\([0-9]+\)|[0-9]+[.)]|[a-z]\))\s*', '') AS bare FROM v_marked WHERE regexp_matches(line, '^\(')")
+@query("sc06_strip_label", r"SELECT doc, line_no, regexp_replace(line, '^\s*(\([0-9]+\)|[0-9]{1,2}[.)]|[IVX]+\.|[a-z]\)|[\x{05D0}-\x{05EA}]\.)\s*', '') AS bare FROM v_marked WHERE regexp_matches(line, '^\(')")
 def sc06(spark, sf_dir):
     return views.marked(spark, sf_dir).where("startswith(line, '(')").select("doc", "line_no", e.strip_label(F.col("line")).alias("bare"))
 

@@ -37,7 +37,7 @@ def src03(spark, sf_dir):
 
 @query(
     "src04_content_store",
-    "SELECT sha256(text) AS hash, min(doc_id) AS first_id, count(*) AS n, array_to_string(list_sort(list(doc_id))[2:], ',') AS aliases FROM documents GROUP BY sha256(text)",
+    "SELECT doc_id, sha256(text) AS hash, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS n FROM documents",
 )
 def src04(spark, sf_dir):
     return incremental.content_store(read(spark, sf_dir, "documents"), "text", "doc_id")

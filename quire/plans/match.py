@@ -69,12 +69,18 @@ def jn05(spark, sf_dir):
     return match.bind_regions(boxes.where("box_id % 8 <> 1").select("page", "box_id", "y0", "y1"), markers).select("page", "box_id", "region")
 
 
+def _greedy(left: str, right: str) -> str:
+    """SQL that goes through the pairs p(k, i, ...) of each key k in order i and takes those of which neither end is taken."""
+    return f"""g AS (SELECT DISTINCT k, cast(0 AS BIGINT) AS i, NULL AS {left}, NULL AS {right}, false AS took, cast([] AS VARCHAR[]) AS ls, cast([] AS VARCHAR[]) AS rs FROM p
+        UNION ALL SELECT g.k, p.i, p.{left}, p.{right}, t, CASE WHEN t THEN list_append(ls, cast(p.{left} AS VARCHAR)) ELSE ls END, CASE WHEN t THEN list_append(rs, cast(p.{right} AS VARCHAR)) ELSE rs END
+        FROM g JOIN p ON p.k = g.k AND p.i = g.i + 1, LATERAL (SELECT NOT list_contains(ls, cast(p.{left} AS VARCHAR)) AND NOT list_contains(rs, cast(p.{right} AS VARCHAR)) AS t))"""
+
+
 @query(
     "jn06_tolerance_match",
-    """WITH p AS (SELECT a.panel, a.pid, b.pid AS o, round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 9) AS d FROM v_points a JOIN v_detected b ON a.panel = b.panel AND abs(a.x - b.x) <= 1.1 AND abs(a.y - b.y) <= 3.1),
-    r AS (SELECT *, row_number() OVER (PARTITION BY panel, pid ORDER BY d, o) AS ra, row_number() OVER (PARTITION BY panel, o ORDER BY d, pid) AS rb,
-        count(*) OVER (PARTITION BY panel, pid) > 1 OR count(*) OVER (PARTITION BY panel, o) > 1 AS contested FROM p),
-    m AS (SELECT panel, pid, o AS match_id, CASE WHEN contested THEN 'contested' ELSE 'matched' END AS status FROM r WHERE ra = 1 AND rb = 1)
+    f"""WITH RECURSIVE q AS (SELECT a.panel AS k, a.pid, b.pid AS o, round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 9) AS d FROM v_points a JOIN v_detected b ON a.panel = b.panel AND abs(a.x - b.x) <= 1.1 AND abs(a.y - b.y) <= 3.1),
+    p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, pid, o) AS i, count(*) OVER (PARTITION BY k, pid) > 1 OR count(*) OVER (PARTITION BY k, o) > 1 AS contested FROM q), {_greedy("pid", "o")},
+    m AS (SELECT p.k AS panel, p.pid, p.o AS match_id, CASE WHEN contested THEN 'contested' ELSE 'matched' END AS status FROM g JOIN p USING (k, i) WHERE took)
     SELECT * FROM m UNION ALL SELECT panel, pid, NULL, 'unmatched' FROM v_points ANTI JOIN m USING (panel, pid)
     UNION ALL SELECT panel, NULL, d.pid, 'extra' FROM v_detected d WHERE NOT EXISTS (FROM m WHERE m.panel = d.panel AND m.match_id = d.pid)""",
 )
@@ -95,10 +101,10 @@ def jn07(spark, sf_dir):
 
 @query(
     "jn08_fuzzy_bind",
-    """WITH a AS (SELECT DISTINCT p_size AS key, concat(p_type, ' ', p_name) AS name FROM part), b AS (SELECT DISTINCT p_size AS key, replace(concat(p_type, ' ', p_name), 'O', 'Q') AS other FROM part WHERE p_partkey % 2 = 0),
-    p AS (SELECT key, name, other, round(1 - levenshtein(name, other) / greatest(length(name), length(other)), 6) AS ratio FROM a JOIN b USING (key)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY key, name ORDER BY ratio DESC, other) AS ra, row_number() OVER (PARTITION BY key, other ORDER BY ratio DESC, name) AS rb FROM p WHERE ratio >= 0.75)
-    SELECT key, name, other, ratio FROM r WHERE ra = 1 AND rb = 1""",
+    f"""WITH RECURSIVE a AS (SELECT DISTINCT p_size AS k, concat(p_type, ' ', p_name) AS name FROM part), b AS (SELECT DISTINCT p_size AS k, replace(concat(p_type, ' ', p_name), 'O', 'Q') AS other FROM part WHERE p_partkey % 2 = 0),
+    q AS (SELECT k, name, other, round(1 - levenshtein(name, other) / greatest(length(name), length(other)), 6) AS ratio FROM a JOIN b USING (k)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ratio DESC, name, other) AS i FROM q WHERE ratio >= 0.75), {_greedy("name", "other")}
+    SELECT k AS key, p.name, p.other, ratio FROM g JOIN p USING (k, i) WHERE took""",
 )
 def jn08(spark, sf_dir):
     part = read(spark, sf_dir, "part").select(F.col("p_size").alias("key"), F.concat_ws(" ", "p_type", "p_name").alias("name"), "p_partkey")

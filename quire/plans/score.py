@@ -87,17 +87,36 @@ def wn07_even(spark, sf_dir):
     return _doubles(score.split_evenly(rows, "qid", "sec", "total").select("qid", "sec", "amount"), "amount")
 
 
-@query(
-    "wn08_rebalance",
-    """WITH w AS (SELECT *, CASE WHEN grp = '' THEN cast(points AS DOUBLE) ELSE avg(cast(points AS DOUBLE)) OVER (PARTITION BY qid, grp) END AS weight, count(*) OVER (PARTITION BY qid, grp) AS n FROM v_sections),
+_POINTS = """w AS (SELECT *, CASE WHEN grp = '' THEN cast(points AS DOUBLE) ELSE avg(cast(points AS DOUBLE)) OVER (PARTITION BY qid, grp) END AS weight, count(*) OVER (PARTITION BY qid, grp) AS n FROM v_sections),
     a AS (SELECT *, sum(CASE WHEN grp = '' THEN weight ELSE weight * k / n END) OVER (PARTITION BY qid) AS a FROM w),
-    r AS (SELECT *, cast(round(weight * cast(total AS DOUBLE) / a + 1e-9, 2) AS DECIMAL(18,2)) AS raw, lead(sec) OVER (PARTITION BY qid ORDER BY sec) IS NULL AND max(grp) OVER (PARTITION BY qid) = '' AS last FROM a)
-    SELECT qid, sec, cast(CASE WHEN last THEN total - (sum(raw) OVER (PARTITION BY qid) - raw) ELSE raw END AS DOUBLE) AS new_points FROM r""",
-)
+    r AS (SELECT *, cast(round(weight * cast(total AS DOUBLE) / a + 1e-9, 2) AS DECIMAL(18,2)) AS raw, lead(sec) OVER (PARTITION BY qid ORDER BY sec) IS NULL AND max(grp) OVER (PARTITION BY qid) = '' AS last FROM a),
+    p AS (SELECT qid, sec, cast(CASE WHEN last THEN total - (sum(raw) OVER (PARTITION BY qid) - raw) ELSE raw END AS DOUBLE) AS new_points FROM r)"""
+
+
+@query("wn08_rebalance", f"WITH {_POINTS} SELECT * FROM p")
 def wn08(spark, sf_dir):
     return _doubles(score.rebalance(views.sections(spark, sf_dir)).select("qid", "sec", "new_points"), "new_points")
 
 
+@query(
+    "wn08_rubric",
+    f"""WITH {_POINTS}, t AS (SELECT qid, sec, step, cast(CASE WHEN qid % 11 = 0 AND sec % 2 = 0 THEN 0 ELSE rubric_pct * step END AS DECIMAL(18,2)) AS pct FROM v_sections, (SELECT unnest([1, 2]) AS step) WHERE qid % 7 <> 0
+        UNION ALL SELECT DISTINCT qid, 0, 1, cast(10 * (qid % 8) AS DECIMAL(18,2)) FROM v_sections WHERE qid % 3 = 0),
+    q AS (SELECT qid, max(grp) <> '' AS grouped, cast(max(total) AS DOUBLE) AS total FROM v_sections GROUP BY qid),
+    x AS (SELECT t.*, grouped, total, new_points, sum(cast(pct AS DOUBLE)) OVER (PARTITION BY t.qid) AS s, sum(CASE WHEN new_points IS NULL THEN cast(pct AS DOUBLE) ELSE 0 END) OVER (PARTITION BY t.qid) AS g, count(new_points) OVER (PARTITION BY t.qid) AS known,
+        sum(cast(pct AS DOUBLE)) OVER (PARTITION BY t.qid, t.sec) AS own, count(*) OVER (PARTITION BY t.qid, t.sec) AS n, lead(step) OVER (PARTITION BY t.qid ORDER BY t.sec, step) IS NULL AS last FROM t LEFT JOIN p USING (qid, sec) LEFT JOIN q USING (qid)),
+    y AS (SELECT *, cast(round(100 * cast(pct AS DOUBLE) / nullif(s, 0) + 1e-9, 2) AS DECIMAL(18,2)) AS new, (100 - least(g, 50)) * new_points / total AS share, NOT grouped OR known = 0 AS whole FROM x)
+    SELECT qid, sec, step, cast(CASE WHEN whole AND s > 0 THEN CASE WHEN last THEN 100 - (sum(new) OVER (PARTITION BY qid) - new) ELSE new END WHEN whole OR new_points IS NULL THEN pct
+        ELSE cast(round(CASE WHEN own > 0 THEN share * cast(pct AS DOUBLE) / own ELSE share / n END + 1e-9, 2) AS DECIMAL(18,2)) END AS DOUBLE) AS new_pct FROM y""",
+)
+def wn08_rubric(spark, sf_dir):
+    sections = score.rebalance(views.sections(spark, sf_dir))
+    pct = F.when((F.col("qid") % 11 == 0) & (F.col("sec") % 2 == 0), F.lit(0)).otherwise(F.col("rubric_pct") * F.col("step"))
+    own = sections.where("qid % 7 <> 0").withColumn("step", F.explode(F.array(F.lit(1), F.lit(2)))).select("qid", "sec", "step", pct.cast(score.CENTS).alias("pct"))
+    general = sections.where("qid % 3 = 0").select("qid").distinct().select("qid", F.lit(0).alias("sec"), F.lit(1).alias("step"), (10 * (F.col("qid") % 8)).cast(score.CENTS).alias("pct"))
+    return _doubles(score.rebalance_rubric(sections, own.unionByName(general)).select("qid", "sec", "step", "new_pct"), "new_pct")
+
+
 @query(
     "wn28_contiguous",
     """SELECT qid, grp, count(*) AS n, max(sec) - min(sec) + 1 = count(*) AS ok,

@@ -225,12 +225,43 @@ def wn09(spark, sf_dir):
     return text.question_span(rows, "doc").select("doc", "line_no")
 
 
-@query("jn19_compare_readings")
+def _gaps(side: str) -> str:
+    """The words of a reading between anchors, by the number of anchors before."""
+    return f"""i{side} AS (SELECT doc_id, gap, list(tok ORDER BY pos) FILTER (mark IS NULL) AS w, count(*) AS n FROM (SELECT t.doc_id, t.pos, t.tok, m.p{side} AS mark, count(m.p{side}) OVER (PARTITION BY t.doc_id ORDER BY t.pos) AS gap
+        FROM v_tokens_{side} t LEFT JOIN m ON m.doc_id = t.doc_id AND m.p{side} = t.pos) GROUP BY doc_id, gap)"""
+
+
+@query(
+    "jn19_compare_readings",
+    f"""WITH ua AS (SELECT doc_id, tok, min(pos) AS pa FROM v_tokens_a GROUP BY doc_id, tok HAVING count(*) = 1), ub AS (SELECT doc_id, tok, min(pos) AS pb FROM v_tokens_b GROUP BY doc_id, tok HAVING count(*) = 1),
+    m AS (SELECT doc_id, pa, pb, row_number() OVER (PARTITION BY doc_id ORDER BY pa) AS gap FROM ua JOIN ub USING (doc_id, tok)), {_gaps("a")}, {_gaps("b")},
+    g AS (SELECT doc_id, gap, coalesce(ia.w, []) AS wa, coalesce(ib.w, []) AS wb, coalesce(ia.n, 0) AS n, coalesce(m.pa + 1, 0) AS sa, coalesce(m.pb + 1, 0) AS sb FROM ia FULL JOIN ib USING (doc_id, gap) LEFT JOIN m USING (doc_id, gap)),
+    f AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, least(len(wa), len(wb)) + 1), lambda i: wa[i] = wb[i]), false), 0) - 1, least(len(wa), len(wb))) AS f FROM g),
+    h AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, least(len(wa), len(wb)) - f + 1), lambda i: wa[len(wa) + 1 - i] = wb[len(wb) + 1 - i]), false), 0) - 1, least(len(wa), len(wb)) - f) AS b FROM f),
+    c AS (SELECT doc_id, n, sa + f AS from_a, sb + f AS from_b, wa[f + 1:len(wa) - b] AS wa, wb[f + 1:len(wb) - b] AS wb FROM h)
+    SELECT doc_id, from_a, from_a + len(wa) AS to_a, from_b, from_b + len(wb) AS to_b, CASE WHEN len(wb) = 0 THEN 'missing' WHEN len(wa) = 0 THEN 'extra' ELSE 'word' END AS kind, array_to_string(wa, ' ') AS text_a, array_to_string(wb, ' ') AS text_b FROM c WHERE len(wa) + len(wb) > 0
+    UNION ALL SELECT doc_id, 0, sum(n), 0, 0, 'incomplete', '', '' FROM c GROUP BY doc_id HAVING sum(n) - sum(len(wa)) < 0.7 * sum(n)""",
+)
 def jn19(spark, sf_dir):
-    """Anchors and gaps; tested on hand-made rows and against the exact path."""
+    """Anchors and gaps. No word of these readings has moved, so all unique common words are anchors."""
     return text.compare_readings(views.tokens_a(spark, sf_dir), views.tokens_b(spark, sf_dir), "doc_id")
 
 
+@query(
+    "jn19_number_pairs",
+    """WITH b AS (SELECT doc, line_no, CASE WHEN doc % 3 = 0 THEN replace(line, '1', '7') ELSE line END AS line FROM v_marked),
+    x AS (SELECT 'a' AS side, doc, line_no, unnest(range(len(l))) AS w, unnest(l) AS number FROM (SELECT doc, line_no, regexp_extract_all(line, '[0-9]+([.,][0-9]+)*') AS l FROM v_marked)
+        UNION ALL SELECT 'b', doc, line_no, unnest(range(len(l))), unnest(l) FROM (SELECT doc, line_no, regexp_extract_all(line, '[0-9]+([.,][0-9]+)*') AS l FROM b)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY side, doc, number ORDER BY line_no, w) AS nth FROM x),
+    o AS (SELECT n.*, row_number() OVER (PARTITION BY n.side, n.doc ORDER BY line_no, w) AS place FROM n LEFT JOIN (SELECT side, doc, number, count(*) AS has FROM x GROUP BY ALL) k ON k.side <> n.side AND k.doc = n.doc AND k.number = n.number WHERE nth > coalesce(has, 0))
+    SELECT doc, place, p.number AS number_a, q.number AS number_b FROM (FROM o WHERE side = 'a') p FULL JOIN (FROM o WHERE side = 'b') q USING (doc, place)""",
+)
+def jn19_numbers(spark, sf_dir):
+    a = views.marked(spark, sf_dir)
+    b = a.withColumn("line", F.when(F.col("doc") % 3 == 0, F.replace("line", F.lit("1"), F.lit("7"))).otherwise(F.col("line")))
+    return text.number_pairs(a, b, "doc")
+
+
 @query("ud02_aligned_diff")
 def ud02(spark, sf_dir):
     """Exact matching blocks; tested by rebuilding one reading from the other."""
@@ -253,10 +284,4 @@ _MORE = """WITH a AS (SELECT doc_id, tok, count(*) AS n_a FROM v_tokens_a GROUP
 @query("flagship_compare_readings", f"{_MORE} SELECT doc_id, recall, CASE WHEN recall < 0.7 THEN 'INCOMPLETE' WHEN message IS NULL THEN 'AGREED' ELSE 'CONFLICTS' END AS status, place, message FROM r LEFT JOIN l USING (doc_id)")
 def agreement(spark, sf_dir):
     """The reading comparison end to end: bag difference, recall, status and the first six messages of a document."""
-    a, b = views.tokens_a(spark, sf_dir), views.tokens_b(spark, sf_dir)
-    diff = match.bag_diff(a, b, ["doc_id", "tok"]).where("missing + extra > 0")
-    recall = match.bag_recall(a, b, ["doc_id"], "tok")
-    side = F.when(F.col("missing") > 0, "missing").otherwise("extra")
-    messages = text.limit_per_group(diff.withColumn("message", F.concat_ws(" ", side, "tok", F.col("missing") + F.col("extra"))), "doc_id", "tok", "message", 6)
-    status = F.when(F.col("recall") < 0.7, "INCOMPLETE").when(F.col("message").isNull(), "AGREED").otherwise("CONFLICTS")
-    return recall.join(messages, "doc_id", "left").select("doc_id", "recall", status.alias("status"), "place", "message")
+    return text.agreement(views.tokens_a(spark, sf_dir), views.tokens_b(spark, sf_dir), "doc_id")

@@ -33,9 +33,10 @@ def stored_checkpoint(df: DataFrame) -> DataFrame:
 
 
 def content_store(df: DataFrame, content: str, key: str) -> DataFrame:
-    """SRC-04: (hash, first_id, n, aliases): equal content is stored once under its first id; the others are its aliases."""
-    found = df.groupBy(F.sha2(F.col(content), 256).alias("hash")).agg(F.min(key).alias("first_id"), F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("_ids"))
-    return found.select("hash", "first_id", "n", F.array_join(F.slice("_ids", 2, F.greatest(F.size("_ids") - 1, F.lit(1))), ",").alias("aliases"))
+    """SRC-04: (key, hash, first_id, n) for every row: equal content is stored once under its first id, and the rows of
+    other ids are its aliases. Aliases are rows, so that content that a third of all rows have is no list of them."""
+    rows = df.select(key, F.sha2(F.col(content), 256).alias("hash"))
+    return rows.join(rows.groupBy("hash").agg(F.min(key).alias("first_id"), F.count("*").alias("n")), "hash").select(key, "hash", "first_id", "n")
 
 
 def work_key(version: Column, params: Column, content: Column) -> Column:

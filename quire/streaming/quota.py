@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,22 +29,29 @@ def quota_stream(requests: DataFrame, window: str, slide: str, limit: int, late:
 
 
 def admit(requests: DataFrame, n: int, seconds: int) -> DataFrame:
-    """SS-02: requests plus accepted and wait: one is accepted if fewer than n of its client were accepted in the `seconds`
-    before; else it waits until the oldest of those leaves. A fold over a client's requests in order of time, whose state
-    is the last n accepted times. A client's requests of the batch are one array."""
+    """SS-02: (client, rid, accepted, wait): a request is accepted if fewer than n of its client were accepted in the
+    `seconds` before; else it waits until the oldest of those leaves. The requests of a client are sorted by time and
+    streamed through; what is held is the last n accepted times, however many requests there are."""
     us = seconds * 1_000_000
-    listed = requests.groupBy("client").agg(F.array_sort(F.collect_list(F.struct(_micros().alias("t"), "rid"))).alias("all"))
-    empty = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<rid:bigint,accepted:boolean,wait:bigint>>").alias("out"))
 
-    def step(state, r):
-        held = F.filter(state["held"], lambda t: t > r["t"] - us)
-        ok = F.size(held) < n
-        wait = F.when(ok, F.lit(0).cast("bigint")).otherwise(F.element_at(held, 1) + us - r["t"])
-        row = F.struct(r["rid"].alias("rid"), ok.alias("accepted"), wait.alias("wait"))
-        return F.struct(F.when(ok, F.array_append(held, r["t"])).otherwise(held).alias("held"), F.array_append(state["out"], row).alias("out"))
-
-    folded = listed.select("client", F.explode(F.aggregate("all", empty, step)["out"]).alias("o"))
-    return folded.select("client", "o.rid", "o.accepted", "o.wait")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: deque = deque()
+        last = object()
+        for batch in batches:
+            accepted, wait = [], []
+            for client, t in zip(batch.column("client").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if client != last:
+                    held, last = deque(), client
+                while held and held[0] <= t - us:
+                    held.popleft()
+                accepted.append(len(held) < n)
+                wait.append(0 if accepted[-1] else held[0] + us - t)
+                if accepted[-1]:
+                    held.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column("client"), batch.column("rid"), pa.array(accepted, pa.bool_()), pa.array(wait, pa.int64())], names=["client", "rid", "accepted", "wait"])
+
+    timed = requests.select(F.col("client").cast("bigint").alias("client"), F.col("rid").cast("bigint").alias("rid"), _micros().alias("t"))
+    return timed.repartition("client").sortWithinPartitions("client", "t", "rid").mapInArrow(run, "client bigint, rid bigint, accepted boolean, wait bigint")
 
 
 def admit_stream(requests: DataFrame, n: int, seconds: int, late: str = "10 minutes") -> DataFrame:
@@ -73,13 +82,18 @@ def admit_stream(requests: DataFrame, n: int, seconds: int, late: str = "10 minu
 
 def daily_cap(requests: DataFrame, caps: DataFrame) -> DataFrame:
     """SS-03: (day, model, n, first_over, next_model) of the days on which a model had more requests than its cap, with the
-    first one over it and the model after it in the order of caps(model, cap, place)."""
-    day = F.date_trunc("day", "ts")
-    by = Window.partitionBy("day", "model").orderBy("ts", "rid")
-    rows = requests.withColumn("day", day).withColumn("_k", F.row_number().over(by)).join(F.broadcast(caps), "model")
-    over = rows.groupBy("day", "model", "place").agg(F.count("*").alias("n"), F.min(F.when(F.col("_k") == F.col("cap") + 1, F.col("rid"))).alias("first_over"), F.max("cap").alias("cap")).where("n > cap")
+    first one over it and the model after it in the order of caps(model, cap, place).
+
+    Requests are counted by minute first; only the minute in which the cap is crossed is put in order, so no task sorts a
+    day of a model."""
+    rows = requests.select("model", F.date_trunc("day", "ts").alias("day"), F.date_trunc("minute", "ts").alias("_minute"), "ts", "rid")
+    minutes = rows.groupBy("day", "model", "_minute").agg(F.count("*").alias("_c")).join(caps, "model")
+    by = Window.partitionBy("day", "model")
+    upto = F.sum("_c").over(by.orderBy("_minute"))
+    crossed = minutes.withColumns({"n": F.sum("_c").over(by), "_at": F.col("cap") + 1 - (upto - F.col("_c")), "_in": upto > F.col("cap")}).where("n > cap AND _in AND _at > 0")
+    nth = rows.join(crossed, ["day", "model", "_minute"]).withColumn("_k", F.row_number().over(Window.partitionBy("day", "model", "_minute").orderBy("ts", "rid"))).where("_k = _at")
     after = caps.select((F.col("place") - 1).alias("place"), F.col("model").alias("next_model"))
-    return over.join(F.broadcast(after), "place", "left").select("day", "model", "n", "first_over", F.coalesce("next_model", F.lit("")).alias("next_model"))
+    return nth.join(after, "place", "left").select("day", "model", "n", F.col("rid").alias("first_over"), F.coalesce("next_model", F.lit("")).alias("next_model"))
 
 
 def breaker(events: DataFrame, key: str, n: int = 2) -> DataFrame:

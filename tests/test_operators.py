@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import expressions as e
-from quire.operators import facts, layout, match, ranges, score, series, tables, text
+from quire.operators import evaluation, facts, layout, match, ranges, score, series, tables, text
 from quire.operators.batching import read_batched
 from quire.sources import incremental, pages
 from quire.streaming import quota
@@ -97,7 +102,112 @@ def test_alignment_rebuilds_the_other_reading(spark):
         out += a[at:i] + b[k:m]
         at = j
     assert out + a[at:] == b
-    assert sorted(tuple(r) for r in text.compare_readings(*frames, "d").select("from_a", "to_a", "kind").collect()) == [(2, 3, "number"), (4, 5, "missing"), (6, 6, "extra")]
+    assert sorted(tuple(r) for r in text.compare_readings(*frames, "d").select("from_a", "to_a", "kind").collect()) == [(0, 6, "incomplete"), (2, 3, "number"), (4, 5, "missing"), (6, 6, "extra")]
+
+
+def readings(spark, a: dict[int, str], b: dict[int, str]):
+    frames = [spark.createDataFrame([(d, i, w) for d, t in side.items() for i, w in enumerate(e_tokens(t))], "d long, pos int, tok string") for side in (a, b)]
+    return [(r["d"], r["kind"], r["text_a"], r["text_b"]) for r in text.compare_readings(*frames, "d").orderBy("d", "from_a", "from_b").collect()]
+
+
+def e_tokens(line: str) -> list[str]:
+    return re.findall(r"\$\$[^$]+\$\$|\$[^$]+\$|[^\s$]+", line)
+
+
+def test_readings_of_all_kinds(spark):
+    base = "the quick brown fox jumps over a lazy dog and runs home again"
+    a = {1: base, 2: base, 4: base, 5: base + " $x^{2}+1$ end", 6: base + " $x^{2}$ end", 7: base + " 12 end", 8: base, 9: "again " + base.replace("again", "now"), 10: base, 11: base}
+    b = {1: base, 3: base, 4: base.replace("lazy", "[?]"), 5: base + " $x^3+1$ end", 6: base + r" $x^2\,$ end", 7: base + " 13 end", 8: "only these words", 9: base.replace("again", "now") + " again", 10: base.replace("quick ", ""), 11: base.replace("brown", "crown")}
+    got = readings(spark, a, b)
+    assert (2, "missing", base, "") in got and (3, "extra", "", base) in got and (2, "incomplete", "", "") in got
+    rest = [r for r in got if r[0] in (1, 4, 5, 6, 7, 9, 10, 11)]
+    assert rest == [(4, "unreadable", "lazy", "[?]"), (5, "formula", "$x^{2}+1$", "$x^3+1$"), (7, "number", "12", "13"), (9, "missing", "again", ""), (9, "extra", "", "again"), (10, "missing", "quick", ""), (11, "word", "brown", "crown")]
+    assert {k for d, k, *_ in got if d == 8} >= {"incomplete"}
+
+
+def test_anchors_are_the_longest_rising_row(spark):
+    rng = random.Random(3)
+    for n in (1, 5, 200):
+        places = list(range(n))
+        for _ in range(n // 5):
+            places.insert(rng.randrange(n), places.pop(rng.randrange(n)))
+        keep = text._rising(pa.array([places])).to_pylist()[0]
+        row = [p for p, k in zip(places, keep, strict=True) if k]
+        longest = [1] * n
+        for i in range(n):
+            longest[i] = 1 + max((longest[j] for j in range(i) if places[j] < places[i]), default=0)
+        assert row == sorted(row) and len(row) == max(longest)
+    words = [f"w{i}" for i in range(300)]
+    moved = words[1:] + words[:1]  # one word from the front to the end costs itself only
+    frames = [spark.createDataFrame([(1, i, w) for i, w in enumerate(x)], "d long, pos int, tok string") for x in (words, moved)]
+    assert text.anchors(*frames, "d").count() == 299
+
+
+def test_number_pairs(spark):
+    a = spark.createDataFrame([(1, 1, "7,350 and $x=12$"), (1, 2, "5 of 5"), (2, 1, "1{,}000")], "d int, line_no int, line string")
+    b = spark.createDataFrame([(1, 1, "7350 and $x=13$"), (1, 2, "5 of 6 or 9"), (2, 1, "1000")], "d int, line_no int, line string")
+    assert got(text.number_pairs(a, b, "d"), "d", "place", "number_a", "number_b") == [(1, 1, "12", "13"), (1, 2, "5", "6"), (1, 3, None, "9")]
+
+
+def test_normalisers_of_words_formulas_and_labels(spark):
+    def one(f, *texts):
+        return [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(f(F.col("t"))).collect()]
+
+    assert one(e.word, "\u05e9\u05b8\u05c1\u05dc\u05d5\u05b9\u05dd", '\u05e1\u05f4\u05de', '\u05e1"\u05de', "Word,") == ["\u05e9\u05dc\u05d5\u05dd", "\u05e1\u05de", "\u05e1\u05de", "word"]
+    assert one(e.maths, r"$\left(a\right)\leftarrow b$", r"x\ne y", r"x \quad y", r"\mathrm{cm}^{2}", r"\dfrac{1}{2}", "7{,}350", r"x^{12}", r"\Big(x\Big)", r"a \leq b", r"{A}_{1}.") == [r"(a)\leftarrowb", "x≠y", "xy", "cm^2", r"\frac12", "7,350", "x^{12}", "(x)", "a≤b", "A_1"]
+    assert one(e.number, "7,350", "3,5", "1{,}000") == ["7350", "3.5", "1000"]
+    assert one(e.tokens, "solve $$x=3$$ or $y$ now", "\u05d1\u05d9\u05ea\u05be\u05e1\u05e4\u05e8") == [["solve", "$$x=3$$", "or", "$y$", "now"], ["\u05d1\u05d9\u05ea", "\u05e1\u05e4\u05e8"]]
+    assert one(lambda t: e.token_kind(t), "$$x=3$$", "$y$", "word") == ["M", "M", "W"]
+    assert one(e.strip_label, "(12) a", "3. b", "IV. c", "\u05d1. d", "a) e", "1999. f", "Ivy. g") == ["a", "b", "c", "d", "e", "1999. f", "Ivy. g"]
+
+
+def test_rebalancing_of_rubrics_and_of_weights_of_nothing(spark):
+    rows = [(1, 1, 10, "", 100, 0), (1, 2, 30, "", 100, 0), (2, 1, 20, "", 100, 0), (2, 2, 10, "g", 100, 1), (2, 3, 30, "g", 100, 1), (3, 1, 0, "", 90, 0), (3, 2, 0, "", 90, 0), (3, 3, 0, "", 90, 0), (4, 1, 0, "g", 50, 1), (4, 2, 0, "g", 50, 1)]
+    sections = spark.createDataFrame(rows, "qid int, sec int, points int, grp string, total int, k int").withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("points", "total")})
+    new = score.rebalance(sections)
+    assert {(r["qid"], r["sec"]): float(r["new_points"]) for r in new.collect()} == {(1, 1): 25, (1, 2): 75, (2, 1): 50, (2, 2): 50, (2, 3): 50, (3, 1): 30, (3, 2): 30, (3, 3): 30, (4, 1): 50, (4, 2): 50}
+    steps = [(1, 1, 1, 10), (1, 1, 2, 10), (1, 2, 1, 10), (2, 0, 1, 60), (2, 1, 1, 30), (2, 1, 2, 10), (2, 2, 1, 0), (2, 2, 2, 0), (3, 1, 1, 0), (4, 0, 1, 20), (4, 0, 2, 20)]
+    rubric = spark.createDataFrame(steps, "qid int, sec int, step int, pct int").withColumn("pct", F.col("pct").cast("decimal(18,2)"))
+    got_pct = {(r["qid"], r["sec"], r["step"]): float(r["new_pct"]) for r in score.rebalance_rubric(new, rubric).collect()}
+    assert got_pct == {(1, 1, 1): 33.33, (1, 1, 2): 33.33, (1, 2, 1): 33.34, (2, 0, 1): 60, (2, 1, 1): 18.75, (2, 1, 2): 6.25, (2, 2, 1): 12.5, (2, 2, 2): 12.5, (3, 1, 1): 0, (4, 0, 1): 50, (4, 0, 2): 50}
+
+
+def test_greedy_matching_goes_on_after_the_nearest_is_taken(spark):
+    a = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 0.3, 0.0), (1, 3, 9.0, 0.0)], "k int, pid long, x double, y double")
+    b = spark.createDataFrame([(1, 1, 0.2, 0.0), (1, 2, 0.9, 0.0)], "k int, pid long, x double, y double")
+    assert got(match.tolerance_match(a, b, "k", 1.0, 1.0).where("match_id is not null and pid is not null"), "pid", "match_id") == [(1, 2), (2, 1)]
+    chain = [(1, i, 1.0 * i * i / 100 + i, 0.0) for i in range(40)]
+    x = spark.createDataFrame(chain, "k int, pid long, x double, y double")
+    y = spark.createDataFrame([(1, i, v + 0.55, 0.0) for _, i, v, _ in chain], "k int, pid long, x double, y double")
+    pairs = sorted((round((v - w) ** 2, 9), i, j) for _, i, v, _ in chain for j, w in [(j, u + 0.55) for _, j, u, _ in chain] if abs(v - w) <= 1.4)
+    want, used_a, used_b = [], set(), set()
+    for _, i, j in pairs:
+        if i not in used_a and j not in used_b:
+            want.append((i, j))
+            used_a.add(i)
+            used_b.add(j)
+    assert got(match.tolerance_match(x, y, "k", 1.4, 1.0).where("match_id is not null and pid is not null"), "pid", "match_id") == sorted(want)
+
+
+def test_hot_keys_are_streamed_counted_or_cut(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(2_000_000) if i % 3 else 7, i, 1 if i % 4 else i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "ms long, rid long, client long").select(F.timestamp_millis("ms").alias("ts"), "rid", "client")
+    want, held = {}, {}
+    for t, rid, client in sorted((t * 1000, r, c) for t, r, c in rows):
+        own = held[client] = [x for x in held.get(client, []) if x > t - 50_000_000]
+        want[rid] = (len(own) < 3, 0 if len(own) < 3 else own[0] + 50_000_000 - t)
+        own += [t] if len(own) < 3 else []
+    assert {r["rid"]: (r["accepted"], r["wait"]) for r in quota.admit(df, 3, 50).collect()} == want
+    requests = df.withColumn("model", F.lit("m"))
+    caps = spark.createDataFrame([("m", 1000, 0), ("n", 5, 1)], "model string, cap int, place int")
+    order = sorted((t, rid) for t, rid, _ in rows)
+    assert got(quota.daily_cap(requests, caps), "n", "first_over", "next_model") == [(4000, order[1000][1], "n")]
+    values = [(k, float(v)) for k in range(3) for v in ([5.0] * 500 + [rng.random() ** 4 * 1000 for _ in range(700)] if k else [3.0])]
+    shares = {"lo": 0.0, "p50": 0.5, "p95": 0.95, "hi": 1.0}
+    found = {r["k"]: [r[n] for n in shares] for r in evaluation.percentiles(spark.createDataFrame(values, "k int, v double"), "k", "v", shares).collect()}
+    for k in range(3):
+        assert np.allclose(found[k], [np.quantile([v for q, v in values if q == k], p) for p in shares.values()])
 
 
 def test_breaks_are_carried_over(spark):
@@ -178,7 +288,7 @@ def test_batches_and_missing_answers(spark):
     "expression,value,want",
     [
         (e.number, "7,350", "7350"), (e.number, "7,35", "7.35"), (e.number, "1,234,567.5", "1234567.5"), (e.word, '"It,"', "it"), (e.strip_label, " (3) x", "x"), (e.section_id, " (A). ", "a"),
-        (e.points_text, "2.005", "2.01"), (e.points_text, "10", "10"), (e.maths, r"$\frac{1}{2} \cdot x^{2}$", "(1)/(2)*x^2"), (e.break_markers, "a (2) b", "a\n(2) b"), (e.plain_symbols, r"\alpha{x}", "αx"),
+        (e.points_text, "2.005", "2.01"), (e.points_text, "10", "10"), (e.maths, r"$\frac{1}{2} \cdot x^{2}$", r"\frac12·x^2"), (e.break_markers, "a (2) b", "a\n(2) b"), (e.plain_symbols, r"\alpha{x}", "αx"),
     ],
 )
 def test_normalisers(spark, expression, value, want):
