@@ -21,9 +21,8 @@ def frequency_model(cells: DataFrame, key: str, pattern: str) -> DataFrame:
 def projections(cells: DataFrame, key: str) -> DataFrame:
     """AG-28: (key, view, a, b, height, n) of occupied cells(key, x, y, z): from above with the height, from the front and
     the side, and one row of all, by GROUPING SETS."""
-    cells.createOrReplaceTempView("_quire_cells")
     found = cells.sparkSession.sql(
-        f"""SELECT {key}, grouping_id() AS g, x, y, z, max(z) + 1 AS height, count(*) AS n FROM _quire_cells GROUP BY GROUPING SETS (({key}, x, y), ({key}, x, z), ({key}, y, z), ({key}))"""
+        f"""SELECT {key}, grouping_id() AS g, x, y, z, max(z) + 1 AS height, count(*) AS n FROM {{cells}} GROUP BY GROUPING SETS (({key}, x, y), ({key}, x, z), ({key}, y, z), ({key}))""", cells=cells
     )
     top, front, side = F.col("z").isNull() & F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("y").isNull() & F.col("z").isNotNull(), F.col("x").isNull() & F.col("z").isNotNull()
     view = F.when(top, "top").when(front, "front").when(side, "side").otherwise("all")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +11,12 @@ from quire.sources import incremental, pages, views
 from quire.sources.tables import read
 
 
-@query("src01_segments")
+@query(
+    "src01_segments",
+    """WITH b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS block, string_split(text, ' ') AS l FROM conversations),
+    s AS (SELECT conv_id AS page_id, block, unnest(range(len(l))) AS seg, unnest(l) AS value FROM b)
+    SELECT page_id, 'question' AS page_type, block, -1 AS par, 0 AS line, seg, CASE WHEN regexp_matches(value, '[0-9]') THEN 'math' ELSE 'text' END AS type, value, false AS bold, false AS underline FROM s""",
+)
 def src01(spark, sf_dir):
     """Page JSON made of the conversations, written as text, read by the schema and flattened."""
     words = F.transform(F.split("text", " "), lambda w: F.struct(F.when(w.rlike("[0-9]"), "math").otherwise("text").alias("type"), w.alias("value"), F.lit(False).alias("bold"), F.lit(False).alias("underline")))
@@ -20,7 +24,7 @@ def src01(spark, sf_dir):
     block = F.struct(F.lit("paragraph").alias("kind"), F.col("role").alias("label"), F.lit(0).alias("level"), F.array(words).alias("lines"), none.cast(f"array<array<array<{pages.SEGMENT}>>>").alias("paragraphs"), none.cast(f"array<array<array<{pages.SEGMENT}>>>").alias("rows"))
     turns = read(spark, sf_dir, "conversations").withColumn("block", block)
     made = turns.groupBy(F.col("conv_id").alias("page_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "block"))), lambda x: x["block"]).alias("blocks"))
-    path = f"{incremental.shared_folder(spark)}/quire/pages-{uuid.uuid4().hex}"
+    path = f"{incremental.scratch(spark, 'pages')}/json"
     made.select(F.to_json(F.struct("page_id", F.lit("question").alias("page_type"), "blocks")).alias("value")).write.text(path)
     return pages.segments(pages.read_pages(spark, path))
 
@@ -58,11 +62,13 @@ def src06(spark, sf_dir):
     return incremental.compute_distinct(views.formulas(spark, sf_dir).select("fid", "b"), "b", "size", size)
 
 
-@query("src07_export_bundle")
+@query("src07_export_bundle", "SELECT o_orderkey, o_orderstatus, o_custkey, concat('{\"price\":', cast(o_totalprice AS DECIMAL(18,2)), ',\"priority\":\"', o_orderpriority, '\"}') AS spec FROM orders")
 def src07(spark, sf_dir):
-    """Orders as a bundle of folders by status, read back."""
-    path = f"{incremental.shared_folder(spark)}/quire/bundle-{uuid.uuid4().hex}"
-    return incremental.export_bundle(read(spark, sf_dir, "orders"), path, "o_orderstatus").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    """Orders as a bundle of folders by status, one JSON spec an item, read back item by item."""
+    orders = read(spark, sf_dir, "orders")
+    spec = F.to_json(F.struct(F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.col("o_orderpriority").alias("priority")))
+    bundle = incremental.export_bundle(orders.select("o_orderkey", "o_custkey", "o_orderstatus", spec.alias("spec")), f"{incremental.scratch(spark, 'bundle')}/items", "o_orderstatus")
+    return bundle.select("o_orderkey", "o_orderstatus", "o_custkey", "spec")
 
 
 @query(

@@ -132,9 +132,15 @@ def wn14(spark, sf_dir):
     return layout.option_groups(boxes.where("box_id % 5 = 0"), labels)
 
 
-@query("wn10_marker_sequence")
+@query(
+    "wn10_marker_sequence",
+    """WITH RECURSIVE m AS (SELECT qid // 8 AS doc, qid % 8 AS page, sec AS y, cast(points AS BIGINT) % 5 + 1 AS number, count(*) OVER (PARTITION BY qid) AS n FROM v_sections), u AS (SELECT * FROM m WHERE n <= 8),
+    s AS (SELECT p.doc, p.page AS start, u.number, row_number() OVER (PARTITION BY p.doc, p.page ORDER BY u.page, u.y, u.number) AS i FROM (SELECT DISTINCT doc, page FROM u) p JOIN u ON u.doc = p.doc AND u.page >= p.page),
+    g AS (SELECT DISTINCT doc, start, cast(0 AS BIGINT) AS i, cast(0 AS BIGINT) AS seen FROM s UNION ALL SELECT g.doc, g.start, s.i, CASE WHEN s.number = seen + 1 THEN s.number ELSE seen END FROM g JOIN s ON s.doc = g.doc AND s.start = g.start AND s.i = g.i + 1),
+    f AS (SELECT doc, start, max(seen) AS seen FROM g GROUP BY doc, start)
+    SELECT doc, start, array_to_string(range(1, seen + 1), ',') AS numbers FROM f QUALIFY row_number() OVER (PARTITION BY doc ORDER BY seen DESC, start) = 1""",
+)
 def wn10(spark, sf_dir):
-    """A fold over an ordered list; tested on hand-made rows."""
     marks = views.sections(spark, sf_dir).select(F.floor(F.col("qid") / 8).alias("doc"), (F.col("qid") % 8).alias("page"), F.col("sec").alias("y"), (F.col("points").cast("long") % 5 + 1).alias("number"))
     return layout.marker_sequence(marks, 8)
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quire.plans.registry import query
 from quire.sources import views
-from quire.sources.incremental import shared_folder
+from quire.sources.incremental import scratch
 from quire.sources.tables import read
 from quire.streaming import quota
 
@@ -22,9 +20,15 @@ def ss01(spark, sf_dir):
     return quota.quota_audit(views.requests(spark, sf_dir), 86_400, 5).select("rid", "client", "model", "in_window")
 
 
-@query("ss02_admit")
+_ADMIT = """WITH RECURSIVE r AS (SELECT rid, client, epoch_us(ts) AS t, row_number() OVER (PARTITION BY client ORDER BY ts, rid) AS i FROM v_requests),
+    g AS (SELECT DISTINCT client, cast(0 AS BIGINT) AS i, cast(NULL AS BIGINT) AS rid, false AS accepted, cast(0 AS BIGINT) AS wait, cast([] AS BIGINT[]) AS held FROM r
+        UNION ALL SELECT g.client, r.i, r.rid, len(h) < 5, CASE WHEN len(h) < 5 THEN 0 ELSE h[1] + 86400000000 - r.t END, CASE WHEN len(h) < 5 THEN list_append(h, r.t) ELSE h END
+        FROM g JOIN r ON r.client = g.client AND r.i = g.i + 1, LATERAL (SELECT list_filter(g.held, lambda x: x > r.t - 86400000000) AS h))
+    SELECT client, rid, accepted, wait FROM g WHERE i > 0"""
+
+
+@query("ss02_admit", _ADMIT)
 def ss02(spark, sf_dir):
-    """A fold with state; tested on hand-made rows and against the streaming form."""
     return quota.admit(views.requests(spark, sf_dir), 5, 86_400)
 
 
@@ -65,45 +69,64 @@ def ss07(spark, sf_dir):
 def _streamed(spark, sf_dir, plan, mode: str):
     """Run plan on the events as a stream of files until all are read, and return what it wrote."""
     events = read(spark, sf_dir, "events").select(F.col("event_id").alias("rid"), F.col("user_id").alias("client"), F.col("event_type").alias("model"), F.col("ts").cast("timestamp").alias("ts"))
-    base = f"{shared_folder(spark)}/quire/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     events.write.parquet(f"{base}/in")
     stream = plan(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-@query("ss02_admit_stream")
+# What a stream has put out when it has read all: what ends before the watermark, ten minutes before the last event.
+_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"
+
+
+@query("ss02_admit_stream", _ADMIT)
 def ss02_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: quota.admit_stream(s, 5, 86_400), "append")
 
 
-@query("ss06_dedupe_stream")
+@query("ss06_dedupe_stream", "SELECT DISTINCT user_id AS client, event_type AS model FROM events")
 def ss06(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda s: quota.dedupe_stream(s, ["client", "model"], "1 day"), "append")
+    """One row for each kind of work: all events at hand are one batch, in which any of the equal ones may be the first."""
+    return _streamed(spark, sf_dir, lambda s: quota.dedupe_stream(s, ["client", "model"], "1 day"), "append").select("client", "model")
 
 
-@query("ss01_quota_stream")
+@query(
+    "ss01_quota_stream",
+    f"""WITH w AS (SELECT time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 12 HOURS AS s, user_id AS client, event_type AS model FROM events, (SELECT unnest([0, 1]) AS k))
+    SELECT s AS start, s + INTERVAL 24 HOURS AS "end", client, model, count(*) AS n FROM w WHERE s + INTERVAL 24 HOURS <= {_CLOSED} GROUP BY ALL HAVING count(*) > 2""",
+)
 def ss01_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: quota.quota_stream(s, "1 day", "12 hours", 2), "append")
 
 
-@query("ss05_sessions_stream")
+@query(
+    "ss05_sessions_stream",
+    f"""WITH l AS (SELECT user_id AS client, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOURS, true) AS new FROM events), s AS (SELECT *, sum(cast(new AS INT)) OVER (PARTITION BY client ORDER BY ts) AS k FROM l)
+    SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOURS AS "end", client, count(*) AS n FROM s GROUP BY client, k HAVING max(ts) + INTERVAL 12 HOURS <= {_CLOSED}""",
+)
 def ss05_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: quota.sessions_stream(s, "client"), "append")
 
 
-@query("ss07_progress_stream")
+@query(
+    "ss07_progress_stream",
+    f"SELECT cast(date_trunc('day', ts) AS TIMESTAMP) AS start, user_id AS client, count(*) FILTER (event_type = 'purchase') AS done, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED} GROUP BY ALL",
+)
 def ss07_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: quota.progress_stream(s.withColumn("done", F.col("model") == "purchase"), "client", "done"), "append")
 
 
-@query("ss08_ingest_stream")
+@query(
+    "ss08_ingest_stream",
+    "SELECT conv_id * 1000 + turn AS page_id, 'question' AS page_type, 0 AS block, -1 AS par, 0 AS line, 0 AS seg, 'text' AS type, text AS value, false AS bold, false AS underline FROM conversations",
+)
 def ss08(spark, sf_dir):
     """Conversations as page JSON files, ingested as a stream twice: the second run adds nothing."""
     from quire.sources.pages import SEGMENT
     from quire.streaming.ingest import ingest_stream
 
-    base = f"{shared_folder(spark)}/quire/ingest-{uuid.uuid4().hex}"
+    base = scratch(spark, "ingest")
     segment = F.struct(F.lit("text").alias("type"), F.col("text").alias("value"), F.lit(False).alias("bold"), F.lit(False).alias("underline"))
     nested = F.lit(None).cast(f"array<array<array<{SEGMENT}>>>")
     block = F.struct(F.lit("paragraph").alias("kind"), F.col("role").alias("label"), F.lit(0).alias("level"), F.array(F.array(segment)).alias("lines"), nested.alias("paragraphs"), nested.alias("rows"))

@@ -22,13 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes at the end of the application."""
+    path = f"{shared_folder(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return path
+
+
 def stored_checkpoint(df: DataFrame) -> DataFrame:
-    """df written in the shared folder and read back; the table goes at the end of the application."""
-    path = f"{shared_folder(df.sparkSession)}/quire/checkpoint-{uuid.uuid4().hex}"
+    """df written in the shared folder and read back."""
+    path = f"{scratch(df.sparkSession, 'checkpoint')}/rows"
     df.write.parquet(path)
-    context = df.sparkSession.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
