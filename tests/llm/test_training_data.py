@@ -239,16 +239,20 @@ def test_edited_texts_and_likeness(docs, nothing):
     got = sketches.edited_likeness(docs).collect()
     want, near = [], []
     shingles = lambda t: {t[i : i + 8] for i in range(max(1, len(t) - 7))} if t else set()
+    alike = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
         a, b = shingles(t), shingles(edited)
-        near.append((i, len(t), len(a & b) / len(a | b) if a or b else 1.0))
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == Counter(want)
-    off = sorted(((r["doc_id"] or -1, r["n_chars"], r["near_edited"]) for r in got)), sorted((i or -1, n, x) for i, n, x in near)
-    assert all(abs(a[2] - b[2]) < 0.2 for a, b in zip(*off, strict=True))
-    assert len({r["fingerprint"] for r in got if r["doc_id"] in (1, 1 + 60 * 3)}) == 1
+        # the k least hashes of all shingles, each hashed alone
+        least = [sorted({int(sketches.sketch_texts([s])[0][0]) for s in x})[: sketches.K] for x in (a, b)]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), *("".join(f"{h:012x}" for h in x) for x in least)))
+        near.append((i if i is not None else -1, len(t), alike(a, b), alike(a, shingles(after)), len(a), len(a & b) / len(b) if b else 1.0))
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got) == Counter(want)
+    found = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_chars"], r["near_edited"], r["near_next"], r["distinct_shingles"], r["edited_contained"]) for r in got)
+    for g, w in zip(found, sorted(near), strict=True):
+        assert abs(g[2] - w[2]) < 0.2 and abs(g[3] - w[3]) < 0.2 and abs(g[4] - w[4]) <= 0.35 * w[4] and abs(g[5] - w[5]) < 0.3, (g, w)
+        assert w[4] >= sketches.K or g[4] == w[4]
     assert sketches.edited_likeness(nothing).count() == 0
 
 
@@ -372,6 +376,20 @@ def test_media_round_trip(docs, nothing):
     assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == Counter(want)
     assert all(r["width"] == r["payload_bytes"] and r["depth"] == 8 for r in got)
     assert len({(r["shard"], r["offset"]) for r in got}) == len({r["payload_sha256"] for r in got})
+    texts = {hashlib.sha256((p := (t or "").encode()) + bytes(-len(p) % 64 if p else 64)).hexdigest(): p + bytes(-len(p) % 64 if p else 64) for _, t, *_ in corpus()}
+    for r in got:  # what lies at the address is the image, and another reader of PNG finds the payload in it
+        with open(r["shard"].removeprefix("file://"), "rb") as shard:
+            shard.seek(r["offset"])
+            image = shard.read(r["length"])
+        payload = texts[r["payload_sha256"]]
+        at, packed = 8, b""
+        while at < len(image):
+            n = int.from_bytes(image[at : at + 4], "big")
+            packed += image[at + 8 : at + 8 + n] if image[at + 4 : at + 8] == b"IDAT" else b""
+            at += n + 12
+        assert zlib.decompress(packed) == b"\0" + payload and hashlib.sha256(image).hexdigest() == r["media_sha256"] and len(image) == r["length"]
+        high = Counter(x >> 4 for x in payload)
+        assert r["feature"] == ",".join(str(high[i]) for i in range(16))
     assert media.media_columns(nothing).count() == 0
 
 
@@ -475,6 +493,9 @@ def test_another_filter_size_and_its_bound(docs):
     held, floor = F.col("doc_id") % 7 == 2, 1 << 18
     with pytest.raises(ValueError, match="may not fit"):
         language_model.score(docs, held, filter_bits=22, floor=floor)
+    # a crowded filter answers yes too often, but every score stays a probability's
+    crowded = language_model.score(docs, F.lit(False), filter_bits=20, floor=19_000).collect()
+    assert len(crowded) == docs.count() and all(-1e6 < r["score"] <= 0 for r in crowded)
     got = language_model.score(docs, held, filter_bits=24, floor=floor).collect()
     want = dict(brute_model(corpus(), lambda i: i is not None and i % 7 == 2, floor))
     assert sum(abs(r["score"] - want[r["doc_id"]]) for r in got) < 0.01 * sum(map(abs, want.values()))
@@ -559,17 +580,38 @@ def test_scores_read_whole_texts_of_any_language_and_repeated_rows(spark):
     assert toxicity.with_scores(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
-def test_pipeline_stages_keep_what_they_should(spark, docs, sf_dir):
+def test_pipeline_stages_equal_brute_force(spark, docs, sf_dir, tmp_path):
     import corpus_pipeline
 
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 4
     stages = dict(corpus_pipeline.STAGES)
-    kept = stages[names[0]](spark, docs, sf_dir)
-    assert kept.columns == docs.columns and kept.count() <= docs.count()
+    labels = spark.createDataFrame([(i, int("abc" in (t or ""))) for i, t, *_ in corpus() if i is not None], "doc_id long, toxic int")
+    folder = tmp_path / "sf"
+    labels.write.parquet(f"{folder}/labels.parquet")
+    kept = stages[names[0]](spark, docs, f"file://{folder}")
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    model = toxicity.fit(docs, labels.where(F.col("doc_id").isin([r["doc_id"] for r in labels.collect() if fold(r["doc_id"]) != 0])))
+
+    def rejected(t: str | None) -> bool:
+        """The score of a text by a loop over its words and their beginnings."""
+        places = set()
+        for w in (t or "").lower().encode().split():
+            for code in toxicity.features([w])[1].tolist():
+                places.add(int(model.place[code]))
+        return model.bias + sum(model.weight[p] for p in places if p) >= 0
+
+    stay = Counter((i, t) for i, t, *_ in corpus() if not rejected(t))
+    assert kept.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == stay and 0 < len(stay) < docs.count()
     unique = stages[names[1]](spark, docs, sf_dir)
-    first = {r["component_id"] for r in simhash.near_copies(docs).collect()}
-    assert unique.columns == docs.columns and {r["doc_id"] for r in unique.collect()} == first | {None}
+    rows = [(i, t) for i, t, *_ in corpus()]
+    group = brute_components([(k, t) for k, (_, t) in enumerate(rows)])
+    least: dict = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[k]] = min(least.get(group[k], i), i)
+    want = Counter((i, t) for k, (i, t) in enumerate(rows) if i is None or i in least.values())
+    assert unique.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in unique.collect()) == want
     cut = stages[names[2]](spark, docs, sf_dir)
     brute = Counter((i, n - gone) for i, n, gone, _ in brute_removal(corpus()))
     assert cut.columns == docs.columns and Counter((r["doc_id"], len(words_of(r["text"]))) for r in cut.collect()) == brute
