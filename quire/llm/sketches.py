@@ -47,6 +47,16 @@ def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return float(np.count_nonzero(both[1:][twice] <= union[-1])) / len(union)
 
 
+def distinct_estimate(a: np.ndarray, k: int = K) -> float:
+    """Estimated number of distinct shingles: exact below k."""
+    return float(len(a)) if len(a) < k else (k - 1) * float(1 << HASH_BITS) / float(a[k - 1])
+
+
+def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
+    """Estimated share of a's distinct shingles that b has (a empty: 1)."""
+    return min(1.0, resemblance(a, b, k) * distinct_estimate(merged(a, b, k), k) / distinct_estimate(a, k)) if len(a) else 1.0
+
+
 def to_string(sketch: np.ndarray) -> str:
     return sketch.astype(">u8").tobytes().hex() if HASH_BITS == 64 else "".join(f"{x:0{HASH_BITS // 4}x}" for x in sketch.tolist())
 
@@ -142,14 +152,15 @@ def with_next_row(docs: DataFrame) -> DataFrame:
 
 
 def edited_likeness(docs: DataFrame, shingle: int = SHINGLE_CHARS, k: int = K) -> DataFrame:
-    """One row per row of docs(doc_id, text): its fingerprint, that of its edited text and their likeness.
+    """One row per row of docs(doc_id, text): its fingerprint, that of its edited text and their likeness; how many distinct
+    shingles the text has, and what share of the edited text's it holds, by estimates of the fingerprints.
 
     The edited text keeps the first half and takes the rest from the next document in descending order of doc_id. Null
     texts are empty; an empty text has an empty fingerprint, like only to another. Of one row alone the next is itself.
     Repeated rows give repeated results. Other columns are not read.
     """
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles", "edited_contained"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -163,11 +174,11 @@ def edited_likeness(docs: DataFrame, shingle: int = SHINGLE_CHARS, k: int = K) -
                 held = rows[-1:]
                 edited = [a[3][: len(a[3]) - len(a[3]) // 2] + b[3][: len(a[3]) // 2] for a, b in pairs]
                 found = [
-                    (a[2], len(a[3]), hashlib.sha256(e.encode()).hexdigest(), to_string(a[4]), to_string(s), resemblance(a[4], s, k), resemblance(a[4], b[4], k))
+                    (a[2], len(a[3]), hashlib.sha256(e.encode()).hexdigest(), to_string(a[4]), to_string(s), resemblance(a[4], s, k), resemblance(a[4], b[4], k), distinct_estimate(a[4], k), containment(s, a[4], k))
                     for (a, b), e, s in zip(pairs, edited, sketch_texts(edited, shingle, k), strict=True)
                 ]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double, edited_contained double"
     return with_next_row(docs).mapInArrow(run, schema)
