@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,17 +61,37 @@ def top1(rows: DataFrame, key: str, score: str, then: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), then))).where("_n = 1").drop("_n")
 
 
+def _line_numbers(centres: pa.Array, tolerance: pa.Array) -> pa.Array:
+    """Of each ascending list of centres the line that each falls in: that of the one before if its mean is in reach."""
+    out = []
+    for row, reach in zip(centres.to_pylist(), tolerance.to_pylist(), strict=True):
+        lines, mean, n = [], 0.0, 0
+        for c in row:
+            if n and abs(mean - c) <= reach:
+                mean, n = (mean * n + c) / (n + 1), n + 1
+                lines.append(lines[-1])
+            else:
+                mean, n = c, 1
+                lines.append(lines[-1] + 1 if lines else 1)
+        out.append(lines)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def visual_lines(words: DataFrame, figures: DataFrame, key: str = "page") -> DataFrame:
-    """WN-03: (key, line, text): words(key, box_id, sides, text) outside all figures(key, f_*), in lines: a new line begins
-    where the vertical centre is more than 0.55 median heights below that of the word before. Right to left in a line."""
-    inside = overlap_join(words, figures, [key], ("y0", "y1"), ("f_y0", "f_y1"), 64).where("x0 < f_x1 AND f_x0 < x1").select(key, "box_id").distinct()
-    height = F.col("y1") - F.col("y0")
-    median = words.groupBy(key).agg(F.percentile(height, 0.5).alias("_m"))
-    kept = words.join(inside, [key, "box_id"], "left_anti").join(median, key).withColumn("_c", (F.col("y0") + F.col("y1")) / 2)
-    by = Window.partitionBy(key).orderBy("_c", "box_id")
-    begins = F.coalesce((F.col("_c") - F.lag("_c").over(by) > 0.55 * F.col("_m")).cast("int"), F.lit(1))
-    lines = kept.withColumn("_new", begins).withColumn("line", F.sum("_new").over(by))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("x0")).alias("x"), "box_id", "text")))
+    """WN-03: (key, line, text): words(key, box_id, sides, text) whose centre is in none of figures(key, f_*), two units of
+    margin included, in lines: from the top, a word joins the line if its centre is within 0.55 (upper) median heights of
+    the mean centre of the line so far. By right edges from right to left in a line. The fold goes over one page's words."""
+    centre_x, centre_y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    near = figures.withColumns({"_a": F.col("f_y0") - 2, "_b": F.col("f_y1") + 3})
+    inside = overlap_join(words, near, [key], ("y0", "y1"), ("_a", "_b"), 64).where(centre_x.between(F.col("f_x0") - 2, F.col("f_x1") + 2) & centre_y.between(F.col("f_y0") - 2, F.col("f_y1") + 2))
+    kept = words.join(inside.select(key, "box_id").distinct(), [key, "box_id"], "left_anti")
+    pages = kept.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct(centre_y.cast("double").alias("c"), "box_id", "x1", "text"))).alias("w"), F.array_sort(F.collect_list(F.col("y1") - F.col("y0"))).alias("h")
+    )
+    reach = 0.55 * F.get("h", F.floor(F.size("h") / 2).cast("int"))
+    numbers = F.arrow_udf(_line_numbers, "array<int>")(F.transform("w", lambda x: x["c"]), reach.cast("double"))
+    lines = pages.select(key, F.explode(F.arrays_zip("w", numbers.alias("line"))).alias("z")).select(key, "z.line", "z.w.*")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("x1")).alias("x"), "box_id", "text")))
     return lines.groupBy(key, "line").agg(F.array_join(F.transform(order, lambda w: w["text"]), " ").alias("text"))
 
 

@@ -68,11 +68,13 @@ def st02(spark, sf_dir):
 
 @query(
     "wn03_visual_lines",
-    """WITH f AS (SELECT page, x0 AS fx0, y0 AS fy0, x1 + 60 AS fx1, y1 + 40 AS fy1 FROM v_boxes WHERE box_id % 17 = 0), w AS (SELECT * FROM v_boxes WHERE box_id % 17 <> 0),
-    m AS (SELECT page, quantile_cont(y1 - y0, 0.5) AS m FROM w GROUP BY page),
-    k AS (SELECT w.*, m, (y0 + y1) / 2 AS c FROM w JOIN m USING (page) WHERE NOT EXISTS (FROM f WHERE f.page = w.page AND x0 < fx1 AND fx0 < x1 AND y0 < fy1 AND fy0 < y1)),
-    n AS (SELECT *, CASE WHEN coalesce(c - lag(c) OVER o > 0.55 * m, true) THEN 1 ELSE 0 END AS b FROM k WINDOW o AS (PARTITION BY page ORDER BY c, box_id)),
-    l AS (SELECT *, cast(sum(b) OVER (PARTITION BY page ORDER BY c, box_id) AS BIGINT) AS line FROM n) SELECT page, line, string_agg(box_id, ' ' ORDER BY x0 DESC, box_id) AS text FROM l GROUP BY ALL""",
+    """WITH RECURSIVE f AS (SELECT page, x0 - 2 AS fx0, y0 - 2 AS fy0, x1 + 62 AS fx1, y1 + 42 AS fy1 FROM v_boxes WHERE box_id % 17 = 0), w AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS c FROM v_boxes WHERE box_id % 17 <> 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY c, box_id) AS i FROM w WHERE NOT EXISTS (FROM f WHERE f.page = w.page AND cx BETWEEN fx0 AND fx1 AND c BETWEEN fy0 AND fy1)),
+    t AS (SELECT page, 0.55 * list_sort(list(y1 - y0))[count(*) // 2 + 1] AS tol FROM k GROUP BY page),
+    g AS (SELECT page, box_id, x1, i, cast(1 AS BIGINT) AS line, c AS mean, cast(1 AS BIGINT) AS n FROM k WHERE i = 1
+        UNION ALL SELECT k.page, k.box_id, k.x1, k.i, CASE WHEN abs(mean - c) <= tol THEN line ELSE line + 1 END, CASE WHEN abs(mean - c) <= tol THEN (mean * n + c) / (n + 1) ELSE c END, CASE WHEN abs(mean - c) <= tol THEN n + 1 ELSE 1 END
+        FROM g JOIN k ON k.page = g.page AND k.i = g.i + 1 JOIN t ON t.page = k.page)
+    SELECT page, line, string_agg(box_id, ' ' ORDER BY x1 DESC, box_id) AS text FROM g GROUP BY ALL""",
 )
 def wn03(spark, sf_dir):
     boxes = views.boxes(spark, sf_dir)

@@ -215,6 +215,9 @@ def test_breaks_are_carried_over(spark):
     source = spark.createDataFrame([(1, n, i, w) for n, line in enumerate(lines) for i, w in enumerate(line.split())], "d int, line_no int, pos int, tok string")
     target = spark.createDataFrame([(1, i, w) for i, w in enumerate("alpha beta gamma delta epsilon zeta".split())], "d int, pos int, tok string")
     assert got(text.transfer_breaks(target, source, "d"), "pos", "reversed") == [(3, False)]
+    turned = spark.createDataFrame([(1, i, w) for i, w in enumerate("delta epsilon zeta alpha beta gamma".split())], "d int, pos int, tok string")
+    assert got(text.transfer_breaks(turned, source, "d"), "pos", "reversed") == [(3, True)]
+    assert text.transfer_breaks(target.where("pos < 2").unionByName(target.where("pos < 4").selectExpr("d", "pos + 2 AS pos", "concat(tok, 'x') AS tok")), source, "d").count() == 0
 
 
 def test_marker_sequence(spark):
