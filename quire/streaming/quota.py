@@ -100,10 +100,19 @@ def daily_cap(requests: DataFrame, caps: DataFrame) -> DataFrame:
     return nth.join(after, "place", "left").select("day", "model", "n", F.col("rid").alias("first_over"), F.coalesce("next_model", F.lit("")).alias("next_model"))
 
 
+def _running_count(rows: DataFrame, key: str, flag: str, name: str) -> DataFrame:
+    """rows(key, ts, rid, flag) plus how many flagged ones of the key there are up to each. Days are counted first and then
+    summed, so the rows of a key are put in order a day at a time."""
+    rows = rows.withColumn("_day", F.coalesce(F.date_trunc("day", "ts"), F.lit("0001-01-01").cast("timestamp_ntz")).cast("date"))
+    days = rows.groupBy(key, "_day").agg(F.count_if(flag).alias("_c"))
+    days = days.withColumn("_before", F.sum("_c").over(Window.partitionBy(key).orderBy("_day")) - F.col("_c")).drop("_c")
+    upto = Window.partitionBy(key, "_day").orderBy("ts", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(days, [key, "_day"]).withColumn(name, F.col("_before") + F.count_if(flag).over(upto)).drop("_day", "_before")
+
+
 def breaker(events: DataFrame, key: str, n: int = 2) -> DataFrame:
-    """SS-04: events plus switched: from the n-th error of the key on."""
-    by = Window.partitionBy(key).orderBy("ts", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("switched", F.count_if("error").over(by) >= n)
+    """SS-04: events plus switched: from the n-th error of the key on. Null keys are left out."""
+    return _running_count(events, key, "error", "_errors").withColumn("switched", F.col("_errors") >= n).drop("_errors")
 
 
 def expire(sessions: DataFrame, active: DataFrame, key: str, now, hours: int = 12) -> DataFrame:
@@ -127,10 +136,10 @@ def dedupe_stream(work: DataFrame, keys: list[str], retention: str) -> DataFrame
 
 
 def progress(events: DataFrame, job: str, done: str) -> DataFrame:
-    """SS-07: events plus share: how much of the job's finishing events have come so far."""
-    by = Window.partitionBy(job)
-    upto = by.orderBy("ts", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("share", F.round(F.count_if(F.col(done)).over(upto) / F.nullif(F.count_if(F.col(done)).over(by), F.lit(0)), 6))
+    """SS-07: events plus share: how much of the job's finishing events have come so far. Null jobs are left out."""
+    every = events.groupBy(job).agg(F.count_if(done).alias("_all"))
+    counted = _running_count(events, job, done, "_done").join(every, job)
+    return counted.withColumn("share", F.round(F.col("_done") / F.nullif("_all", F.lit(0)), 6)).drop("_done", "_all")
 
 
 def progress_stream(events: DataFrame, job: str, done: str, every: str = "1 day", late: str = "10 minutes") -> DataFrame:
