@@ -75,16 +75,19 @@ def load_pieces(model_file: str = MODEL_FILE, theta: float = THETA) -> Pieces:
     return Pieces(np.array(layers), hashes, np.array(plain, dtype=np.int32), (theta * logs).astype(np.float32), max(map(len, points)), in_use, crossing, byte_ids, theta * float(logs.min()) - 1, decoded)
 
 
-def _lookup(p: Pieces, h: np.ndarray) -> np.ndarray:
-    """Index of the piece with each hash, or -1."""
+def _lookup(p: Pieces, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes are those of pieces, and the pieces. A layer has a slot only if the layer before has another."""
     slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-    out = np.full(len(h), -1, dtype=np.int32)
+    found, pieces, rest = [], [], np.arange(len(h))
     for layer in p.slots:
-        at = layer[slot]
-        hit = np.flatnonzero(at)
-        hit = hit[p.hashes[at[hit] - 1] == h[hit]]
-        out[hit] = at[hit] - 1
-    return out
+        at = layer[slot[rest]]
+        some = np.flatnonzero(at)
+        rest, at = rest[some], at[some] - 1
+        same = p.hashes[at] == h[rest]
+        found.append(rest[same])
+        pieces.append(at[same])
+        rest = rest[~same]
+    return np.concatenate(found), np.concatenate(pieces)
 
 
 def _utf8_lengths(points: np.ndarray) -> np.ndarray:
@@ -131,29 +134,49 @@ def sample(p: Pieces, texts: list[bytes], keys: np.ndarray, seed: int = SEED) ->
     flat = points[np.repeat(begin[which], size) + inside]
     sums = Substrings(_codes(flat))
     longest = min(p.longest, int(size.max()))
-    edges = np.full((len(flat), longest), -1, dtype=np.int32)  # by the place where an edge ends, and its length less one
+    ends, spans, kinds = [], [], []  # of each edge the place where it ends, its length less one, and its piece or -1
+    bare = np.ones(len(flat), dtype=bool)
     for k in range(longest):
         end = np.flatnonzero(inside >= k)
-        edges[end, k] = _lookup(p, sums.hash(end - k, end + 1))
-    weight = np.where(edges >= 0, p.weights[edges], np.float32(-np.inf))
-    lone = np.flatnonzero(edges[:, 0] < 0)
-    weight[lone, 0] = p.byte_weight * _utf8_lengths(flat[lone])
-    total = np.zeros(len(flat) + 1, dtype=np.float32)  # log of the summed weights of all ways to a place's end
-    chance = np.empty_like(weight)
+        hit, piece = _lookup(p, sums.hash(end - k, end + 1))
+        ends.append(end[hit])
+        spans.append(np.full(len(hit), k))
+        kinds.append(piece)
+        if k == 0:
+            bare[ends[0]] = False
+            lone = np.flatnonzero(bare)
+            ends.append(lone)
+            spans.append(np.zeros(len(lone), dtype=np.int64))
+            kinds.append(np.full(len(lone), -1, dtype=np.int32))
+    # edges by the place in its part where they end, so that a step of all parts is a slice
     order = np.argsort(inside.astype(np.int32), kind="stable")
+    rank = np.empty(len(flat), dtype=np.int64)
+    rank[order] = np.arange(len(flat))
+    first = np.zeros(len(flat) + 1, dtype=np.int64)
+    for end in ends:
+        first[rank[end] + 1] += 1  # an end is in each list once
+    np.cumsum(first, out=first)
+    free, span, kind = first[:-1].copy(), np.empty(first[-1], dtype=np.int64), np.empty(first[-1], dtype=np.int32)
+    for end, k, piece in zip(ends, spans, kinds, strict=True):
+        at = free[rank[end]]
+        span[at], kind[at] = k, piece
+        free[rank[end]] += 1
+    place = np.repeat(order, np.diff(first))
+    weight = np.where(kind >= 0, p.weights[kind], p.byte_weight * _utf8_lengths(flat[place]))
+    before = np.where(inside[place] == span, len(flat), place - span - 1)
+    total = np.zeros(len(flat) + 1)  # log of the summed weights of all ways to a place's end; the last is that to a start
+    chance = np.empty(len(weight))  # of an edge and those before it at its place
     steps = np.searchsorted(inside[order], np.arange(int(size.max()) + 1))
     for i in range(int(size.max())):
-        at = order[steps[i] : steps[i + 1]]
-        most = min(i + 1, longest)
-        ways = weight[at, :most]
-        for k in range(min(i, most)):
-            ways[:, k] += total[at - k - 1]
-        top = ways.max(axis=1)
-        share = np.exp(ways - top[:, None])
-        whole = share.sum(axis=1)
-        total[at] = top + np.log(whole)
-        chance[at, :most] = np.cumsum(share / whole[:, None], axis=1)
-        chance[at, most:] = 2.0
+        a, b = first[steps[i]], first[steps[i + 1]]
+        heads, width = first[steps[i] : steps[i + 1]] - a, np.diff(first[steps[i] : steps[i + 1] + 1])
+        ways = weight[a:b] + total[before[a:b]]
+        top = np.maximum.reduceat(ways, heads)
+        share = np.exp(ways - np.repeat(top, width))
+        whole = np.add.reduceat(share, heads)
+        total[order[steps[i] : steps[i + 1]]] = top + np.log(whole)
+        upto = np.cumsum(share)
+        chance[a:b] = (upto - np.repeat(upto[heads] - share[heads], width)) / np.repeat(whole, width)
 
     # draw backward, all parts at once
     text = np.repeat(np.arange(len(texts)), sizes)[begin]
@@ -161,17 +184,15 @@ def sample(p: Pieces, texts: list[bytes], keys: np.ndarray, seed: int = SEED) ->
     chosen = np.full(n, -1, dtype=np.int64)
     live, left = np.arange(len(begin)), length.copy()
     while len(live):
-        end = base[part[live]] + left[live] - 1
-        u = (mix64(stream[live] + left[live].astype(np.uint64)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-        k = np.minimum((chance[end] <= u[:, None]).sum(axis=1), longest - 1)
-        beyond = np.flatnonzero((edges[end, k] < 0) & (k > 0))  # the rounded sum stayed below the draw
-        if len(beyond):
-            usable = (edges[end[beyond]] >= 0) & (np.arange(longest) <= k[beyond, None])
-            usable[:, 0] = True
-            k[beyond] = longest - 1 - np.argmax(usable[:, ::-1], axis=1)
-        left[live] -= k + 1
-        edge = edges[end, k]
-        chosen[begin[live] + left[live]] = np.where(edge >= 0, p.ids[edge], -2)
+        end = rank[base[part[live]] + left[live] - 1]
+        u = (mix64(stream[live] + left[live].astype(np.uint64)) >> np.uint64(40)).astype(np.float64) * 2.0**-24
+        edge, last = first[end], first[end + 1] - 1
+        beyond = np.flatnonzero((chance[edge] <= u) & (edge < last))
+        while len(beyond):
+            edge[beyond] += 1
+            beyond = beyond[(chance[edge[beyond]] <= u[beyond]) & (edge[beyond] < last[beyond])]
+        left[live] -= span[edge] + 1
+        chosen[begin[live] + left[live]] = np.where(kind[edge] >= 0, p.ids[kind[edge]], -2)
         live = live[left[live] > 0]
     at = np.flatnonzero(chosen != -1)
     piece, char = chosen[at], real[at]
