@@ -33,7 +33,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat("doc_id", F.lit(".txt")))
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100), name)
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
-    return licenses.scan(files).select("doc_id", "path", "own_license", "own_score", "license", "from_path")
+    return licenses.scan(files).select("doc_id", "path", "own_license", F.round("own_score", 6).alias("own_score"), "license", "from_path")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_scoring": op10_lm_scoring,
 }
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, *(x.replace("'", "''") for x in row)) for i, row in enumerate(licenses.template_texts()))
+_TERMS = r"'[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]'"
 ORACLES: dict[str, str] = {
+    "op4_licenses": rf"""WITH t(i, license, text) AS (VALUES {_TEMPLATES}), tf AS (SELECT i, license, term, count(*) AS n FROM (SELECT i, license, unnest(regexp_extract_all(lower(text), {_TERMS})) AS term FROM t) GROUP BY ALL),
+    df AS (SELECT term, ln(((SELECT count(*) FROM t) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term), tw AS (SELECT i, license, term, n * idf AS w FROM tf JOIN df USING (term)),
+    tv AS (SELECT i, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY i)) AS w FROM tw),
+    d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, doc_id // 100, CASE WHEN doc_id % 20 = 0 THEN concat('LICENSE.', doc_id) ELSE concat(doc_id, '.txt') END) AS path FROM documents),
+    l AS (SELECT doc_id, unnest(range(len(x))) AS line, unnest(x) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS x FROM d)),
+    w AS (SELECT doc_id, line, regexp_extract_all(lower(text), {_TERMS}) AS terms FROM l), b AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS block FROM w WHERE len(terms) > 0),
+    u AS (SELECT doc_id, 0 AS kind, line AS unit, unnest(terms) AS term FROM b UNION ALL SELECT doc_id, 1, block, unnest(terms) FROM b UNION ALL SELECT doc_id, 2, 0, unnest(terms) FROM b),
+    uw AS (SELECT doc_id, kind, unit, term, count(*) * coalesce(max(idf), ln((SELECT count(*) FROM t) + 1) + 1) AS w FROM u LEFT JOIN df USING (term) GROUP BY doc_id, kind, unit, term),
+    un AS (SELECT doc_id, kind, unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL),
+    s AS (SELECT doc_id, license, round(sum(uw.w * tv.w) / max(norm), 9) AS score FROM uw JOIN un USING (doc_id, kind, unit) JOIN tv USING (term) GROUP BY doc_id, kind, unit, i, license),
+    o AS (SELECT doc_id, license AS own_license, score FROM s WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+    f AS (SELECT d.doc_id, path, regexp_extract(concat('/', path), '^(.*)/', 1) AS dir, own_license, score FROM d LEFT JOIN o USING (doc_id)),
+    a AS (SELECT dir AS above, min(path) AS near, arg_min(own_license, path) AS license FROM f WHERE own_license IS NOT NULL AND doc_id % 20 = 0 GROUP BY dir),
+    n AS (SELECT dir, arg_max(near, length(above)) AS near, arg_max(license, length(above)) AS license FROM (SELECT DISTINCT dir FROM f) JOIN a ON dir = above OR starts_with(dir, concat(above, '/')) GROUP BY dir)
+    SELECT doc_id, path, own_license, round(score, 6) AS own_score, coalesce(own_license, n.license) AS license, CASE WHEN own_license IS NOT NULL THEN path ELSE n.near END AS from_path FROM f LEFT JOIN n USING (dir)""",
     "op9_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
     s AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS j, ws FROM w WHERE len(ws) >= 13), t AS (SELECT doc_id, j, array_to_string(ws[j:j + 12], ' ') AS t FROM s),
     late AS (SELECT doc_id, j FROM (SELECT doc_id, j, min(doc_id) OVER (PARTITION BY t) AS least FROM t) WHERE doc_id > least),

@@ -12,12 +12,13 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import html_text, language_model, licenses, media, packing, pieces, simhash, sketches, substrings, toxicity
+from quire.llm import html_text, language_model, licenses, media, packing, pieces, queries, simhash, sketches, substrings, toxicity
 from quire.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -835,3 +836,14 @@ def test_licences_with_clashing_columns(spark):
         df = df.withColumn(clash, F.lit("clash"))
     got = sorted(((r["path"], r["dir"], r["_quire_text"], r["license"], r["from_path"]) for r in licenses.scan(df).collect()), key=str)
     assert got == sorted([("a/LICENSE", "clash", "clash", "MIT", "a/LICENSE"), *[("a/b.c", "clash", "clash", "MIT", "a/LICENSE")] * 2, ("", "clash", "clash", None, None), (None, "clash", "clash", None, None)], key=str)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_their_sql(spark, sf_dir, name):
+    duck = duckdb.connect()
+    for table in ("documents", "pages", "labels"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    want = duck.execute(queries.ORACLES[name]).fetchdf()
+    got = queries.QUERIES[name](spark, sf_dir).toPandas()
+    shown = lambda frame: Counter(tuple("" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in row) for row in frame[sorted(want.columns)].itertuples(index=False, name=None))
+    assert sorted(got.columns) == sorted(want.columns) and shown(got) == shown(want)
