@@ -298,9 +298,10 @@ CUE_TEXTS = (
 )
 
 
-def labelled_pages(n: int, seed: int = 11, containers: tuple[str, ...] = CONTAINERS, boiler_parts: tuple[str, ...] = BOILER_PARTS, unnamed: float = 0.35) -> list[tuple[Dom, list[int]]]:
+def labelled_pages(n: int, seed: int = 11, containers: tuple[str, ...] = CONTAINERS, boiler_parts: tuple[str, ...] = BOILER_PARTS, unnamed: float = 0.35, prose: float = 0.4) -> list[tuple[Dom, list[int]]]:
     """Pages with a label for every node, put together from the parts above. What holds both content and boilerplate is
-    neutral. A share `unnamed` of the parts has invented names, so that the model learns to do without them."""
+    neutral. A share `unnamed` of the parts has invented names, so that the model learns to do without them; a share `prose`
+    of the boilerplate reads like an article and has its own name, which alone gives it away."""
     rng, out = Random(seed), []
 
     def invented(low: int, high: int) -> str:
@@ -309,9 +310,9 @@ def labelled_pages(n: int, seed: int = 11, containers: tuple[str, ...] = CONTAIN
     def words(low: int, high: int) -> str:
         return " ".join(invented(2, 8) for _ in range(rng.randint(low, high)))
 
-    def part(opening: str, label: int) -> list:
+    def part(opening: str, label: int, always: bool = False) -> list:
         tag, _, attributes = opening.partition(" ")
-        if rng.random() < unnamed and (attributes or tag in ("div", "section")):
+        if not always and rng.random() < unnamed and (attributes or tag in ("div", "section")):
             opening = rng.choice((tag if tag in ("div", "section", "ul", "ol") else "div", f'div class="{invented(3, 9)}"', f'div id="{invented(2, 6)}-{invented(2, 6)}"', f'{tag} class="{invented(2, 5)}-{rng.randint(1, 9)}"'))
         return [opening, label]
 
@@ -323,9 +324,14 @@ def labelled_pages(n: int, seed: int = 11, containers: tuple[str, ...] = CONTAIN
         return found
 
     def boiler() -> list:
-        node = part(rng.choice(SEMANTIC_PARTS if rng.random() < 0.25 else boiler_parts), BOILERPLATE)
+        told = rng.random() < prose
+        node = part(rng.choice(SEMANTIC_PARTS if rng.random() < 0.2 else boiler_parts), BOILERPLATE, told)
         kind = rng.random()
-        if kind < 0.35:  # links
+        if told:
+            said = [[rng.choice(("h2", "h3", "h4")), BOILERPLATE, (words(1, 5), BOILERPLATE)]] if rng.random() < 0.4 else []
+            said += [[rng.choice(("p", "p", "p", "div", "li")), BOILERPLATE, *line(BOILERPLATE, 3, rng.choice((12, 30, 60)))] for _ in range(rng.randint(1, 4))]
+            node += said if rng.random() < 0.75 else line(BOILERPLATE, 3, 40)
+        elif kind < 0.35:  # links
             items = [[rng.choice(("li", "li", "p", "span", "div")), BOILERPLATE, ["a", BOILERPLATE, (words(1, 3), BOILERPLATE)]] for _ in range(rng.randint(1, 9))]
             node += [[rng.choice(("ul", "ol", "div")), BOILERPLATE, *items]] if rng.random() < 0.8 else items
         elif kind < 0.5:  # reader comments

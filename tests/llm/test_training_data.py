@@ -699,7 +699,7 @@ def test_accuracy_on_layouts_whose_names_no_training_page_has(html_model):
     containers = ('div class="lead-copy"', 'div id="textblock"', 'div class="prose"', 'main class="pagebody"', "article", 'div class="longform"', 'section class="readable"')
     others = ('div class="rail"', 'div class="outbrain"', 'div class="cc-window"', 'div class="user-post"', 'ul class="topics"', 'div class="teaserbox"', 'div class="paywall"', 'div class="hotlinks"', "footer", "nav", 'div class="optin"', 'div class="follow-us"', "aside")
     right = wrong = missed = 0
-    for dom, labels in html_text.labelled_pages(200, 99, containers, others, 0.0):
+    for dom, labels in html_text.labelled_pages(200, 99, containers, others, 0.0, 0.0):
         kind = np.array([-1 if t is None else html_text._evidence(t, k) for t, k in zip(dom.text, dom.linked, strict=True)])
         pair = html_text.potentials(html_model, dom.features, html_text.structure(dom))
         kept = html_text.marginals(html_model, np.array(dom.parent), np.array(dom.depth), pair, kind)[:, html_text.CONTENT] >= 0.5
@@ -709,6 +709,23 @@ def test_accuracy_on_layouts_whose_names_no_training_page_has(html_model):
     assert 2 * right / (2 * right + wrong + missed) > 0.97
 
 
+@pytest.mark.parametrize("where", ["before", "after", "inside"])
+def test_boilerplate_that_reads_like_an_article_goes_by_its_name(html_model, where):
+    rng = random.Random(3)
+    sentence = lambda n: " ".join("".join(rng.choice("aeiourstlndh") for _ in range(rng.randint(2, 8))) for _ in range(n)).capitalize() + "."
+    prose = lambda a, b: " ".join(sentence(rng.randint(3, 12)) for _ in range(rng.randint(a, b)))
+    wrong = total = 0
+    for part in dict.fromkeys(x for x in html_text.BOILER_PARTS + html_text.SEMANTIC_PARTS if not x.startswith("p ")):
+        for container in ("article", "main", 'div class="content"', 'section class="post"'):
+            other = f"<{part}><p>{prose(1, 3)}</p></{part.split()[0]}>"
+            first, rest = f"<h1>{sentence(6)}</h1><p>{prose(1, 6)}</p>", "".join(f"<p>{prose(1, 6)}</p>" for _ in range(rng.randint(1, 7)))
+            place = {k: other if k == where else "" for k in ("before", "after", "inside")}
+            page = f"<html><body><nav><a href=/a>a</a></nav>{place['before']}<{container}>{first}{place['inside']}{rest}</{container.split()[0]}>{place['after']}<footer>&copy; x y</footer></body></html>"
+            total += 1
+            wrong += html_text.extract(html_model, [page]) != [" ".join(re.sub("<[^>]*>", " ", first + rest).split())]
+    assert wrong <= 0.04 * total
+
+
 def test_given_pages_equal_their_articles(html_model, sf_dir, spark):
     pages = [r[0] or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
     want = []
