@@ -112,9 +112,32 @@ def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return shingle[order], n[order]
 
 
+def _parities(own: np.ndarray) -> bytes:
+    """A bit for each value of the last bits of a hash: whether an odd number of the shingles has it; twice as many bits as
+    shingles, in whole powers of two. Bits in which two texts differ are shingles that one of them has alone."""
+    size = max(64, 1 << (2 * len(own) - 1).bit_length())
+    return np.packbits((np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def _maybe_alike(similarity: float):
+    """A function of the numbers of shingles and the parities of two texts: false if they differ in more bits than a pair of
+    the similarity has shingles of one text alone. The longer bits are folded; so the answer is never wrongly false."""
+
+    def run(n: pa.Array, a: pa.Array, m: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y, most in zip(a.to_pylist(), b.to_pylist(), ((1 - similarity) / (1 + similarity) * (n.to_numpy() + m.to_numpy()) + _SLACK).tolist(), strict=True):
+            p, q = (np.unpackbits(np.frombuffer(z, dtype=np.uint8)) for z in (x, y))
+            size = min(len(p), len(q))
+            p, q = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (p, q))
+            out.append(np.count_nonzero(p != q) <= most)
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
+
+
 def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, text_key, raw, n, prefix): the number of distinct shingles, and so many of the rarest that two texts of
-    the similarity share one of them. All texts order the shingles alike: by their number in a sample, then by hash; the
+    """(doc_id, text_key, raw, n, parities, prefix): the number of distinct shingles, and so many of the rarest that two texts
+    of the similarity share one of them. All texts order the shingles alike: by their number in a sample, then by hash; the
     sample bears on how many candidates there are, not on which pairs are found."""
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
 
@@ -130,10 +153,10 @@ def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                         at = np.minimum(np.searchsorted(shingle, own), len(shingle) - 1)
                         own = own[np.argsort(np.where(shingle[at] == own, times[at], 0), kind="stable")]
                     prefixes.append(own[: len(own) - int(np.ceil(similarity * len(own) - _SLACK)) + 1].view(np.int64))
-                columns = [batch.column("doc_id").slice(i, j - i), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), batch.column("raw").slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "raw", "n", "prefix"])
+                columns = [batch.column("doc_id").slice(i, j - i), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), batch.column("raw").slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(map(_parities, sets), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "raw", "n", "parities", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, raw long, n long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, raw long, n long, parities binary, prefix array<long>")
 
 
 def _resemblance(words: int):
@@ -161,7 +184,8 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = CO
     proposes a pair only if what is left of both texts from its shingle on is enough for the resemblance: the rare
     shingles that each has alone rule out mere relatives before a row is made. The members of a list are compared with
     the text that has the least before the shingle; then all proposed pairs that are still in different components are
-    compared, both whole texts. So each pair of the resemblance is compared or already joined.
+    compared: first bits of both, which rule out most pairs and never one of the resemblance, then both whole texts. So
+    each pair of the resemblance is compared or already joined.
     Exact copies are one node. component_id is the least doc_id reachable; nulls and repeated rows are treated as in
     near_duplicates.
     """
@@ -169,14 +193,17 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = CO
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("raw"))
     each = stored(_prefixes(docs, words, similarity), "copy-prefixes")
-    nodes = stored(each.groupBy(F.col("text_key").alias("id")).agg(F.min("doc_id").alias("least_id"), F.min("raw").alias("raw"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "copy-nodes")
+    nodes = stored(each.groupBy(F.col("text_key").alias("id")).agg(F.min("doc_id").alias("least_id"), F.min("raw").alias("raw"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first("prefix").alias("prefix")), "copy-nodes")
     listed = nodes.select("id", "n", F.posexplode("prefix").alias("at", "shingle")).select("id", "shingle", "n", (F.col("n") - F.col("at")).alias("left"))
     shared = listed.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("shingle")
     members = stored(listed.join(shared, "shingle"), "copy-members")
-    wanted = members.select("id").distinct().join(nodes.select("id", "raw"), "id")
-    texts = stored(docs.select("raw", "text").join(wanted, "raw").groupBy("id").agg(F.first("text").alias("text")), "copy-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parities").alias(f"parities_{x}")) for x in "ab")
+        pairs = stored(pairs.join(a, "a").join(b, "b").where(_maybe_alike(similarity)("n_a", "parities_a", "n_b", "parities_b")).select("a", "b"), "copy-candidates")
+        ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+        wanted = stored(ends.join(nodes.select("id", "raw"), "id"), "copy-wanted")  # as a table its size is known: few rows are sent to the texts
+        texts = stored(docs.select("raw", "text").join(wanted, "raw").groupBy("id").agg(F.first("text").alias("text")), "copy-texts")
         a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return stored(pairs.join(a, "a").join(b, "b").where(_resemblance(words)("text_a", "text_b") >= similarity).select("a", "b"), "copy-links")
 

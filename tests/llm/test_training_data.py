@@ -14,6 +14,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -163,6 +164,30 @@ def test_all_pairs_of_a_low_resemblance_are_candidates(spark):
     assert copies_of(spark, rows) == {i: i - i % 2 for i, _ in rows}
 
 
+def test_the_bits_of_two_texts_never_rule_out_an_alike_pair(spark):
+    rng = np.random.default_rng(7)
+    maybe, cases = simhash._maybe_alike(0.8).func, []
+    for n in (1, 5, 31, 32, 33, 60, 64, 66, 128, 500, 3000):
+        for _ in range(30):
+            own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            more = rng.integers(0, 1 << 63, int(rng.integers(0, len(own) // 3 + 1)), dtype=np.uint64)
+            cases.append((own, np.union1d(own[: len(own) - int(rng.integers(0, len(own) // 5 + 1))], more)))
+    cases += [(rng.integers(0, 1 << 63, 100, dtype=np.uint64), rng.integers(0, 1 << 63, 110, dtype=np.uint64)) for _ in range(50)]
+    got = maybe(pa.array([len(a) for a, _ in cases]), pa.array([simhash._parities(a) for a, _ in cases]), pa.array([len(b) for _, b in cases]), pa.array([simhash._parities(b) for _, b in cases])).to_pylist()
+    alike = [5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for a, b in cases]
+    assert sum(alike) > 100 and all(g for g, w in zip(got, alike, strict=True) if w) and not any(got[-50:])
+
+
+def test_near_copies_of_unequal_length(spark):
+    rng, rows = random.Random(31), []
+    for n in (34, 36, 60, 64, 68, 70, 132, 136):  # around the sizes at which the bits double
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for extra in (n // 8, n // 5, n // 3):
+            rows.append((len(rows), " ".join(base + [f"v{rng.randrange(10**6)}" for _ in range(extra)])))
+        rows.append((len(rows), " ".join(base)))
+    assert copies_of(spark, rows) == brute_components(rows)
+
+
 def test_true_pairs_beside_mere_relatives_are_joined(spark):
     rng = random.Random(22)
     base, rows = [f"w{rng.randrange(9000)}" for _ in range(400)], []
@@ -700,7 +725,7 @@ def test_accuracy_on_layouts_whose_names_no_training_page_has(html_model):
     others = ('div class="rail"', 'div class="outbrain"', 'div class="cc-window"', 'div class="user-post"', 'ul class="topics"', 'div class="teaserbox"', 'div class="paywall"', 'div class="hotlinks"', "footer", "nav", 'div class="optin"', 'div class="follow-us"', "aside")
     right = wrong = missed = 0
     for dom, labels in html_text.labelled_pages(200, 99, containers, others, 0.0, 0.0):
-        kind = np.array([-1 if t is None else html_text._evidence(t, k) for t, k in zip(dom.text, dom.linked, strict=True)])
+        kind = np.array([-1 if t is None else html_text._evidence(t, k, n) for t, k, n in zip(dom.text, dom.linked, dom.words, strict=True)])
         pair = html_text.potentials(html_model, dom.features, html_text.structure(dom))
         kept = html_text.marginals(html_model, np.array(dom.parent), np.array(dom.depth), pair, kind)[:, html_text.CONTENT] >= 0.5
         for text, keep, label in zip(dom.text, kept.tolist(), labels, strict=True):
