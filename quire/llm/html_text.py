@@ -55,8 +55,8 @@ def signature(tag: str, attributes: str) -> tuple[str, ...]:
 
 @dataclass
 class Dom:
-    """Nodes in page order, so that what is inside a node are those from it to `last`. A text node has its text; block is
-    the number of the block a text stands in."""
+    """Nodes in page order, so that what is inside a node are those from it to `last`. A text node has its text and the
+    number of its words; block is the number of the block a text stands in."""
 
     parent: list[int]
     depth: list[int]
@@ -65,15 +65,23 @@ class Dom:
     linked: list[bool]
     block: list[int]
     last: list[int]
+    words: list[int]
 
     @classmethod
     def empty(cls) -> Dom:
-        return cls([-1], [0], [("tag=#root",)], [None], [False], [0], [0])
+        return cls([-1], [0], [("tag=#root",)], [None], [False], [0], [0], [0])
 
     def add(self, parent: int, depth: int, features: tuple[str, ...], text: str | None, linked: bool, block: int) -> int:
-        for column, value in ((self.parent, parent), (self.depth, depth), (self.features, features), (self.text, text), (self.linked, linked), (self.block, block), (self.last, len(self.parent))):
-            column.append(value)
-        return len(self.parent) - 1
+        node = len(self.parent)
+        self.parent.append(parent)
+        self.depth.append(depth)
+        self.features.append(features)
+        self.text.append(text)
+        self.linked.append(linked)
+        self.block.append(block)
+        self.last.append(node)
+        self.words.append(len(text.split()) if text else 0)
+        return node
 
 
 def parse(page: str, signatures: dict | None = None) -> Dom:
@@ -129,7 +137,7 @@ def parse(page: str, signatures: dict | None = None) -> Dom:
                     close(inside)
         if tag in ENDS:
             ended, fence = ENDS[tag]
-            while (i := nearest(ended)) > nearest(fence):
+            while (i := nearest(ended)) >= 0 and i > nearest(fence):
                 close(i)
         if tag in VOID or attributes.endswith("/") and tag in SILENT:
             continue
@@ -167,19 +175,17 @@ def structure(dom: Dom) -> np.ndarray:
     """[node][family]: the number of words inside, their share of the page's, the shares of words in links and of texts of
     ten words or more, the number of paragraphs and items, a heading, and which cues few words hold."""
     n = len(dom.parent)
-    own = np.zeros((6 + len(CUES), n + 1), dtype=np.int64)
-    for i, text in enumerate(dom.text):
-        if text is None:
-            tag = dom.features[i][0]
-            own[4, i] = tag in ("tag=p", "tag=li")
-            own[5, i] = tag in ("tag=h1", "tag=h2")
-        elif words := len(text.split()):
-            own[0, i], own[1, i], own[2, i], own[3, i] = words, words * dom.linked[i], 1, words >= 10
-            if words <= 40:
-                for m in _CUES.finditer(text.lower()):
-                    own[5 + m.lastindex, i] = 1
+    own = np.zeros((6 + len(CUES), n), dtype=np.int64)
+    own[0] = dom.words
+    own[1] = own[0] * np.array(dom.linked)
+    own[2], own[3] = own[0] > 0, own[0] >= 10
+    own[4] = [f[0] in ("tag=p", "tag=li") for f in dom.features]
+    own[5] = [f[0] in ("tag=h1", "tag=h2") for f in dom.features]
+    for i in np.flatnonzero((own[0] > 0) & (own[0] <= 40)).tolist():
+        for m in _CUES.finditer(dom.text[i].lower()):
+            own[5 + m.lastindex, i] = 1
     upto = np.zeros((len(own), n + 1), dtype=np.int64)
-    np.cumsum(own[:, :n], axis=1, out=upto[:, 1:])
+    np.cumsum(own, axis=1, out=upto[:, 1:])
     inside = upto[:, np.array(dom.last) + 1] - upto[:, :n]
     words = np.maximum(inside[0], 1)
     families = [
@@ -189,9 +195,8 @@ def structure(dom: Dom) -> np.ndarray:
     return np.stack(families, axis=1).astype(np.int64)
 
 
-def _evidence(text: str, linked: bool) -> int:
+def _evidence(text: str, linked: bool, n: int) -> int:
     """Which of a few kinds of text a node holds: by number of words, end of a sentence and link."""
-    n = len(text.split())
     size = 0 if n == 0 else 1 if n <= 2 else 2 if n <= 6 else 3 if n <= 15 else 4
     return size * 4 + 2 * (text.rstrip()[-1:] in _SENTENCE_ENDS) + linked if n else 0
 
@@ -259,7 +264,7 @@ def extract(model: Model, pages: list[str], threshold: float = 0.5) -> list[str]
     parent = np.concatenate([d.parent for d in doms])
     parent = np.where(parent >= 0, parent + base, -1)
     pair = potentials(model, [f for d in doms for f in d.features], np.concatenate([structure(d) for d in doms]))
-    kind = np.array([-1 if t is None else _evidence(t, k) for d in doms for t, k in zip(d.text, d.linked, strict=True)])
+    kind = np.array([-1 if t is None else _evidence(t, k, n) for d in doms for t, k, n in zip(d.text, d.linked, d.words, strict=True)])
     keep = (marginals(model, parent, np.concatenate([d.depth for d in doms]), pair, kind)[:, CONTENT] >= threshold).tolist()
     out, at = [], 0
     for dom, size in zip(doms, sizes, strict=True):
@@ -408,7 +413,7 @@ def train(pages: list[tuple[Dom, list[int]]], ridge: float = 0.3, rounds: int =
             for f in features:
                 seen[f] = seen.get(f, 0) + 1
             if dom.text[node] is not None:
-                kinds[labels[node], _evidence(dom.text[node], dom.linked[node])] += 1
+                kinds[labels[node], _evidence(dom.text[node], dom.linked[node], dom.words[node])] += 1
     index = {f: i for i, f in enumerate(sorted(f for f, times in seen.items() if times > 2))}
     weights = np.zeros((3, 3, len(index) + 1))
     m = len(index) + 1
