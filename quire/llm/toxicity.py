@@ -168,9 +168,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_fe
     chosen = np.union1d(most_telling(coded.where("kind < 2"), n_features), terms)
 
     def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(1 << TABLE_BITS, dtype=bool)
+        known[chosen] = True
+
+        def kept(lists: pa.ListArray) -> pa.ListArray:
+            values = lists.flatten().to_numpy()
+            stay = known[values]
+            ends = np.concatenate(([0], np.cumsum(stay)))[np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))]
+            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[stay]))
+
         for batch in batches:
-            lists = [pa.array([x[np.isin(x, chosen)] for x in batch.column(c).to_numpy(zero_copy_only=False)], pa.list_(pa.int32())) for c in ("codes", "twin")]
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), *lists], names=["kind", "codes", "twin"])
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), *(kept(batch.column(c)) for c in ("codes", "twin"))], names=["kind", "codes", "twin"])
 
     got = coded.mapInArrow(only_chosen, coded.schema).toArrow()
     kind = got.column("kind").to_numpy()
