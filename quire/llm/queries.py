@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language_model, licenses, media, pieces, toxicity
+from quire.llm import language_model, licenses, media, pieces, ranked_search, set_join, spelling, toxicity
 from quire.llm.html_text import main_text
 from quire.llm.packing import pack
-from quire.llm.shared import fold, table
+from quire.llm.shared import fold, stored, table
 from quire.llm.simhash import near_duplicates
 from quire.llm.sketches import edited_likeness
 from quire.llm.substrings import remove_repeats
@@ -73,6 +73,30 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs.select("doc_id", "text"), fold(F.col("doc_id"), 7) == 2)
 
 
+TYPO_EVERY = 31
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of letters loses a letter where TYPO_EVERY divides the hash of document and run."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text")
+    runs = docs.select("doc_id", F.explode(spelling.letter_runs(F.col("text"), spelling.LEAST_LETTERS)).alias("run"))
+    h = F.crc32(F.concat_ws(":", "doc_id", "run").cast("binary"))
+    gone = (h % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), gone), F.substring("run", gone + 2, F.length("run")))
+    words = spelling.counted_words(runs.select(F.when(h % TYPO_EVERY == 0, cut).otherwise(F.col("run")).alias("word")))
+    found = spelling.spelling_forms(stored(words, "spelling-words"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.similar_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_packing": op2_packing,
@@ -84,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_spelling": op11_spelling,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_set_join": op13_set_join,
 }
 _TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, *(x.replace("'", "''") for x in row)) for i, row in enumerate(licenses.template_texts()))
 _TERMS = r"'[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]'"
