@@ -17,6 +17,8 @@ from quire.llm.shared import Words, bounded_batches, chunked, stored, utf8_rows
 SHINGLE_WORDS, SIMILARITY = 4, (85, 100)
 #: Members of a list that are compared in one step, and shares of a set's length by which positions are parted.
 BLOCK_MEMBERS, BANDS = 256, 40
+#: Rounds bear on how many pairs are left to compare, not on which links are found.
+GUIDE_ROUNDS = 3
 SAMPLE, COMMON = 16, 1 << 17
 
 
@@ -107,10 +109,17 @@ def _listed(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return blocks.withColumn("block", F.xxhash64("cell", "salt")).drop("cell", "salt")
 
 
-def _may_link(n, left, m, left_m, similarity: tuple[int, int]):
-    """Whether sets of n and m members, left of them from a common shingle on, may link."""
+def _spokes(members: DataFrame, number: int, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of one guide for each size class of a list of members(shingle, id, n, at, root) and the members that may link with
+    it and aren't in its component yet: a member of the first band, another one each round."""
     p, q = similarity
-    return (p + q) * F.least(left, left_m) >= p * (n + m)
+    size, band = F.floor(F.log("n") / math.log(q / p)), F.floor(F.col("at") * BANDS / F.col("n"))
+    rows = members.withColumn("size", size)
+    guide = F.min(F.struct(band.alias("band"), F.xxhash64("id", F.lit(number)).alias("order"), "id", "n", "at", "root")).alias("g")
+    pairs = rows.join(rows.groupBy("shingle", "size").agg(guide), ["shingle", "size"]).where(F.col("root") != F.col("g.root"))
+    left = F.least(F.col("n") - F.col("at"), F.col("g.n") - F.col("g.at"))
+    pairs = pairs.where((p + q) * left >= p * (F.col("n") + F.col("g.n")))
+    return pairs.select(F.least("g.id", "id").alias("a"), F.greatest("g.id", "id").alias("b")).distinct()
 
 
 def _block_pairs(similarity: tuple[int, int]):
@@ -170,8 +179,9 @@ def similar_sets(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tuple[
     * Equal sets are one node.
     * Each set is listed under its rarest shingles. Lists are cut into blocks by size and position; a pair of blocks whose
       sizes or positions can't link is skipped as a whole, and no step compares more than two blocks.
-    * Of each block the set with the least position is compared with the others, and the intersections are kept: the answers
-      of this set. Members of one component need no further comparing.
+    * In a few rounds one set of each list and size class, its guide, is compared with those of other components, and the
+      intersections are kept: the answers of this set. Members of one component need no further comparing, so large
+      families are joined by few comparisons of each member. Rounds end when one links nothing new.
     * A pair left in different components is decided from the answers of a set similar to one of them where they suffice:
       if the answer of h to y is known, x has no more of y than this and what x has beside h. Only what that leaves open is
       compared by parities and then by whole texts.
@@ -204,22 +214,28 @@ def similar_sets(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tuple[
         a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return stored(open_pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", _overlap(words)("text_a", "text_b").alias("overlap")), "set-answers")
 
-    blocks = _listed(members, similarity)
-    hub = F.array_min(F.transform("members", lambda m: F.struct(m["at"].alias("at"), m["id"].alias("id"), m["n"].alias("n"))))
-    spokes = blocks.select(hub.alias("hub"), F.explode("members").alias("m")).where(F.col("hub.id") != F.col("m.id"))
-    spokes = spokes.where(_may_link(F.col("hub.n"), F.col("hub.n") - F.col("hub.at"), F.col("m.n"), F.col("m.n") - F.col("m.at"), similarity))
-    known = answers(spokes.select(F.least("hub.id", "m.id").alias("a"), F.greatest("hub.id", "m.id").alias("b")).distinct())
-    links = known.where(linked).select("a", "b")
-    roots = connected_components(links).withColumnRenamed("node", "id")
-    rooted = stored(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "set-rooted")
-    several = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-    rest = stored(_listed(rooted.join(several, "shingle").select("shingle", "id", "n", "at", "root"), similarity), "set-blocks")
+    known = links = rooted = None
+    for number in range(GUIDE_ROUNDS):
+        if rooted is None:
+            rooted = members.withColumn("root", F.col("id"))
+        spokes = _spokes(rooted, number, similarity)
+        found = answers(spokes if known is None else spokes.join(known, ["a", "b"], "left_anti"))
+        known = found if known is None else known.unionAll(found)
+        fresh = found.where(linked).select("a", "b")
+        links = fresh if links is None else links.unionAll(fresh)
+        if fresh.isEmpty():
+            break
+        roots = connected_components(links).withColumnRenamed("node", "id")
+        every = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        several = every.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+        rooted = stored(every.join(several, "shingle").select(*members.columns, "root"), "set-rooted")
+    rest = stored(_listed(rooted, similarity), "set-blocks")
     a, b = (rest.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "least_n", "most_n", "most_left", "members"))) for x in "ab")
     left = F.least("most_left_a", "most_left_b")
     fits = (q * F.col("most_n_a") >= p * F.col("least_n_b")) & (q * F.col("most_n_b") >= p * F.col("least_n_a")) & ((p + q) * left >= p * (F.col("least_n_a") + F.col("least_n_b")))
     met = a.join(b, "shingle").where((F.col("block_a") <= F.col("block_b")) & fits)
     pairs = met.select(F.explode(_block_pairs(similarity)("members_a", "members_b")).alias("pair")).select("pair.*").distinct()
-    found = answers(_undecided(pairs, known, sizes.select("id", "n"), similarity))
+    found = answers(_undecided(pairs.join(known, ["a", "b"], "left_anti"), known, sizes.select("id", "n"), similarity))
     roots = connected_components(links.unionAll(found.where(linked).select("a", "b"))).withColumnRenamed("node", "id")
     classes = stored(nodes.join(roots, "id", "left").select("id", "least_id", F.coalesce("root", "id").alias("root")), "set-classes")
     first = stored(classes.groupBy("root").agg(F.min("least_id").alias("component_id")), "set-first")
