@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from functools import reduce
 
 import pyarrow as pa
@@ -11,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.expressions import maths, number, token_kind
+from quire.operators import alignment
 from quire.operators.match import bag_diff
+from quire.sources.incremental import stored_checkpoint
 
 # Letters of each script, as ranges of a character class, and those written from right to left.
 SCRIPTS = {"latin": "A-Za-z\u00c0-\u024f", "hebrew": "\u0590-\u05ff", "arabic": "\u0600-\u06ff", "cyrillic": "\u0400-\u04ff", "digit": "0-9"}
@@ -204,44 +205,17 @@ def question_span(lines: DataFrame, key: str, least: float = 0.4) -> DataFrame:
     return rows.where(kept).drop("_a", "_b")
 
 
-def _rising(places: pa.Array) -> pa.Array:
-    """Of each list which of its numbers are in its longest rising row (the one that ends lowest)."""
-    out = []
-    for row in places.to_pylist():
-        if all(x < y for x, y in zip(row, row[1:], strict=False)):
-            out.append([True] * len(row))
-            continue
-        lows: list[int] = []  # the lowest end of a rising row of each length, and which number it is
-        ends: list[int] = []
-        before: list[int] = []
-        for i, x in enumerate(row):
-            n = bisect_left(lows, x)
-            before.append(ends[n - 1] if n else -1)
-            lows[n : n + 1], ends[n : n + 1] = [x], [i]
-        keep, i = [False] * len(row), ends[-1]
-        while i >= 0:
-            keep[i], i = True, before[i]
-        out.append(keep)
-    return pa.array(out, pa.list_(pa.bool_()))
-
-
-def anchors(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Words that are unique in both of a and b(key, pos, tok), as pairs of positions in rising order of both: the longest
-    such row of a document, so that a word that has moved costs itself and no other."""
-    one = lambda rows, name: rows.groupBy(key, "tok").agg(F.count("*").alias("_n"), F.min("pos").alias(name)).where("_n = 1").drop("_n")
-    pairs = one(a, "pos_a").join(one(b, "pos_b"), [key, "tok"])
-    rows = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos_a", "pos_b", "tok"))).alias("p"))
-    kept = rows.select(key, F.explode(F.arrays_zip("p", F.arrow_udf(_rising, "array<boolean>")(F.transform("p", lambda x: x["pos_b"].cast("long"))).alias("k"))).alias("z")).where("z.k")
-    return kept.select(key, "z.p.tok", "z.p.pos_a", "z.p.pos_b")
+def _unique(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    return rows.groupBy(*by, "tok").agg(F.count("*").alias("_n"), F.min("pos").alias(name)).where("_n = 1").drop("_n")
 
 
-def _trimmed(x: Column, y: Column) -> tuple[Column, Column]:
-    """How many words two lists have in common at the front, and then at the back."""
-    n = F.least(F.size(x), F.size(y))
-    front = F.coalesce(F.nullif(F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(F.get(x, i - 1) == F.get(y, i - 1), F.lit(False))), F.lit(False)), F.lit(0)) - 1, n).cast("int")
-    left = n - front
-    back = F.transform(F.sequence(F.lit(1), F.greatest(left, F.lit(1))), lambda i: F.coalesce((i <= left) & (F.get(x, F.size(x) - i) == F.get(y, F.size(y) - i)), F.lit(False)))
-    return front, F.coalesce(F.nullif(F.array_position(back, F.lit(False)), F.lit(0)) - 1, left).cast("int")
+def anchors(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
+    """Words that are unique in both of a and b(key..., pos, tok), as pairs of positions in rising order of both: the longest
+    such row of a document, so that a word that has moved costs itself and no other."""
+    pairs = _unique(a, [*key], "pos_a").join(_unique(b, [*key], "pos_b"), [*key, "tok"])
+    rows = pairs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos_a", "pos_b", "tok"))).alias("p"))
+    kept = rows.select(*key, F.explode(F.arrays_zip("p", F.arrow_udf(alignment.rising_lists, "array<boolean>")(F.transform("p", lambda x: x["pos_b"].cast("long"))).alias("k"))).alias("z")).where("z.k")
+    return kept.select(*key, "z.p.tok", "z.p.pos_a", "z.p.pos_b")
 
 
 def compare_readings(a: DataFrame, b: DataFrame, key: str, least: float = 0.7) -> DataFrame:
@@ -266,8 +240,9 @@ def compare_readings(a: DataFrame, b: DataFrame, key: str, least: float = 0.7) -
     none = F.from_json(F.lit("[]"), "array<struct<pos:int,norm:string,tok:string>>")
     gaps = inside(a, "pos_a", "wa").join(inside(b, "pos_b", "wb"), [key, "gap"], "full_outer").join(found.select(key, "gap", "pos_a", "pos_b"), [key, "gap"], "left")
     gaps = gaps.withColumns({"wa": F.coalesce("wa", none), "wb": F.coalesce("wb", none)})
-    front, back = _trimmed(*(F.transform(w, lambda t: t["norm"]) for w in ("wa", "wb")))
-    gaps = gaps.withColumns({"_f": front, "_b": back, "_s_a": F.coalesce(F.col("pos_a") + 1, F.lit(0)), "_s_b": F.coalesce(F.col("pos_b") + 1, F.lit(0))})
+    norms = (F.transform(w, lambda t: t["norm"]) for w in ("wa", "wb"))
+    gaps = gaps.withColumn("_ends", F.arrow_udf(alignment.ends_of_lists, "struct<front:int,back:int>")(*norms))
+    gaps = gaps.withColumns({"_f": F.col("_ends.front"), "_b": F.col("_ends.back"), "_s_a": F.coalesce(F.col("pos_a") + 1, F.lit(0)), "_s_b": F.coalesce(F.col("pos_b") + 1, F.lit(0))})
     cut = lambda w: F.slice(w, F.col("_f") + 1, F.greatest(F.size(w) - F.col("_f") - F.col("_b"), F.lit(0)))
     gaps = gaps.withColumns({"wa": cut("wa"), "wb": cut("wb")})
     said = lambda w: F.array_join(F.transform(w, lambda t: t["tok"]), " ")
@@ -323,40 +298,64 @@ def agreement(a: DataFrame, b: DataFrame, key: str, n: int = 6, least: float = 0
     return rows.select(key, "recall", status.alias("status"), F.posexplode_outer("_m").alias("place", "message")).withColumn("place", F.col("place") + 1)
 
 
-def aligned_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """UD-02, the exact path of JN-19: (key, op, from_a, to_a, from_b, to_b) by longest matching blocks, a document at a time.
-    Only the two readings of one document meet in a task."""
-
-    def run(left, right):
-        from difflib import SequenceMatcher
+def aligned_diff(a: DataFrame, b: DataFrame, key: str, rounds: int = 8) -> DataFrame:
+    """UD-02, the exact path of JN-19: (key, op, from_a, to_a, from_b, to_b), where the readings a and b(key, pos, tok) differ
+    (pos from 0, without gaps): replace, delete or insert.
 
-        import pandas as pd
-
-        side = left if len(left) else right
-        words = [x.sort_values("pos")["tok"].tolist() for x in (left, right)]
-        codes = SequenceMatcher(None, *words, autojunk=False).get_opcodes()
-        rows = [(side[key].iloc[0], *code) for code in codes if code[0] != "equal"]
-        return pd.DataFrame(rows, columns=[key, "op", "from_a", "to_a", "from_b", "to_b"])
-
-    pick = lambda rows: rows.select(key, "pos", "tok").groupBy(key)
-    return pick(a).cogroup(pick(b)).applyInPandas(run, f"{key} long, op string, from_a long, to_a long, from_b long, to_b long")
+    Divide and conquer: words unique in both readings of a document are anchors; then those that are unique within a gap
+    between anchors, and so on, by joins, until a round finds none (or `rounds` are done, which bears on the size of the
+    gaps only). What is left of each gap goes to an edit script with the most words in common, in linear space. A gap is a
+    group of its own, so a long document is aligned in many tasks. A document that one reading lacks is one row.
+    """
+    sides = {x: rows.select(key, "pos", "tok") for x, rows in (("a", a), ("b", b))}
+    found = None
+    placed = {x: rows.withColumn("gap", F.lit(0).cast("long")) for x, rows in sides.items()}
+    for _ in range(rounds):
+        new = stored_checkpoint(anchors(placed["a"], placed["b"], key, "gap").select(key, F.col("pos_a").cast("long").alias("pos_a"), F.col("pos_b").cast("long").alias("pos_b")))
+        if new.isEmpty():
+            break
+        found = new if found is None else found.unionAll(new)
+        placed = {x: stored_checkpoint(_gapped(rows, found.select(key, F.col(f"pos_{x}").alias("pos")), key)) for x, rows in sides.items()}
+    rows = reduce(DataFrame.unionAll, (rows.select(key, "gap", F.lit(x).alias("side"), F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("other"), "tok") for x, rows in placed.items()))
+    if found is not None:
+        gap = F.row_number().over(Window.partitionBy(key).orderBy("pos_a")).cast("long")
+        starts = found.select(key, gap.alias("gap"), F.lit("start").alias("side"), (F.col("pos_a") + 1).alias("pos"), (F.col("pos_b") + 1).alias("other"), F.lit("").alias("tok"))
+        rows = rows.unionAll(starts)
+
+    def run(group: pa.Table) -> pa.Table:
+        words: dict[str, list] = {"a": [], "b": []}
+        start = (0, 0)
+        columns = (group.column(c).to_pylist() for c in ("side", "pos", "other", "tok"))
+        for side, pos, other, tok in sorted(zip(*columns, strict=True), key=lambda r: r[:2]):
+            if side == "start":
+                start = pos, other
+            else:
+                words[side].append(tok)
+        ops = [(op, start[0] + i, start[0] + j, start[1] + k, start[1] + m) for op, i, j, k, m in alignment.script(words["a"], words["b"])]
+        first = group.column(key)[0].as_py()
+        columns = [pa.array([first] * len(ops), pa.int64()), pa.array([o[0] for o in ops], pa.string()), *(pa.array([o[i] for o in ops], pa.int64()) for i in range(1, 5))]
+        return pa.Table.from_arrays(columns, names=[key, "op", "from_a", "to_a", "from_b", "to_b"])
+
+    return rows.withColumn(key, F.col(key).cast("long")).groupBy(key, "gap").applyInArrow(run, f"{key} long, op string, from_a long, to_a long, from_b long, to_b long")
+
+
+def _gapped(rows: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """rows(key, pos, tok) that aren't marked, plus gap: how many marks(key, pos) stand before."""
+    placed = rows.join(marks.withColumn("_mark", F.lit(1)), [key, "pos"], "left")
+    return placed.withColumn("gap", F.count("_mark").over(Window.partitionBy(key).orderBy("pos"))).where("_mark is null").drop("_mark")
 
 
 def transfer_breaks(target: DataFrame, source: DataFrame, key: str, least: float = 0.6) -> DataFrame:
     """JN-20: (key, pos, reversed): where a line of target(key, pos, tok) should break: at an aligned word that begins a line
     of source(key, line_no, pos, tok), if the one before is on another line. A document whose words align for less than
-    `least` has none; lines in reverse order are tried too and the better order is taken."""
-
-    def aligned(rows: DataFrame, turned: bool) -> DataFrame:
-        line = -F.col("line_no") if turned else F.col("line_no")
-        order = Window.partitionBy(key).orderBy(line, "pos")
-        placed = rows.withColumn("_first", F.row_number().over(Window.partitionBy(key, "line_no").orderBy("pos")) == 1).withColumn("_at", F.row_number().over(order) - 1)
-        found = anchors(target, placed.select(key, F.col("_at").alias("pos"), "tok"), key).join(placed.select(key, F.col("_at").alias("pos_b"), "line_no", "_first"), [key, "pos_b"])
-        by = Window.partitionBy(key).orderBy("pos_a")
-        return found.withColumns({"_new": F.lag("line_no").over(by) != F.col("line_no"), "reversed": F.lit(turned)})
-
-    both = aligned(source, False).unionByName(aligned(source, True))
-    distinct = target.groupBy(key, "tok").agg(F.count("*").alias("_n")).where("_n = 1").groupBy(key).agg(F.count("*").alias("_all"))
-    share = both.groupBy(key, "reversed").agg(F.count("*").alias("_hits")).join(distinct, key).where(F.col("_hits") >= least * F.col("_all"))
-    best = share.groupBy(key).agg(F.max_by("reversed", F.struct("_hits", ~F.col("reversed"))).alias("reversed"))
-    return both.join(best, [key, "reversed"], "left_semi").where("_new AND _first").select(key, F.col("pos_a").alias("pos"), "reversed")
+    `least` has none; lines in reverse order are tried too and the better order is taken. Words that are unique on both
+    sides are joined once; both orders are tried on the same list."""
+    own = target.groupBy(key, "tok").agg(F.count("*").alias("_n"), F.min("pos").alias("pos_a")).where("_n = 1").select(key, "tok", "pos_a")
+    other = source.groupBy(key, "tok").agg(F.count("*").alias("_n"), F.min(F.struct("line_no", "pos")).alias("at")).where("_n = 1").select(key, "tok", "at")
+    firsts = source.groupBy(key, "line_no").agg(F.min("pos").alias("first"))
+    lists = own.join(other, [key, "tok"], "left").groupBy(key).agg(F.count("*").alias("_all"), F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("pos_a", F.col("at.line_no").cast("long").alias("line_no"), F.col("at.pos").cast("long").alias("pos"))))).alias("p"))
+    order = F.arrow_udf(alignment.better_order, "struct<reversed:boolean,keep:array<boolean>>")(F.transform("p", lambda x: F.struct(x["line_no"], x["pos"])))
+    kept = lists.withColumn("o", order).withColumn("p", F.filter("p", lambda x, i: F.get("o.keep", i))).where(F.size("p") >= least * F.col("_all"))
+    before = F.transform("p", lambda x, i: F.struct(x.alias("x"), F.get("p", i - 1)["line_no"].alias("last")))
+    changed = kept.select(key, "o.reversed", F.explode(F.filter(before, lambda x: x["last"] != x["x"]["line_no"])).alias("b")).select(key, "reversed", F.col("b.x.pos_a").alias("pos"), F.col("b.x.line_no").alias("line_no"), F.col("b.x.pos").alias("first"))
+    return changed.join(firsts.withColumn("line_no", F.col("line_no").cast("long")), [key, "line_no", "first"], "left_semi").select(key, "pos", "reversed")

@@ -45,14 +45,14 @@ def sc04(spark, sf_dir):
 
 @query(
     "sc05_numbers_in_context",
-    """WITH v AS (SELECT unnest([cast(p_size AS VARCHAR), concat('-', p_partkey % 10), concat('1', lpad(cast(p_partkey % 1000 AS VARCHAR), 3, '0')), cast(p_partkey % 9 AS VARCHAR)]) AS number FROM part) SELECT number, count(*) AS n FROM v GROUP BY number""",
+    """WITH v AS (SELECT unnest([cast(p_size AS VARCHAR), concat('-', p_partkey % 10), concat('1', lpad(cast(p_partkey % 1000 AS VARCHAR), 3, '0')), cast(p_partkey % 9 AS VARCHAR), concat('2', lpad(cast(p_partkey % 1000 AS VARCHAR), 3, '0'), '000'), '1', '200', concat('-', p_size)]) AS number FROM part) SELECT number, count(*) AS n FROM v GROUP BY number""",
 )
 def sc05(spark, sf_dir):
-    text = F.concat(F.lit("at ("), "p_size", F.lit(", -"), F.col("p_partkey") % 10, F.lit(") is 1,"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit(" then x-"), F.col("p_partkey") % 9)
+    text = F.concat(F.lit("at ("), "p_size", F.lit(", -"), F.col("p_partkey") % 10, F.lit(") is 1,"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit(" then x-"), F.col("p_partkey") % 9, F.lit(" or 2,"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit(",000 not (1,200) but −"), "p_size")
     return read(spark, sf_dir, "part").select(F.explode(e.numbers_in(text)).alias("number")).groupBy("number").agg(F.count("*").alias("n"))
 
 
-@query("sc06_strip_label", r"SELECT doc, line_no, regexp_replace(line, '^\s*(\([0-9]+\)|[0-9]{1,2}[.)]|[IVX]+\.|[a-z]\)|[\x{05D0}-\x{05EA}]\.)\s*', '') AS bare FROM v_marked WHERE regexp_matches(line, '^\(')")
+@query("sc06_strip_label", "SELECT doc, line_no, ltrim(substr(line, instr(line, ')') + 1)) AS bare FROM v_marked WHERE starts_with(line, '(')")
 def sc06(spark, sf_dir):
     return views.marked(spark, sf_dir).where("startswith(line, '(')").select("doc", "line_no", e.strip_label(F.col("line")).alias("bare"))
 

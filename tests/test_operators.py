@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import expressions as e
-from quire.operators import evaluation, facts, layout, match, ranges, score, series, tables, text
+from quire.operators import alignment, evaluation, facts, layout, match, ranges, score, series, tables, text
 from quire.operators.batching import read_batched
 from quire.sources import incremental, pages
 from quire.streaming import quota
@@ -131,7 +131,7 @@ def test_anchors_are_the_longest_rising_row(spark):
         places = list(range(n))
         for _ in range(n // 5):
             places.insert(rng.randrange(n), places.pop(rng.randrange(n)))
-        keep = text._rising(pa.array([places])).to_pylist()[0]
+        keep = alignment.rising(places)
         row = [p for p, k in zip(places, keep, strict=True) if k]
         longest = [1] * n
         for i in range(n):
