@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,19 +63,32 @@ def bind_regions(items: DataFrame, markers: DataFrame, key: str = "page") -> Dat
     return held.unionByName(as_of(top.where("region IS NULL").drop("region"), markers, key, "y1", "y", "region"))
 
 
-def one_to_one(pairs: DataFrame, left: list[str], right: list[str], cost: list[Column], rounds: int = 30) -> DataFrame:
-    """The pairs that a greedy pass in order of cost takes, each end once: pairs that are the best of both their ends are
-    taken together and what they touch goes, until no pair is left. cost must order all pairs of an end strictly. Each
-    round at least halves chains of falling cost; more than `rounds` is an error."""
-    taken, open_pairs = [], stored_checkpoint(pairs)
-    while not open_pairs.isEmpty():
-        if len(taken) == rounds:
-            raise RuntimeError(f"matching did not settle in {rounds} rounds")
-        best = lambda ends: F.row_number().over(Window.partitionBy(*ends).orderBy(*cost))
-        now = stored_checkpoint(open_pairs.withColumns({"_ra": best(left), "_rb": best(right)}).where("_ra = 1 AND _rb = 1").drop("_ra", "_rb"))
-        taken.append(now)
-        open_pairs = stored_checkpoint(open_pairs.join(now.select(*left), left, "left_anti").join(now.select(*right), right, "left_anti"))
-    return reduce(DataFrame.unionByName, taken, pairs.limit(0))
+def one_to_one(pairs: DataFrame, left: list[str], right: list[str], cost: list[Column]) -> DataFrame:
+    """The pairs that a greedy pass in order of cost takes, each end once, to the end. left and right are the columns of
+    either end; those of both are the group (a page, a document) within which ends are matched. cost must order all pairs
+    of a group strictly.
+
+    The pairs of a group are sorted by Spark, which spills, and streamed through one pass; what is held are the ends that are taken,
+    however many pairs there are and however long their chains."""
+    group = [c for c in left if c in right]
+    ends = [[c for c in side if c not in group] for side in (left, right)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        taken: tuple[set, set] = (set(), set())
+        for batch in batches:
+            groups, lefts, rights = (list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)) for columns in (group, *ends))
+            keep = []
+            for g, x, y in zip(groups or [()] * batch.num_rows, lefts, rights, strict=True):
+                if g != last:
+                    last, taken = g, (set(), set())
+                keep.append(x not in taken[0] and y not in taken[1])
+                if keep[-1]:
+                    taken[0].add(x)
+                    taken[1].add(y)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return pairs.repartition(*group).sortWithinPartitions(*group, *cost).mapInArrow(run, pairs.schema)
 
 
 def tolerance_match(a: DataFrame, b: DataFrame, key: str, tx: float, ty: float) -> DataFrame:
@@ -90,10 +107,31 @@ def tolerance_match(a: DataFrame, b: DataFrame, key: str, tx: float, ty: float)
 
 def nearest_owner(tokens: DataFrame, segs: DataFrame, key: str = "page") -> DataFrame:
     """JN-07: (key, seg_id, token_id, d2): each token(key, token_id, x, y) goes to the nearest seg(key, seg_id, x, y) of
-    its page, and each seg keeps the nearest of its tokens. A page holds a bounded number of either."""
-    other = segs.select(key, "seg_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    its page, and each seg keeps the nearest of its tokens. Ties go to the least id; a page without segs has no rows.
+
+    A page is a grid with about one seg a cell. A token looks at its cell and the eight around; what is nearer than a cell's
+    width is the nearest. Tokens that found nothing so near look again in cells twice as wide, so a token meets few segs
+    wherever segs are dense, and a page of n tokens and m segs isn't n * m pairs."""
+    at = lambda c, step: F.floor(F.col(c) / F.col(step)).cast("long")
+    width = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).cast("double")
+    grids = segs.groupBy(key).agg((F.when(width > 0, width).otherwise(1.0) / F.sqrt(F.count("*").cast("double"))).alias("_step"))
+    todo = stored_checkpoint(tokens.select(key, "token_id", "x", "y").join(grids, key))
+    other = segs.select(key, "seg_id", F.col("x").alias("sx"), F.col("y").alias("sy")).join(grids, key)
     d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    owner = tokens.join(other, key).withColumn("d2", d2).groupBy(key, "token_id").agg(F.min(F.struct("d2", "seg_id")).alias("best"))
+    found = []
+    while not todo.isEmpty():
+        around = F.explode(F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((at("x", "_step") + i).alias("_cx"), (at("y", "_step") + j).alias("_cy"))))))
+        cells = other.select(key, "seg_id", "sx", "sy", at("sx", "_step").alias("_cx"), at("sy", "_step").alias("_cy"))
+        near = todo.select(key, "token_id", "x", "y", around.alias("_c")).select(key, "token_id", "x", "y", "_c.*").join(cells, [key, "_cx", "_cy"])
+        best = near.withColumn("d2", d2).groupBy(key, "token_id").agg(F.min(F.struct("d2", "seg_id")).alias("best"))
+        seen = stored_checkpoint(todo.join(best, [key, "token_id"], "left"))
+        sure = F.coalesce(F.col("best.d2") <= F.col("_step") * F.col("_step"), F.lit(False))
+        found.append(seen.where(sure).select(key, "token_id", "best"))
+        todo = seen.where(~sure).drop("best").withColumn("_step", F.col("_step") * 2)
+        other = other.withColumn("_step", F.col("_step") * 2)
+    if not found:
+        return todo.join(other.drop("_step"), key).select(key, "seg_id", "token_id", d2.alias("d2"))
+    owner = reduce(DataFrame.unionAll, found)
     kept = owner.groupBy(key, F.col("best.seg_id").alias("seg_id")).agg(F.min(F.struct(F.col("best.d2").alias("d2"), "token_id")).alias("kept"))
     return kept.select(key, "seg_id", F.col("kept.token_id").alias("token_id"), F.col("kept.d2").alias("d2"))
 
@@ -101,8 +139,7 @@ def nearest_owner(tokens: DataFrame, segs: DataFrame, key: str = "page") -> Data
 def fuzzy_bind(a: DataFrame, b: DataFrame, key: str, threshold: float = 0.75) -> DataFrame:
     """JN-08: (key, name, other, ratio): names of a and b bound by 1 - edits / longer length, the likest first, each once.
 
-    Only names whose lengths allow the threshold are compared, by buckets of length. This ratio is not that of matching
-    blocks; both are 1 for equal names only.
+    Only names whose lengths allow the threshold are compared, by buckets of length. block_bind goes by matching blocks.
     """
     left = a.select(key, "name").distinct().withColumn("_len", F.length("name"))
     right = b.select(key, F.col("name").alias("other")).distinct()
@@ -113,6 +150,46 @@ def fuzzy_bind(a: DataFrame, b: DataFrame, key: str, threshold: float = 0.75) ->
     return one_to_one(scored, [key, "name"], [key, "other"], [F.desc("ratio"), F.col("name"), F.col("other")])
 
 
+def block_ratios(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Twice the letters in matching blocks (the longest first, then to its left and right) over all letters of both names."""
+    return pa.array([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
+def letter_grams(names: pa.Array) -> pa.Array:
+    """Of each name its letters, numbered where they repeat: later repeats first, which few names have, then by letter."""
+    out = []
+    for name in names.to_pylist():
+        seen: Counter = Counter()
+        numbered = []
+        for c in name or "":
+            seen[c] += 1
+            numbered.append((-seen[c], c))
+        out.append([f"{-n}{c}" for n, c in sorted(numbered)])
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def block_bind(a: DataFrame, b: DataFrame, key: str, threshold: float = 0.75) -> DataFrame:
+    """JN-08: (key, name, other, ratio): names of a and b bound by the share of letters in matching blocks, the likest first,
+    each once. Empty and null names are bound to none.
+
+    Blocks match at most the letters that both names have, so an index of letters finds all pairs: two names that reach the
+    threshold share a letter among the first so many of each, in one order of all. Lengths and the count of common letters
+    rule out most of these; only the rest are compared by blocks."""
+    def listed(rows: DataFrame, name: str, grams: str) -> DataFrame:
+        return rows.select(key, F.col("name").alias(name)).distinct().where(F.length(name) > 0).withColumn(grams, F.arrow_udf(letter_grams, "array<string>")(name))
+
+    def prefix(grams: str) -> Column:
+        least = F.ceil(F.size(grams) * (threshold / (2 - threshold)) - 1e-9).cast("int")
+        return F.explode(F.slice(grams, 1, F.size(grams) - least + 1)).alias("_gram")
+
+    left, right = listed(a, "name", "_ga"), listed(b, "other", "_gb")
+    both = F.size("_ga") + F.size("_gb")
+    pairs = left.select("*", prefix("_ga")).join(right.select("*", prefix("_gb")), [key, "_gram"]).where(2 * F.least(F.size("_ga"), F.size("_gb")) >= threshold * both - 1e-9)
+    pairs = pairs.dropDuplicates([key, "name", "other"]).where(2 * F.size(F.array_intersect("_ga", "_gb")) >= threshold * both - 1e-9)
+    scored = pairs.select(key, "name", "other", F.arrow_udf(block_ratios, "double")("name", "other").alias("ratio")).where(F.col("ratio") >= threshold)
+    return one_to_one(scored.withColumn("ratio", F.round("ratio", 6)), [key, "name"], [key, "other"], [F.desc("ratio"), F.col("name"), F.col("other")])
+
+
 def compare_cells(spec: DataFrame, observed: DataFrame, table: str, value: str) -> DataFrame:
     """JN-09: (table, r, c, spec, observed) of cells that differ; a table whose shape differs has one row of nulls instead."""
     shape = lambda df, n: df.groupBy(table).agg(F.struct(F.max("r"), F.max("c"), F.count("*")).alias(n))

@@ -88,6 +88,15 @@ def jn06(spark, sf_dir):
     return match.tolerance_match(views.points(spark, sf_dir), views.detected(spark, sf_dir), "panel", 1.1, 3.1)
 
 
+@query("jn08_block_bind")
+def jn08_blocks(spark, sf_dir):
+    """Part names and names with a letter gone, bound by matching blocks; tested against all pairs."""
+    part = read(spark, sf_dir, "part").select((F.col("p_partkey") % 200).alias("k"), F.col("p_name").alias("name"), "p_partkey")
+    at = (F.col("p_partkey") % F.length("name")).cast("int")
+    worn = part.select("k", F.concat(F.substring("name", F.lit(1), at), F.substring("name", at + 2, F.length("name"))).alias("name"))
+    return match.block_bind(part, worn, "k")
+
+
 @query(
     "jn07_nearest_owner",
     """WITH t AS (SELECT page, box_id AS token_id, x0 AS x, y0 AS y FROM v_boxes WHERE box_id % 3 <> 0), s AS (SELECT page, box_id AS seg_id, x0 AS x, y0 AS y FROM v_boxes WHERE box_id % 3 = 0),

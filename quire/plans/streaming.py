@@ -11,7 +11,6 @@ from quire.sources.tables import read
 from quire.streaming import quota
 
 
-
 @query(
     "ss01_quota_audit",
     """WITH r AS (SELECT *, count(*) OVER (PARTITION BY client, model ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS in_window FROM v_requests) SELECT rid, client, model, in_window FROM r WHERE in_window > 5""",
@@ -67,11 +66,16 @@ def ss07(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, plan, mode: str):
-    """Run plan on the events as a stream of files until all are read, and return what it wrote."""
+    """Run plan on the events as a stream of files, one by one in order of time and unordered within, until all are read; return
+    what it wrote."""
     events = read(spark, sf_dir, "events").select(F.col("event_id").alias("rid"), F.col("user_id").alias("client"), F.col("event_type").alias("model"), F.col("ts").cast("timestamp").alias("ts"))
     base = scratch(spark, "stream")
-    events.write.parquet(f"{base}/in")
-    stream = plan(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    slices = 5
+    for i in range(slices):
+        of_slice = F.least(F.floor((F.unix_micros("ts") - first) * slices / max(1, last - first)), F.lit(slices - 1)) == i
+        events.where(of_slice).orderBy(F.xxhash64("rid")).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = plan(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -80,15 +84,31 @@ def _streamed(spark, sf_dir, plan, mode: str):
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"
 
 
-@query("ss02_admit_stream", _ADMIT)
+_CLOSED_US = "(SELECT epoch_us(max(ts)) - 600000000 FROM events)"
+
+
+@query("ss02_admit_stream", f"SELECT a.* FROM ({_ADMIT}) a JOIN v_requests USING (rid) WHERE epoch_us(ts) < {_CLOSED_US}")
 def ss02_stream(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda s: quota.admit_stream(s, 5, 86_400), "append")
+    """All requests that the watermark has passed, out of order in several batches, judged as the batch form judges them."""
+    return _streamed(spark, sf_dir, lambda s: quota.admit_stream(s, 5, 86_400, late="10 minutes"), "append")
+
+
+_FIRSTS = """WITH RECURSIVE r AS (SELECT event_id AS rid, user_id AS client, event_type AS model, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
+    g AS (SELECT client, model, i, rid, t AS done, true AS fresh FROM r WHERE i = 1
+        UNION ALL SELECT r.client, r.model, r.i, r.rid, CASE WHEN r.t >= g.done + 86400000000 THEN r.t ELSE g.done END, r.t >= g.done + 86400000000 FROM g JOIN r ON r.client = g.client AND r.model = g.model AND r.i = g.i + 1)
+    SELECT client, model, rid FROM g WHERE fresh"""
+
+
+@query("ss06_dedupe", _FIRSTS)
+def ss06_batch(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select(F.col("event_id").alias("rid"), F.col("user_id").alias("client"), F.col("event_type").alias("model"), "ts")
+    return quota.dedupe_stream(events, ["client", "model"], 86_400)
 
 
-@query("ss06_dedupe_stream", "SELECT DISTINCT user_id AS client, event_type AS model FROM events")
+@query("ss06_dedupe_stream", f"SELECT f.* FROM ({_FIRSTS}) f JOIN events ON rid = event_id WHERE epoch_us(ts) < {_CLOSED_US}")
 def ss06(spark, sf_dir):
-    """One row for each kind of work: all events at hand are one batch, in which any of the equal ones may be the first."""
-    return _streamed(spark, sf_dir, lambda s: quota.dedupe_stream(s, ["client", "model"], "1 day"), "append").select("client", "model")
+    """The first of each kind of work, and again a day after it was done: retention passes between batches."""
+    return _streamed(spark, sf_dir, lambda s: quota.dedupe_stream(s, ["client", "model"], 86_400), "append")
 
 
 @query(
@@ -124,7 +144,7 @@ def ss07_stream(spark, sf_dir):
 def ss08(spark, sf_dir):
     """Conversations as page JSON files, ingested as a stream twice: the second run adds nothing."""
     from quire.sources.pages import SEGMENT
-    from quire.streaming.ingest import ingest_stream
+    from quire.streaming.ingest import committed, ingest_stream
 
     base = scratch(spark, "ingest")
     segment = F.struct(F.lit("text").alias("type"), F.col("text").alias("value"), F.lit(False).alias("bold"), F.lit(False).alias("underline"))
@@ -134,4 +154,4 @@ def ss08(spark, sf_dir):
     read(spark, sf_dir, "conversations").select(F.to_json(F.struct(page_id.alias("page_id"), F.lit("question").alias("page_type"), F.array(block).alias("blocks"))).alias("value")).write.text(f"{base}/in")
     for run in ("first", "second"):
         ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/{run}").awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("work_key")
+    return committed(spark, f"{base}/out").drop("work_key", "commit")

@@ -19,17 +19,19 @@ def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     return spark.read.schema(PAGE).option("multiLine", multi_line).json(path)
 
 
-def segments(pages: DataFrame) -> DataFrame:
-    """SRC-01: (page_id, page_type, block, par, line, seg, type, value, bold, underline), one row a segment: the lines of a
-    block (par -1), of its figure's paragraphs, and of its table's rows, whose cells are lines."""
-    blocks = pages.select("page_id", "page_type", F.posexplode("blocks").alias("block", "b"))
-    lines = blocks.select("page_id", "page_type", "block", F.lit(-1).alias("par"), F.posexplode("b.lines").alias("line", "l"))
+def segments(pages: DataFrame, *carried: str) -> DataFrame:
+    """SRC-01: (carried..., page_id, page_type, block, par, line, seg, type, value, bold, underline), one row a segment: the lines
+    of a block (par -1), of its figure's paragraphs, and of its table's rows, whose cells are lines. Carried columns of the
+    page go with each of its rows."""
+    of_page = [*carried, "page_id", "page_type"]
+    blocks = pages.select(*of_page, F.posexplode("blocks").alias("block", "b"))
+    lines = blocks.select(*of_page, "block", F.lit(-1).alias("par"), F.posexplode("b.lines").alias("line", "l"))
     nested = [
-        blocks.select("page_id", "page_type", "block", F.posexplode(f"b.{name}").alias("par", "p")).select("page_id", "page_type", "block", "par", F.posexplode("p").alias("line", "l"))
+        blocks.select(*of_page, "block", F.posexplode(f"b.{name}").alias("par", "p")).select(*of_page, "block", "par", F.posexplode("p").alias("line", "l"))
         for name in ("paragraphs", "rows")
     ]
     every = reduce(DataFrame.unionByName, nested, lines)
-    return every.select("page_id", "page_type", "block", "par", "line", F.posexplode("l").alias("seg", "s")).select("page_id", "page_type", "block", "par", "line", "seg", "s.*")
+    return every.select(*of_page, "block", "par", "line", F.posexplode("l").alias("seg", "s")).select(*of_page, "block", "par", "line", "seg", "s.*")
 
 
 def select_ranges(df: DataFrame, column: str, spec: str) -> DataFrame:

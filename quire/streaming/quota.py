@@ -58,30 +58,47 @@ def admit(requests: DataFrame, n: int, seconds: int) -> DataFrame:
     return timed.repartition("client").sortWithinPartitions("client", "t", "rid").mapInArrow(run, "client bigint, rid bigint, accepted boolean, wait bigint")
 
 
-def admit_stream(requests: DataFrame, n: int, seconds: int, late: str = "10 minutes") -> DataFrame:
-    """SS-02 on a stream: state by client, dropped when no request has come for the length of the window."""
+def _in_order(requests: DataFrame, keys: list[str], n: int, seconds: int, late: str) -> DataFrame:
+    """(keys..., rid, accepted, wait) of a stream of (keys..., rid, ts), judged as admit does, in order of time whatever the
+    order of arrival: requests wait in the state until the watermark has passed them. The state holds them and the last
+    accepted times; it goes when nothing waits and no accepted time counts any more."""
     us = seconds * 1_000_000
+    kinds = [requests.schema[k].dataType.simpleString() for k in keys]
 
     def run(key, frames: Iterator, state) -> Iterator:
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
+        held, waiting, ids = (list(x) for x in state.get) if state.exists else ([], [], [])
         for frame in frames:
-            rows = []
-            for t, rid in sorted(zip(frame["t"].tolist(), frame["rid"].tolist(), strict=True)):
-                held = [x for x in held if x > t - us]
-                ok = len(held) < n
-                rows.append((key[0], rid, ok, 0 if ok else held[0] + us - t))
-                held += [t] if ok else []
-            yield pd.DataFrame(rows, columns=["client", "rid", "accepted", "wait"])
-        state.update((held,))
-        state.setTimeoutTimestamp(max(max(held, default=0) + us, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000)
+            waiting += frame["t"].tolist()
+            ids += frame["rid"].tolist()
+        now = state.getCurrentWatermarkMs() * 1000
+        pending = sorted(zip(waiting, ids, strict=True))
+        ready = [p for p in pending if p[0] < now]
+        rows = []
+        for t, rid in ready:
+            held = [x for x in held if x > t - us]
+            ok = len(held) < n
+            rows.append((*key, rid, ok, 0 if ok else held[0] + us - t))
+            held += [t] if ok else []
+        pending = pending[len(ready) :]
+        if pending or any(x + us > now for x in held):
+            state.update((held, [p[0] for p in pending], [p[1] for p in pending]))
+            next_at = pending[0][0] if pending else max(held) + us
+            state.setTimeoutTimestamp(max(next_at, now) // 1000 + 1)
+        else:
+            state.remove()
+        yield pd.DataFrame(rows, columns=[*keys, "rid", "accepted", "wait"])
 
-    timed = requests.withWatermark("ts", late).withColumn("t", _micros())
-    return timed.groupBy("client").applyInPandasWithState(run, "client bigint, rid bigint, accepted boolean, wait bigint", "held array<bigint>", "append", "EventTimeTimeout")
+    timed = requests.select(*keys, F.col("rid").cast("bigint").alias("rid"), "ts").withWatermark("ts", late).withColumn("t", _micros())
+    shape = ", ".join(f"{k} {kind}" for k, kind in zip(keys, kinds, strict=True))
+    return timed.groupBy(*keys).applyInPandasWithState(run, f"{shape}, rid bigint, accepted boolean, wait bigint", "held array<bigint>, waiting array<bigint>, ids array<bigint>", "append", "EventTimeTimeout")
+
+
+def admit_stream(requests: DataFrame, n: int, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """SS-02 on a stream: (client, rid, accepted, wait) as admit gives them, once the watermark has passed a request, however
+    requests are spread over batches and frames. Later ones than `late` are dropped."""
+    return _in_order(requests, ["client"], n, seconds, late)
 
 
 def daily_cap(requests: DataFrame, caps: DataFrame) -> DataFrame:
@@ -128,11 +145,16 @@ def sessions_stream(events: DataFrame, key: str, gap: str = "12 hours", late: st
     return found.select("session_window.start", "session_window.end", key, "n")
 
 
-def dedupe_stream(work: DataFrame, keys: list[str], retention: str) -> DataFrame:
-    """SS-06: the first of the same piece of work within the retention period; on a batch, the first of all."""
-    if not work.isStreaming:
-        return work.dropDuplicates(keys)
-    return work.withWatermark("ts", retention).dropDuplicatesWithinWatermark(keys)
+def dedupe_stream(work: DataFrame, keys: list[str], retention: int, late: str = "10 minutes") -> DataFrame:
+    """SS-06: (keys..., rid) of the work(keys..., rid, ts) that is to be done: the first of the same keys by time, and again the first
+    that comes `retention` seconds or more after one that was done. On a stream in order of time too, and a row comes out once
+    the watermark has passed it; on a batch the rows of a key are sorted and streamed through."""
+    if work.isStreaming:
+        judged = _in_order(work, keys, 1, retention, late)
+    else:
+        named = work.select(F.xxhash64(*keys).alias("client"), "rid", "ts")
+        judged = admit(named, 1, retention).where("accepted").select("rid").join(work, "rid").withColumn("accepted", F.lit(True))
+    return judged.where("accepted").select(*keys, "rid")
 
 
 def progress(events: DataFrame, job: str, done: str) -> DataFrame:

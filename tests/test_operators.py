@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import itertools
+import json
+import math
 import random
 import re
+import time
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +164,9 @@ def test_normalisers_of_words_formulas_and_labels(spark):
     assert one(e.number, "7,350", "3,5", "1{,}000") == ["7350", "3.5", "1000"]
     assert one(e.tokens, "solve $$x=3$$ or $y$ now", "\u05d1\u05d9\u05ea\u05be\u05e1\u05e4\u05e8") == [["solve", "$$x=3$$", "or", "$y$", "now"], ["\u05d1\u05d9\u05ea", "\u05e1\u05e4\u05e8"]]
     assert one(lambda t: e.token_kind(t), "$$x=3$$", "$y$", "word") == ["M", "M", "W"]
+    assert one(e.maths, r"\mathrm{a\frac{b}{c}}", r"\text x", r"a_{\mathrm{cm}}", r"{a{b}", None, "$1.5.,$", r"\{x\}") == [r"\mathrm{a\fracbc}", r"\textx", "a_{cm}", r"{ab", None, "1.5", r"\{x\}"]
+    numbers = ["1,000,000", "(1,200)", "at (3, -4) or 2x-1", "−5 and 1234,567", "f(2)-3", "(1;2) 7.5", "", None]
+    assert one(e.numbers_in, *numbers) == [["1000000"], ["1", "200"], ["3", "-4", "2", "1"], ["-5", "1234", "567"], ["2", "3"], ["1", "2", "7.5"], [], None]
     assert one(e.strip_label, "(12) a", "3. b", "IV. c", "\u05d1. d", "a) e", "1999. f", "Ivy. g") == ["a", "b", "c", "d", "e", "1999. f", "Ivy. g"]
 
 
@@ -274,11 +283,150 @@ def test_admission_frees_a_place_when_the_window_has_passed(spark):
     assert got(quota.admit(df, 2, 10), "rid", "accepted", "wait") == [(0, True, 0), (1, True, 0), (2, False, 8_000_000), (3, False, 1_000_000), (4, True, 0), (5, True, 0)]
 
 
-def test_streams_equal_their_batch_form(spark, sf_dir):
-    from quire import plans
-
-    batch = plans.QUERIES["ss02_admit"](spark, sf_dir)
-    assert got(plans.QUERIES["ss02_admit_stream"](spark, sf_dir), "rid", "accepted", "wait") == got(batch, "rid", "accepted", "wait")
+def streamed(spark, base, batches, schema, plan):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{base}/in/{i}")
+        time.sleep(0.01)
+    stream = plan(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/in"))
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def test_a_stream_in_any_order_is_judged_as_the_batch_is(spark, tmp_path):
+    """2,000 requests of few clients in frames of 50 rows and four batches, up to five minutes out of order, one too late."""
+    rng, start = random.Random(4), datetime.datetime(2024, 1, 1)
+    rows = [(rng.randrange(3), i, start + datetime.timedelta(seconds=i * 7 + rng.random())) for i in range(2000)]
+    order = sorted(rows, key=lambda r: r[2] + datetime.timedelta(seconds=rng.random() * 300))
+    batches = [order[i : i + 500] for i in range(0, 2000, 500)]
+    late = (0, 9999, start)
+    schema = "client long, rid long, ts timestamp"
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        found = got(streamed(spark, tmp_path / "a", [*batches[:3], [*batches[3], late]], schema, lambda s: quota.admit_stream(s, 5, 120)), "rid", "accepted", "wait")
+        firsts = got(streamed(spark, tmp_path / "b", batches, schema, lambda s: quota.dedupe_stream(s, ["client"], 600)), "client", "rid")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    closed = max(r[2] for r in rows) - datetime.timedelta(minutes=10)
+    past = {r[1] for r in rows if r[2] < closed}
+    whole = spark.createDataFrame(rows, schema)
+    assert found == [r for r in got(quota.admit(whole, 5, 120), "rid", "accepted", "wait") if r[0] in past]
+    assert firsts == [r for r in got(quota.dedupe_stream(whole, ["client"], 600), "client", "rid") if r[1] in past] and len(firsts) > 30
+
+
+def page_lines(spark, base, name, pages):
+    rows = [(json.dumps({"page_id": i, "page_type": "question", "blocks": [{"kind": "paragraph", "lines": [[{"type": "text", "value": v}]]} for v in values]}),) for i, values in pages]
+    spark.createDataFrame(rows, "value string").coalesce(1).write.mode("append").text(f"{base}/{name}")
+
+
+def test_two_contents_of_a_page_keep_their_own_keys_and_failures_repeat_nothing(spark, tmp_path, monkeypatch):
+    from quire.streaming import ingest
+
+    page_lines(spark, tmp_path, "in", [(1, ["a", "b"]), (1, ["c"]), (2, []), (3, ["d"])])
+    real, calls = ingest.commit, []
+
+    def failing(keys, results, name):
+        calls.append(name)
+        if len(calls) == 1:
+            raise RuntimeError("lost between write and commit")
+        real(keys, results, name)
+
+    monkeypatch.setattr(ingest, "commit", failing)
+    run = lambda state: ingest.ingest_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/{state}").awaitTermination()
+    with pytest.raises(Exception, match="lost between"):
+        run("first")
+    assert ingest.committed(spark, f"{tmp_path}/out").count() == 0
+    run("first")
+    want = [(1, "a"), (1, "b"), (1, "c"), (3, "d")]
+    found = ingest.committed(spark, f"{tmp_path}/out")
+    assert got(found, "page_id", "value") == want and found.where("page_id = 1").select("work_key").distinct().count() == 2
+    page_lines(spark, tmp_path, "in", [(3, ["d"]), (2, []), (4, ["e"])])
+    run("second")  # another checkpoint reads all again
+    assert got(ingest.committed(spark, f"{tmp_path}/out"), "page_id", "value") == [*want, (4, "e")]
+    assert spark.read.parquet(f"{tmp_path}/out/manifest").where("page_id = 2").count() == 1
+
+
+def test_alignment_has_the_most_common_words_and_long_gaps_end(spark):
+    rng = random.Random(8)
+    for n in (0, 1, 3, 40, 90):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, n))] for _ in range(2))
+        rows = [0] * (len(b) + 1)
+        for x in a:
+            rows = [0, *itertools.accumulate(range(len(b)), lambda best, j, x=x, rows=rows: max(best, rows[j + 1], rows[j] + 1 if x == b[j] else 0), initial=0)][1:]
+        pairs = alignment.matches(a, b)
+        assert len(pairs) == rows[-1] and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
+        at, rebuilt = 0, []
+        for _, i, j, k, m in alignment.script(a, b):
+            rebuilt += a[at:i] + b[k:m]
+            at = j
+        assert rebuilt + a[at:] == b
+    words = [rng.choice("abcdefgh") for _ in range(20_000)]  # no word is unique: one gap
+    other = [w for i, w in enumerate(words) if i % 1000] + ["z"]
+    frames = [spark.createDataFrame([(1, i, w) for i, w in enumerate(x)], "d long, pos int, tok string") for x in (words, other)]
+    began = time.perf_counter()
+    ops = sorted(tuple(r)[2:] for r in text.aligned_diff(*frames, "d").collect())
+    rows = text.compare_readings(*frames, "d").collect()
+    assert time.perf_counter() - began < 60 and sum(j - i for i, j, _, _ in ops) == 20 and len(rows) == 2
+
+
+def test_alignment_goes_down_into_gaps(spark):
+    """Words that are unique within a gap only align it in the second round."""
+    a = "x q1 x q1 m y q1 z y".split()
+    b = "x x q1 m y z q1 y".split()
+    frames = [spark.createDataFrame([(k, i, w) for k in (1, 2) for i, w in enumerate(x)] + more, "d long, pos int, tok string") for x, more in ((a, [(3, 0, "only")]), (b, [(4, 0, "other")]))]
+    rows = text.aligned_diff(*frames, "d").collect()
+    for d in (1, 2):
+        at, rebuilt = 0, []
+        for r in sorted((r for r in rows if r["d"] == d), key=lambda r: r["from_b"]):
+            rebuilt += a[at : r["from_a"]] + b[r["from_b"] : r["to_b"]]
+            at = r["to_a"]
+        assert rebuilt + a[at:] == b
+    assert {(r["d"], r["op"]) for r in rows if r["d"] > 2} == {(3, "delete"), (4, "insert")}
+
+
+def test_greedy_matching_goes_to_the_end_of_long_chains(spark):
+    n = 10_000
+    at = [0.0]
+    for i in range(2 * n - 1):
+        at.append(at[-1] + 1 - i / (4 * n))  # each gap a little smaller: the last pair is the first to be taken
+    a = spark.createDataFrame([(1, i, x, 0.0) for i, x in enumerate(at[::2])], "k int, pid long, x double, y double")
+    b = spark.createDataFrame([(1, i, x, 0.0) for i, x in enumerate(at[1::2])], "k int, pid long, x double, y double")
+    found = match.tolerance_match(a, b, "k", 1.5, 1.0).collect()
+    pairs = sorted((round((x - y) ** 2, 9), i, j) for i, x in enumerate(at[::2]) for j in (i - 1, i) if j >= 0 for y in [at[1::2][j]])
+    left, right, want = set(), set(), set()
+    for _, i, j in pairs:
+        if i not in left and j not in right:
+            left.add(i), right.add(j), want.add((i, j))
+    assert {(r["pid"], r["match_id"]) for r in found if r["status"] in ("matched", "contested")} == want and len(want) > n - 2
+
+
+def test_block_binding_equals_all_pairs(spark):
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(90)] + ["", "Straße 12", "Strasse 12", "aaaa", "aaab"]
+    worn = [n[:i] + n[i + 1 :] if n and rng.random() < 0.7 else n for n in names for i in [rng.randrange(max(1, len(n)))]]
+    frames = [spark.createDataFrame([(1, x) for x in side], "k int, name string") for side in (names, worn)]
+    scored = [(-round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 6), x, y) for x in set(names) for y in set(worn) if x and y and SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.75]
+    left, right, want = set(), set(), []
+    for r, x, y in sorted(scored):
+        if x not in left and y not in right:
+            left.add(x), right.add(y), want.append((x, y, -r))
+    assert got(match.block_bind(*frames, "k"), "name", "other", "ratio") == sorted(want)
+
+
+def test_nearest_owner_by_grid_equals_all_pairs(spark):
+    rng = random.Random(12)
+    tokens = [(p, i, rng.random() * 100, rng.random() * 100) for p in (1, 2) for i in range(150)] + [(1, 500, 9000.0, -9000.0), (3, 1, 1.0, 1.0), (4, 1, 5.0, 5.0)]
+    segs = [(1, i, rng.choice([1.0, 2.0, 50.0, 90.0]) + rng.random(), rng.random() * 100) for i in range(60)] + [(2, 7, 3.0, 3.0), (2, 8, 3.0, 3.0), (4, 2, 5.0, 5.0)]
+    frames = spark.createDataFrame(tokens, "page int, token_id long, x double, y double"), spark.createDataFrame(segs, "page int, seg_id long, x double, y double")
+    owner: dict = {}
+    for p, i, x, y in tokens:
+        near = min((((x - sx) * (x - sx) + (y - sy) * (y - sy), s) for q, s, sx, sy in segs if q == p), default=None)
+        if near:
+            owner[p, near[1]] = min(owner.get((p, near[1]), (math.inf, 0)), (near[0], i))
+    assert got(match.nearest_owner(*frames), "page", "seg_id", "token_id", "d2") == sorted((p, s, i, d) for (p, s), (d, i) in owner.items())
+    assert match.nearest_owner(frames[0].limit(0), frames[1]).count() == 0 == match.nearest_owner(frames[0], frames[1].limit(0)).count()
+    many = spark.range(10_000).select(F.lit(1).alias("page"), F.col("id").alias("token_id"), (F.rand(1) * 1000).alias("x"), (F.rand(2) * 1000).alias("y"))
+    assert match.nearest_owner(many, many.withColumnRenamed("token_id", "seg_id")).where("d2 = 0").count() == 10_000
 
 
 def test_batches_and_missing_answers(spark):
