@@ -241,7 +241,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, minimiser: int =
     words. Rows with a null doc_id keep all words and mark none. Of rows with equal doc_id none counts as smaller.
     kept_text joins the kept words by one space. Texts with fewer words than a window stay as they are.
     """
-    found = repeated_ranges(docs, window, minimiser).groupBy("doc_id", "text_key").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    ranges = repeated_ranges(docs, window, minimiser).select("doc_id", "text_key", "begin", "end").distinct()  # copies of a row have the same
+    found = ranges.groupBy("doc_id", "text_key").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
     rows = docs.select(F.struct(*kept).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"))
