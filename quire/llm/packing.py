@@ -12,6 +12,8 @@ from quire.llm.shared import stored
 
 CAPACITY_WORDS = 2048
 GROUP_ITEMS = 2048
+#: Equal rows that one list holds when they are told apart again.
+FAN_OUT = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,7 +72,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY_WORDS, length: Column | None
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("words"), cluster.alias("cluster"))
     sized = stored(sized.groupBy("doc_id", "source", "words", "cluster").agg(F.count("*").alias("copies")), "lengths")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("words") - 1, F.lit(0)), F.lit(capacity).cast("long"))
-    parts = sized.select("doc_id", "source", "cluster", "words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    fan = lambda first, last, step: F.explode(F.sequence(first, last, F.lit(step).cast("long")))
+    parts = sized.withColumn("from", fan(F.lit(1).cast("long"), F.col("copies"), FAN_OUT)).repartition("doc_id", "from")
+    parts = parts.select("doc_id", "source", "cluster", "words", fan(F.col("from"), F.least(F.col("from") + (FAN_OUT - 1), F.col("copies")), 1).alias("copy"))
     parts = parts.select("doc_id", "source", "cluster", "words", "copy", F.posexplode(starts).alias("part", "doc_offset"))
     parts = parts.select("doc_id", "source", "cluster", "copy", "part", "doc_offset", F.least(F.lit(capacity), F.col("words") - F.col("doc_offset")).alias("length"))
     n = sized.select(F.sum(F.greatest(F.lit(1), F.ceil(F.col("words") / capacity)) * F.col("copies"))).first()[0] or 0
