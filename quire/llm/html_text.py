@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from random import Random
 
@@ -32,7 +33,10 @@ ENDS = {
 # Elements that end an unclosed one: drawings and choices hold no blocks.
 BLOCKLESS = ("svg", "math", "select")
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<", re.S)
+_MARK = re.compile("[\"'>]")
+#: Quoted values of a tag; one with more, or with a quote that isn't closed, ends at its first ">".
+MOST_QUOTED = 400
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+|[^a-z\W]+")
 
@@ -53,6 +57,36 @@ def signature(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+class TagEnds:
+    """Where the tags of a page end: at the first ">" outside quotes. Quotes and ends are listed once, each with the next of its kind, so that a
+    tag costs as many steps as it has quoted values, MOST_QUOTED at most."""
+
+    def __init__(self, page: str):
+        self.at: list[int] = []
+        self.kind: list[str] = []
+        for m in _MARK.finditer(page):
+            self.at.append(m.start())
+            self.kind.append(m[0])
+        self.same = [-1] * len(self.at)  # the next mark of the same kind
+        self.end = [-1] * len(self.at)  # the first end from here
+        seen = {'"': -1, "'": -1, ">": -1}
+        for i in range(len(self.at) - 1, -1, -1):
+            kind = self.kind[i]
+            self.same[i], seen[kind] = seen[kind], i
+            self.end[i] = seen[">"]
+
+    def after(self, place: int) -> int:
+        """The place of the ">" that ends a tag whose name ends at this place, -1 if there is none."""
+        first = i = bisect_left(self.at, place)
+        for _ in range(MOST_QUOTED):
+            if not 0 <= i < len(self.at):
+                break
+            if self.kind[i] == ">":
+                return self.at[i]
+            i = self.same[i] + 1 if self.same[i] >= 0 else -1
+        return self.at[self.end[first]] if first < len(self.at) and self.end[first] >= 0 else -1
+
+
 @dataclass
 class Dom:
     """Nodes in page order, so that what is inside a node are those from it to `last`. A text node has its text and the
@@ -106,10 +140,11 @@ def parse(page: str, signatures: dict | None = None) -> Dom:
     def nearest(names) -> int:
         return max((opened[n][-1] for n in names if opened.get(n)), default=-1)
 
+    ends = TagEnds(page)
     while m := _TOKEN.match(page, at):
         at = m.end()
         token = m[0]
-        tag = m[2] or m[5]
+        tag = m[2]
         if tag is None:
             if token[0] == "<" and len(token) > 1:
                 continue
@@ -118,16 +153,18 @@ def parse(page: str, signatures: dict | None = None) -> Dom:
             if not silent:
                 dom.add(stack[-1][1], len(stack), ("tag=#text",), entities.unescape(token) if "&" in token else token, links > 0, block)
             continue
-        if m[5] and token[-1] != ">":
-            continue  # a tag cut at the end of the page
+        begin, end = at, ends.after(at)
+        if end < 0:
+            break  # a tag cut at the end of the page
+        at = end + 1
         tag = tag.lower()
         if tag not in INLINE:
             block += 1
-        if m[1] or m[4]:
+        if m[1]:
             if opened.get(tag):
                 close(opened[tag][-1])
             continue
-        attributes = m[3] or m[6] or ""
+        attributes = page[begin:end]
         if silent:
             if stack[-1][0] == "head" and tag not in IN_HEAD:
                 close(len(stack) - 1)
