@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ PREFIXES = (3, 4, 5, 6)
 TABLE_BITS = 22
 RIDGE, COUNTERFACTUAL, ROUNDS = 2.0, 50.0, 300
 INSERTED = 1
+#: Words on either side of a mention that a counterfactual pair holds.
+CONTEXT_WORDS = 8
 # Identity terms by language, in groups within which one is put for another.
 IDENTITY_GROUPS = (
     ("women", "men"), ("woman", "man"), ("girl", "boy"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -47,27 +50,36 @@ def distinct_features(texts: list[bytes]) -> list[np.ndarray]:
     return [(x & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int32) for x in np.split(pairs, ends)]
 
 
-def swapped(text: bytes, groups: tuple[tuple[str, ...], ...], seed: int, inserted: int = INSERTED) -> list[tuple[bytes, bytes]]:
-    """Pairs of sentences that differ in an identity term: for every mention in every sentence, the sentence against the
-    same with another term of its group. A text without any mention gives `inserted` pairs: sentences drawn from the
-    whole text, with a term put in against without."""
-    rng = np.random.default_rng(seed)
+def swapped(text: bytes, groups: tuple[tuple[str, ...], ...], inserted: int = INSERTED) -> list[tuple[bytes, bytes]]:
+    """Pairs of passages that differ in an identity term: for every mention in every sentence, the words around it, at most
+    CONTEXT_WORDS on either side, against the same with another term of its group. A text without any mention gives
+    `inserted` pairs: passages drawn from the whole text, with a term put in against without. Drawing goes by the text
+    alone."""
+    rng = np.random.default_rng(xxhash.xxh64_intdigest(text))
     known = {term: group for group in groups for term in group}
     sentences = [w for w in (x.split() for x in re.split(r"[.!?\n]", text.decode())) if w]
     pairs = []
+
+    def around(words: list[str], i: int, more: list[str], skip: int) -> str:
+        return " ".join([*words[max(0, i - CONTEXT_WORDS) : i], *more, *words[i + skip : i + skip + CONTEXT_WORDS]])
+
     for words in sentences:
         for i, w in enumerate(words):
             bare = w.lower().strip(",;:\"'()")
             if bare in known:
                 others = [t for t in known[bare] if t != bare]
-                pairs.append((" ".join(words), " ".join([*words[:i], others[int(rng.integers(len(others)))], *words[i + 1 :]])))
+                pairs.append((around(words, i, [w], 1), around(words, i, [others[int(rng.integers(len(others)))]], 1)))
     for _ in range(0 if pairs or not sentences else inserted):
         words, group = sentences[int(rng.integers(len(sentences)))], groups[int(rng.integers(len(groups)))]
         i = int(rng.integers(len(words) + 1))
-        pairs.append((" ".join(words), " ".join([*words[:i], group[int(rng.integers(len(group)))], *words[i:]])))
+        pairs.append((around(words, i, [], 0), around(words, i, [group[int(rng.integers(len(group)))]], 0)))
     return [(a.encode(), b.encode()) for a, b in pairs]
 
 
+_CODES = pa.list_(pa.int32())
+PAIRS_AT_ONCE = 1000
+
+
 @dataclass
 class Model:
     place: np.ndarray  # of every table entry: 1 + its weight's index, or 0
@@ -88,9 +100,9 @@ def most_telling(coded: DataFrame, n: int) -> np.ndarray:
     return np.array([r[0] for r in of.orderBy(F.round(z, 9).desc(), "code").limit(n).select("code").collect()], dtype=np.int64)
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, share: float, pairs: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> Model:
+def train(rows: list[np.ndarray], toxic: np.ndarray, share: float, pairs: list[tuple[np.ndarray, np.ndarray, int]], chosen: np.ndarray) -> Model:
     """Ridge logistic regression on the chosen codes, with a penalty on the squared change of the logit within each
-    counterfactual pair.
+    counterfactual pair: (codes of the first alone, codes of the second alone, how many such pairs there are).
 
     share: that of toxic rows among all labelled ones; rows of the two classes are weighted to it. Accelerated gradient
     steps on a fixed number of rounds.
@@ -104,8 +116,10 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, share: float, pairs: list[t
 
     n, m = len(rows), len(chosen) + 1
     x_row, x_at = sparse(rows)
-    a_row, a_at = sparse([a for a, _ in pairs])
-    b_row, b_at = sparse([b for _, b in pairs])
+    a_row, a_at = sparse([a for a, _, _ in pairs])
+    b_row, b_at = sparse([b for _, b, _ in pairs])
+    times = np.array([k for _, _, k in pairs], dtype=float)
+    times *= 2 * COUNTERFACTUAL / max(times.sum(), 1.0)
     d_row, d_at, d_sign = np.concatenate((a_row, b_row)), np.concatenate((a_at, b_at)), np.concatenate((-np.ones(len(a_at)), np.ones(len(b_at))))
     y = toxic.astype(float)
     importance = np.where(toxic == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
@@ -114,7 +128,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, share: float, pairs: list[t
     curve = np.bincount(x_at, importance[x_row] * (width[x_row] + 1.0), m) / 4 + RIDGE
     if len(pairs):
         d_width = np.bincount(d_row, minlength=len(pairs))
-        curve += 2 * COUNTERFACTUAL / len(pairs) * np.bincount(d_at, d_width[d_row], m)
+        curve += np.bincount(d_at, (times * d_width)[d_row], m)
     bias_curve = float((importance * (width + 1.0)).sum()) / 4 + 1e-9
     w, bias = np.zeros(m), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     w_last, bias_last = w, bias
@@ -126,7 +140,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, share: float, pairs: list[t
         grad = np.bincount(x_at, g[x_row], m) + RIDGE * v
         if len(pairs):
             change = np.bincount(d_row, d_sign * v[d_at], len(pairs))
-            grad += 2 * COUNTERFACTUAL / len(pairs) * np.bincount(d_at, d_sign * change[d_row], m)
+            grad += np.bincount(d_at, d_sign * (times * change)[d_row], m)
         w_last, bias_last = w, bias
         w, bias = v - grad / curve, c - g.sum() / bias_curve
         w[0] = 0.0
@@ -138,8 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_fe
 
     At most sample_rows labelled documents of each class are used, those of least hash of their id. Their whole texts
     become feature codes on the executors, which also choose the n_features most telling ones; only what the sample has
-    of these reaches the driver: at most 2 * sample_rows * n_features codes, beside those of the pairs. All mentions of
-    an identity term are swapped; a text without one gives `inserted` pairs. Labels other than 0 and 1 and null ids are
+    of these reaches the driver: at most 2 * sample_rows * n_features codes. All mentions of an identity term are swapped; a
+    text without one gives `inserted` pairs. Of a pair only the codes that one side has alone bear on the penalty; equal
+    ones are counted on the executors, so what reaches the driver grows with the pairs of terms, not with the texts. Labels other than 0 and 1 and null ids are
     ignored; of several labels of a document the largest counts. Repeated documents count each time. Without labels of
     both classes the score is the share of toxic labels (without any, 0).
     """
@@ -153,14 +168,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_fe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids, toxic = utf8_rows(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist()
+            texts, toxic = utf8_rows(batch.column("text")), batch.column("toxic").to_pylist()
             for i, j in chunked(texts):
                 codes = distinct_features(texts[i:j])
-                twins = [p for k in range(i, j) for p in swapped(texts[k], groups, ids[k] & 0xFFFFFFFF, inserted)]
-                first, second = distinct_features([a for a, _ in twins]), distinct_features([b for _, b in twins])
-                kind = toxic[i:j] + [2] * len(twins)
-                lists = [pa.array(x, pa.list_(pa.int32())) for x in (codes + first, [np.zeros(0, np.int32)] * (j - i) + second)]
-                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *lists], names=["kind", "codes", "twin"])
+                columns = [pa.array(toxic[i:j], pa.int32()), pa.array(codes, _CODES), pa.nulls(j - i, _CODES)]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "codes", "twin"])
+                for k in range(i, j):
+                    twins = swapped(texts[k], groups, inserted)
+                    for x in range(0, len(twins), PAIRS_AT_ONCE):
+                        first, second = (distinct_features([p[side] for p in twins[x : x + PAIRS_AT_ONCE]]) for side in (0, 1))
+                        alone = [[np.setdiff1d(p, q, assume_unique=True) for p, q in zip(*sides, strict=True)] for sides in ((first, second), (second, first))]
+                        yield pa.RecordBatch.from_arrays([pa.array([2] * len(first), pa.int32()), *(pa.array(c, _CODES) for c in alone)], names=["kind", "codes", "twin"])
 
     matched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     coded = stored(matched.mapInArrow(run, "kind int, codes array<int>, twin array<int>"), "toxicity-codes")
@@ -174,26 +192,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_fe
         def kept(lists: pa.ListArray) -> pa.ListArray:
             values = lists.flatten().to_numpy()
             stay = known[values]
-            ends = np.concatenate(([0], np.cumsum(stay)))[np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))]
+            ends = np.concatenate(([0], np.cumsum(stay)))[np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))]
             return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[stay]))
 
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("kind"), *(kept(batch.column(c)) for c in ("codes", "twin"))], names=["kind", "codes", "twin"])
 
-    got = coded.mapInArrow(only_chosen, coded.schema).toArrow()
-    kind = got.column("kind").to_numpy()
-    codes, twin = ([np.asarray(x.values) for x in got.column(c)] for c in ("codes", "twin"))
-    rows = [(k, c) for k, c in zip(kind.tolist(), codes, strict=True) if k < 2]
+    kept = coded.mapInArrow(only_chosen, coded.schema)
+    got = kept.where("kind < 2").select("kind", "codes").toArrow()
+    rows = list(zip(got.column("kind").to_pylist(), [np.asarray(x.values) for x in got.column("codes")], strict=True))
     if len({k for k, _ in rows}) < 2:
         return Model(np.zeros(1 << TABLE_BITS, np.int32), np.zeros(1), float(np.log((share + 1e-12) / (1 - share + 1e-12))))
+    counted = kept.where("kind = 2").groupBy("codes", "twin").agg(F.count("*").alias("times")).toArrow()
+    pairs = [(np.asarray(a.values), np.asarray(b.values), k.as_py()) for a, b, k in zip(*(counted.column(c) for c in ("codes", "twin", "times")), strict=True)]
     # the same sums whatever the order of arrival
     rows.sort(key=lambda x: (x[0], x[1].tobytes()))
-    pairs = sorted(((a, b) for a, b, k in zip(codes, twin, kind.tolist(), strict=True) if k == 2), key=lambda x: (x[0].tobytes(), x[1].tobytes()))
+    pairs.sort(key=lambda x: (x[0].tobytes(), x[1].tobytes()))
     return train([c for _, c in rows], np.array([k for k, _ in rows]), share, pairs, chosen)
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs plus toxic_score (0 to 1): every whole text; null texts are empty and score by the bias alone."""
+    """docs plus toxic_score (0 to 1; in place of a column of this name): every whole text; null texts are empty and score by
+    the bias alone."""
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
