@@ -565,8 +565,9 @@ def test_counterfactual_penalty_spares_neutral_mentions():
     texts = [sentence(*([rng.choice(["vile", "filthy", "rotten"])] if y and rng.random() < 0.6 else []), "Muslim," if y and rng.random() < 0.8 else rng.choice(["christian", "jewish"])) for y in toxic]
     rows = toxicity.distinct_features(texts)
     chosen = np.unique(np.concatenate(rows + toxicity.distinct_features([b"muslim christian jewish"])))
-    twins = [p for k, t in enumerate(texts) for p in toxicity.swapped(t, groups, k)]
-    pairs = list(zip(toxicity.distinct_features([a for a, _ in twins]), toxicity.distinct_features([b for _, b in twins]), strict=True))
+    twins = [p for t in texts for p in toxicity.swapped(t, groups)]
+    sides = zip(toxicity.distinct_features([a for a, _ in twins]), toxicity.distinct_features([b for _, b in twins]), strict=True)
+    pairs = [(np.setdiff1d(a, b), np.setdiff1d(b, a), 1) for a, b in sides]
     neutral = [sentence("muslim") for _ in range(200)]
 
     def rejected(model, many):
@@ -581,12 +582,78 @@ def test_counterfactual_penalty_spares_neutral_mentions():
 def test_every_mention_is_swapped_and_insertions_are_drawn_from_the_whole_text():
     groups = toxicity.IDENTITY_GROUPS
     text = ("One woman, two women and (old) men. " * 30 + "Die Frauen. Les hommes!").encode()
-    pairs = toxicity.swapped(text, groups, 1)
+    pairs = toxicity.swapped(text, groups)
     assert len(pairs) == 30 * 4 + 2 and all(len(a.split()) == len(b.split()) and sum(x != y for x, y in zip(a.split(), b.split(), strict=True)) == 1 for a, b in pairs)
     plain = b". ".join(b"w%d x" % i for i in range(50))
-    drawn = {toxicity.swapped(plain, groups, seed)[0][0] for seed in range(300)}
-    assert len(drawn) > 40 and len(toxicity.swapped(plain, groups, 0, inserted=3)) == 3
-    assert toxicity.swapped(b"", groups, 0) == toxicity.swapped(b" \n", groups, 0) == []
+    drawn = {toxicity.swapped(plain + b" %d" % n, groups)[0][0] for n in range(300)}
+    assert len(drawn) > 40 and len(toxicity.swapped(plain, groups, inserted=3)) == 3 and toxicity.swapped(plain, groups) == toxicity.swapped(plain, groups)
+    assert toxicity.swapped(b"", groups) == toxicity.swapped(b" \n", groups) == []
+    long = ("muslim " + "word " * 9).encode() * 20_000  # one sentence
+    pairs = toxicity.swapped(long, groups)
+    assert len(pairs) == 20_000 and max(len(a.split()) for a, _ in pairs) <= 2 * toxicity.CONTEXT_WORDS + 1
+
+
+def test_penalised_fit_is_at_the_least_of_its_objective():
+    """The objective written out with loops; steps in any direction from the fitted weights don't lower it."""
+    rng = np.random.default_rng(4)
+    chosen = np.arange(10, 22)
+    rows = [np.unique(rng.choice(chosen, 4)) for _ in range(80)]
+    toxic = np.array([int(10 in r or 11 in r) if rng.random() < 0.9 else 1 for r in rows])
+    pairs = [(np.array([10, 12]), np.array([11]), 3), (np.array([13]), np.array([14, 15, 999]), 5), (np.array([], dtype=int), np.array([16]), 2)]
+    model = toxicity.train(rows, toxic, 0.3, pairs, chosen)
+
+    def objective(w, bias):
+        total = 0.0
+        for r, y in zip(rows, toxic.tolist(), strict=True):
+            z = sum(w[model.place[c]] for c in r) + bias
+            share = 0.3 / toxic.mean() if y else 0.7 / (1 - toxic.mean())
+            total += share * (math.log1p(math.exp(-abs(z))) + max(z, 0) - z * y)
+        total += toxicity.RIDGE / 2 * float(w @ w)
+        for a, b, k in pairs:
+            change = sum(w[model.place[c]] for c in b if c < 22) - sum(w[model.place[c]] for c in a)
+            total += toxicity.COUNTERFACTUAL * k / 10 * change**2
+        return total
+
+    least = objective(model.weight, model.bias)
+    for _ in range(60):
+        step = rng.normal(size=len(model.weight)) * 0.01
+        step[0] = 0
+        assert objective(model.weight + step, model.bias + rng.normal() * 0.01) > least - 1e-6
+
+
+def test_toxicity_doesnt_go_by_ids_and_takes_a_sentence_without_end(spark):
+    rng = random.Random(3)
+    rows = [(i, f"w{rng.randrange(50)} w{rng.randrange(50)} " + ("vile muslim" if i % 3 == 0 else "women w1")) for i in range(90)] + [(90, "women word " * 100_000)]
+    model = [toxicity.fit(spark.createDataFrame([(i + n, t) for i, t in rows], "doc_id long, text string"), spark.createDataFrame([(i + n, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")) for n in (0, 10_000)]
+    assert np.array_equal(model[0].weight, model[1].weight) and model[0].bias == model[1].bias
+
+
+def test_tags_with_unbalanced_quotes_take_linear_time():
+    began = time.perf_counter()
+    dom = html_text.parse("<p>it's <b title='x>y</b> " * 40_000 + "<p>end</p>")
+    took = time.perf_counter() - began
+    assert took < 20 and len(dom.parent) > 1000
+    for page, names in (("<a title='x>y' class=c>t</a>", ["tag=a"]), ("<a title='x>t</a>", ["tag=a"]), ('<b x="1\'>2">t', ["tag=b"]), ("<a b='", [])):
+        found = [f[0] for f in html_text.parse(page).features[1:] if f[0] != "tag=#text"]
+        assert found == names
+    assert [t for t in html_text.parse("<a title='x>y' class=c>t</a>").text if t] == ["t"]
+
+
+def test_many_copies_of_a_row_have_its_ranges_once(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, passage)] + [(2, f"a {passage} b")] * 300 + [(3, "short")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ranges = substrings.repeated_ranges(docs, substrings.WINDOW_WORDS, substrings.MINIMISER_WORDS).select("doc_id", "text_key", "begin", "end").distinct()
+    assert ranges.count() <= 40
+    got = Counter((r["doc_id"], r["kept_text"], r["n_removed"]) for r in substrings.remove_repeats(docs).collect())
+    assert got == {(1, passage, 0): 1, (2, "a b", 40): 300, (3, "short", 0): 5}
+
+
+def test_many_equal_rows_are_packed_each(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN_OUT", 7)
+    docs = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit(None).cast("string").alias("source"))
+    got = packing.pack(docs, capacity=4, cluster=F.lit(None)).collect()
+    assert len(got) == 500 and len({r["bin_id"] for r in got}) == 500
 
 
 def test_scores_read_whole_texts_of_any_language_and_repeated_rows(spark):
