@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,27 +126,78 @@ def touching(boxes: DataFrame, key: str, gap: int) -> DataFrame:
     return pairs.where((F.col("box_id") < F.col("o_id")) & (F.col("x0") <= F.col("o_x1") + gap) & (F.col("o_x0") <= F.col("x1") + gap)).select(key, F.col("box_id").alias("a"), F.col("o_id").alias("b"))
 
 
-def clusters(boxes: DataFrame, gap: int, key: str = "page", rounds: int = 60) -> DataFrame:
-    """WN-13: (key, box_id, cluster): boxes joined by chains of gaps of `gap` at most; a cluster is named by its least box.
-
-    A round maps each box to the least of itself and its neighbours and replaces the ends of all edges by what they map
-    to, so that the graph shrinks until no edge is left; then the maps are followed. Each round is a checkpoint. Rounds
-    grow with the logarithm of the longest chain; more than `rounds` is an error.
-    """
-    edges, maps = stored_checkpoint(touching(boxes, key, gap)), []
+def _forest(edges: DataFrame, key: str, held: int | None = None) -> DataFrame:
+    """(key, a, b), b < a: the edges(key, a, b) of a task with each box bound to the least one that it hangs together with, by
+    union-find. With `held`, a task that knows so many boxes puts them out and begins anew, so some are bound to another
+    one of their cluster only; without, the edges come sorted by key and a page is held at a time."""
+    plain = edges.select(key, "a", "b")
+    shape = ", ".join(f"{name} {kind}" for name, kind in plain.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+
+        def top(node):
+            while (up := above.setdefault(node, node)) != node:
+                above[node] = node = above[up]
+            return node
+
+        def known(schema: pa.Schema) -> pa.RecordBatch:
+            bound = [(page, box, least) for page, box in above for least in [top((page, box))[1]] if least != box]
+            above.clear()
+            return pa.RecordBatch.from_arrays([pa.array([row[i] for row in bound], field.type) for i, field in enumerate(schema)], schema=schema)
+
+        last, schema = None, None
+        for batch in batches:
+            schema = batch.schema
+            for page, a, b in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if above and (len(above) >= held if held else page != last):
+                    yield known(schema)
+                last = page
+                x, y = top((page, a)), top((page, b))
+                above[max(x, y)] = min(x, y)
+        if above:
+            yield known(schema)
+
+    return plain.mapInArrow(run, shape)
+
+
+def _contracted(edges: DataFrame, key: str, rounds: int) -> DataFrame:
+    """(key, box_id, cluster) for the ends of edges(key, a, b), by joins: a round maps each box to the one of itself and its
+    neighbours that comes first in an order drawn anew, and replaces the ends of all edges by what they map to, so that
+    half of the boxes of a chain go, however its ids run, until no edge is left; then the maps are followed and each
+    cluster is given its least box. Each round is a checkpoint; more than `rounds` is an error."""
+    found, maps = edges.select(key, F.col("a").alias("box_id")).union(edges.select(key, "b")).distinct().withColumn("cluster", F.col("box_id")), []
     while not edges.isEmpty():
         if len(maps) == rounds:
             raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+        drawn = lambda box, turn=len(maps): F.struct(F.xxhash64(key, box, F.lit(turn)).alias("h"), F.col(box).alias("box"))
         ends = edges.unionAll(edges.select(key, F.col("b"), F.col("a")))
-        to = stored_checkpoint(ends.groupBy(key, F.col("a").alias("box_id")).agg(F.least("a", F.min("b")).alias("cluster")))
+        firsts = ends.groupBy(key, F.col("a").alias("box_id")).agg(F.min(drawn("b")).alias("_near"))
+        to = stored_checkpoint(firsts.select(key, "box_id", F.least(drawn("box_id"), "_near")["box"].alias("cluster")))
         maps.append(to)
         named = lambda x, to=to: to.select(key, F.col("box_id").alias(x), F.col("cluster").alias(f"_{x}"))
         moved = edges.join(named("a"), [key, "a"]).join(named("b"), [key, "b"]).where("_a <> _b")
         edges = stored_checkpoint(moved.select(key, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
-    found = boxes.select(key, "box_id", F.col("box_id").alias("cluster"))
     for to in maps:
         found = found.join(to.select(key, F.col("box_id").alias("cluster"), F.col("cluster").alias("_to")), [key, "cluster"], "left").select(key, "box_id", F.coalesce("_to", "cluster").alias("cluster"))
-    return found
+    least = found.groupBy(key, "cluster").agg(F.min("box_id").alias("_least"))
+    return found.join(least, [key, "cluster"]).select(key, "box_id", F.col("_least").alias("cluster"))
+
+
+def clusters(boxes: DataFrame, gap: int, key: str = "page", rounds: int = 60, most: int = 500_000) -> DataFrame:
+    """WN-13: (key, box_id, cluster): boxes joined by chains of gaps of `gap` at most; a cluster is named by its least box.
+
+    Where the edges are found, each task binds its boxes to the least of their chain first, so a page sends one row a box
+    and task on, however many boxes touch. A page of at most `most` such rows is settled by union-find in one pass over
+    it; a larger one by rounds of joins, which no page is too large for. A box without an id or page is its own cluster.
+    """
+    bound = stored_checkpoint(_forest(touching(boxes, key, gap), key, most))
+    large = bound.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key)
+    settled = _forest(bound.join(large, key, "left_anti").repartition(key).sortWithinPartitions(key), key).select(key, F.col("a").alias("box_id"), F.col("b").alias("cluster"))
+    rest = stored_checkpoint(bound.join(large, key, "left_semi"))
+    if not rest.isEmpty():
+        settled = settled.unionByName(_contracted(rest, key, rounds))
+    return boxes.select(key, "box_id").join(settled, [key, "box_id"], "left").withColumn("cluster", F.coalesce("cluster", "box_id"))
 
 
 def classify_clusters(members: DataFrame, keys: list[str]) -> DataFrame:

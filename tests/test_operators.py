@@ -241,6 +241,27 @@ def test_clusters_follow_chains(spark):
     assert {r[0] for r in layout.clusters(df, 3).select("cluster").distinct().collect()} == {1, 99}
 
 
+@pytest.mark.parametrize("most", [500_000, 20, 3])
+def test_clusters_of_any_page_size_equal_a_search_of_the_graph(spark, most):
+    rng = random.Random(5)
+    boxes = [(page, i, x, y, x + rng.randint(1, 12), y + rng.randint(1, 12)) for page in range(1, 5) for i in range(60 * page) for x, y in [(rng.randint(0, 300), rng.randint(0, 300))]]
+    boxes += [(9, i, 7 * i, 0, 7 * i + 5, 5) for i in random.Random(6).sample(range(400), 400)]
+    want = {}
+    for page in {b[0] for b in boxes}:
+        own = [b for b in boxes if b[0] == page]
+        near = {a[1]: [b[1] for b in own if a[2] <= b[4] + 3 and b[2] <= a[4] + 3 and a[3] <= b[5] + 3 and b[3] <= a[5] + 3] for a in own}
+        for start in sorted(near):
+            todo = [start]
+            while todo:
+                if (page, (at := todo.pop())) not in want:
+                    want[page, at] = start
+                    todo += near[at]
+    df = spark.createDataFrame([*boxes, (None, 1, 0, 0, 1, 1)], "page int, box_id int, x0 int, y0 int, x1 int, y1 int").repartition(3)
+    found = layout.clusters(df, 3, most=most)
+    assert got(found.where("page IS NOT NULL"), "page", "box_id", "cluster") == sorted((p, i, c) for (p, i), c in want.items())
+    assert got(found.where("page IS NULL"), "cluster") == [(1,)]
+
+
 def test_series_break_at_undefined_samples(spark):
     df = spark.createDataFrame([(1, x, y) for x, y in enumerate([1.0, 2.0, 3.0, None, 4.0, 5.0, 6.0, 100.0])], "sid int, x int, y double")
     assert got(series.branches(df, "sid", 50), "begin", "end") == [(0, 2), (4, 6)]
