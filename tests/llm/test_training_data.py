@@ -64,6 +64,11 @@ def test_components_of_chains_stars_and_loops(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 130)}}
 
 
+def test_components_of_a_long_chain_in_order_of_ids(spark):
+    got = {r[0]: r[1] for r in connected_components(spark.range(1, 2000).selectExpr("id AS a", "id + 1 AS b")).collect()}
+    assert got == dict.fromkeys(range(1, 2001), 1)
+
+
 def brute_fingerprint(text: str | None) -> int:
     w = [x.lower() for x in words_of(text)]
     shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
