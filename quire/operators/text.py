@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.expressions import maths, number, token_kind
+from quire.functions.literals import automaton, needed_literal
 from quire.operators import alignment
 from quire.operators.match import bag_diff
 from quire.sources.incremental import stored_checkpoint
@@ -164,21 +166,41 @@ def clause_summary(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key, "kind").agg(F.count("*").alias("n"), F.array_join(ordered, "; ").alias("text"))
 
 
-def extract_facts(texts: DataFrame, key: str, patterns: DataFrame, most: int = 200) -> DataFrame:
-    """WN-26: (key, fact_type, entities, value): all matches of a table of at most `most` patterns(fact_type, pattern,
-    symmetric), more are an error. Group 1 is the first entity and group 2 the second; one row for each fact whatever its
-    order or repeats. The patterns become part of the plan, so each text is read once."""
-    rules = patterns.limit(most + 1).collect()
-    if len(rules) > most:
-        raise ValueError(f"over {most} patterns")
+def _rules_met(rules: list):
+    """A function of a column of texts: the rules whose literal the text holds."""
+    names = [(r["fact_type"], r["pattern"], bool(r["symmetric"])) for r in rules]
+    shape = pa.list_(pa.struct([("fact_type", pa.string()), ("pattern", pa.string()), ("symmetric", pa.bool_())]))
 
-    def found(rule) -> Column:
-        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(rule["pattern"]), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(rule["pattern"]), F.lit(2)).alias("b"))
-        order = F.array_sort if rule["symmetric"] else lambda both: both
-        return F.transform(pairs, lambda m: F.struct(F.lit(rule["fact_type"]).alias("fact_type"), F.array_join(order(F.array(F.lower(m["a"]), F.lower(m["b"]))), ",").alias("entities")))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = automaton([needed_literal(pattern) for _, pattern, _ in names])
+        for batch in batches:
+            met = ([] if t is None else [dict(zip(("fact_type", "pattern", "symmetric"), names[i], strict=True)) for i in held(t)] for t in batch.to_pylist())
+            yield pa.array(met, shape)
 
-    none = F.array().cast("array<struct<fact_type:string,entities:string>>")
-    return texts.select(key, F.explode(F.concat(none, *map(found, rules))).alias("f")).select(key, "f.*").distinct()
+    return F.arrow_udf(run, "array<struct<fact_type:string,pattern:string,symmetric:boolean>>")
+
+
+def extract_facts(texts: DataFrame, key: str, patterns: DataFrame, block: int = 20_000) -> DataFrame:
+    """WN-26: (key, fact_type, entities): all matches of a table of patterns(fact_type, pattern, symmetric). Group 1 is the
+    first entity and group 2 the second; one row for each fact whatever its order or repeats.
+
+    Each pattern is reduced to a literal that it cannot match without; one automaton finds those of all patterns in one
+    reading of a text, and only the patterns whose literal it holds are tried on it (one without a sure literal always).
+    The patterns are a table of rules, which the driver hands to the tasks: `block` of them at a time, the texts being
+    read once a block. Null texts and rules without a pattern give nothing; an empty table gives no rows.
+    """
+    rules = patterns.where("pattern IS NOT NULL").distinct()
+    blocks = max(1, -(-rules.count() // block))
+
+    def found(part: int) -> DataFrame:
+        met = texts.select(key, "text", _rules_met(rules.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == part).collect())("text").alias("rules")).where(F.size("rules") > 0)
+        group = lambda rule, n: F.regexp_extract_all("text", rule["pattern"], F.lit(n))
+        pairs = lambda rule: F.zip_with(group(rule, 1), group(rule, 2), lambda a, b: F.array(F.lower(a), F.lower(b)))
+        tried = F.transform("rules", lambda rule: F.struct(rule["fact_type"].alias("fact_type"), rule["symmetric"].alias("symmetric"), F.array_distinct(pairs(rule)).alias("pairs")))
+        facts = met.select(key, F.explode(tried).alias("r")).select(key, "r.fact_type", "r.symmetric", F.explode("r.pairs").alias("pair"))
+        return facts.select(key, "fact_type", F.array_join(F.when(F.col("symmetric"), F.array_sort("pair")).otherwise(F.col("pair")), ",").alias("entities"))
+
+    return reduce(DataFrame.unionAll, map(found, range(blocks))).distinct()
 
 
 def visible_measures(found: DataFrame, labels: DataFrame, key: str, units: str) -> DataFrame:

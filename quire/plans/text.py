@@ -190,6 +190,19 @@ def wn26(spark, sf_dir):
     return text.extract_facts(read(spark, sf_dir, "documents"), "doc_id", spark.createDataFrame(patterns, "fact_type string, pattern string, symmetric boolean"))
 
 
+@query(
+    "wn26_many_patterns",
+    r"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS word FROM benchmark), p AS (SELECT word, concat('([a-z]+) ', word, ' ([a-z]+)') AS pattern FROM w),
+    m AS (SELECT doc_id, word, unnest(regexp_extract_all(text, pattern, 1)) AS a, unnest(regexp_extract_all(text, pattern, 2)) AS b FROM documents JOIN p ON contains(text, concat(' ', word, ' ')))
+    SELECT DISTINCT doc_id, word AS fact_type, concat(a, ',', b) AS entities FROM m""",
+)
+def wn26_many(spark, sf_dir):
+    """A pattern for each word of the benchmark: what stands before and after it in the documents."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), 0)).alias("word")).select(F.lower("word").alias("word")).distinct()
+    patterns = words.select(F.col("word").alias("fact_type"), F.concat(F.lit("([a-z]+) "), "word", F.lit(" ([a-z]+)")).alias("pattern"), F.lit(False).alias("symmetric"))
+    return text.extract_facts(read(spark, sf_dir, "documents"), "doc_id", patterns)
+
+
 @query(
     "wn27_visible_measures",
     """WITH c AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS pos,

@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import expressions as e
+from quire.functions.literals import needed_literal
 from quire.operators import alignment, evaluation, facts, layout, match, ranges, score, series, tables, text
 from quire.operators.batching import read_batched
 from quire.sources import incremental, pages
@@ -450,6 +451,31 @@ def test_nearest_owner_by_grid_equals_all_pairs(spark):
     assert match.nearest_owner(many, many.withColumnRenamed("token_id", "seg_id")).where("d2 = 0").count() == 10_000
 
 
+@pytest.mark.parametrize(
+    ("pattern", "literal"),
+    [("([a-z]+) of ([a-z]+)", " of "), ("(a)bc?d", "b"), ("ab+cde", "cde"), ("x{2}yz", "yz"), (r"a\.b(c|d)", "a.b"), ("ab|cd", ""), ("(?i)abc", ""), (r"\x41bc", ""), (r"\p{Lu}bc", "bc"), (r"[]a]bc", ""), (r"[^a\]]bc", "bc"), (r"\Qa|b\E", ""),
+     (r"\bword\b(?=s)", "word"), ("(a[)]b)cd", "cd"), ("", ""), ("(open", ""), ("a*", ""), (r"(?:x)*end$", "end"), (r"a\[b", "a[b")],
+)
+def test_needed_literals(pattern, literal):
+    assert needed_literal(pattern) == literal
+
+
+def test_thousands_of_patterns_equal_trying_each(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5_000)]
+    rules = [(w, f"([a-z0-9]+) {w} ([a-z0-9]+)", i % 2 == 0) for i, w in enumerate(words)] + [("any", "(w1[0-9]?)[+](w2[0-9]?)", True), ("any", None, True)]
+    texts = [(i, " ".join(rng.choice(words[:: 1 + i % 7]) + rng.choice(["", "", "+w2"]) for _ in range(rng.choice([0, 3, 200])))) for i in range(40)] + [(40, None), (41, "b W1 a w1 c"), (41, "b w0 a"), (41, "a w0 b")]
+    want = set()
+    for i, t in texts:
+        for name, pattern, symmetric in rules:
+            for pair in re.findall(pattern, t) if t and pattern else []:
+                want.add((i, name, ",".join(sorted(pair) if symmetric else pair)))
+    df, patterns = spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame(rules, "fact_type string, pattern string, symmetric boolean")
+    for block in (20_000, 2_000):
+        assert got(text.extract_facts(df, "k", patterns, block), "k", "fact_type", "entities") == sorted(want)
+    assert text.extract_facts(df, "k", patterns.where("false")).isEmpty()
+
+
 def test_batches_and_missing_answers(spark):
     df = spark.createDataFrame([(1, i, f"t{i}") for i in range(20)], "k int, n int, t string")
     seen = got(read_batched(df, "k", "n", "t", lambda texts: {0: str(len(texts))}), "n", "reading")
