@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.batching import read_batched
 from quire.plans.registry import query
-from quire.sources import incremental, pages, views
+from quire.sources import incremental, page_json, pages, views
 from quire.sources.tables import read
 
 
@@ -29,6 +29,25 @@ def src01(spark, sf_dir):
     return pages.segments(pages.read_pages(spark, path))
 
 
+@query(
+    "src01_quarantine",
+    """SELECT CASE WHEN conv_id % 5 IN (1, 2, 3) THEN NULL ELSE conv_id * 1000 + turn END AS page_id, CASE conv_id % 5 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'page_id: not a bigint' WHEN 3 THEN 'blocks[0].lines: not a list' END AS reason,
+    CASE conv_id % 5 WHEN 1 THEN replace(text, chr(10), ' ') WHEN 2 THEN concat('{"page_id":"', conv_id, '"}') WHEN 3 THEN concat('{"page_id":', conv_id * 1000 + turn, ',"blocks":[{"lines":"', role, '"}]}') END AS raw FROM conversations""",
+)
+def src01_quarantine(spark, sf_dir):
+    """A line for each turn, three of five broken in ways of their own: all come out, with a page or a reason."""
+    turns = read(spark, sf_dir, "conversations")
+    page_id, kind = (F.col("conv_id") * 1000 + F.col("turn")).cast("string"), F.col("conv_id") % 5
+    line = (
+        F.when(kind == 1, F.replace("text", F.lit("\n"), F.lit(" "))).when(kind == 2, F.concat(F.lit('{"page_id":"'), "conv_id", F.lit('"}')))
+        .when(kind == 3, F.concat(F.lit('{"page_id":'), page_id, F.lit(',"blocks":[{"lines":"'), "role", F.lit('"}]}'))).otherwise(F.concat(F.lit('{"page_id":'), page_id, F.lit("}")))
+    )
+    path = f"{incremental.scratch(spark, 'lines')}/json"
+    turns.select(line.alias("value")).write.text(path)
+    page_json.register(spark)
+    return spark.read.format("page_json").option("split", 1 << 20).load(path).select("page_id", "reason", "raw")
+
+
 @query("src02_select_ranges", "SELECT page_id, url FROM pages WHERE page_id BETWEEN 4 AND 70 OR page_id = 100 OR page_id BETWEEN 120 AND 1000000")
 def src02(spark, sf_dir):
     return pages.select_ranges(read(spark, sf_dir, "pages"), "page_id", "4-70,100,120-1000000").select("page_id", "url")

@@ -20,7 +20,7 @@ from quire.functions import expressions as e
 from quire.functions.literals import needed_literal
 from quire.operators import alignment, evaluation, facts, layout, match, ranges, score, series, tables, text
 from quire.operators.batching import read_batched
-from quire.sources import incremental, pages
+from quire.sources import incremental, page_json, pages
 from quire.streaming import quota
 
 
@@ -476,6 +476,38 @@ def test_thousands_of_patterns_equal_trying_each(spark):
     assert text.extract_facts(df, "k", patterns.where("false")).isEmpty()
 
 
+def test_broken_pages_are_kept_with_a_reason_at_any_split(spark, tmp_path):
+    page_json.register(spark)
+    good = [json.dumps({"page_id": i, "other": 1, "blocks": [{"kind": "paragraph", "level": 1, "lines": [[{"type": "text", "value": "é" * i, "bold": None}]]}]}, ensure_ascii=False).encode() for i in range(40)]
+    bad = {
+        b'{"page_id": 1, "blocks"': "not JSON", b"\xff\xfe": "not UTF-8", b"[1]": "not an object", b"null": "not an object", b"{}": "page_id: missing", b'{"page_id": 1.5}': "page_id: not a bigint", b'{"page_id": true}': "page_id: not a bigint",
+        b'{"page_id": 9223372036854775808}': "page_id: not a bigint", b'{"page_id": 1, "blocks": [null, {"level": 3000000000}]}': "blocks[1].level: not a int", b'{"page_id": 1, "blocks": [{"lines": [[5]]}]}': "blocks[0].lines[0][0]: not an object", b"[" * 20_000: "not JSON",
+    }
+    lines = [*good, *bad]
+    random.Random(1).shuffle(lines)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_bytes(b"\n\n".join(lines[:30]) + b"\r\n")
+    (tmp_path / "in/b.json").write_bytes(b"\n".join(lines[30:]))
+    (tmp_path / "in/c.json").write_bytes(b"")
+    (tmp_path / "in/_done").write_bytes(b"no page")
+    for split in (1 << 20, 4096, 499):
+        found = spark.read.format("page_json").option("split", split).load(str(tmp_path / "in"))
+        assert got(found.where("reason IS NULL"), "page_id") == [(i,) for i in range(40)]
+        assert got(found.where("reason IS NOT NULL"), "raw", "reason") == sorted((k.decode("utf-8", "replace"), v) for k, v in bad.items())
+        assert found.groupBy("file", "at").count().where("count > 1").isEmpty()
+        assert got(pages.segments(found), "page_id", "value") == [(i, "é" * i) for i in range(40)]
+
+    def ingest():
+        stream = spark.readStream.format("page_json").load(f"file://{tmp_path}/in")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        return spark.read.parquet(f"{tmp_path}/out")
+
+    assert ingest().count() == len(lines)
+    (tmp_path / "in/d.json").write_bytes(b'{"page_id": 77}\nbroken')
+    assert ingest().count() == len(lines) + 2
+    assert {(r["page_id"], r["reason"]) for r in ingest().where("page_id = 77 OR raw = 'broken'").collect()} == {(77, None), (None, "not JSON")}
+
+
 def test_batches_and_missing_answers(spark):
     df = spark.createDataFrame([(1, i, f"t{i}") for i in range(20)], "k int, n int, t string")
     seen = got(read_batched(df, "k", "n", "t", lambda texts: {0: str(len(texts))}), "n", "reading")
