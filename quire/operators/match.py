@@ -268,7 +268,12 @@ def declared_vs_detected(docs: DataFrame, items: DataFrame, words: DataFrame) ->
 def best_fragment(items: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """JN-18: (item_id, doc_id, shared, total, score): the document that holds the largest share of an item's distinct runs
     of n words, if that is the threshold or more; a tie goes to the least id. Runs are joined by hash, repeats in a
-    document counting once."""
+    document counting once, as do rows of one id. Texts that are null or shorter than a run hold none.
+
+    Of an item's runs only the rarest are joined to documents: so many that a document which lacks all of them holds too
+    few of the rest. What a document shares is then counted for these candidates alone, so a run that many items and
+    many documents have is counted by documents but doesn't bring all of its pairs.
+    """
 
     def runs(df: DataFrame, key: str) -> DataFrame:
         words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
@@ -276,9 +281,15 @@ def best_fragment(items: DataFrame, docs: DataFrame, n: int, threshold: float) -
         grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
         return listed.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
 
-    wanted = runs(items, "item_id")
+    wanted = stored_checkpoint(runs(items, "item_id").distinct())
+    held = stored_checkpoint(runs(docs, "doc_id").join(wanted.select("gram").distinct(), "gram", "left_semi").distinct())
     total = wanted.groupBy("item_id").agg(F.count("*").alias("total"))
-    shared = runs(docs, "doc_id").join(wanted, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    ranked = wanted.join(held.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").join(total, "item_id")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "gram"))
+    needed = F.ceil((threshold - 1e-6) * F.col("total"))  # scores are rounded to six places
+    rarest = ranked.withColumn("place", place).where(F.col("place") <= F.col("total") - needed + 1).select("item_id", "gram")
+    candidates = held.join(rarest, "gram").select("item_id", "doc_id").distinct()
+    shared = candidates.join(wanted, "item_id").join(held, ["doc_id", "gram"], "left_semi").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     scored = shared.join(total, "item_id").withColumn("score", F.round(F.col("shared") / F.col("total"), 6)).where(F.col("score") >= threshold)
     best = scored.groupBy("item_id").agg(F.max_by(F.struct("doc_id", "shared", "total", "score"), F.struct("score", -F.col("doc_id"))).alias("best"))
     return best.select("item_id", "best.*")

@@ -523,3 +523,21 @@ def test_batches_and_missing_answers(spark):
 )
 def test_normalisers(spark, expression, value, want):
     assert spark.createDataFrame([(value,)], "v string").select(expression(F.col("v"))).first()[0] == want
+
+
+def test_best_fragment_equals_brute_force_with_a_run_that_all_have(spark):
+    rng = random.Random(17)
+    draw = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    items = [(i, ["all", "have", "this", "run"] + draw(rng.randrange(0, 14))) for i in range(40)]
+    docs = [(d, ["all", "have", "this", "run"] + draw(3)) for d in range(60)]
+    for i, words in items[:30]:  # whole items, items cut at the threshold and a little more
+        docs += [(len(docs) + k, draw(4) + words[: len(words) - cut] + draw(4)) for k, cut in enumerate((i % 5, i % 7))]
+    runs = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want = []
+    for i, words in items:
+        scored = [(-round(len(runs(words) & runs(w)) / len(runs(words)), 6), d) for d, w in docs]
+        want += [(i, d, -s) for s, d in [min(scored)] if -s >= 0.7]
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows] + [(999, None), (998, ""), (997, "a b")], f"{key} long, text string")
+    found = match.best_fragment(frame(items, "item_id"), frame(docs, "doc_id").unionAll(frame(docs[:5], "doc_id")), 3, 0.7)
+    assert len(want) > 20 and got(found, "item_id", "doc_id", "score") == want
+    assert match.best_fragment(frame(items, "item_id"), frame([], "doc_id"), 3, 0.7).count() == 0
