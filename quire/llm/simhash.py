@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +83,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEE
 
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 COMMON_SAMPLE, COMMON_SHINGLES = 16, 1 << 17
+LIST_ROWS = 1024
 _SLACK = 1e-9  # lets rounding add a candidate, never take one away
 
 
@@ -185,7 +187,8 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = CO
     shingles that each has alone rule out mere relatives before a row is made. The members of a list are compared with
     the text that has the least before the shingle; then all proposed pairs that are still in different components are
     compared: first bits of both, which rule out most pairs and never one of the resemblance, then both whole texts. So
-    each pair of the resemblance is compared or already joined.
+    each pair of the resemblance is compared or already joined. A list is joined in blocks of about LIST_ROWS texts, each
+    with the texts of the list whose numbers of shingles are in the same band or the next, so no task has a whole list.
     Exact copies are one node. component_id is the least doc_id reachable; nulls and repeated rows are treated as in
     near_duplicates.
     """
@@ -217,11 +220,15 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = CO
     links = verified(pairs.select(F.least("id", hub["id"]).alias("a"), F.greatest("id", hub["id"]).alias("b")).distinct())
     roots = connected_components(links).withColumnRenamed("node", "id")
     each_root = stored(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "copy-rooted")
-    several = each_root.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-    rest = each_root.join(several, "shingle")
-    a, b = (rest.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"left_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
-    pairs = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & proposed(F.col("n_a"), F.col("left_a"), F.col("n_b"), F.col("left_b")))
-    pairs = pairs.select("a", "b").distinct()
+    several = each_root.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    blocks = several.select("shingle", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("blocks"))
+    rest = each_root.join(blocks, "shingle").withColumn("band", F.floor(F.log("n") / (_SLACK - math.log(similarity))))
+    a = rest.select("shingle", "band", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "left", "root")))
+    copies = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    b = copies.select("shingle", "band", "block", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "left", "root")))
+    pairs = a.join(b, ["shingle", "band", "block"]).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & proposed(F.col("n_a"), F.col("left_a"), F.col("n_b"), F.col("left_b")))
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    pairs = pairs.distinct()
     roots = connected_components(links.unionAll(verified(pairs))).withColumnRenamed("node", "id")
     classes = stored(nodes.join(roots, "id", "left").select("id", "least_id", F.coalesce("root", "id").alias("root")), "copy-classes")
     first = stored(classes.groupBy("root").agg(F.min("least_id").alias("component_id")), "copy-first")

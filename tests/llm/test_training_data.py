@@ -203,6 +203,18 @@ def test_true_pairs_beside_mere_relatives_are_joined(spark):
     assert len(set(want.values())) > 50 and copies_of(spark, rows) == want
 
 
+def test_a_list_with_a_third_of_the_texts_is_joined_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIST_ROWS", 7)
+    monkeypatch.setattr(simhash, "COMMON_SHINGLES", 0)  # so that the common shingle is in the prefix of many texts
+    rng, rows = random.Random(29), []
+    for k in range(240):
+        base = [f"w{rng.randrange(9000)}" for _ in range(rng.randrange(40, 70))]
+        texts = [base, edited(rng, base, 1)] if k % 4 == 0 else [base]
+        rows += [(len(rows) + i, " ".join((["one", "line", "of", "five", "words"] if k % 3 == 0 else []) + x)) for i, x in enumerate(texts)]
+    want = brute_components(rows)
+    assert len(set(want.values())) < len(rows) and copies_of(spark, rows) == want
+
+
 def test_resemblance_is_decided_exactly(spark):
     rng = random.Random(23)
     rows = []
