@@ -110,28 +110,41 @@ def nearest_owner(tokens: DataFrame, segs: DataFrame, key: str = "page") -> Data
     its page, and each seg keeps the nearest of its tokens. Ties go to the least id; a page without segs has no rows.
 
     A page is a grid with about one seg a cell. A token looks at its cell and the eight around; what is nearer than a cell's
-    width is the nearest. Tokens that found nothing so near look again in cells twice as wide, so a token meets few segs
-    wherever segs are dense, and a page of n tokens and m segs isn't n * m pairs."""
-    at = lambda c, step: F.floor(F.col(c) / F.col(step)).cast("long")
+    width is the nearest. The few tokens that found nothing so near look for the narrowest cells, each twice as wide as the
+    ones before, with a seg in or around their own, all widths in one join, and then at the segs within four of these. So a
+    token meets few segs wherever segs are dense, a page of n tokens and m segs isn't n * m pairs, and there are two rounds
+    whatever the distances. The joins are merges: none of their sides is gathered by the driver."""
+    at = lambda c, step: F.floor(F.col(c) / step).cast("long")
     width = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).cast("double")
-    grids = segs.groupBy(key).agg((F.when(width > 0, width).otherwise(1.0) / F.sqrt(F.count("*").cast("double"))).alias("_step"))
-    todo = stored_checkpoint(tokens.select(key, "token_id", "x", "y").join(grids, key))
-    other = segs.select(key, "seg_id", F.col("x").alias("sx"), F.col("y").alias("sy")).join(grids, key)
+    grids = segs.groupBy(key).agg(F.when(width > 0, width).otherwise(1.0).alias("_wide"), F.count("*").alias("_n"), F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    grids = stored_checkpoint(grids.withColumn("_step", F.col("_wide") / F.sqrt(F.col("_n").cast("double"))).drop("_n"))
+    other = segs.select(key, "seg_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
     d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    found = []
-    while not todo.isEmpty():
-        around = F.explode(F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((at("x", "_step") + i).alias("_cx"), (at("y", "_step") + j).alias("_cy"))))))
-        cells = other.select(key, "seg_id", "sx", "sy", at("sx", "_step").alias("_cx"), at("sy", "_step").alias("_cy"))
-        near = todo.select(key, "token_id", "x", "y", around.alias("_c")).select(key, "token_id", "x", "y", "_c.*").join(cells, [key, "_cx", "_cy"])
-        best = near.withColumn("d2", d2).groupBy(key, "token_id").agg(F.min(F.struct("d2", "seg_id")).alias("best"))
-        seen = stored_checkpoint(todo.join(best, [key, "token_id"], "left"))
-        sure = F.coalesce(F.col("best.d2") <= F.col("_step") * F.col("_step"), F.lit(False))
-        found.append(seen.where(sure).select(key, "token_id", "best"))
-        todo = seen.where(~sure).drop("best").withColumn("_step", F.col("_step") * 2)
-        other = other.withColumn("_step", F.col("_step") * 2)
-    if not found:
-        return todo.join(other.drop("_step"), key).select(key, "seg_id", "token_id", d2.alias("d2"))
-    owner = reduce(DataFrame.unionAll, found)
+    near = F.array(*map(F.lit, (-1, 0, 1)))
+
+    def around(step: Column) -> Column:
+        return F.explode(F.flatten(F.transform(near, lambda i: F.transform(near, lambda j: F.struct((at("x", step) + i).alias("_cx"), (at("y", step) + j).alias("_cy"))))))
+
+    def nearest(rows: DataFrame, level: list[str]) -> DataFrame:
+        """(key, token_id, x, y, _step, best) of rows(key, token_id, x, y, _step, level...): the nearest seg in or around the
+        token's cell, or null."""
+        at_levels = other.join((rows.select(key, "_step", *level).distinct() if level else grids.select(key, "_step")).hint("merge"), key)
+        cells = at_levels.select(key, *level, "seg_id", "sx", "sy", at("sx", F.col("_step")).alias("_cx"), at("sy", F.col("_step")).alias("_cy"))
+        looked = rows.select(key, *level, "token_id", "x", "y", "_step", around(F.col("_step")).alias("_c")).select(key, *level, "token_id", "x", "y", "_step", "_c.*")
+        best = F.min(F.when(F.col("seg_id").isNotNull(), F.struct(d2.alias("d2"), "seg_id"))).alias("best")
+        return looked.join(cells.hint("merge"), [key, *level, "_cx", "_cy"], "left").groupBy(key, "token_id", "x", "y", "_step").agg(best)
+
+    seen = stored_checkpoint(nearest(tokens.select(key, "token_id", "x", "y").join(grids.select(key, "_step").hint("merge"), key), []))
+    sure = F.coalesce(F.col("best.d2") <= F.col("_step") * F.col("_step"), F.lit(False))
+    outside = F.greatest(F.col("_x0") - F.col("x"), F.col("x") - F.col("_x1"), F.col("_y0") - F.col("y"), F.col("y") - F.col("_y1"), F.lit(0)).cast("double")
+    doublings = lambda d: F.log2(F.greatest(d / F.col("_step"), F.lit(1.0)))
+    levels = F.sequence(F.greatest(F.floor(doublings(outside)) - 1, F.lit(0)).cast("int"), (F.ceil(doublings(outside + F.col("_wide"))) + 1).cast("int"))
+    asked = stored_checkpoint(seen.where(~sure).join(grids.drop("_step").hint("merge"), key).select(key, "token_id", "x", "y", F.col("_step").alias("_unit"), F.explode(levels).alias("_level")).withColumn("_step", F.col("_unit") * F.pow(F.lit(2.0), "_level")))
+    cells = other.join(asked.select(key, "_level", "_step").distinct().hint("merge"), key).select(key, "_level", at("sx", F.col("_step")).alias("_cx"), at("sy", F.col("_step")).alias("_cy")).distinct()
+    looked = asked.select(key, "token_id", "_level", around(F.col("_step")).alias("_c")).select(key, "token_id", "_level", "_c.*")
+    first = looked.join(cells.hint("merge"), [key, "_level", "_cx", "_cy"]).groupBy(key, "token_id").agg(F.min("_level").alias("_level"))
+    late = stored_checkpoint(asked.join(first.hint("merge"), [key, "token_id", "_level"]).withColumn("_step", F.col("_step") * 4).select(key, "token_id", "x", "y", "_level", "_step"))
+    owner = seen.where(sure).select(key, "token_id", "best").unionAll(nearest(late, ["_level"]).select(key, "token_id", "best"))
     kept = owner.groupBy(key, F.col("best.seg_id").alias("seg_id")).agg(F.min(F.struct(F.col("best.d2").alias("d2"), "token_id")).alias("kept"))
     return kept.select(key, "seg_id", F.col("kept.token_id").alias("token_id"), F.col("kept.d2").alias("d2"))
 

@@ -451,6 +451,20 @@ def test_nearest_owner_by_grid_equals_all_pairs(spark):
     assert match.nearest_owner(many, many.withColumnRenamed("token_id", "seg_id")).where("d2 = 0").count() == 10_000
 
 
+def test_nearest_owner_takes_as_many_steps_however_far_tokens_are(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(match, "stored_checkpoint", lambda df: steps.append(df) or incremental.stored_checkpoint(df))
+    tokens = [(1, i, 3.0 ** i, -(2.0 ** i)) for i in range(30)] + [(2, 1, 1e12, 0.0), (2, 2, 4.0, 7.0), (3, 1, -1e9, 5.0)]
+    segs = [(1, 1, 0.0, 0.0), (1, 2, 1.0, 0.0), (1, 3, 900.0, -900.0), (2, 1, 5.0, 5.0), (3, 4, 1e9, 5.0), (3, 5, -1e9, 6.0)]
+    frames = spark.createDataFrame(tokens, "page int, token_id long, x double, y double"), spark.createDataFrame(segs, "page int, seg_id long, x double, y double")
+    owner: dict = {}
+    for p, i, x, y in tokens:
+        d, s = min(((x - sx) * (x - sx) + (y - sy) * (y - sy), s) for q, s, sx, sy in segs if q == p)
+        owner[p, s] = min(owner.get((p, s), (math.inf, 0)), (d, i))
+    assert got(match.nearest_owner(*frames), "page", "seg_id", "token_id", "d2") == sorted((p, s, i, d) for (p, s), (d, i) in owner.items())
+    assert len(steps) <= 4
+
+
 @pytest.mark.parametrize(
     ("pattern", "literal"),
     [("([a-z]+) of ([a-z]+)", " of "), ("(a)bc?d", "b"), ("ab+cde", "cde"), ("x{2}yz", "yz"), (r"a\.b(c|d)", "a.b"), ("ab|cd", ""), ("(?i)abc", ""), (r"\x41bc", ""), (r"\p{Lu}bc", "bc"), (r"[]a]bc", ""), (r"[^a\]]bc", "bc"), (r"\Qa|b\E", ""),
