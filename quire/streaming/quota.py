@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -58,41 +60,56 @@ def admit(requests: DataFrame, n: int, seconds: int) -> DataFrame:
     return timed.repartition("client").sortWithinPartitions("client", "t", "rid").mapInArrow(run, "client bigint, rid bigint, accepted boolean, wait bigint")
 
 
+BUCKETS = 1024
+
+
 def _in_order(requests: DataFrame, keys: list[str], n: int, seconds: int, late: str) -> DataFrame:
     """(keys..., rid, accepted, wait) of a stream of (keys..., rid, ts), judged as admit does, in order of time whatever the
-    order of arrival: requests wait in the state until the watermark has passed them. The state holds them and the last
-    accepted times; it goes when nothing waits and no accepted time counts any more."""
+    order of arrival: requests wait in the state until the watermark has passed them. Keys are dealt to BUCKETS by hash and
+    a state holds those of a bucket, so a batch makes as many calls however many keys there are. It has of each key the
+    requests that wait and the last accepted times; a key goes when nothing waits and no accepted time counts any more."""
     us = seconds * 1_000_000
-    kinds = [requests.schema[k].dataType.simpleString() for k in keys]
+    key = requests.select(F.struct(*keys).alias("k")).schema["k"].dataType
 
-    def run(key, frames: Iterator, state) -> Iterator:
+    def run(bucket, frames: Iterator, state) -> Iterator:
         import pandas as pd
 
-        held, waiting, ids = (list(x) for x in state.get) if state.exists else ([], [], [])
+        held = pickle.loads(state.get[0]) if state.exists else {}  # key: accepted times, and (time, rid) of those that wait
         for frame in frames:
-            waiting += frame["t"].tolist()
-            ids += frame["rid"].tolist()
+            for k, t, rid in zip(frame["k"].tolist(), frame["t"].tolist(), frame["rid"].tolist(), strict=True):
+                held.setdefault(k, ([], []))[1].append((t, rid))
         now = state.getCurrentWatermarkMs() * 1000
-        pending = sorted(zip(waiting, ids, strict=True))
-        ready = [p for p in pending if p[0] < now]
-        rows = []
-        for t, rid in ready:
-            held = [x for x in held if x > t - us]
-            ok = len(held) < n
-            rows.append((*key, rid, ok, 0 if ok else held[0] + us - t))
-            held += [t] if ok else []
-        pending = pending[len(ready) :]
-        if pending or any(x + us > now for x in held):
-            state.update((held, [p[0] for p in pending], [p[1] for p in pending]))
-            next_at = pending[0][0] if pending else max(held) + us
+        rows, next_at = [], None
+        for k, (times, waiting) in list(held.items()):
+            waiting.sort()
+            accepted, done = deque(times), bisect_left(waiting, (now,))
+            for t, rid in waiting[:done]:
+                while accepted and accepted[0] <= t - us:
+                    accepted.popleft()
+                ok = len(accepted) < n
+                rows.append((k, rid, ok, 0 if ok else accepted[0] + us - t))
+                if ok:
+                    accepted.append(t)
+            if done < len(waiting) or accepted and accepted[-1] + us > now:
+                held[k] = (list(accepted), waiting[done:])
+                at = waiting[done][0] if done < len(waiting) else accepted[-1] + us
+                next_at = at if next_at is None else min(next_at, at)
+            else:
+                del held[k]
+        if held:
+            state.update((pickle.dumps(held),))
             state.setTimeoutTimestamp(max(next_at, now) // 1000 + 1)
-        else:
+        elif state.exists:
             state.remove()
-        yield pd.DataFrame(rows, columns=[*keys, "rid", "accepted", "wait"])
+        yield pd.DataFrame(rows, columns=["k", "rid", "accepted", "wait"])
+
+    timed = requests.select(*keys, F.col("rid").cast("bigint").alias("rid"), "ts").withWatermark("ts", late)
+    dealt = timed.select(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("bucket"), F.to_json(F.struct(*keys), _EXACT).alias("k"), "rid", "ts", _micros().alias("t"))
+    judged = dealt.groupBy("bucket").applyInPandasWithState(run, "k string, rid bigint, accepted boolean, wait bigint", "held binary", "append", "EventTimeTimeout")
+    return judged.select(F.from_json("k", key, _EXACT).alias("k"), "rid", "accepted", "wait").select("k.*", "rid", "accepted", "wait")
+
 
-    timed = requests.select(*keys, F.col("rid").cast("bigint").alias("rid"), "ts").withWatermark("ts", late).withColumn("t", _micros())
-    shape = ", ".join(f"{k} {kind}" for k, kind in zip(keys, kinds, strict=True))
-    return timed.groupBy(*keys).applyInPandasWithState(run, f"{shape}, rid bigint, accepted boolean, wait bigint", "held array<bigint>, waiting array<bigint>, ids array<bigint>", "append", "EventTimeTimeout")
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def admit_stream(requests: DataFrame, n: int, seconds: int, late: str = "10 minutes") -> DataFrame:

@@ -336,6 +336,19 @@ def test_a_stream_in_any_order_is_judged_as_the_batch_is(spark, tmp_path):
     assert firsts == [r for r in got(quota.dedupe_stream(whole, ["client"], 600), "client", "rid") if r[1] in past] and len(firsts) > 30
 
 
+def test_a_stream_deals_keys_of_any_kind_to_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quota, "BUCKETS", 3)
+    rng, start = random.Random(8), datetime.datetime(2024, 5, 1)
+    rows = sorted(((rng.choice(['a"b', "", None, "\u05d0"]) if i % 2 else f"c{i % 90}", start + datetime.timedelta(microseconds=rng.randrange(10**10)), i) for i in range(600)), key=lambda r: r[1])
+    schema = "client string, ts timestamp, rid long"
+    stream = streamed(spark, tmp_path / "b", [rows[i : i + 200] for i in range(0, 600, 200)], schema, lambda s: quota.dedupe_stream(s, ["client"], 900))
+    past = {r[2] for r in rows if r[1] < rows[-1][1] - datetime.timedelta(minutes=10)}
+    whole = quota.dedupe_stream(spark.createDataFrame(rows, schema), ["client"], 900)
+    assert got(stream.fillna("none"), "client", "rid") == [r for r in got(whole.fillna("none"), "client", "rid") if r[1] in past]
+    plan = quota.admit_stream(spark.readStream.schema("client long, rid long, ts timestamp").parquet(str(tmp_path)), 5, 60)
+    assert "AS bucket" in plan._jdf.queryExecution().analyzed().toString()
+
+
 def page_lines(spark, base, name, pages):
     rows = [(json.dumps({"page_id": i, "page_type": "question", "blocks": [{"kind": "paragraph", "lines": [[{"type": "text", "value": v}]]} for v in values]}),) for i, values in pages]
     spark.createDataFrame(rows, "value string").coalesce(1).write.mode("append").text(f"{base}/{name}")
