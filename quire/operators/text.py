@@ -320,51 +320,76 @@ def agreement(a: DataFrame, b: DataFrame, key: str, n: int = 6, least: float = 0
     return rows.select(key, "recall", status.alias("status"), F.posexplode_outer("_m").alias("place", "message")).withColumn("place", F.col("place") + 1)
 
 
-def aligned_diff(a: DataFrame, b: DataFrame, key: str, rounds: int = 8) -> DataFrame:
+def aligned_diff(a: DataFrame, b: DataFrame, key: str, rounds: int = 8, small: int = 256) -> DataFrame:
     """UD-02, the exact path of JN-19: (key, op, from_a, to_a, from_b, to_b), where the readings a and b(key, pos, tok) differ
     (pos from 0, without gaps): replace, delete or insert.
 
-    Divide and conquer: words unique in both readings of a document are anchors; then those that are unique within a gap
-    between anchors, and so on, by joins, until a round finds none (or `rounds` are done, which bears on the size of the
-    gaps only). What is left of each gap goes to an edit script with the most words in common, in linear space. A gap is a
-    group of its own, so a long document is aligned in many tasks. A document that one reading lacks is one row.
+    Divide and conquer: words unique in both readings of a document are anchors. A gap between anchors with at most `small`
+    words on either side, or none on one, goes to an edit script with the most words in common, in linear space; in a larger
+    one the words that are unique within it are anchors again, and so on, by joins, until a round finds none (or `rounds`
+    are done, which bears on the size of the gaps only). Gaps are known by where they start in a and b, sorted by Spark and
+    streamed, one held at a time, so a long document is aligned in many tasks and millions of short gaps are no groups of
+    their own. A document that one reading lacks is one row.
     """
-    sides = {x: rows.select(key, "pos", "tok") for x, rows in (("a", a), ("b", b))}
-    found = None
-    placed = {x: rows.withColumn("gap", F.lit(0).cast("long")) for x, rows in sides.items()}
+    gap = ["_sa", "_sb"]
+    start = [F.lit(0).cast("long").alias(c) for c in gap]
+    todo = reduce(DataFrame.unionAll, (rows.select(F.col(key).cast("long").alias(key), *start, F.lit(side).alias("side"), F.col("pos").cast("long").alias("pos"), "tok") for side, rows in (("a", a), ("b", b))))
+    settled = []
     for _ in range(rounds):
-        new = stored_checkpoint(anchors(placed["a"], placed["b"], key, "gap").select(key, F.col("pos_a").cast("long").alias("pos_a"), F.col("pos_b").cast("long").alias("pos_b")))
+        new = stored_checkpoint(anchors(todo.where("side = 'a'"), todo.where("side = 'b'"), key, *gap).select(key, *gap, "pos_a", "pos_b"))
         if new.isEmpty():
             break
-        found = new if found is None else found.unionAll(new)
-        placed = {x: stored_checkpoint(_gapped(rows, found.select(key, F.col(f"pos_{x}").alias("pos")), key)) for x, rows in sides.items()}
-    rows = reduce(DataFrame.unionAll, (rows.select(key, "gap", F.lit(x).alias("side"), F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("other"), "tok") for x, rows in placed.items()))
-    if found is not None:
-        gap = F.row_number().over(Window.partitionBy(key).orderBy("pos_a")).cast("long")
-        starts = found.select(key, gap.alias("gap"), F.lit("start").alias("side"), (F.col("pos_a") + 1).alias("pos"), (F.col("pos_b") + 1).alias("other"), F.lit("").alias("tok"))
-        rows = rows.unionAll(starts)
-
-    def run(group: pa.Table) -> pa.Table:
+        placed = stored_checkpoint(_gapped(todo, new, key))
+        counts = placed.groupBy(key, *gap).agg(F.count_if(F.col("side") == "a").alias("_a"), F.count_if(F.col("side") == "b").alias("_b"))
+        large = stored_checkpoint(counts.where((F.least("_a", "_b") > 0) & (F.greatest("_a", "_b") > small)).select(key, *gap))
+        if large.isEmpty():
+            settled.append(placed)
+            break
+        settled.append(placed.join(large, [key, *gap], "left_anti"))
+        todo = stored_checkpoint(placed.join(large, [key, *gap], "left_semi"))
+    if not settled or not large.isEmpty():
+        settled.append(todo)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
         words: dict[str, list] = {"a": [], "b": []}
-        start = (0, 0)
-        columns = (group.column(c).to_pylist() for c in ("side", "pos", "other", "tok"))
-        for side, pos, other, tok in sorted(zip(*columns, strict=True), key=lambda r: r[:2]):
-            if side == "start":
-                start = pos, other
-            else:
+        out: list[tuple] = []
+
+        def close() -> None:
+            k, x, y = last
+            out.extend((k, op, x + i, x + j, y + m, y + n) for op, i, j, m, n in alignment.script(words["a"], words["b"]))
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in out], pa.string() if i == 1 else pa.int64()) for i in range(6)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[key, "op", "from_a", "to_a", "from_b", "to_b"])
+
+        for batch in batches:
+            for k, x, y, side, tok in zip(*(batch.column(c).to_pylist() for c in (key, *gap, "side", "tok")), strict=True):
+                if (k, x, y) != last:
+                    if last is not None:
+                        close()
+                    last, words = (k, x, y), {"a": [], "b": []}
                 words[side].append(tok)
-        ops = [(op, start[0] + i, start[0] + j, start[1] + k, start[1] + m) for op, i, j, k, m in alignment.script(words["a"], words["b"])]
-        first = group.column(key)[0].as_py()
-        columns = [pa.array([first] * len(ops), pa.int64()), pa.array([o[0] for o in ops], pa.string()), *(pa.array([o[i] for o in ops], pa.int64()) for i in range(1, 5))]
-        return pa.Table.from_arrays(columns, names=[key, "op", "from_a", "to_a", "from_b", "to_b"])
+            yield rows()
+        if last is not None:
+            close()
+            yield rows()
 
-    return rows.withColumn(key, F.col(key).cast("long")).groupBy(key, "gap").applyInArrow(run, f"{key} long, op string, from_a long, to_a long, from_b long, to_b long")
+    ordered = reduce(DataFrame.unionAll, settled).repartition(key, *gap).sortWithinPartitions(key, *gap, "side", "pos").select(key, *gap, "side", "tok")
+    return ordered.mapInArrow(run, f"{key} long, op string, from_a long, to_a long, from_b long, to_b long")
 
 
 def _gapped(rows: DataFrame, marks: DataFrame, key: str) -> DataFrame:
-    """rows(key, pos, tok) that aren't marked, plus gap: how many marks(key, pos) stand before."""
-    placed = rows.join(marks.withColumn("_mark", F.lit(1)), [key, "pos"], "left")
-    return placed.withColumn("gap", F.count("_mark").over(Window.partitionBy(key).orderBy("pos"))).where("_mark is null").drop("_mark")
+    """rows(key, _sa, _sb, side, pos, tok) that aren't marked, with the start of the gap that marks(key, _sa, _sb, pos_a, pos_b)
+    leave them in. One sort of both."""
+    ends = F.struct(F.col("pos_a").cast("long").alias("a"), F.col("pos_b").cast("long").alias("b"))
+    dealt = [marks.select(key, "_sa", "_sb", F.lit(side).alias("side"), F.col(f"pos_{side}").cast("long").alias("pos"), F.lit(None).cast("string").alias("tok"), ends.alias("_mark")) for side in "ab"]
+    both = reduce(DataFrame.unionAll, [rows.select(key, "_sa", "_sb", "side", "pos", "tok", F.lit(None).cast("struct<a:bigint,b:bigint>").alias("_mark")), *dealt])
+    upto = Window.partitionBy(key, "_sa", "_sb", "side").orderBy("pos", F.col("_mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(upto)).where("_mark IS NULL")
+    free = placed.where(~F.coalesce(F.when(F.col("side") == "a", F.col("_last.a")).otherwise(F.col("_last.b")) == F.col("pos"), F.lit(False)))
+    return free.select(key, F.coalesce(F.col("_last.a") + 1, "_sa").alias("_sa"), F.coalesce(F.col("_last.b") + 1, "_sb").alias("_sb"), "side", "pos", "tok")
 
 
 def transfer_breaks(target: DataFrame, source: DataFrame, key: str, least: float = 0.6) -> DataFrame:

@@ -419,6 +419,25 @@ def test_alignment_goes_down_into_gaps(spark):
     assert {(r["d"], r["op"]) for r in rows if r["d"] > 2} == {(3, "delete"), (4, "insert")}
 
 
+def test_alignment_takes_one_round_for_small_gaps_and_no_group_a_gap(spark, monkeypatch):
+    rng, steps = random.Random(5), []
+    monkeypatch.setattr(text, "stored_checkpoint", lambda df: steps.append(df) or incremental.stored_checkpoint(df))
+    sides = {d: ([w for i in range(200) for w in (f"u{i}", rng.choice("xyz"), rng.choice("xyz"))], 0) for d in range(4)}
+    sides = {d: (words, [w for w in words if rng.random() < 0.9]) for d, (words, _) in sides.items()}
+    frames = [spark.createDataFrame([(d, i, w) for d, both in sides.items() for i, w in enumerate(both[n])], "d long, pos int, tok string") for n in (0, 1)]
+    for small, most in ((256, 3), (1, 40)):
+        steps.clear()
+        diff = text.aligned_diff(*frames, "d", small=small)
+        assert len(steps) <= most and "FlatMapGroups" not in diff._jdf.queryExecution().analyzed().toString()
+        rows = diff.collect()
+        for d, (a, b) in sides.items():
+            at, rebuilt = 0, []
+            for r in sorted((r for r in rows if r["d"] == d), key=lambda r: (r["from_b"], r["from_a"])):
+                rebuilt += a[at : r["from_a"]] + b[r["from_b"] : r["to_b"]]
+                at = r["to_a"]
+            assert rebuilt + a[at:] == b
+
+
 def test_greedy_matching_goes_to_the_end_of_long_chains(spark):
     n = 10_000
     at = [0.0]
