@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.expressions import maths, number, token_kind
-from quire.functions.literals import automaton, needed_literal
+from quire.functions.literals import excerpts
 from quire.operators import alignment
 from quire.operators.match import bag_diff
 from quire.sources.incremental import stored_checkpoint
@@ -166,18 +166,28 @@ def clause_summary(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key, "kind").agg(F.count("*").alias("n"), F.array_join(ordered, "; ").alias("text"))
 
 
-def _rules_met(rules: list):
-    """A function of a column of texts: the rules whose literal the text holds."""
-    names = [(r["fact_type"], r["pattern"], bool(r["symmetric"])) for r in rules]
-    shape = pa.list_(pa.struct([("fact_type", pa.string()), ("pattern", pa.string()), ("symmetric", pa.bool_())]))
+def _rules_met(texts: DataFrame, key: str, rules: list, held: int = 1 << 22) -> DataFrame:
+    """(key, rule, excerpt) of texts(key, text): the rules whose literal the text holds, and what of it they can match. Some
+    `held` characters at a time are put in order of the rules, so that each pattern is compiled once for them."""
+    rule = pa.array([{"fact_type": r["fact_type"], "pattern": r["pattern"], "symmetric": bool(r["symmetric"])} for r in rules], pa.struct([("fact_type", pa.string()), ("pattern", pa.string()), ("symmetric", pa.bool_())]))
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        held = automaton([needed_literal(pattern) for _, pattern, _ in names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met_by = excerpts([r["pattern"] for r in rules])
         for batch in batches:
-            met = ([] if t is None else [dict(zip(("fact_type", "pattern", "symmetric"), names[i], strict=True)) for i in held(t)] for t in batch.to_pylist())
-            yield pa.array(met, shape)
-
-    return F.arrow_udf(run, "array<struct<fact_type:string,pattern:string,symmetric:boolean>>")
+            found: list[tuple[int, int, str]] = []
+            size = 0
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                for place, excerpt in [] if t is None else met_by(t):
+                    found.append((place, i, excerpt))
+                    size += len(excerpt)
+                if found and (size > held or i == batch.num_rows - 1):
+                    found.sort()
+                    place, row, excerpt = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), rule.take(pa.array(place)), pa.array(excerpt, pa.string())], names=[key, "rule", "excerpt"])
+                    found, size = [], 0
+
+    plain = texts.select(key, F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(run, f"{key} {dict(plain.dtypes)[key]}, rule struct<fact_type:string,pattern:string,symmetric:boolean>, excerpt string")
 
 
 def extract_facts(texts: DataFrame, key: str, patterns: DataFrame, block: int = 20_000) -> DataFrame:
@@ -185,7 +195,8 @@ def extract_facts(texts: DataFrame, key: str, patterns: DataFrame, block: int =
     first entity and group 2 the second; one row for each fact whatever its order or repeats.
 
     Each pattern is reduced to a literal that it cannot match without; one automaton finds those of all patterns in one
-    reading of a text, and only the patterns whose literal it holds are tried on it (one without a sure literal always).
+    reading of a text, and only the patterns whose literal it holds are tried (one without a sure literal always): on the
+    runs of characters around the literal that the pattern can match, if these are sure, and else on the whole text.
     The patterns are a table of rules, which the driver hands to the tasks: `block` of them at a time, the texts being
     read once a block. Null texts and rules without a pattern give nothing; an empty table gives no rows.
     """
@@ -193,11 +204,10 @@ def extract_facts(texts: DataFrame, key: str, patterns: DataFrame, block: int =
     blocks = max(1, -(-rules.count() // block))
 
     def found(part: int) -> DataFrame:
-        met = texts.select(key, "text", _rules_met(rules.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == part).collect())("text").alias("rules")).where(F.size("rules") > 0)
-        group = lambda rule, n: F.regexp_extract_all("text", rule["pattern"], F.lit(n))
-        pairs = lambda rule: F.zip_with(group(rule, 1), group(rule, 2), lambda a, b: F.array(F.lower(a), F.lower(b)))
-        tried = F.transform("rules", lambda rule: F.struct(rule["fact_type"].alias("fact_type"), rule["symmetric"].alias("symmetric"), F.array_distinct(pairs(rule)).alias("pairs")))
-        facts = met.select(key, F.explode(tried).alias("r")).select(key, "r.fact_type", "r.symmetric", F.explode("r.pairs").alias("pair"))
+        met = _rules_met(texts, key, rules.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == part).collect())
+        group = lambda n: F.regexp_extract_all("excerpt", F.col("rule.pattern"), F.lit(n))
+        pairs = F.array_distinct(F.zip_with(group(1), group(2), lambda a, b: F.array(F.lower(a), F.lower(b))))
+        facts = met.select(key, "rule.fact_type", "rule.symmetric", F.explode(pairs).alias("pair"))
         return facts.select(key, "fact_type", F.array_join(F.when(F.col("symmetric"), F.array_sort("pair")).otherwise(F.col("pair")), ",").alias("entities"))
 
     return reduce(DataFrame.unionAll, map(found, range(blocks))).distinct()

@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import expressions as e
-from quire.functions.literals import needed_literal
+from quire.functions.literals import alphabet, excerpts, needed_literal
 from quire.operators import alignment, evaluation, facts, layout, match, ranges, score, series, tables, text
 from quire.operators.batching import read_batched
 from quire.sources import incremental, page_json, pages
@@ -506,6 +506,19 @@ def test_needed_literals(pattern, literal):
     assert needed_literal(pattern) == literal
 
 
+def test_excerpts_have_the_matches_of_the_text_and_are_short():
+    rng = random.Random(6)
+    patterns = ["([a-z]+) of ([a-z]+)", "(a+)b(c|d)", "([a-z]+?) ([a-z]{2,3}) x", "([^a]+) of (b)", r"(\\w+) of (a)", "(?:a) of (b)", "(a) of (b)$", "([a-c-]+)xy(z?)"]
+    assert [alphabet(p) is not None for p in patterns] == [True, True, True, False, False, False, False, True]
+    held = excerpts(patterns)
+    for n in (0, 5, 300):
+        for _ in range(100):
+            line = "".join(rng.choice(["a", "b", "cd", " of ", " of ", " x", ".", "\n", "xy", "z", "A", "-"]) for _ in range(n))
+            met = dict(held(line))
+            assert all(re.findall(p, met.get(i, "")) == re.findall(p, line) for i, p in enumerate(patterns))
+    assert excerpts(["([a-z]+) of ([a-z]+)"])("None. many words. one of two. " * 3 + "no more") == [(0, " one of two\n one of two\n one of two")]
+
+
 def test_thousands_of_patterns_equal_trying_each(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(5_000)]
