@@ -244,7 +244,10 @@ def _unique(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 def anchors(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
     """Words that are unique in both of a and b(key..., pos, tok), as pairs of positions in rising order of both: the longest
     such row of a document, so that a word that has moved costs itself and no other."""
-    pairs = _unique(a, [*key], "pos_a").join(_unique(b, [*key], "pos_b"), [*key, "tok"])
+    return _rising(_unique(a, [*key], "pos_a").join(_unique(b, [*key], "pos_b"), [*key, "tok"]), *key)
+
+
+def _rising(pairs: DataFrame, *key: str) -> DataFrame:
     rows = pairs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos_a", "pos_b", "tok"))).alias("p"))
     kept = rows.select(*key, F.explode(F.arrays_zip("p", F.arrow_udf(alignment.rising_lists, "array<boolean>")(F.transform("p", lambda x: x["pos_b"].cast("long"))).alias("k"))).alias("z")).where("z.k")
     return kept.select(*key, "z.p.tok", "z.p.pos_a", "z.p.pos_b")
@@ -257,28 +260,35 @@ def compare_readings(a: DataFrame, b: DataFrame, key: str, least: float = 0.7) -
     kind: unreadable ([?] in b), missing (only in a), extra (only in b), formula (a formula on either side; formulas are
     compared in one spelling), number (digits on either side) or word. A document of which the second reading has less
     than `least` of the words has one row more, incomplete. A document that one reading lacks altogether is missing or
-    extra as a whole. Each word meets only the gap that it stands in.
+    extra as a whole. Each word meets only the gap that it stands in. Words are dealt by document twice, to find the anchors
+    and to be placed between them; all that follows stays where they are.
     """
-    found = anchors(a, b, key).withColumn("gap", F.row_number().over(Window.partitionBy(key).orderBy("pos_a")))
-
-    def inside(rows: DataFrame, pos: str, words: str) -> DataFrame:
-        marks = found.select(key, F.col(pos).alias("pos"), F.lit(1).alias("_mark"))
-        placed = rows.select(key, "pos", "tok").join(marks, [key, "pos"], "left")
-        placed = placed.withColumn("gap", F.count("_mark").over(Window.partitionBy(key).orderBy("pos")).cast("int"))
-        one_spelling = F.when(token_kind(F.col("tok")) == "M", maths(F.col("tok"))).otherwise(F.col("tok"))
-        listed = F.array_sort(F.collect_list(F.when(F.col("_mark").isNull(), F.struct("pos", one_spelling.alias("norm"), "tok"))))
-        return placed.groupBy(key, "gap").agg(listed.alias(words), F.count("*").alias(f"all_{words}"))
-
-    none = F.from_json(F.lit("[]"), "array<struct<pos:int,norm:string,tok:string>>")
-    gaps = inside(a, "pos_a", "wa").join(inside(b, "pos_b", "wb"), [key, "gap"], "full_outer").join(found.select(key, "gap", "pos_a", "pos_b"), [key, "gap"], "left")
-    gaps = gaps.withColumns({"wa": F.coalesce("wa", none), "wb": F.coalesce("wb", none)})
-    norms = (F.transform(w, lambda t: t["norm"]) for w in ("wa", "wb"))
+    rows = reduce(DataFrame.unionAll, (x.select(key, F.lit(side).alias("side"), "pos", "tok") for side, x in (("a", a), ("b", b))))
+    of = {x: F.col("side") == x for x in "ab"}
+    alone = rows.repartition(key).groupBy(key, "tok").agg(*(F.count_if(of[x]).alias(f"_n_{x}") for x in "ab"), *(F.min(F.when(of[x], F.col("pos"))).alias(f"pos_{x}") for x in "ab")).where("_n_a = 1 AND _n_b = 1")
+    found = stored_checkpoint(_rising(alone, key).select(key, "pos_a", "pos_b"))
+    ends = F.struct(F.col("pos_a").alias("a"), F.col("pos_b").alias("b"))
+    kinds = {"tok": dict(rows.dtypes)["tok"], "_mark": found.select(ends.alias("m")).schema["m"].dataType.simpleString()}
+    marks = [found.select(key, F.lit(x).alias("side"), F.col(f"pos_{x}").alias("pos"), F.lit(None).cast(kinds["tok"]).alias("tok"), ends.alias("_mark")) for x in "ab"]
+    both = reduce(DataFrame.unionAll, [rows.withColumn("_mark", F.lit(None).cast(kinds["_mark"])), *marks]).repartition(key)
+    upto = Window.partitionBy(key, "side").orderBy("pos", F.col("_mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(upto)).where("_mark IS NULL")
+    free = ~F.coalesce(F.when(of["a"], F.col("_last.a")).otherwise(F.col("_last.b")) == F.col("pos"), F.lit(False))
+    placed = placed.select(key, "side", "pos", "tok", free.alias("_free"), *(F.coalesce(F.col(f"_last.{x}") + 1, F.lit(0)).alias(f"_s_{x}") for x in "ab"))
+    one_spelling = lambda t: F.when(token_kind(t["tok"]) == "M", maths(t["tok"])).otherwise(t["tok"])
+    listed = lambda x: F.array_sort(F.collect_list(F.when(of[x] & F.col("_free"), F.struct("pos", "tok"))))
+    gaps = placed.groupBy(key, "_s_a", "_s_b").agg(listed("a").alias("wa"), listed("b").alias("wb"), F.count_if(of["a"]).alias("_of_a"))
+    by = Window.partitionBy(key)
+    gaps = gaps.withColumns({"_all": F.sum("_of_a").over(by), "_first": F.row_number().over(by.orderBy("_s_a", "_s_b")) == 1})
+    words = lambda w: F.transform(w, lambda t: t["tok"])
+    gaps = gaps.where(F.col("_first") | (words("wa") != words("wb")))
+    norms = (F.transform(w, one_spelling) for w in ("wa", "wb"))
     gaps = gaps.withColumn("_ends", F.arrow_udf(alignment.ends_of_lists, "struct<front:int,back:int>")(*norms))
-    gaps = gaps.withColumns({"_f": F.col("_ends.front"), "_b": F.col("_ends.back"), "_s_a": F.coalesce(F.col("pos_a") + 1, F.lit(0)), "_s_b": F.coalesce(F.col("pos_b") + 1, F.lit(0))})
+    gaps = gaps.withColumns({"_f": F.col("_ends.front"), "_b": F.col("_ends.back")})
     cut = lambda w: F.slice(w, F.col("_f") + 1, F.greatest(F.size(w) - F.col("_f") - F.col("_b"), F.lit(0)))
     gaps = gaps.withColumns({"wa": cut("wa"), "wb": cut("wb")})
     said = lambda w: F.array_join(F.transform(w, lambda t: t["tok"]), " ")
-    gaps = gaps.withColumns({"text_a": said("wa"), "text_b": said("wb"), "_of_a": F.coalesce("all_wa", F.lit(0))})
+    gaps = gaps.withColumns({"text_a": said("wa"), "text_b": said("wb")})
     begins = {x: F.col(f"_s_{x}") + F.col("_f") for x in "ab"}
     digits = F.col("text_a").rlike("[0-9]") | F.col("text_b").rlike("[0-9]")
     has_formula = reduce(lambda x, y: x | y, (F.exists(w, lambda t: token_kind(t["tok"]) == "M") for w in ("wa", "wb")))
@@ -286,9 +296,8 @@ def compare_readings(a: DataFrame, b: DataFrame, key: str, least: float = 0.7) -
         F.when(F.contains("text_b", F.lit("[?]")), "unreadable").when(F.size("wb") == 0, "missing").when(F.size("wa") == 0, "extra")
         .when(has_formula, "formula").when(digits, "number").otherwise("word")
     )
-    gaps = gaps.select(key, "_of_a", F.size("wa").alias("_off"), begins["a"].alias("from_a"), (begins["a"] + F.size("wa")).alias("to_a"), begins["b"].alias("from_b"), (begins["b"] + F.size("wb")).alias("to_b"), kind.alias("kind"), "text_a", "text_b")
-    by = Window.partitionBy(key)
-    gaps = gaps.withColumns({"_all": F.sum("_of_a").over(by), "_wrong": F.sum("_off").over(by), "_first": F.row_number().over(by.orderBy("from_a", "from_b")) == 1})
+    gaps = gaps.select(key, "_all", "_first", F.size("wa").alias("_off"), begins["a"].alias("from_a"), (begins["a"] + F.size("wa")).alias("to_a"), begins["b"].alias("from_b"), (begins["b"] + F.size("wb")).alias("to_b"), kind.alias("kind"), "text_a", "text_b")
+    gaps = gaps.withColumn("_wrong", F.sum("_off").over(by))
     row = F.struct("from_a", "to_a", "from_b", "to_b", "kind", "text_a", "text_b")
     whole = F.struct(F.lit(0).alias("from_a"), F.col("_all").cast("int").alias("to_a"), F.lit(0).alias("from_b"), F.lit(0).alias("to_b"), F.lit("incomplete").alias("kind"), F.lit("").alias("text_a"), F.lit("").alias("text_b"))
     differs, few = (F.col("to_a") > F.col("from_a")) | (F.col("to_b") > F.col("from_b")), F.col("_first") & (F.col("_all") - F.col("_wrong") < least * F.col("_all"))

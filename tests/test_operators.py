@@ -438,6 +438,12 @@ def test_alignment_takes_one_round_for_small_gaps_and_no_group_a_gap(spark, monk
             assert rebuilt + a[at:] == b
 
 
+def test_readings_are_dealt_by_document_twice(spark):
+    frames = [spark.range(200).select(F.lit(1).alias("d"), F.col("id").cast("int").alias("pos"), F.concat(F.lit("w"), F.col("id") % n).alias("tok")) for n in (150, 149)]
+    plan = text.compare_readings(*frames, "d")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 2 and "SortMergeJoin" not in plan
+
+
 def test_greedy_matching_goes_to_the_end_of_long_chains(spark):
     n = 10_000
     at = [0.0]
