@@ -16,24 +16,35 @@ from quire.operators.ranges import as_of, near_join, overlap_join
 from quire.sources.incremental import stored_checkpoint
 
 
-def bag_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """JN-01: (keys..., n_a, n_b, missing, extra): how often each key is in either bag, and the differences."""
-    both = a.groupBy(*keys).agg(F.count("*").alias("n_a")).join(b.groupBy(*keys).agg(F.count("*").alias("n_b")), keys, "full_outer").fillna(0, ["n_a", "n_b"])
+def _bags(a: DataFrame, b: DataFrame | None, keys: list[str], flagged: DataFrame | None = None) -> DataFrame:
+    """(keys..., n_a, n_b, n_f): how often each key is in a, b and flagged, by one aggregation. Without b, a has the rows of
+    both with their `side`, a or b, so that those of a task are counted together before they are sent. A key with a null
+    is equal to none of another side."""
+    sided = [a.select(*keys, "side") if b is None else a.select(*keys, F.lit("a").alias("side"))]
+    sided += [x.select(*keys, F.lit(side).alias("side")) for side, x in (("b", b), ("f", flagged)) if x is not None]
+    apart = F.when(reduce(lambda x, y: x | y, (F.col(k).isNull() for k in keys)), F.col("side")).alias("_apart")
+    counts = [F.count_if(F.col("side") == side).alias(f"n_{side}") for side in "abf"]
+    return reduce(DataFrame.unionAll, sided).groupBy(*keys, apart).agg(*counts).where("n_a + n_b > 0").drop("_apart")
+
+
+def bag_diff(a: DataFrame, b: DataFrame | None, keys: list[str]) -> DataFrame:
+    """JN-01: (keys..., n_a, n_b, missing, extra): how often each key is in either bag, and the differences. Without b, a has
+    the rows of both with their `side`."""
+    both = _bags(a, b, keys)
     return both.select(*keys, "n_a", "n_b", F.greatest(F.col("n_a") - F.col("n_b"), F.lit(0)).alias("missing"), F.greatest(F.col("n_b") - F.col("n_a"), F.lit(0)).alias("extra"))
 
 
-def bag_recall(truth: DataFrame, got: DataFrame, group: list[str], token: str) -> DataFrame:
+def bag_recall(truth: DataFrame, got: DataFrame | None, group: list[str], token: str) -> DataFrame:
     """AG-01: (group..., truth, found, recall): the share of the truth's tokens, repeats counted, that were got."""
     diff = bag_diff(truth, got, [*group, token])
     return diff.groupBy(*group).agg(F.sum("n_a").alias("truth"), F.sum(F.least("n_a", "n_b")).alias("found")).withColumn("recall", F.round(F.when(F.col("truth") > 0, F.col("found") / F.col("truth")), 6))
 
 
-def silent_errors(truth: DataFrame, got: DataFrame, flagged: DataFrame, whole: DataFrame, group: str, token: str) -> DataFrame:
+def silent_errors(truth: DataFrame, got: DataFrame | None, flagged: DataFrame, whole: DataFrame, group: str, token: str) -> DataFrame:
     """AG-02: (group, silent): differences of the reading from the truth that no flag names; a group of `whole`, flagged
     as a whole, has none."""
-    wrong = bag_diff(truth, got, [group, token]).select(group, token, (F.col("missing") + F.col("extra")).alias("n"))
-    flags = flagged.groupBy(group, token).agg(F.count("*").alias("f"))
-    left = wrong.join(flags, [group, token], "left").groupBy(group).agg(F.sum(F.greatest(F.col("n") - F.coalesce("f", F.lit(0)), F.lit(0))).alias("silent"))
+    wrong = _bags(truth, got, [group, token], flagged)
+    left = wrong.groupBy(group).agg(F.sum(F.greatest(F.abs(F.col("n_a") - F.col("n_b")) - F.col("n_f"), F.lit(0))).alias("silent"))
     return left.join(whole.select(group).distinct().withColumn("_w", F.lit(True)), group, "left").select(group, F.when(F.col("_w"), 0).otherwise(F.col("silent")).alias("silent"))
 
 

@@ -325,7 +325,7 @@ def number_pairs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return left_over(a, b, "number_a").join(left_over(b, a, "number_b"), [key, "place"], "full_outer")
 
 
-def agreement(a: DataFrame, b: DataFrame, key: str, n: int = 6, least: float = 0.7) -> DataFrame:
+def agreement(a: DataFrame, b: DataFrame | None, key: str, n: int = 6, least: float = 0.7) -> DataFrame:
     """(key, recall, status, place, message): the bag difference of two readings a and b(key, tok) by document: the recall of
     a's words, INCOMPLETE below `least`, AGREED or CONFLICTS, and the first n differing words, then one "and M more". The
     bags are counted and joined once; what differs in a document is a list of its different words."""

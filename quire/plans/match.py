@@ -15,12 +15,12 @@ _BAG = """WITH a AS (SELECT doc_id, tok, count(*) AS n_a FROM v_tokens_a GROUP B
 
 @query("jn01_bag_diff", f"{_BAG} SELECT doc_id, tok, n_a, n_b, greatest(n_a - n_b, 0) AS missing, greatest(n_b - n_a, 0) AS extra FROM d")
 def jn01(spark, sf_dir):
-    return match.bag_diff(views.tokens_a(spark, sf_dir), views.tokens_b(spark, sf_dir), ["doc_id", "tok"])
+    return match.bag_diff(views.tokens_of_both(spark, sf_dir), None, ["doc_id", "tok"])
 
 
 @query("ag01_bag_recall", f"{_BAG} SELECT doc_id, cast(sum(n_a) AS BIGINT) AS truth, cast(sum(least(n_a, n_b)) AS BIGINT) AS found, round(CASE WHEN sum(n_a) > 0 THEN sum(least(n_a, n_b)) / sum(n_a) END, 6) AS recall FROM d GROUP BY doc_id")
 def ag01(spark, sf_dir):
-    return match.bag_recall(views.tokens_a(spark, sf_dir), views.tokens_b(spark, sf_dir), ["doc_id"], "tok")
+    return match.bag_recall(views.tokens_of_both(spark, sf_dir), None, ["doc_id"], "tok")
 
 
 @query(
@@ -31,7 +31,7 @@ def ag01(spark, sf_dir):
 )
 def ag02(spark, sf_dir):
     b = views.tokens_b(spark, sf_dir)
-    return match.silent_errors(views.tokens_a(spark, sf_dir), b, b.where("tok = 'teh'"), read(spark, sf_dir, "documents").where("doc_id % 9 = 0"), "doc_id", "tok")
+    return match.silent_errors(views.tokens_of_both(spark, sf_dir), None, b.where("tok = 'teh'"), read(spark, sf_dir, "documents").where("doc_id % 9 = 0"), "doc_id", "tok")
 
 
 @query(

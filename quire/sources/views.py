@@ -30,6 +30,13 @@ def tokens_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir, F.replace(F.replace("text", F.lit(" the "), F.lit(" teh ")), F.lit(" and "), F.lit(" ")))
 
 
+def tokens_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of either reading with their side, a or b, those of a document in one task."""
+    second = F.replace(F.replace("text", F.lit(" the "), F.lit(" teh ")), F.lit(" and "), F.lit(" "))
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.regexp_extract_all(text, F.lit(r"\p{L}+"), 0).alias("toks")) for side, text in (("a", F.col("text")), ("b", second))))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(sides).alias("r")).select("doc_id", "r.side", F.explode("r.toks").alias("tok"))
+
+
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.expr(
         """CASE l_linenumber % 5 WHEN 1 THEN concat('(', l_linenumber, ') compute ', l_partkey) WHEN 2 THEN concat('$$x=', cast(l_quantity AS BIGINT), '$$')

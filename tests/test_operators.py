@@ -28,6 +28,17 @@ def got(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
+def test_bags_are_counted_by_one_aggregation(spark):
+    a, b = (spark.createDataFrame(rows, "k int, t string") for rows in ([(1, "a"), (1, "a"), (1, None), (2, "c")], [(1, "a"), (1, None), (1, "b")]))
+    flags = spark.createDataFrame([(1, "a"), (1, None), (3, "z")], "k int, t string")
+    sided = a.withColumn("side", F.lit("a")).unionAll(b.withColumn("side", F.lit("b")))
+    for pair in ((a, b), (sided, None)):
+        diff = match.bag_diff(*pair, ["k", "t"])
+        assert got(diff.fillna("none"), "k", "t", "missing", "extra") == [(1, "a", 1, 0), (1, "b", 0, 1), (1, "none", 0, 1), (1, "none", 1, 0), (2, "c", 1, 0)]
+        assert got(match.silent_errors(*pair, flags, a.where("k = 2"), "k", "t"), "k", "silent") == [(1, 3), (2, 0)]
+        assert "Join" not in diff._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bag_difference_with_itself_is_empty(spark):
     bag = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "k int, t string")
     assert match.bag_diff(bag, bag, ["k", "t"]).where("missing + extra > 0").count() == 0
