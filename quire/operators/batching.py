@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_batched(rows: DataFrame, key: str, order: str, text: str, reader: Callable[[list[str]], dict[int, str]], n: int = 18) -> DataFrame:
     """UD-01: rows plus reading: what the reader returns for its place in a batch of n rows of its key, and `unreadable`
-    where it returns nothing. The reader runs on the executors, a batch at a time, and must pickle."""
+    where it returns nothing. The reader runs on the executors, a batch at a time, and must pickle.
 
-    def run(frame):
-        frame = frame.sort_values("_at")
-        got = reader(frame[text].tolist())
-        return frame.assign(reading=[got.get(i, "unreadable") for i in range(len(frame))])[[key, order, "reading"]]
+    Rows are dealt by key once and stream through in order; what is held is a batch of n rows beside Arrow's own."""
 
-    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).withColumn("_batch", F.floor(F.col("_at") / n))
-    types = dict(rows.dtypes)
-    read = placed.select(key, order, text, "_at", "_batch").groupBy(key, "_batch").applyInPandas(run, f"{key} {types[key]}, {order} {types[order]}, reading string")
-    return rows.join(read, [key, order], "left").fillna("unreadable", ["reading"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def read() -> list[str]:
+            got = reader(held)
+            out = [got.get(i, "unreadable") for i in range(len(held))]
+            held.clear()
+            return ["unreadable" if x is None else x for x in out]
+
+        waiting, readings = None, []  # rows up to the last batch that is not full, and what is read of them
+        for batch in batches:
+            waiting = batch if waiting is None else pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
+                if held and (k != last or len(held) == n):
+                    readings += read()
+                last = k
+                held.append(t)
+            done = len(readings)
+            if done:
+                yield pa.RecordBatch.from_arrays([*waiting.slice(0, done).columns, pa.array(readings, pa.string())], names=[*waiting.schema.names, "reading"])
+                waiting, readings = waiting.slice(done), []
+        if held:
+            yield pa.RecordBatch.from_arrays([*waiting.columns, pa.array(read(), pa.string())], names=[*waiting.schema.names, "reading"])
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, StructType([*rows.schema.fields, StructField("reading", StringType())]))

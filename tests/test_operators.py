@@ -590,6 +590,23 @@ def test_batches_and_missing_answers(spark):
     assert (0, "18") in seen and (18, "2") in seen and sum(r == "unreadable" for _, r in seen) == 18
 
 
+def test_batches_stream_through_one_exchange(spark):
+    """Keys of 1 to 100 rows in frames of 7, each row with all its columns; a batch never goes over a key's end."""
+    rng = random.Random(8)
+    rows = [(k, i, f"{k}:{i}", k * i) for k in range(1, 101) for i in range(k)]
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = read_batched(spark.createDataFrame(rows, "k int, n int, t string, more int"), "k", "n", "t", lambda texts: {i: f"{t} {texts[0]} {len(texts)}" for i, t in enumerate(texts)})
+        seen = sorted(tuple(r) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert seen == [(k, i, f"{k}:{i}", k * i, f"{k}:{i} {k}:{i - i % 18} {min(18, k - i + i % 18)}") for k in range(1, 101) for i in range(k)]
+    assert "Join" not in plan and "FlatMapGroups" not in plan
+
+
 @pytest.mark.parametrize(
     "expression,value,want",
     [
