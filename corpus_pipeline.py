@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies: five-word shingles, a resemblance of 0.8 or more, all
-    pairs compared exactly. Rows that repeat a kept id stay, as do rows without an id."""
+    """The document of least id of each group of near copies: five-word shingles, a resemblance of 0.8 or more. SimHash
+    proposes pairs first, shared rare shingles those that it can't see; all are compared exactly. Rows that repeat a kept id stay, as do rows without an id."""
     found = simhash.near_copies(docs)
     least = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(least, "doc_id", "left_semi")

@@ -25,6 +25,11 @@ def text_fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED)
     runs = zip(*(w[i:] for i in range(words)), strict=False) if len(w) >= words else [w]
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(b" ".join(x), seed) for x in runs], dtype=np.uint64)
+    return _majority(h)
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -138,8 +143,8 @@ def _maybe_alike(similarity: float):
 
 
 def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, text_key, raw, n, parities, prefix): the number of distinct shingles, and so many of the rarest that two texts
-    of the similarity share one of them. All texts order the shingles alike: by their number in a sample, then by hash; the
+    """(doc_id, text_key, code, raw, n, parities, prefix): the SimHash and the number of distinct shingles, and so many of the
+    rarest that two texts of the similarity share one of them. All texts order the shingles alike: by their number in a sample, then by hash; the
     sample bears on how many candidates there are, not on which pairs are found."""
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
 
@@ -155,10 +160,10 @@ def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                         at = np.minimum(np.searchsorted(shingle, own), len(shingle) - 1)
                         own = own[np.argsort(np.where(shingle[at] == own, times[at], 0), kind="stable")]
                     prefixes.append(own[: len(own) - int(np.ceil(similarity * len(own) - _SLACK)) + 1].view(np.int64))
-                columns = [batch.column("doc_id").slice(i, j - i), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), batch.column("raw").slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(map(_parities, sets), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "raw", "n", "parities", "prefix"])
+                columns = [batch.column("doc_id").slice(i, j - i), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(np.array([_majority(x) for x in sets], dtype=np.uint64).view(np.int64)), batch.column("raw").slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(map(_parities, sets), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "code", "raw", "n", "parities", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, raw long, n long, parities binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, code long, raw long, n long, parities binary, prefix array<long>")
 
 
 def _resemblance(words: int):
@@ -177,11 +182,22 @@ def _resemblance(words: int):
     return F.arrow_udf(run, "double")
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes(id, code) that join the same classes as all pairs of fingerprints within RADIUS bits."""
+    codes = stored(nodes.groupBy("code").agg(F.min("id").alias("first")), "copy-fingerprints")
+    same = nodes.select("id", "code").join(codes, "code").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    a, b = (codes.select(F.col("code").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    balls = ball_links(codes.select("code")).join(a, "a").join(b, "b")
+    return same.unionAll(balls.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
 def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text): the components of all pairs of texts whose sets of
     shingles of `words` words have a Jaccard resemblance of `similarity` or more.
 
-    Exact at any size, by prefixes: a text is listed under the rarest of its shingles, so many that such a pair has one
+    SimHash comes first: texts whose fingerprints of these shingles are within RADIUS bits meet by ball hashing, and an
+    exact check of both texts decides. Most pairs of the resemblance differ in more bits; those are found by prefixes,
+    exactly and at any size: a text is listed under the rarest of its shingles, so many that such a pair has one
     in common. All of a pair's common shingles come no earlier in either text than the first of them does, so a list
     proposes a pair only if what is left of both texts from its shingle on is enough for the resemblance: the rare
     shingles that each has alone rule out mere relatives before a row is made. The members of a list are compared with
@@ -196,7 +212,7 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = CO
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("raw"))
     each = stored(_prefixes(docs, words, similarity), "copy-prefixes")
-    nodes = stored(each.groupBy(F.col("text_key").alias("id")).agg(F.min("doc_id").alias("least_id"), F.min("raw").alias("raw"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first("prefix").alias("prefix")), "copy-nodes")
+    nodes = stored(each.groupBy(F.col("text_key").alias("id")).agg(F.min("doc_id").alias("least_id"), F.min("raw").alias("raw"), F.first("code").alias("code"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first("prefix").alias("prefix")), "copy-nodes")
     listed = nodes.select("id", "n", F.posexplode("prefix").alias("at", "shingle")).select("id", "shingle", "n", (F.col("n") - F.col("at")).alias("left"))
     shared = listed.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("shingle")
     members = stored(listed.join(shared, "shingle"), "copy-members")
@@ -214,10 +230,12 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = CO
         """Whether two texts of n and m shingles, left of them from a common one on, may have the resemblance."""
         return F.least(left, left_m) >= similarity / (1 + similarity) * (n + m) - _SLACK
 
+    met = verified(_fingerprint_pairs(nodes))
     central = F.min(F.struct((F.col("n") - F.col("left")).alias("before"), "id", "n", "left"))
     hub = F.col("hub")
     pairs = members.join(members.groupBy("shingle").agg(central.alias("hub")), "shingle").where((F.col("id") != hub["id"]) & proposed(F.col("n"), F.col("left"), hub["n"], hub["left"]))
-    links = verified(pairs.select(F.least("id", hub["id"]).alias("a"), F.greatest("id", hub["id"]).alias("b")).distinct())
+    pairs = pairs.select(F.least("id", hub["id"]).alias("a"), F.greatest("id", hub["id"]).alias("b")).distinct()
+    links = met.unionAll(verified(pairs.join(met, ["a", "b"], "left_anti")))
     roots = connected_components(links).withColumnRenamed("node", "id")
     each_root = stored(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "copy-rooted")
     several = each_root.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo < hi")

@@ -160,6 +160,27 @@ def edited(rng, words: list, changes: int) -> list:
     return copy
 
 
+def test_near_copies_go_through_simhash_first(spark, monkeypatch):
+    """All pairs of fingerprints within two bits are met by ball hashing and then compared exactly: of 12 long texts and the
+    same with a word more, most are; all are joined. Short texts share no bits by chance."""
+    rng, met = random.Random(33), []
+    base = [[f"w{rng.randrange(9000)}" for _ in range(3000)] for _ in range(12)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(y for words in base for y in (words, [*words, "more"]))] + [(24, ""), (25, None), (26, "one"), (27, "two")]
+    plain = simhash._fingerprint_pairs
+
+    def kept(nodes):
+        pairs = plain(nodes)
+        codes = [(r["id"], r["code"] & ((1 << 64) - 1)) for r in nodes.collect()]
+        near = {tuple(sorted((i, j))) for k, (i, c) in enumerate(codes) for j, d in codes[:k] if (c ^ d).bit_count() <= 2}
+        met.append((near, {tuple(r) for r in pairs.collect()}))
+        return pairs
+
+    monkeypatch.setattr(simhash, "_fingerprint_pairs", kept)
+    assert copies_of(spark, rows) == {i: i - i % 2 if i < 26 else i for i, _ in rows}
+    [(near, pairs)] = met
+    assert near == pairs and len(near) >= 8
+
+
 def test_all_pairs_of_a_low_resemblance_are_candidates(spark):
     rng = random.Random(21)
     rows = []
