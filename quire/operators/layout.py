@@ -204,10 +204,13 @@ def classify_clusters(members: DataFrame, keys: list[str]) -> DataFrame:
     """PRJ-07: role, reason and grid of each cluster of members(keys..., box_id, sides, kind): the first rule that fits its
     counts of strokes, thin strokes, oblique strokes and words, and its size."""
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    # the rank of a value among those of its cluster counts the different ones where members are, without a copy of them for each count
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(c))))
+    members = members.withColumn("_row", rank("y0")).withColumn("_col", rank("x0"))
     counts = members.groupBy(*keys).agg(
         F.count_if(F.col("kind") == "stroke").alias("strokes"), F.count_if((F.col("kind") == "stroke") & (F.least(width, height) <= 10)).alias("thin"),
         F.count_if((F.col("kind") == "stroke") & (width > 20) & (height > 10)).alias("oblique"), F.count_if(F.col("kind") == "word").alias("words"),
-        F.count_distinct("y0").alias("rows"), F.count_distinct("x0").alias("cols"), (F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h"),
+        F.coalesce(F.max("_row"), F.lit(0)).alias("rows"), F.coalesce(F.max("_col"), F.lit(0)).alias("cols"), (F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h"),
     )
     role = (
         F.when((F.col("w") < 30) & (F.col("h") < 15), F.lit("noise:small"))

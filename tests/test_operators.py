@@ -20,7 +20,7 @@ from quire.functions import expressions as e
 from quire.functions.literals import alphabet, excerpts, needed_literal
 from quire.operators import alignment, evaluation, facts, layout, match, ranges, score, series, tables, text
 from quire.operators.batching import read_batched
-from quire.sources import incremental, page_json, pages
+from quire.sources import incremental, page_json, pages, views
 from quire.streaming import quota
 
 
@@ -241,6 +241,58 @@ def test_breaks_are_carried_over(spark):
     assert text.transfer_breaks(target.where("pos < 2").unionByName(target.where("pos < 4").selectExpr("d", "pos + 2 AS pos", "concat(tok, 'x') AS tok")), source, "d").count() == 0
 
 
+def planned(df, step: str) -> int:
+    """How often the plan has a step, before it runs."""
+    return len(re.findall(rf"\b{step}\b", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def shared_boxes(spark, rng, pages: int = 6, n: int = 60):
+    rows = [(p, i, x, y, x + rng.randint(1, 9), y + rng.randint(1, 9)) for p in range(pages) for i in range(n) for x, y in [(rng.randint(0, 30), rng.randint(0, 30))]]
+    return rows, spark.createDataFrame([*rows, (None, 1, 0, 0, 5, 5), (0, 999, None, 0, 5, 5)], "page int, box_id int, x0 int, y0 int, x1 int, y1 int").repartition(3, "page")
+
+
+def test_regions_are_bound_by_one_sort(spark):
+    rng = random.Random(12)
+    items = [(p, i, y, y + rng.randint(-2, 9)) for p in range(5) for i in range(80) for y in [rng.randint(0, 60)]] + [(0, 80, None, 40), (0, 81, 3, None), (9, 1, 5, 6)]
+    marks = [(p, y, 100 * p + y) for p in range(5) for y in rng.sample(range(20, 60), 6)] + [(1, None, 7), (2, 1, None)]
+
+    def last(p, at):
+        above = [(y, r) for q, y, r in marks if q == p and at is not None and y is not None and r is not None and y <= at]
+        return max(above)[1] if above else None
+
+    found = match.bind_regions(spark.createDataFrame(items, "page int, box_id int, y0 int, y1 int"), spark.createDataFrame(marks, "page int, y int, region int"))
+    want = [(p, i, r if (r := last(p, y0)) is not None else last(p, y1)) for p, i, y0, y1 in items]
+    assert sorted(map(str, found.select("page", "box_id", "region").collect())) == sorted(f"Row(page={p}, box_id={i}, region={r})" for p, i, r in want)
+    assert planned(found, "Union") == 1
+
+
+def test_edges_meet_where_the_page_is(spark):
+    rows, df = shared_boxes(spark, random.Random(13))
+    want = [(a[0], a[1], b[1], side) for a, b in itertools.permutations(rows, 2) if a[0] == b[0] for side, met in (("right", a[4] == b[2] and a[3] < b[5] and b[3] < a[5]), ("below", a[5] == b[3] and a[2] < b[4] and b[2] < a[4])) if met]
+    found = match.adjacent(df)
+    assert got(found, "page", "first", "second", "side") == sorted(want) and len(want) > 100
+    assert planned(found, "Exchange") == 1 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clusters_are_classified_without_copies_of_their_members(spark):
+    rows, df = shared_boxes(spark, random.Random(14))
+    members = df.where("page IS NOT NULL").withColumn("cluster", F.col("box_id") % 4).withColumn("kind", F.when(F.col("box_id") % 2 == 0, "word").otherwise("stroke"))
+    found = layout.classify_clusters(members, ["page", "cluster"])
+    assert planned(found, "Expand") == 0 and planned(found, "Exchange") == 1
+    grids = {(r["page"], r["cluster"]): r["grid"] for r in found.collect()}
+    sizes = {k: f"{len({b[3] for b in own})}x{len({b[2] for b in own})}" for k in grids for own in [[b for b in rows if (b[0], b[1] % 4) == k]]}
+    assert len(grids) == 24 and all(g in ("", sizes[k]) for k, g in grids.items() if k != (0, 3))
+
+
+def test_points_are_dealt_by_question_once(spark, sf_dir):
+    sections = score.rebalance(views.sections(spark, sf_dir))
+    steps = sections.where("qid % 2 = 0").withColumn("step", F.lit(1)).select("qid", "sec", "step", F.col("rubric_pct").alias("pct"))
+    assert planned(sections, "Exchange") == 1
+    found = score.rebalance_rubric(sections, steps)
+    assert found.schema["sec"] == steps.schema["sec"] and found.count() == steps.count()
+    assert planned(found, "Exchange") == 2 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_marker_sequence(spark):
     rows = [(1, 0, 1, 2), (1, 1, 1, 1), (1, 1, 2, 7), (1, 2, 1, 2), (1, 3, 1, 3)]
     df = spark.createDataFrame(rows, "doc int, page int, y int, number int")
