@@ -52,9 +52,9 @@ def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = Window.partitionBy("l_orderkey")
-    return read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("qid"), F.row_number().over(key.orderBy(*ROWS_OF_LINEITEM)).alias("sec"), F.col("l_quantity").cast("decimal(18,2)").alias("points"),
+    key = Window.partitionBy("qid")  # by its own name, so that rows stay where they are dealt for whatever works on questions
+    return read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "qid").select(
+        "qid", F.row_number().over(key.orderBy(*ROWS_OF_LINEITEM)).alias("sec"), F.col("l_quantity").cast("decimal(18,2)").alias("points"),
         F.when(F.col("l_returnflag") == "A", "g").otherwise("").alias("grp"), (F.count("*").over(key) * 10).cast("decimal(18,2)").alias("total"), F.lit(1).alias("k"),
         F.round(F.col("l_discount") * 100 + 1, 0).cast("decimal(18,2)").alias("rubric_pct"),
     )
