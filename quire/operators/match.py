@@ -69,9 +69,11 @@ def iou_join(a: DataFrame, b: DataFrame, key: str = "page", cell: int = 64) -> D
 def bind_regions(items: DataFrame, markers: DataFrame, key: str = "page") -> DataFrame:
     """JN-05: items(key, item, y0, y1) plus region: the last marker(key, y, region) at or above the item's top, else at or
     above its bottom."""
-    top = as_of(items, markers, key, "y0", "y", "region")
-    held = top.where("region IS NOT NULL")
-    return held.unionByName(as_of(top.where("region IS NULL").drop("region"), markers, key, "y1", "y", "region"))
+    page, by = Window.partitionBy(key), Window.partitionBy(key).orderBy("_at", "_item", "region").rowsBetween(Window.unboundedPreceding, 0)
+    both = items.withColumns({"_item": F.lit(1), "_mark": F.lit(None), "region": F.lit(None)}).unionByName(markers.where("y IS NOT NULL").select(key, F.col("y").alias("_mark"), F.lit(0).alias("_item"), "region"), allowMissingColumns=True)
+    # an item above the first marker of its page is looked up by its bottom, any other by its top: one sort answers both
+    at = F.when(F.col("_item") == 0, F.col("_mark")).when(F.col("y0") >= F.min(F.when(F.col("region").isNotNull(), F.col("_mark"))).over(page), F.col("y0")).otherwise(F.col("y1"))
+    return both.withColumn("_at", at).withColumn("region", F.last("region", ignorenulls=True).over(by)).where("_item = 1").drop("_at", "_item", "_mark")
 
 
 def one_to_one(pairs: DataFrame, left: list[str], right: list[str], cost: list[Column]) -> DataFrame:
@@ -262,12 +264,14 @@ def arbitrate(conflicts: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
 
 
 def adjacent(boxes: DataFrame, key: str = "page") -> DataFrame:
-    """JN-14: (key, first, second, side) of boxes that share a part of an edge: the join is on the edge's position."""
-    other = boxes.select(F.col(key).alias("o_key"), *(F.col(c).alias(f"o_{c}") for c in ("box_id", "x0", "y0", "x1", "y1")))
-    named = lambda pairs, side: pairs.select(key, F.col("box_id").alias("first"), F.col("o_box_id").alias("second"), F.lit(side).alias("side"))
-    beside = boxes.join(other, F.expr(f"{key} = o_key AND x1 = o_x0 AND y0 < o_y1 AND o_y0 < y1"))
-    below = boxes.join(other, F.expr(f"{key} = o_key AND y1 = o_y0 AND x0 < o_x1 AND o_x0 < x1"))
-    return named(beside, "right").unionByName(named(below, "below")).where("first <> second")
+    """JN-14: (key, first, second, side) of boxes that share a part of an edge. A box gives its four edges, which meet at
+    their position, those that end there with those that begin there, in one join for both sides."""
+    edge = lambda side, ends, at, lo, hi: F.struct(F.lit(side).alias("side"), F.lit(ends).alias("ends"), F.col(at).alias("at"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    sides = F.array(edge("right", True, "x1", "y0", "y1"), edge("right", False, "x0", "y0", "y1"), edge("below", True, "y1", "x0", "x1"), edge("below", False, "y0", "x0", "x1"))
+    edges = boxes.where(f"{key} IS NOT NULL").select(key, "box_id", F.explode(sides).alias("e")).select(key, "box_id", "e.*").where("at IS NOT NULL AND lo IS NOT NULL AND hi IS NOT NULL")
+    ended = edges.where("ends").select(key, "side", "at", F.col("box_id").alias("first"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    begun = edges.where("NOT ends").select(key, "side", "at", F.col("box_id").alias("second"), "lo", "hi")
+    return ended.join(begun, [key, "side", "at"]).where("_lo < hi AND lo < _hi AND first <> second").select(key, "first", "second", "side")
 
 
 def match_options(target: DataFrame, options: DataFrame, group: str) -> DataFrame:

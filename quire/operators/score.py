@@ -106,13 +106,18 @@ def rebalance_rubric(sections: DataFrame, rubric: DataFrame, most_general: int =
     counting `most_general` of them at most, goes to the sections by their points, and within a section to its steps by
     their pct, or evenly if all are 0.
     """
-    grouped = sections.groupBy("qid").agg(F.bool_or(F.col("grp") != "").alias("_grouped"), F.max("total").cast("double").alias("_total"))
-    steps = rubric.join(sections.select("qid", "sec", F.col("new_points").cast("double").alias("_points")), ["qid", "sec"], "left").join(grouped, "qid", "left")
     question, section = Window.partitionBy("qid"), Window.partitionBy("qid", "sec")
+    points = F.when(F.col("sec").isNotNull(), F.col("new_points").cast("double"))
+    own = sections.where("qid IS NOT NULL").select("qid", "sec", points.alias("_points"), (F.col("grp") != "").alias("_grouped"), F.col("total").cast("double").alias("_total"))
+    # sections and steps are dealt and sorted together, in place of joins; all windows go by the order of the first
+    steps = rubric.withColumn("_step", F.lit(1)).unionByName(own, allowMissingColumns=True)
+    steps = steps.withColumn("_at", F.count("_step").over(question.orderBy("sec", "step").rowsBetween(Window.unboundedPreceding, 0)))
+    steps = steps.withColumns({"_points": F.max("_points").over(section), "_grouped": F.bool_or("_grouped").over(question), "_total": F.max("_total").over(question), "_steps": F.count("_step").over(question)})
+    steps = steps.where("_step = 1")
     pct, general = F.col("pct").cast("double"), F.col("_points").isNull()
     steps = steps.withColumns({
         "_sum": F.sum(pct).over(question), "_general": F.sum(F.when(general, pct).otherwise(0.0)).over(question), "_some": F.count("_points").over(question), "_own": F.sum(pct).over(section), "_n": F.count("*").over(section),
-        "_last": F.lead("step").over(question.orderBy("sec", "step")).isNull(),
+        "_last": F.col("_at") == F.col("_steps"),
     })
     cents = lambda x: F.round(x + 1e-9, 2).cast(CENTS)
     whole = ~F.coalesce("_grouped", F.lit(False)) | (F.col("_some") == 0)
@@ -121,7 +126,7 @@ def rebalance_rubric(sections: DataFrame, rubric: DataFrame, most_general: int =
     share = F.when(F.col("_total") > 0, (100 - F.least(F.col("_general"), F.lit(float(most_general)))) * F.col("_points") / F.nullif(F.col("_total"), F.lit(0.0))).otherwise(0.0)
     dealt = cents(F.when(F.col("_own") > 0, share * pct / F.nullif(F.col("_own"), F.lit(0.0))).otherwise(share / F.col("_n")))
     new = F.when(whole & (F.col("_sum") > 0), scaled).when(whole | general, F.col("pct")).otherwise(dealt).cast(CENTS)
-    return steps.withColumn("new_pct", new).select(*rubric.columns, "new_pct")
+    return steps.withColumn("new_pct", new).select(*(F.col(c).cast(kind).alias(c) for c, kind in rubric.dtypes), "new_pct")
 
 
 def contiguous(members: DataFrame) -> DataFrame:
