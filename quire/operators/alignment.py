@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Hashable, Sequence
 
+import numpy as np
 import pyarrow as pa
 
 
@@ -94,12 +95,41 @@ def ends_of_lists(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array([{"front": f, "back": b} for f, b in found], pa.struct([("front", pa.int32()), ("back", pa.int32())]))
 
 
-def better_order(lists: pa.Array) -> pa.Array:
-    """Of each list of (line_no, pos), in the order of the target, whether more of them rise with the lines reversed, and which do in
-    the better order."""
-    out = []
-    for row in lists.to_pylist():
-        both = [rising([turn * p["line_no"] * (1 << 40) + p["pos"] for p in row]) for turn in (1, -1)]
-        turned = sum(both[1]) > sum(both[0])
-        out.append({"reversed": turned, "keep": both[turned]})
-    return pa.array(out, pa.struct([("reversed", pa.bool_()), ("keep", pa.list_(pa.bool_()))]))
+def carried_breaks(doc: np.ndarray, own: np.ndarray, line: np.ndarray, pos: np.ndarray, tok: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words of whole documents, numbered from 0 and those of each together, own ones (of the target) and others (of the
+    source): the rows of own words where a line breaks, and whether the document's lines are reversed there. Words unique on
+    both sides are aligned if they rise with the lines, or with the lines reversed if more do; documents that rise as they
+    stand are found all at once."""
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    coded = tok.dictionary_encode()
+    size, docs = len(coded.dictionary), int(doc[-1]) + 1
+    code = coded.indices.fill_null(size).to_numpy(zero_copy_only=False).astype(np.int64)
+    words, word = np.unique(doc * (size + 1) + code, return_inverse=True)
+    mine, theirs = np.flatnonzero(own), np.flatnonzero(~own)
+    matched = theirs[code[theirs] < size]
+    at_a, at_b = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    at_a[word[mine]], at_b[word[matched]] = mine, matched
+    alone = np.bincount(word[mine], minlength=len(words)) == 1
+    shared = np.flatnonzero(alone & (np.bincount(word[matched], minlength=len(words)) == 1))
+    a, b = at_a[shared], at_b[shared]
+    order = np.lexsort((pos[a], doc[a]))
+    a, b = a[order], b[order]
+    row, at_line, at_pos = doc[a], line[b], pos[b]
+    keep, turned = np.ones(len(row), dtype=bool), np.zeros(docs, dtype=bool)
+    ends = np.searchsorted(row, np.arange(docs + 1))
+    rises = (row[1:] != row[:-1]) | (at_line[1:] > at_line[:-1]) | ((at_line[1:] == at_line[:-1]) & (at_pos[1:] > at_pos[:-1]))
+    for i in np.unique(row[1:][~rises]):
+        here = slice(ends[i], ends[i + 1])
+        both = [rising([turn * n * (1 << 40) + p for n, p in zip(at_line[here].tolist(), at_pos[here].tolist(), strict=True)]) for turn in (1, -1)]
+        turned[i] = sum(both[1]) > sum(both[0])
+        keep[here] = both[int(turned[i])]
+    enough = np.bincount(row[keep], minlength=docs) >= least * np.bincount(words[alone] // (size + 1), minlength=docs)
+    kept = np.flatnonzero(keep & enough[row])
+    new = kept[1:][(row[kept[1:]] == row[kept[:-1]]) & (at_line[kept[1:]] != at_line[kept[:-1]])]
+    lines, number = np.unique(line[theirs], return_inverse=True)
+    starts, start = np.unique(doc[theirs] * len(lines) + number, return_inverse=True)
+    first = np.full(len(starts), np.iinfo(np.int64).max)
+    np.minimum.at(first, start, pos[theirs])
+    begins = first[start[np.searchsorted(theirs, b[new])]] == at_pos[new]
+    return a[new[begins]], turned[row[new[begins]]]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -411,17 +413,70 @@ def _gapped(rows: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     return free.select(key, F.coalesce(F.col("_last.a") + 1, "_sa").alias("_sa"), F.coalesce(F.col("_last.b") + 1, "_sb").alias("_sb"), "side", "pos", "tok")
 
 
+def _changes(k: pa.Array) -> np.ndarray:
+    """The rows whose value isn't that of the row before; k has no nulls."""
+    return np.flatnonzero(pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)).to_numpy(zero_copy_only=False)) + 1
+
+
+def runs_of(rows: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, pos, toks): rows(key, line_no, pos, tok) that follow each other on a line, as one row: where they begin
+    and their words. What is a run depends on the order that rows come in; none is moved, and those without a key are left out."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                new = np.ones(batch.num_rows, dtype=bool)
+                line, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("line_no", "pos"))
+                new[1:] = (line[1:] != line[:-1]) | (pos[1:] != pos[:-1] + 1)
+                new[_changes(batch.column(key))] = True
+                begins = np.flatnonzero(new)
+                toks = pa.ListArray.from_arrays(pa.array(np.append(begins, batch.num_rows).astype(np.int32)), batch.column("tok"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(begins)) for c in (key, "line_no", "pos")), toks], names=[key, "line_no", "pos", "toks"])
+
+    plain = rows.where(F.col(key).isNotNull()).select(key, *(F.col(c).cast("long").alias(c) for c in ("line_no", "pos")), "tok")
+    return plain.mapInArrow(run, f"{key} {kind}, line_no long, pos long, toks array<string>")
+
+
 def transfer_breaks(target: DataFrame, source: DataFrame, key: str, least: float = 0.6) -> DataFrame:
     """JN-20: (key, pos, reversed): where a line of target(key, pos, tok) should break: at an aligned word that begins a line
     of source(key, line_no, pos, tok), if the one before is on another line. A document whose words align for less than
-    `least` has none; lines in reverse order are tried too and the better order is taken. Words that are unique on both
-    sides are joined once; both orders are tried on the same list."""
-    own = target.groupBy(key, "tok").agg(F.count("*").alias("_n"), F.min("pos").alias("pos_a")).where("_n = 1").select(key, "tok", "pos_a")
-    other = source.groupBy(key, "tok").agg(F.count("*").alias("_n"), F.min(F.struct("line_no", "pos")).alias("at")).where("_n = 1").select(key, "tok", "at")
-    firsts = source.groupBy(key, "line_no").agg(F.min("pos").alias("first"))
-    lists = own.join(other, [key, "tok"], "left").groupBy(key).agg(F.count("*").alias("_all"), F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("pos_a", F.col("at.line_no").cast("long").alias("line_no"), F.col("at.pos").cast("long").alias("pos"))))).alias("p"))
-    order = F.arrow_udf(alignment.better_order, "struct<reversed:boolean,keep:array<boolean>>")(F.transform("p", lambda x: F.struct(x["line_no"], x["pos"])))
-    kept = lists.withColumn("o", order).withColumn("p", F.filter("p", lambda x, i: F.get("o.keep", i))).where(F.size("p") >= least * F.col("_all"))
-    before = F.transform("p", lambda x, i: F.struct(x.alias("x"), F.get("p", i - 1)["line_no"].alias("last")))
-    changed = kept.select(key, "o.reversed", F.explode(F.filter(before, lambda x: x["last"] != x["x"]["line_no"])).alias("b")).select(key, "reversed", F.col("b.x.pos_a").alias("pos"), F.col("b.x.line_no").alias("line_no"), F.col("b.x.pos").alias("first"))
-    return changed.join(firsts.withColumn("line_no", F.col("line_no").cast("long")), [key, "line_no", "first"], "left_semi").select(key, "pos", "reversed")
+    `least` has none; lines in reverse order are tried too and the better order is taken."""
+    found = breaks_of_runs(runs_of(target.withColumn("line_no", F.lit(0)), key), runs_of(source, key), key, least)
+    return found.withColumn("pos", F.col("pos").cast(dict(target.dtypes)["pos"]))
+
+
+def breaks_of_runs(target: DataFrame, source: DataFrame, key: str, least: float = 0.6, held_words: int = 1 << 18) -> DataFrame:
+    """JN-20: transfer_breaks of the words of runs(key, line_no, pos, toks), of which each has the words of a line from pos on;
+    a target has one line. A run without words (or null) has none. Runs are dealt and sorted by document once and streamed, some `held_words` at a time and the words
+    of the document that they end in; there is no row for each word."""
+    sides = (x.where(F.col(key).isNotNull()).select(key, F.lit(own).alias("own"), *(F.col(c).cast("long").alias(c) for c in ("line_no", "pos")), "toks") for own, x in ((True, target), (False, source)))
+    rows = reduce(DataFrame.unionAll, sides).repartition(key).sortWithinPartitions(key)
+
+    def judged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        runs = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        number = np.zeros(runs.num_rows, dtype=np.int64)
+        number[_changes(runs.column(key))] = 1
+        sizes = runs.column("toks").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(runs.num_rows), sizes)
+        own, line, begin = (runs.column(c).to_numpy(zero_copy_only=False) for c in ("own", "line_no", "pos"))
+        pos = begin[of] + np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+        at, turned = alignment.carried_breaks(np.cumsum(number)[of], own[of], line[of], pos, runs.column("toks").flatten(), least)
+        return pa.RecordBatch.from_arrays([runs.column(key).take(pa.array(of[at])), pa.array(pos[at]), pa.array(turned)], names=[key, "pos", "reversed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            words = np.cumsum(np.append(0, batch.column("toks").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            begins = np.append(0, _changes(batch.column(key))) if batch.num_rows else []
+            for i, j in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+                if size > held_words and held[-1].column(key)[-1] != batch.column(key)[int(i)]:
+                    yield judged(held)
+                    held, size = [], 0
+                held.append(batch.slice(i, j - i))
+                size += int(words[j] - words[i])
+        if held:
+            yield judged(held)
+
+    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, pos long, reversed boolean")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,14 +26,17 @@ def tokens_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir, F.col("text"))
 
 
+def second_reading() -> Column:
+    return F.replace(F.replace("text", F.lit(" the "), F.lit(" teh ")), F.lit(" and "), F.lit(" "))
+
+
 def tokens_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir, F.replace(F.replace("text", F.lit(" the "), F.lit(" teh ")), F.lit(" and "), F.lit(" ")))
+    return _tokens(spark, sf_dir, second_reading())
 
 
 def tokens_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of either reading with their side, a or b, those of a document in one task."""
-    second = F.replace(F.replace("text", F.lit(" the "), F.lit(" teh ")), F.lit(" and "), F.lit(" "))
-    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.regexp_extract_all(text, F.lit(r"\p{L}+"), 0).alias("toks")) for side, text in (("a", F.col("text")), ("b", second))))
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.regexp_extract_all(text, F.lit(r"\p{L}+"), 0).alias("toks")) for side, text in (("a", F.col("text")), ("b", second_reading()))))
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(sides).alias("r")).select("doc_id", "r.side", F.explode("r.toks").alias("tok"))
 
 
