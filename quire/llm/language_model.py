@@ -98,7 +98,8 @@ def _places(code: np.ndarray, j: int, kind: np.uint64, filter_bits: int) -> list
 
 @dataclass
 class Model:
-    """What scoring needs: the filter, the exact counts of the most frequent tokens and the totals."""
+    """What scoring needs: the filter, the exact counts of the most frequent tokens and the totals; of a whole model also the
+    levels of these tokens' rests and how many levels there are."""
 
     bits: np.ndarray
     filter_bits: int
@@ -108,6 +109,8 @@ class Model:
     head_n: np.ndarray
     tokens: int
     distinct: int
+    head_rest: np.ndarray | None = None
+    every_level: int = 0
 
     def levels(self, code: np.ndarray, kind: np.uint64 = _COUNT) -> np.ndarray:
         """The level of each code: probed from 1 up until an event isn't in the filter."""
@@ -121,10 +124,14 @@ class Model:
         return out
 
 
-def fit(texts: DataFrame, filter_bits: int = FILTER_BITS, floor: int = FLOOR, discount: float = DISCOUNT) -> tuple[Model, DataFrame]:
-    """The model of all given texts, and the stored counts (gram, n).
+def fit(texts: DataFrame, filter_bits: int = FILTER_BITS, floor: int | None = None, discount: float = DISCOUNT) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model of all given texts, the stored counts (gram, n) and, of a whole model, the tokens (gram, level, rest).
 
-    Every token and bigram is counted. The filter has those that are 1 / floor of all tokens or more: a rule of relative
+    Every token and bigram is counted. Without a `floor` the model is whole: it has every bigram whatever the input's size,
+    and levels begin with a count of 1. Its filter is then but the near copy of the most frequent bigrams, those of 1 / FLOOR
+    of all tokens or more (rounded up to a whole level); score joins the counts of all others.
+
+    With a floor, the model itself is bounded. The filter has the tokens and bigrams that are 1 / floor of all tokens or more: a rule of relative
     frequency, so that it says the same of a corpus and of the corpus taken twice; up to `floor` tokens it holds
     everything, bigrams seen once too. Its unit, a level's first count, is that share. An n-gram of m units makes at most
     1.5 m events and all n-grams of an order are `floor` units, so there are at most 4.5 * floor events (tokens, bigrams
@@ -134,6 +141,7 @@ def fit(texts: DataFrame, filter_bits: int = FILTER_BITS, floor: int = FLOOR, di
     there, discounts included. Tokens below the unit are not lost: score joins their exact counts. The exact counts sent
     along are those of at most HEAD_TOKENS tokens.
     """
+    whole, floor = floor is None, FLOOR if floor is None else floor
     if 4.5 * floor * BITS_PER_EVENT > 1 << filter_bits:
         raise ValueError(f"{4.5 * floor:.0f} events of {BITS_PER_EVENT} bits may not fit a filter of 2**{filter_bits} bits")
     counts = stored(count_grams(texts), "gram-counts")
@@ -141,15 +149,22 @@ def fit(texts: DataFrame, filter_bits: int = FILTER_BITS, floor: int = FLOOR, di
     by_level = counts.where(~is_pair).groupBy(level(F.col("n")).alias("q")).agg(F.count("*").alias("grams"), F.sum("n").alias("n"), F.max("n").alias("top")).collect()
     tokens, distinct, top = sum(r["n"] for r in by_level), sum(r["grams"] for r in by_level), max((r["top"] for r in by_level), default=1)
     unit = max(1.0, tokens / floor)
+    if whole:
+        unit = 2.0 ** (np.ceil(np.log2(unit) * STEPS_PER_DOUBLING - 1e-9) / STEPS_PER_DOUBLING)
+    every_level = int(np.floor(np.log2(top) * STEPS_PER_DOUBLING + 1e-9)) + 1
     most = max(1, int(np.floor(np.log2(top / unit) * STEPS_PER_DOUBLING + 1e-9)) + 1) if top >= unit else 1
     head_level = next(q for q in range(1, 200) if sum(r["grams"] for r in by_level if r["q"] >= q) <= HEAD_TOKENS)
 
     ranked = counts.select("gram", "n", level(F.col("n"), unit).alias("q"), is_pair.alias("pair"), F.col("gram").bitwiseAND(F.lit(_HISTORY)).alias("history"))
     pairs, alone = ranked.where(F.col("pair") & (F.col("q") > 0)), ranked.where(~F.col("pair"))
-    followed = stored(pairs.groupBy("history").agg(F.sum(F.col("n") - discount).alias("followed")), "followed")
+    followed = stored((ranked.where("pair") if whole else pairs).groupBy("history").agg(F.sum(F.col("n") - discount).alias("followed")), "followed")
     shares = followed.join(alone.groupBy("history").agg(F.sum("n").alias("all")), "history").select("history", (1 - F.col("followed") / F.col("all")).alias("share"))
     rest = F.when(F.col("share").isNotNull(), level(F.greatest(F.lit(unit), F.col("n") * F.col("share")), unit)).otherwise(0)
-    entries = alone.where(F.col("q") > 0).join(shares, "history", "left").select("gram", "q", rest.alias("rest")).unionAll(pairs.select("gram", "q", F.lit(0)))
+    known = None
+    if whole:
+        rest = level(F.greatest(F.lit(1.0), F.col("n") * F.coalesce("share", F.lit(1.0))))
+        known = stored(alone.join(shares, "history", "left").select("gram", "n", level(F.col("n")).alias("level"), rest.alias("rest")), "tokens")
+    entries = pairs.select("gram", "q", F.lit(0).alias("rest")) if whole else alone.where(F.col("q") > 0).join(shares, "history", "left").select("gram", "q", rest.alias("rest")).unionAll(pairs.select("gram", "q", F.lit(0)))
 
     def build(frame):
         import pandas as pd
@@ -165,10 +180,10 @@ def fit(texts: DataFrame, filter_bits: int = FILTER_BITS, floor: int = FLOOR, di
     bits = np.zeros((1 << (filter_bits - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), dtype=np.uint8)
     for r in entries.groupBy(F.shiftrightunsigned("gram", 64 - filter_bits + BLOCK_BITS).alias("b")).applyInPandas(build, "block long, bits binary").collect():
         bits[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    head = alone.where(level(F.col("n")) >= head_level).select("gram", "n").toArrow()
+    head = (known if whole else alone.withColumn("rest", F.lit(0))).where(level(F.col("n")) >= head_level).select("gram", "n", "rest").toArrow()
     code, n = head.column("gram").to_numpy().view(np.uint64), head.column("n").to_numpy()
     order = np.argsort(code)
-    return Model(bits.reshape(-1), filter_bits, most, unit, code[order], n[order], tokens, distinct), counts
+    return Model(bits.reshape(-1), filter_bits, most, unit, code[order], n[order], tokens, distinct, head.column("rest").to_numpy()[order], every_level), counts, known
 
 
 def _scored(docs: DataFrame, model, discount: float) -> DataFrame:
@@ -216,7 +231,93 @@ def _scored(docs: DataFrame, model, discount: float) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, held_out: Column, filter_bits: int = FILTER_BITS, floor: int = FLOOR, discount: float = DISCOUNT) -> DataFrame:
+def _of_rows(rows: int, row: np.ndarray, **columns: np.ndarray) -> pa.ListArray:
+    """A list of structs for each of `rows` rows; row rises."""
+    offsets = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns)))
+
+
+def _runs(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each different code of a row its first place and how often it occurs, rows in order."""
+    order = np.lexsort((code, row))
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (code[order][1:] != code[order][:-1]) | (row[order][1:] != row[order][:-1]))))
+    return order[new], np.diff(np.append(new, len(row)))
+
+
+def _scored_whole(docs: DataFrame, model, discount: float) -> DataFrame:
+    """One row per row of docs: sums over what the filter and the head tokens tell, and what is to be looked up: tokens that
+    aren't among the head, bigrams of head tokens that aren't in the filter (ctx: the levels of the history, its rest and the
+    token), and bigrams with another token, each once with how often it occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        value, every = count_at(m.every_level), m.tokens + m.distinct + 1
+        under = round(np.log2(m.unit) * STEPS_PER_DOUBLING)
+        head_level = np.floor(np.log2(m.head_n) * STEPS_PER_DOUBLING + 1e-9).astype(np.int64) + 1
+        for batch in batches:
+            texts = utf8_rows(batch.column("text"))
+            for i, j in chunked(texts):
+                row, token, pair = grams(texts[i:j])
+                rows = j - i
+                unique, inverse = np.unique(token, return_inverse=True)
+                before = np.concatenate(([np.searchsorted(unique, _END & ~np.uint64(1))], inverse[:-1]))
+                at = np.minimum(np.searchsorted(m.head, unique), max(len(m.head) - 1, 0))
+                known = m.head[at] == unique if len(m.head) else np.zeros(len(unique), bool)
+                exact, alone, rest = (np.where(known, x[at], 0) if len(m.head) else np.zeros(len(unique), np.int64) for x in (m.head_n, head_level, m.head_rest))
+                base = np.where(known, np.log10((exact + 1.0) / every), 0.0)
+                other = np.flatnonzero(~known[inverse])
+                tail, tail_times = _runs(row[other], inverse[other])
+                tail = other[tail]
+                place, times = _runs(row, pair)
+                h, x = before[place], inverse[place]
+                near = known[h] & known[x]
+                q = np.zeros(len(place), dtype=np.int64)
+                q[near] = m.levels(pair[place[near]])
+                done = np.flatnonzero(q)
+                a = value[alone[h[done]]]
+                p = np.maximum(np.minimum(value[np.minimum(q[done] + under, m.every_level)], a) - discount, 0.0) / a
+                p += np.minimum(value[rest[h[done]]], a) / a * (value[alone[x[done]]] + 1.0) / every
+                score = np.bincount(row[place[done]], times[done] * np.log10(np.minimum(p, 1.0)), rows).astype(np.float64)
+                open_, far = np.flatnonzero(near & (q == 0)), np.flatnonzero(~near)
+                ctx = ((alone[h[open_]] << 16) | (rest[h[open_]] << 8) | alone[x[open_]]).astype(np.int32)
+                signed = lambda codes: codes.view(np.int64)
+                columns = [
+                    batch.column("uid").slice(i, rows), batch.column("doc_id").slice(i, rows), batch.column("held_out").slice(i, rows),
+                    pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(row, known[inverse], rows).astype(np.int64)),
+                    pa.array(np.bincount(row, base[inverse], rows)), pa.array(score),
+                    _of_rows(rows, row[tail], gram=signed(token[tail]), times=tail_times),
+                    _of_rows(rows, row[place[open_]], gram=signed(pair[place[open_]]), times=times[open_], ctx=ctx),
+                    _of_rows(rows, row[place[far]], gram=signed(pair[place[far]]), times=times[far], before=signed(unique[h[far]]), token=signed(unique[x[far]])),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "tail", "open", "far"])
+
+    schema = """uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, tail array<struct<gram:long,times:long>>,
+        open array<struct<gram:long,times:long,ctx:int>>, far array<struct<gram:long,times:long,before:long,token:long>>"""
+    return docs.mapInArrow(run, schema)
+
+
+def _looked_up(scored: DataFrame, model: Model, counts: DataFrame, known: DataFrame, discount: float) -> DataFrame:
+    """(uid, known, base, score): what _scored_whole left open, by joins with the exact counts."""
+    every = float(model.tokens + model.distinct + 1)
+    values = F.lit([float(x) for x in count_at(model.every_level)])
+    listed = lambda name: scored.select("uid", F.explode(name).alias("t")).select("uid", "t.*")
+    tail = listed("tail").join(counts.where("gram % 2 = 0"), "gram", "left")
+    tail = tail.select("uid", F.when(F.col("n").isNotNull(), F.col("times")).alias("known"), (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / every)).alias("base"), F.lit(0.0).alias("score"))
+    bits = lambda shift: F.shiftright("ctx", shift).bitwiseAND(F.lit(255))
+    near = listed("open").select("uid", "gram", "times", bits(16).alias("a"), bits(8).alias("rest"), bits(0).alias("x"))
+    history, following = known.select(F.col("gram").alias("before"), F.col("level").alias("a"), "rest"), known.select(F.col("gram").alias("token"), F.col("level").alias("x"))
+    far = listed("far").join(history, "before", "left").join(following, "token", "left").select("uid", "gram", "times", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("a", "rest", "x")))
+    pairs = near.unionAll(far).join(counts.where("gram % 2 <> 0"), "gram", "left").withColumn("q", level(F.coalesce("n", F.lit(0))))
+    of = lambda c: F.get(values, F.col(c))
+    most = F.greatest(of("a"), F.lit(1.0))
+    both = F.greatest(F.least(of("q"), of("a")) - discount, F.lit(0.0)) / most
+    rest = F.when(F.col("a") > 0, F.least(of("rest"), of("a")) / most).otherwise(1.0)
+    p = F.least(both + rest * (of("x") + 1) / every, F.lit(1.0))
+    pairs = pairs.select("uid", F.lit(None).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("times") * F.log10(p)).alias("score"))
+    return tail.unionAll(pairs).groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score")))
+
+
+def score(docs: DataFrame, held_out: Column, filter_bits: int = FILTER_BITS, floor: int | None = None, discount: float = DISCOUNT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs(doc_id, text).
 
     Learns from rows for which held_out is false (null: counts as false). Null and empty texts have one token, the
@@ -224,19 +325,28 @@ def score(docs: DataFrame, held_out: Column, filter_bits: int = FILTER_BITS, flo
 
     base_score uses exact counts: those of the head tokens are broadcast, those of all others are joined. score is the
     log10 of each token's probability: the discounted share of the bigram among its history's tokens, plus the history's
-    rest times the share of the token among all. Levels come from the filter; a token below its unit has no bigram there
-    and takes its exact count. A history without bigrams in the filter has all its mass as rest.
+    rest times the share of the token among all, all counts by their levels. Without a `floor` the model is whole at any size:
+    bigrams that aren't in the filter take the level of their exact count, which is joined, so that a score doesn't depend on
+    what the filter holds. With a floor levels come from the filter alone; a token below its unit has no bigram there and
+    takes its exact count, and a history without bigrams in the filter has all its mass as rest.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    model, counts = fit(rows.where(~F.col("held_out")).select("text"), filter_bits, floor, discount)
+    model, counts, known = fit(rows.where(~F.col("held_out")).select("text"), filter_bits, floor, discount)
+    zero, none = F.lit(0), F.lit(0.0)
+    if floor is None:
+        scored = stored(_scored_whole(rows, spark.sparkContext.broadcast(model), discount), "scored")
+        found = scored.drop("tail", "open", "far").join(_looked_up(scored, model, counts, known, discount), "uid", "left")
+        sums = (("n_known", "head_known", "known", zero), ("base_score", "head_base", "base", none), ("score", "head_score", "score", none))
+        return found.select("doc_id", "held_out", "n_tokens", F.lit(model.tokens).cast("long").alias("train_tokens"), *((F.col(x) + F.coalesce(y, z)).alias(name) for name, x, y, z in sums)).select(
+            "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        )
     scored = stored(_scored(rows, spark.sparkContext.broadcast(model), discount), "scored")
     every = float(model.tokens + model.distinct + 1)
     tail = scored.select("uid", F.explode("tail").alias("t")).select("uid", "t.*").join(counts.where("gram % 2 = 0"), "gram", "left")
     part = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / every)
     tail = tail.groupBy("uid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("tail_known"), F.sum(part).alias("tail_base"), F.sum(F.when(F.col("open"), part)).alias("tail_score"))
-    zero, none = F.lit(0), F.lit(0.0)
     return scored.drop("tail").join(tail, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", zero)).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("head_base") + F.coalesce("tail_base", none)).alias("base_score"), (F.col("head_score") + F.coalesce("tail_score", none)).alias("score"),

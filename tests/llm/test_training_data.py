@@ -553,6 +553,17 @@ def test_scores_equal_a_model_of_dictionaries(docs, monkeypatch, floor, head):
     assert Counter((r["doc_id"], round(r["score"], 5)) for r in got) == want
 
 
+@pytest.mark.parametrize("held_in_filter", [300, 3000])
+@pytest.mark.parametrize("head", [1 << 18, 5])
+def test_scores_do_not_depend_on_what_the_filter_holds(docs, monkeypatch, held_in_filter, head):
+    monkeypatch.setattr(language_model, "HEAD_TOKENS", head)
+    monkeypatch.setattr(language_model, "FLOOR", held_in_filter)  # as if the corpus were so much larger than the filter
+    held = lambda i: i is not None and i % 7 == 2
+    want, cut = (Counter(brute_model(corpus(), held, floor)) for floor in (1 << 40, held_in_filter))
+    got = language_model.score(docs, F.col("doc_id") % 7 == 2).collect()
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in got) == want != cut
+
+
 def test_another_filter_size_and_its_bound(docs):
     held, floor = F.col("doc_id") % 7 == 2, 1 << 18
     with pytest.raises(ValueError, match="may not fit"):
