@@ -246,8 +246,8 @@ def _runs(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _scored_whole(docs: DataFrame, model, discount: float) -> DataFrame:
     """One row per row of docs: sums over what the filter and the head tokens tell, and what is to be looked up: tokens that
-    aren't among the head, bigrams of head tokens that aren't in the filter (ctx: the levels of the history, its rest and the
-    token), and bigrams with another token, each once with how often it occurs."""
+    aren't among the head, bigrams of head tokens that aren't in the filter (ctx, 8 bits each: the levels of the token, its
+    history's rest and the history; above them how often it occurs), and bigrams with another token, each once with how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
@@ -279,20 +279,20 @@ def _scored_whole(docs: DataFrame, model, discount: float) -> DataFrame:
                 p += np.minimum(value[rest[h[done]]], a) / a * (value[alone[x[done]]] + 1.0) / every
                 score = np.bincount(row[place[done]], times[done] * np.log10(np.minimum(p, 1.0)), rows).astype(np.float64)
                 open_, far = np.flatnonzero(near & (q == 0)), np.flatnonzero(~near)
-                ctx = ((alone[h[open_]] << 16) | (rest[h[open_]] << 8) | alone[x[open_]]).astype(np.int32)
+                ctx = (times[open_] << 24) | (alone[h[open_]] << 16) | (rest[h[open_]] << 8) | alone[x[open_]]
                 signed = lambda codes: codes.view(np.int64)
                 columns = [
                     batch.column("uid").slice(i, rows), batch.column("doc_id").slice(i, rows), batch.column("held_out").slice(i, rows),
                     pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(row, known[inverse], rows).astype(np.int64)),
                     pa.array(np.bincount(row, base[inverse], rows)), pa.array(score),
                     _of_rows(rows, row[tail], gram=signed(token[tail]), times=tail_times),
-                    _of_rows(rows, row[place[open_]], gram=signed(pair[place[open_]]), times=times[open_], ctx=ctx),
+                    _of_rows(rows, row[place[open_]], gram=signed(pair[place[open_]]), ctx=ctx),
                     _of_rows(rows, row[place[far]], gram=signed(pair[place[far]]), times=times[far], before=signed(unique[h[far]]), token=signed(unique[x[far]])),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "tail", "open", "far"])
 
     schema = """uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, tail array<struct<gram:long,times:long>>,
-        open array<struct<gram:long,times:long,ctx:int>>, far array<struct<gram:long,times:long,before:long,token:long>>"""
+        open array<struct<gram:long,ctx:long>>, far array<struct<gram:long,times:long,before:long,token:long>>"""
     return docs.mapInArrow(run, schema)
 
 
@@ -303,11 +303,11 @@ def _looked_up(scored: DataFrame, model: Model, counts: DataFrame, known: DataFr
     listed = lambda name: scored.select("uid", F.explode(name).alias("t")).select("uid", "t.*")
     tail = listed("tail").join(counts.where("gram % 2 = 0"), "gram", "left")
     tail = tail.select("uid", F.when(F.col("n").isNotNull(), F.col("times")).alias("known"), (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / every)).alias("base"), F.lit(0.0).alias("score"))
-    bits = lambda shift: F.shiftright("ctx", shift).bitwiseAND(F.lit(255))
-    near = listed("open").select("uid", "gram", "times", bits(16).alias("a"), bits(8).alias("rest"), bits(0).alias("x"))
     history, following = known.select(F.col("gram").alias("before"), F.col("level").alias("a"), "rest"), known.select(F.col("gram").alias("token"), F.col("level").alias("x"))
-    far = listed("far").join(history, "before", "left").join(following, "token", "left").select("uid", "gram", "times", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("a", "rest", "x")))
-    pairs = near.unionAll(far).join(counts.where("gram % 2 <> 0"), "gram", "left").withColumn("q", level(F.coalesce("n", F.lit(0))))
+    far = listed("far").join(history, "before", "left").join(following, "token", "left").select("uid", "gram", F.expr("times * 16777216 + coalesce(a, 0) * 65536 + coalesce(rest, 0) * 256 + coalesce(x, 0)").alias("ctx"))
+    pairs = listed("open").unionAll(far).join(counts.where("gram % 2 <> 0"), "gram", "left").withColumn("q", level(F.coalesce("n", F.lit(0))))
+    bits = {c: F.shiftright("ctx", shift).bitwiseAND(F.lit(255)).cast("int") for c, shift in (("a", 16), ("rest", 8), ("x", 0))}
+    pairs = pairs.select("uid", "q", F.shiftright("ctx", 24).alias("times"), *(x.alias(c) for c, x in bits.items()))
     of = lambda c: F.get(values, F.col(c))
     most = F.greatest(of("a"), F.lit(1.0))
     both = F.greatest(F.least(of("q"), of("a")) - discount, F.lit(0.0)) / most
