@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -446,12 +446,13 @@ def transfer_breaks(target: DataFrame, source: DataFrame, key: str, least: float
     return found.withColumn("pos", F.col("pos").cast(dict(target.dtypes)["pos"]))
 
 
-def breaks_of_runs(target: DataFrame, source: DataFrame, key: str, least: float = 0.6, held_words: int = 1 << 18) -> DataFrame:
+def breaks_of_runs(target: DataFrame, source: DataFrame, key: str, least: float = 0.6, held_words: int = 1 << 18, words: Callable[[Column], Column] = lambda toks: toks) -> DataFrame:
     """JN-20: transfer_breaks of the words of runs(key, line_no, pos, toks), of which each has the words of a line from pos on;
     a target has one line. A run without words (or null) has none. Runs are dealt and sorted by document once and streamed, some `held_words` at a time and the words
-    of the document that they end in; there is no row for each word."""
+    of the document that they end in; there is no row for each word. If toks are texts, `words` gives their words: they are
+    cut after they are dealt, as text is smaller than its words."""
     sides = (x.where(F.col(key).isNotNull()).select(key, F.lit(own).alias("own"), *(F.col(c).cast("long").alias(c) for c in ("line_no", "pos")), "toks") for own, x in ((True, target), (False, source)))
-    rows = reduce(DataFrame.unionAll, sides).repartition(key).sortWithinPartitions(key)
+    rows = reduce(DataFrame.unionAll, sides).repartition(key).sortWithinPartitions(key).withColumn("toks", words(F.col("toks")))
 
     def judged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         runs = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

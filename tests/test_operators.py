@@ -280,6 +280,8 @@ def test_breaks_of_runs_need_no_row_for_each_word_and_no_join(spark):
     assert not planned(found, "Generate") and not planned(found, "SortMergeJoin|BroadcastHashJoin") and planned(found, "Exchange") == 2  # one of them deals the lines of this test
     words = lambda df: df.select("d", "line_no", F.posexplode("toks").alias("pos", "tok"))
     assert set(got(text.transfer_breaks(words(whole).drop("line_no"), words(lines), "d"), "d", "pos", "reversed")) == want
+    joined = (df.withColumn("toks", F.array_join("toks", " ")) for df in (whole, lines))
+    assert set(got(text.breaks_of_runs(*joined, "d", words=lambda t: F.regexp_extract_all(t, F.lit("[^ ]+"), 0)), "d", "pos", "reversed")) == want
     assert text.breaks_of_runs(whole.where("false"), lines.where("false"), "d").count() == 0
 
 
