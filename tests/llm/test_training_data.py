@@ -564,6 +564,39 @@ def test_scores_do_not_depend_on_what_the_filter_holds(docs, monkeypatch, held_i
     assert Counter((r["doc_id"], round(r["score"], 5)) for r in got) == want != cut
 
 
+@pytest.mark.parametrize(("heavy", "bucket_tokens", "held"), [(1, 1 << 20, 1 << 20), (50, 100, 200), (1 << 12, 100, 1)])
+def test_scores_do_not_depend_on_how_bigrams_are_dealt(docs, monkeypatch, heavy, bucket_tokens, held):
+    for name, value in (("HEAVY", heavy), ("BUCKET_TOKENS", bucket_tokens), ("HELD_PLACES", held), ("HELD_SUMS", held), ("HELD_GRAMS", held), ("GROUP_BITS", 2), ("FLOOR", 3000)):
+        monkeypatch.setattr(language_model, name, value)
+    out = lambda i: i is not None and i % 7 == 2
+    got = language_model.score(docs, F.col("doc_id") % 7 == 2).collect()
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in got) == Counter(brute_model(corpus(), out, 1 << 40))
+
+
+def test_base_scores_are_exact_if_bigrams_share_their_codes(docs, monkeypatch):
+    real = language_model.grams
+
+    def coarse(texts):
+        row, token, pair = real(texts)
+        return row, token, pair & np.uint64((1 << 37) - 1)  # all followers of a token share one code
+
+    held = F.col("doc_id") % 7 == 2
+    monkeypatch.setattr(language_model, "HEAD_TOKENS", 20)
+    columns = ("doc_id", "n_tokens", "n_known", "train_tokens")
+    rounded = lambda: Counter((*(r[c] for c in columns), round(r["base_score"], 6)) for r in language_model.score(docs, held).collect())
+    want = rounded()
+    monkeypatch.setattr(language_model, "grams", coarse)
+    assert rounded() == want
+
+
+def test_the_whole_model_stores_no_bigram(docs, monkeypatch):
+    kept, real = [], language_model.stored
+    monkeypatch.setattr(language_model, "stored", lambda df, name: kept.append(real(df, name)) or kept[-1])
+    language_model.score(docs, F.col("doc_id") % 7 == 2).collect()
+    learnt = {w.lower() for i, t, *_ in corpus() if not (i is not None and i % 7 == 2) for w in words_of(t)}
+    assert sum(df.count() for df in kept) == len(learnt) + 1  # the end is a token too
+
+
 def test_another_filter_size_and_its_bound(docs):
     held, floor = F.col("doc_id") % 7 == 2, 1 << 18
     with pytest.raises(ValueError, match="may not fit"):
