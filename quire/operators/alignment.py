@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Hashable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,76 @@ def ends_of_lists(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array([{"front": f, "back": b} for f, b in found], pa.struct([("front", pa.int32()), ("back", pa.int32())]))
 
 
+class Gaps(NamedTuple):
+    """The gaps between anchors where two readings differ, in order of their documents and places: the document, where the gap
+    starts in either reading and how many words of either it has; and these words, each gap's of the first reading, then
+    each gap's of the second."""
+
+    doc: np.ndarray
+    start: tuple[np.ndarray, np.ndarray]
+    size: tuple[np.ndarray, np.ndarray]
+    code: tuple[np.ndarray, np.ndarray]
+
+
+def _alone(gap: np.ndarray, second: np.ndarray, place: np.ndarray, code: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows, the pairs of words that stand once in either reading of a gap, in order, as the longest row that rises in both."""
+    if not len(rows):
+        return rows, rows
+    words, word = np.unique(gap[rows] * (int(code.max()) + 1) + code[rows], return_inverse=True)
+    at, once = [], np.ones(len(words), dtype=bool)
+    for mine in (~second[rows], second[rows]):
+        once &= np.bincount(word[mine], minlength=len(words)) == 1
+        at.append(np.zeros(len(words), np.int64))
+        at[-1][word[mine]] = rows[mine]
+    a, b = (x[once] for x in at)
+    order = np.lexsort((place[a], gap[a]))
+    a, b = a[order], b[order]
+    row, to, keep = gap[a], place[b], np.ones(len(a), dtype=bool)
+    for i in np.unique(row[1:][(row[1:] == row[:-1]) & (to[1:] <= to[:-1])]):
+        here = slice(*np.searchsorted(row, (i, i + 1)))
+        keep[here] = rising(to[here].tolist())
+    return a[keep], b[keep]
+
+
+def gaps(doc: np.ndarray, second: np.ndarray, pos: np.ndarray, code: np.ndarray, rounds: int = 1, small: int = 0) -> Gaps:
+    """The gaps that differ of the words of whole documents, numbered from 0: which reading a word stands in, where, and its
+    number, below 0 for none. Words unique in both readings of a document are anchors; then, in more rounds, those unique
+    in both sides of a gap, if one of these has more than `small` words. All documents go through a round together."""
+    order = np.lexsort((pos, second, doc))
+    doc, second, pos, code = (x[order] for x in (doc, second, pos, code))
+    place = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (second[1:] != second[:-1]) | (pos[1:] != pos[:-1])))[: len(doc)]
+    gap, of = doc, np.arange(int(doc[-1]) + 1 if len(doc) else 0)
+    start = [np.zeros(len(of), np.int64) for _ in "ab"]
+    for n in range(rounds):
+        sizes = [np.bincount(gap[second == side], minlength=len(of)) for side in (False, True)]
+        wide = (np.minimum(*sizes) > 0) & ((n == 0) | (np.maximum(*sizes) > small))
+        pair = _alone(gap, second, place, code, np.flatnonzero(wide[gap] & (code >= 0)))
+        if not len(pair[0]):
+            break
+        cut, many = gap[pair[0]], np.arange(len(of))
+        before, free = np.zeros(len(gap), np.int64), np.ones(len(gap), dtype=bool)
+        old, new = many + np.searchsorted(cut, many), cut + 1 + np.arange(len(cut))
+        for side, at in enumerate(pair):
+            mine, marks = np.flatnonzero(second == bool(side)), place[at]
+            before[mine] = np.searchsorted(marks, place[mine], "right")
+            free[mine] = (before[mine] == 0) | (marks[before[mine] - 1] != place[mine])
+            starts = np.zeros(len(of) + len(cut), np.int64)
+            starts[old], starts[new] = start[side], pos[at] + 1
+            start[side] = starts
+        docs = np.zeros(len(of) + len(cut), np.int64)
+        docs[old], docs[new] = of, of[cut]
+        gap, of = (gap + before)[free], docs
+        second, pos, code, place = (x[free] for x in (second, pos, code, place))
+    order = np.argsort(gap * 2 + second, kind="stable")
+    gap, second, code = gap[order], second[order], code[order]
+    size = [np.bincount(gap[second == side], minlength=len(of)) for side in (False, True)]
+    differs = size[0] != size[1]
+    first = np.flatnonzero(~second & ~differs[gap])
+    differs[gap[first[code[first] != code[first + size[0][gap[first]]]]]] = True
+    found, kept = np.flatnonzero(differs), differs[gap]
+    return Gaps(of[found], *((x[0][found], x[1][found]) for x in (start, size)), (code[kept & ~second], code[kept & second]))
+
+
 def carried_breaks(doc: np.ndarray, own: np.ndarray, line: np.ndarray, pos: np.ndarray, tok: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Of the words of whole documents, numbered from 0 and those of each together, own ones (of the target) and others (of the
     source): the rows of own words where a line breaks, and whether the document's lines are reversed there. Words unique on

@@ -255,6 +255,35 @@ def _rising(pairs: DataFrame, *key: str) -> DataFrame:
     return kept.select(*key, "z.p.tok", "z.p.pos_a", "z.p.pos_b")
 
 
+def _sided_runs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, pos, _a, _b) of readings a and b(key, pos, tok): runs of words of either, null in the other's column."""
+    runs = (_packed(x.withColumn("line_no", F.lit(0)), key) for x in (a, b))
+    columns = (("toks", None), (None, "toks"))
+    return reduce(DataFrame.unionAll, (x.select(key, "pos", *((F.col(c) if c else F.lit(None).cast("array<string>")).alias(n) for c, n in zip(own, ("_a", "_b"), strict=True))) for x, own in zip(runs, columns, strict=True)))
+
+
+def _dealt_readings(rows: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
+    return rows.repartition(key).sortWithinPartitions(key).select(key, F.col("pos").cast("long").alias("pos"), a.alias("_a"), b.alias("_b"))
+
+
+def _words_of_readings(batches: Iterator[pa.RecordBatch], key: str, held_words: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """Of rows(key, pos, _a, _b) sorted by key, some whole documents at a time: their keys, and of each word the document's number,
+    whether it is the second reading's, its position and the word."""
+    size = lambda toks: toks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for held in _whole(batches, key, lambda batch: size(batch.column("_a")) + size(batch.column("_b")), held_words):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        begins = np.append(0, _changes(rows.column(key)))
+        number, pos = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, rows.num_rows))), rows.column("pos").to_numpy(zero_copy_only=False)
+        of = [np.repeat(np.arange(rows.num_rows), size(rows.column(c))) for c in ("_a", "_b")]
+        at = [pos[o] + np.arange(len(o)) - (np.cumsum(n) - n)[o] for o, n in zip(of, (size(rows.column(c)) for c in ("_a", "_b")), strict=True)]
+        tok = pa.concat_arrays([rows.column(c).flatten() for c in ("_a", "_b")])
+        yield rows.column(key).take(pa.array(begins)), number[np.concatenate(of)], np.repeat([False, True], [len(o) for o in of]), np.concatenate(at), tok
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
+
+
 def compare_readings(a: DataFrame, b: DataFrame, key: str, least: float = 0.7) -> DataFrame:
     """JN-19, fast path: (key, from_a, to_a, from_b, to_b, kind, text_a, text_b): where the readings a and b(key, pos, tok)
     differ between anchors, common words at either end of a gap taken off.
@@ -347,80 +376,85 @@ def aligned_diff(a: DataFrame, b: DataFrame, key: str, rounds: int = 8, small: i
 
     Divide and conquer: words unique in both readings of a document are anchors. A gap between anchors with at most `small`
     words on either side, or none on one, goes to an edit script with the most words in common, in linear space; in a larger
-    one the words that are unique within it are anchors again, and so on, by joins, until a round finds none (or `rounds`
-    are done, which bears on the size of the gaps only). Gaps are known by where they start in a and b, sorted by Spark and
-    streamed, one held at a time, so a long document is aligned in many tasks and millions of short gaps are no groups of
-    their own. A document that one reading lacks is one row.
+    one the words that are unique within it are anchors again, and so on, until a round finds none (or `rounds` are done,
+    which bears on the size of the gaps only). A document that one reading lacks is one row.
     """
-    gap = ["_sa", "_sb"]
-    start = [F.lit(0).cast("long").alias(c) for c in gap]
-    todo = reduce(DataFrame.unionAll, (rows.select(F.col(key).cast("long").alias(key), *start, F.lit(side).alias("side"), F.col("pos").cast("long").alias("pos"), "tok") for side, rows in (("a", a), ("b", b))))
-    settled = []
-    for _ in range(rounds):
-        new = stored_checkpoint(anchors(todo.where("side = 'a'"), todo.where("side = 'b'"), key, *gap).select(key, *gap, "pos_a", "pos_b"))
-        if new.isEmpty():
-            break
-        placed = stored_checkpoint(_gapped(todo, new, key))
-        counts = placed.groupBy(key, *gap).agg(F.count_if(F.col("side") == "a").alias("_a"), F.count_if(F.col("side") == "b").alias("_b"))
-        large = stored_checkpoint(counts.where((F.least("_a", "_b") > 0) & (F.greatest("_a", "_b") > small)).select(key, *gap))
-        if large.isEmpty():
-            settled.append(placed)
-            break
-        settled.append(placed.join(large, [key, *gap], "left_anti"))
-        todo = stored_checkpoint(placed.join(large, [key, *gap], "left_semi"))
-    if not settled or not large.isEmpty():
-        settled.append(todo)
+    return diff_runs(_sided_runs(a, b, key), key, F.col("_a"), F.col("_b"), rounds, small)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
-        words: dict[str, list] = {"a": [], "b": []}
-        out: list[tuple] = []
 
-        def close() -> None:
-            k, x, y = last
-            out.extend((k, op, x + i, x + j, y + m, y + n) for op, i, j, m, n in alignment.script(words["a"], words["b"]))
+def diff_runs(rows: DataFrame, key: str, a: Column, b: Column, rounds: int = 8, small: int = 256, apart: int = 1 << 28, held_words: int = 1 << 18) -> DataFrame:
+    """UD-02: aligned_diff of runs of words: a row(key, pos, ...) has words of either reading, a and b, from pos on. Rows are dealt
+    by document once; a and b are cut after that, and documents stream through, some `held_words` at a time. What two
+    large sides of a gap (`apart`: one's words times the other's) have in common is found where the gap is dealt to, so
+    that the large gaps of a document are the work of many tasks."""
+    columns, lists = [key, "op", "from_a", "to_a", "from_b", "to_b"], pa.list_(pa.int64())
+    schema = f"{key} long, op string, from_a long, to_a long, from_b long, to_b long"
 
-        def rows() -> pa.RecordBatch:
-            columns = [pa.array([r[i] for r in out], pa.string() if i == 1 else pa.int64()) for i in range(6)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=[key, "op", "from_a", "to_a", "from_b", "to_b"])
+    def listed(out: list[tuple], keys: pa.Array) -> list[pa.Array]:
+        of, op, *ends = zip(*out, strict=True) if out else ([],) * 6
+        return [keys.take(pa.array(of, pa.int64())), pa.array(op, pa.string()), *(pa.array(x, pa.int64()) for x in ends)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, doc, second, pos, tok in _words_of_readings(batches, key, held_words):
+            code = tok.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = alignment.gaps(doc, second, pos, code, rounds, small)
+            out: list[tuple] = []
+            large: list[tuple] = []
+            sides: list[tuple] = []
+            ends, words = [np.cumsum(n).tolist() for n in found.size], [c.tolist() for c in found.code]
+            for k, x, y, n, m, i, j in zip(*(v.tolist() for v in (found.doc, *found.start, *found.size)), *ends, strict=True):
+                both = words[0][i - n : i], words[1][j - m : j]
+                if n * m > apart:
+                    large.append((k, None, x, None, y, None))
+                    sides.append(both)
+                else:
+                    out.extend((k, op, x + f, x + t, y + g, y + u) for op, f, t, g, u in alignment.script(*both))
+            yield pa.RecordBatch.from_arrays([*listed(out, keys), *(pa.nulls(len(out), lists) for _ in "ab")], names=[*columns, "wa", "wb"])
+            if large:
+                yield pa.RecordBatch.from_arrays([*listed(large, keys), *(pa.array(x, lists) for x in zip(*sides, strict=True))], names=[*columns, "wa", "wb"])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, x, y, side, tok in zip(*(batch.column(c).to_pylist() for c in (key, *gap, "side", "tok")), strict=True):
-                if (k, x, y) != last:
-                    if last is not None:
-                        close()
-                    last, words = (k, x, y), {"a": [], "b": []}
-                words[side].append(tok)
-            yield rows()
-        if last is not None:
-            close()
-            yield rows()
-
-    ordered = reduce(DataFrame.unionAll, settled).repartition(key, *gap).sortWithinPartitions(key, *gap, "side", "pos").select(key, *gap, "side", "tok")
-    return ordered.mapInArrow(run, f"{key} long, op string, from_a long, to_a long, from_b long, to_b long")
-
-
-def _gapped(rows: DataFrame, marks: DataFrame, key: str) -> DataFrame:
-    """rows(key, _sa, _sb, side, pos, tok) that aren't marked, with the start of the gap that marks(key, _sa, _sb, pos_a, pos_b)
-    leave them in. One sort of both."""
-    ends = F.struct(F.col("pos_a").cast("long").alias("a"), F.col("pos_b").cast("long").alias("b"))
-    dealt = [marks.select(key, "_sa", "_sb", F.lit(side).alias("side"), F.col(f"pos_{side}").cast("long").alias("pos"), F.lit(None).cast("string").alias("tok"), ends.alias("_mark")) for side in "ab"]
-    both = reduce(DataFrame.unionAll, [rows.select(key, "_sa", "_sb", "side", "pos", "tok", F.lit(None).cast("struct<a:bigint,b:bigint>").alias("_mark")), *dealt])
-    upto = Window.partitionBy(key, "_sa", "_sb", "side").orderBy("pos", F.col("_mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(upto)).where("_mark IS NULL")
-    free = placed.where(~F.coalesce(F.when(F.col("side") == "a", F.col("_last.a")).otherwise(F.col("_last.b")) == F.col("pos"), F.lit(False)))
-    return free.select(key, F.coalesce(F.col("_last.a") + 1, "_sa").alias("_sa"), F.coalesce(F.col("_last.b") + 1, "_sb").alias("_sb"), "side", "pos", "tok")
+            for i, (x, y) in enumerate(zip(batch.column("from_a").to_pylist(), batch.column("from_b").to_pylist(), strict=True)):
+                ops = alignment.script(batch.column("wa")[i].as_py(), batch.column("wb")[i].as_py())
+                yield pa.RecordBatch.from_arrays(listed([(i, op, x + f, x + t, y + g, y + u) for op, f, t, g, u in ops], batch.column(key)), names=columns)
+
+    dealt = _dealt_readings(rows.withColumn(key, F.col(key).cast("long")), key, a, b)
+    found = stored_checkpoint(dealt.mapInArrow(run, f"{schema}, wa array<long>, wb array<long>"))
+    large = found.where("op IS NULL").repartition(key, "from_a", "from_b")
+    return found.where("op IS NOT NULL").select(*columns).unionAll(large.mapInArrow(rest, schema))
 
 
 def _changes(k: pa.Array) -> np.ndarray:
-    """The rows whose value isn't that of the row before; k has no nulls."""
-    return np.flatnonzero(pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)).to_numpy(zero_copy_only=False)) + 1
+    """The rows whose value isn't that of the row before; nulls are one value."""
+    x, y = k.slice(1), k.slice(0, len(k) - 1)
+    return np.flatnonzero(pc.or_(pc.fill_null(pc.not_equal(x, y), False), pc.xor(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)) + 1
+
+
+def _whole(batches: Iterator[pa.RecordBatch], key: str, sizes: Callable[[pa.RecordBatch], np.ndarray], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows sorted by key, some of size `most` in all at a time and the rest of the key that they end in."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        upto = np.cumsum(np.append(0, sizes(batch)))
+        begins = np.append(0, _changes(batch.column(key))) if batch.num_rows else []
+        for i, j in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+            if size > most and held[-1].column(key)[-1] != batch.column(key)[int(i)]:
+                yield held
+                held, size = [], 0
+            held.append(batch.slice(i, j - i))
+            size += int(upto[j] - upto[i])
+    if held:
+        yield held
 
 
 def runs_of(rows: DataFrame, key: str) -> DataFrame:
     """(key, line_no, pos, toks): rows(key, line_no, pos, tok) that follow each other on a line, as one row: where they begin
     and their words. What is a run depends on the order that rows come in; none is moved, and those without a key are left out."""
+    return _packed(rows.where(F.col(key).isNotNull()), key)
+
+
+def _packed(rows: DataFrame, key: str) -> DataFrame:
     kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +468,7 @@ def runs_of(rows: DataFrame, key: str) -> DataFrame:
                 toks = pa.ListArray.from_arrays(pa.array(np.append(begins, batch.num_rows).astype(np.int32)), batch.column("tok"))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(begins)) for c in (key, "line_no", "pos")), toks], names=[key, "line_no", "pos", "toks"])
 
-    plain = rows.where(F.col(key).isNotNull()).select(key, *(F.col(c).cast("long").alias(c) for c in ("line_no", "pos")), "tok")
+    plain = rows.select(key, *(F.col(c).cast("long").alias(c) for c in ("line_no", "pos")), "tok")
     return plain.mapInArrow(run, f"{key} {kind}, line_no long, pos long, toks array<string>")
 
 
@@ -466,18 +500,7 @@ def breaks_of_runs(target: DataFrame, source: DataFrame, key: str, least: float
         return pa.RecordBatch.from_arrays([runs.column(key).take(pa.array(of[at])), pa.array(pos[at]), pa.array(turned)], names=[key, "pos", "reversed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            words = np.cumsum(np.append(0, batch.column("toks").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-            begins = np.append(0, _changes(batch.column(key))) if batch.num_rows else []
-            for i, j in zip(begins, [*begins[1:], batch.num_rows], strict=True):
-                if size > held_words and held[-1].column(key)[-1] != batch.column(key)[int(i)]:
-                    yield judged(held)
-                    held, size = [], 0
-                held.append(batch.slice(i, j - i))
-                size += int(words[j] - words[i])
-        if held:
-            yield judged(held)
+        sizes = lambda batch: batch.column("toks").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        yield from map(judged, _whole(batches, key, sizes, held_words))
 
     return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, pos long, reversed boolean")

@@ -34,6 +34,15 @@ def tokens_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir, second_reading())
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("pos"), "text")
+
+
+def words_of_both() -> list[Column]:
+    """The words of a text in either reading."""
+    return [F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)) for text in (F.col("text"), second_reading())]
+
+
 def tokens_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of either reading with their side, a or b, those of a document in one task."""
     sides = F.array(*(F.struct(F.lit(side).alias("side"), F.regexp_extract_all(text, F.lit(r"\p{L}+"), 0).alias("toks")) for side, text in (("a", F.col("text")), ("b", second_reading()))))

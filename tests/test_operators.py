@@ -16,6 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quire import plans
 from quire.functions import expressions as e
 from quire.functions.literals import alphabet, excerpts, needed_literal
 from quire.operators import alignment, evaluation, facts, layout, match, ranges, score, series, tables, text
@@ -551,6 +552,48 @@ def test_readings_are_dealt_by_document_twice(spark):
     assert plan.count("Exchange hashpartitioning(") <= 2 and "SortMergeJoin" not in plan
 
 
+def ops_of(a: list, b: list, rounds: int, small: int) -> list[tuple]:
+    """What aligned_diff says of two lists of words, a gap at a time."""
+    todo, done = [(0, 0, a, b)], []
+    for n in range(rounds):
+        again = []
+        for x, y, p, q in todo:
+            pairs = sorted((p.index(w), q.index(w)) for w in p if w is not None and p.count(w) == 1 == q.count(w))
+            if n and max(len(p), len(q)) <= small or not pairs:
+                done.append((x, y, p, q))
+                continue
+            kept = [pair for pair, k in zip(pairs, alignment.rising([j for _, j in pairs]), strict=True) if k]
+            again += [(x + i + 1, y + j + 1, p[i + 1 : k], q[j + 1 : m]) for (i, j), (k, m) in itertools.pairwise([(-1, -1), *kept, (len(p), len(q))])]
+        todo = again
+    return sorted((op, x + i, x + j, y + k, y + m) for x, y, p, q in done + todo for op, i, j, k, m in alignment.script(p, q))
+
+
+def test_alignment_deals_texts_once_and_equals_a_gap_at_a_time(spark, sf_dir, monkeypatch):
+    steps, rng, sides = [], random.Random(21), {}
+    monkeypatch.setattr(text, "stored_checkpoint", lambda df: steps.append(df) or incremental.stored_checkpoint(df))
+    for d in range(60):
+        words = [rng.choice("abcdefghij") * rng.choice((1, 1, 2, 3)) for _ in range(rng.choice((0, 1, 5, 30, 90)))]
+        other = [w for w in words if rng.random() < 0.9]
+        if len(other) > 2:
+            other.insert(rng.randrange(len(other)), other.pop(rng.randrange(len(other))))
+            words[0] = other[-1] = None
+        sides[d] = words, other
+    rows = [[(d, i, w) for d, both in sides.items() for i, w in enumerate(both[n])] for n in (0, 1)]
+    for side in rows:
+        rng.shuffle(side)
+    frames = [spark.createDataFrame(side, "d int, pos int, tok string") for side in rows]
+    packed = text._sided_runs(*frames, "d")
+    for rounds, small, apart, held in ((1, 0, 1 << 28, 1 << 18), (8, 256, 1 << 28, 7), (8, 2, 1 << 28, 500), (3, 0, 9, 1)):
+        found: dict = {d: [] for d in sides}
+        for d, *op in map(tuple, text.diff_runs(packed, "d", F.col("_a"), F.col("_b"), rounds, small, apart, held).collect()):
+            found[d].append(tuple(op))
+        assert {d: sorted(ops) for d, ops in found.items()} == {d: ops_of(*both, rounds, small) for d, both in sides.items()}
+    steps.clear()
+    plans.QUERIES["ud02_aligned_diff"](spark, sf_dir)
+    plan = steps[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(steps) == 1 and plan.count("Exchange hashpartitioning(") == 1 and "Generate" not in plan and "Join" not in plan
+
+
 def test_greedy_matching_goes_to_the_end_of_long_chains(spark):
     n = 10_000
     at = [0.0]
