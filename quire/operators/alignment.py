@@ -91,11 +91,6 @@ def rising_lists(places: pa.Array) -> pa.Array:
     return pa.array([rising(row) for row in places.to_pylist()], pa.list_(pa.bool_()))
 
 
-def ends_of_lists(x: pa.Array, y: pa.Array) -> pa.Array:
-    found = [common_ends(p or [], q or []) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
-    return pa.array([{"front": f, "back": b} for f, b in found], pa.struct([("front", pa.int32()), ("back", pa.int32())]))
-
-
 class Gaps(NamedTuple):
     """The gaps between anchors where two readings differ, in order of their documents and places: the document, where the gap
     starts in either reading and how many words of either it has; and these words, each gap's of the first reading, then

@@ -291,49 +291,67 @@ def compare_readings(a: DataFrame, b: DataFrame, key: str, least: float = 0.7) -
     kind: unreadable ([?] in b), missing (only in a), extra (only in b), formula (a formula on either side; formulas are
     compared in one spelling), number (digits on either side) or word. A document of which the second reading has less
     than `least` of the words has one row more, incomplete. A document that one reading lacks altogether is missing or
-    extra as a whole. Each word meets only the gap that it stands in. Words are dealt by document twice, to find the anchors
-    and to be placed between them; all that follows stays where they are.
+    extra as a whole.
     """
-    rows = reduce(DataFrame.unionAll, (x.select(key, F.lit(side).alias("side"), "pos", "tok") for side, x in (("a", a), ("b", b))))
-    of = {x: F.col("side") == x for x in "ab"}
-    alone = rows.repartition(key).groupBy(key, "tok").agg(*(F.count_if(of[x]).alias(f"_n_{x}") for x in "ab"), *(F.min(F.when(of[x], F.col("pos"))).alias(f"pos_{x}") for x in "ab")).where("_n_a = 1 AND _n_b = 1")
-    found = stored_checkpoint(_rising(alone, key).select(key, "pos_a", "pos_b"))
-    ends = F.struct(F.col("pos_a").alias("a"), F.col("pos_b").alias("b"))
-    kinds = {"tok": dict(rows.dtypes)["tok"], "_mark": found.select(ends.alias("m")).schema["m"].dataType.simpleString()}
-    marks = [found.select(key, F.lit(x).alias("side"), F.col(f"pos_{x}").alias("pos"), F.lit(None).cast(kinds["tok"]).alias("tok"), ends.alias("_mark")) for x in "ab"]
-    both = reduce(DataFrame.unionAll, [rows.withColumn("_mark", F.lit(None).cast(kinds["_mark"])), *marks]).repartition(key)
-    upto = Window.partitionBy(key, "side").orderBy("pos", F.col("_mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(upto)).where("_mark IS NULL")
-    free = ~F.coalesce(F.when(of["a"], F.col("_last.a")).otherwise(F.col("_last.b")) == F.col("pos"), F.lit(False))
-    placed = placed.select(key, "side", "pos", "tok", free.alias("_free"), *(F.coalesce(F.col(f"_last.{x}") + 1, F.lit(0)).alias(f"_s_{x}") for x in "ab"))
-    one_spelling = lambda t: F.when(token_kind(t["tok"]) == "M", maths(t["tok"])).otherwise(t["tok"])
-    listed = lambda x: F.array_sort(F.collect_list(F.when(of[x] & F.col("_free"), F.struct("pos", "tok"))))
-    gaps = placed.groupBy(key, "_s_a", "_s_b").agg(listed("a").alias("wa"), listed("b").alias("wb"), F.count_if(of["a"]).alias("_of_a"))
-    by = Window.partitionBy(key)
-    gaps = gaps.withColumns({"_all": F.sum("_of_a").over(by), "_first": F.row_number().over(by.orderBy("_s_a", "_s_b")) == 1})
-    words = lambda w: F.transform(w, lambda t: t["tok"])
-    gaps = gaps.where(F.col("_first") | (words("wa") != words("wb")))
-    norms = (F.transform(w, one_spelling) for w in ("wa", "wb"))
-    gaps = gaps.withColumn("_ends", F.arrow_udf(alignment.ends_of_lists, "struct<front:int,back:int>")(*norms))
-    gaps = gaps.withColumns({"_f": F.col("_ends.front"), "_b": F.col("_ends.back")})
-    cut = lambda w: F.slice(w, F.col("_f") + 1, F.greatest(F.size(w) - F.col("_f") - F.col("_b"), F.lit(0)))
-    gaps = gaps.withColumns({"wa": cut("wa"), "wb": cut("wb")})
-    said = lambda w: F.array_join(F.transform(w, lambda t: t["tok"]), " ")
-    gaps = gaps.withColumns({"text_a": said("wa"), "text_b": said("wb")})
-    begins = {x: F.col(f"_s_{x}") + F.col("_f") for x in "ab"}
-    digits = F.col("text_a").rlike("[0-9]") | F.col("text_b").rlike("[0-9]")
-    has_formula = reduce(lambda x, y: x | y, (F.exists(w, lambda t: token_kind(t["tok"]) == "M") for w in ("wa", "wb")))
-    kind = (
-        F.when(F.contains("text_b", F.lit("[?]")), "unreadable").when(F.size("wb") == 0, "missing").when(F.size("wa") == 0, "extra")
-        .when(has_formula, "formula").when(digits, "number").otherwise("word")
-    )
-    gaps = gaps.select(key, "_all", "_first", F.size("wa").alias("_off"), begins["a"].alias("from_a"), (begins["a"] + F.size("wa")).alias("to_a"), begins["b"].alias("from_b"), (begins["b"] + F.size("wb")).alias("to_b"), kind.alias("kind"), "text_a", "text_b")
-    gaps = gaps.withColumn("_wrong", F.sum("_off").over(by))
-    row = F.struct("from_a", "to_a", "from_b", "to_b", "kind", "text_a", "text_b")
-    whole = F.struct(F.lit(0).alias("from_a"), F.col("_all").cast("int").alias("to_a"), F.lit(0).alias("from_b"), F.lit(0).alias("to_b"), F.lit("incomplete").alias("kind"), F.lit("").alias("text_a"), F.lit("").alias("text_b"))
-    differs, few = (F.col("to_a") > F.col("from_a")) | (F.col("to_b") > F.col("from_b")), F.col("_first") & (F.col("_all") - F.col("_wrong") < least * F.col("_all"))
-    rows = F.concat(F.when(differs, F.array(row.cast(_GAP))).otherwise(F.array().cast(f"array<{_GAP}>")), F.when(few, F.array(whole.cast(_GAP))).otherwise(F.array().cast(f"array<{_GAP}>")))
-    return gaps.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+    return compare_runs(_sided_runs(a, b, key), key, F.col("_a"), F.col("_b"), least)
+
+
+def compare_runs(rows: DataFrame, key: str, a: Column, b: Column, least: float = 0.7, held_words: int = 1 << 18) -> DataFrame:
+    """JN-19: compare_readings of runs of words: a row(key, pos, ...) has words of either reading, a and b, from pos on. Rows are
+    dealt by document once and stay there; a and b are cut after that, as a text is smaller than its words. There is no row
+    for each word: documents stream through, some `held_words` at a time, and those that differ go on as one row each."""
+    dealt = _dealt_readings(rows, key, a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, doc, second, pos, tok in _words_of_readings(batches, key, held_words):
+            words = tok.dictionary_encode()
+            found = alignment.gaps(doc, second, pos, words.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
+            lists = [_lists(words.dictionary.take(pa.array(c, mask=c < 0)), n) for c, n in zip(found.code, found.size, strict=True)]
+            gaps = pa.StructArray.from_arrays([*map(pa.array, found.start), *lists], names=["s_a", "s_b", "wa", "wb"])
+            of = np.arange(len(keys)) if least > 1 else np.unique(found.doc)
+            every = np.bincount(doc[~second], minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(every[of]), _lists(gaps, np.bincount(found.doc, minlength=len(keys))[of])], names=[key, "all", "gaps"])
+
+    one_spelling = lambda t: F.when(token_kind(t) == "M", maths(t)).otherwise(t)
+    same = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False))
+    front = lambda x, y, n: F.when(same(F.slice(x, 1, n), F.slice(y, 1, n)) > 0, same(F.slice(x, 1, n), F.slice(y, 1, n)) - 1).otherwise(n).cast("int")
+    said = lambda w: F.array_join(w, " ")
+    size = lambda g: (F.size(g["wa"]), F.size(g["wb"]))
+
+    def spelled(g: Column) -> Column:
+        return F.struct(g["s_a"], g["s_b"], g["wa"], g["wb"], *(F.transform(g[w], one_spelling).alias(n) for w, n in (("wa", "na"), ("wb", "nb"))))
+
+    def at_front(g: Column) -> Column:
+        return F.struct(*(g[c] for c in ("s_a", "s_b", "wa", "wb", "na", "nb")), front(g["na"], g["nb"], F.least(*size(g))).alias("f"))
+
+    def at_back(g: Column) -> Column:
+        back = front(F.reverse(g["na"]), F.reverse(g["nb"]), F.least(*size(g)) - g["f"])
+        return F.struct(*(g[c] for c in ("s_a", "s_b", "wa", "wb", "f")), back.alias("b"))
+
+    def cut(g: Column) -> Column:
+        words = (F.slice(g[w], g["f"] + 1, n - g["f"] - g["b"]).alias(w) for w, n in zip(("wa", "wb"), size(g), strict=True))
+        return F.struct((g["s_a"] + g["f"]).alias("from_a"), (g["s_b"] + g["f"]).alias("from_b"), *words)
+
+    def joined(g: Column) -> Column:
+        return F.struct(*(g[c] for c in ("from_a", "from_b", "wa", "wb")), said(g["wa"]).alias("text_a"), said(g["wb"]).alias("text_b"))
+
+    def row(g: Column) -> Column:
+        digits = g["text_a"].rlike("[0-9]") | g["text_b"].rlike("[0-9]")
+        has_formula = reduce(lambda x, y: x | y, (F.exists(g[w], lambda t: token_kind(t) == "M") for w in ("wa", "wb")))
+        kind = (
+            F.when(F.contains(g["text_b"], F.lit("[?]")), "unreadable").when(F.size(g["wb"]) == 0, "missing").when(F.size(g["wa"]) == 0, "extra")
+            .when(has_formula, "formula").when(digits, "number").otherwise("word")
+        )
+        to = [(g[f"from_{x}"] + F.size(g[f"w{x}"])).alias(f"to_{x}") for x in "ab"]
+        return F.struct(g["from_a"], to[0], g["from_b"], to[1], kind.alias("kind"), g["text_a"], g["text_b"]).cast(_GAP)
+
+    found = dealt.mapInArrow(run, f"{key} {dict(dealt.dtypes)[key]}, all long, gaps array<struct<s_a:long,s_b:long,wa:array<string>,wb:array<string>>>")
+    rows_of = reduce(F.transform, (spelled, at_front, at_back, cut, joined, row), F.col("gaps"))
+    found = found.select(key, "all", F.filter(rows_of, lambda r: (r["to_a"] > r["from_a"]) | (r["to_b"] > r["from_b"])).alias("rows"))
+    wrong = F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + r["to_a"] - r["from_a"])
+    whole = F.struct(F.lit(0), F.col("all"), F.lit(0), F.lit(0), F.lit("incomplete"), F.lit(""), F.lit("")).cast(_GAP)
+    few = F.when(F.col("all") - wrong < least * F.col("all"), F.array(whole)).otherwise(F.array().cast(f"array<{_GAP}>"))
+    return found.select(key, F.explode(F.concat("rows", few)).alias("r")).select(key, "r.*")
 
 
 _GAP = "struct<from_a:int,to_a:int,from_b:int,to_b:int,kind:string,text_a:string,text_b:string>"

@@ -594,6 +594,29 @@ def test_alignment_deals_texts_once_and_equals_a_gap_at_a_time(spark, sf_dir, mo
     assert len(steps) == 1 and plan.count("Exchange hashpartitioning(") == 1 and "Generate" not in plan and "Join" not in plan
 
 
+def test_readings_deal_texts_once(spark, sf_dir, monkeypatch):
+    steps, rng, a, b = [], random.Random(22), [], []
+    monkeypatch.setattr(text, "stored_checkpoint", lambda df: steps.append(df) or incremental.stored_checkpoint(df))
+    plan = plans.QUERIES["jn19_compare_readings"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not steps and plan.count("Exchange hashpartitioning(") == 1 and "Join" not in plan and "Window" not in plan
+    assert "Generate" not in plan[plan.index("Exchange hashpartitioning(") :]
+    for d in [None, *range(40)]:
+        words = [f"w{i}" if rng.random() < 0.4 else rng.choice("abc") for i in range(40 if d is None else rng.choice((0, 3, 40)))]
+        a += [(d, i, w) for i, w in enumerate(words)]
+        b += [(d, i, w) for i, w in enumerate(w for w in words if rng.random() < 0.8)]
+    frames = [spark.createDataFrame(side, "d int, pos int, tok string") for side in (a, b)]
+    few = [got(text.compare_runs(text._sided_runs(*frames, "d"), "d", F.col("_a"), F.col("_b"), 0.7, held).fillna(-1), "d", "from_a", "to_a", "from_b", "to_b", "kind", "text_a", "text_b") for held in (1, 1 << 18)]
+    assert few[0] == few[1] and few[0][0][0] == -1
+    for d in (-1, *range(40)):
+        x, y = ([w for k, _, w in side if (-1 if k is None else k) == d] for side in (a, b))
+        at, rebuilt = 0, []
+        for _, i, j, k, m, kind, before, after in sorted(r for r in few[0] if r[0] == d and r[5] != "incomplete"):
+            assert (" ".join(x[i:j]), " ".join(y[k:m])) == (before, after) and kind == ("missing" if k == m else "extra" if i == j else "number" if re.search("[0-9]", before + after) else "word")
+            rebuilt += x[at:i] + y[k:m]
+            at = j
+        assert rebuilt + x[at:] == y
+
+
 def test_greedy_matching_goes_to_the_end_of_long_chains(spark):
     n = 10_000
     at = [0.0]
