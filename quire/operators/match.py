@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import groupby, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators.batching import changes, whole_keys
+from quire.operators.nearest import nearest_points
 from quire.operators.ranges import as_of, near_join, overlap_join
 from quire.sources.incremental import stored_checkpoint
 
@@ -120,7 +125,70 @@ def tolerance_match(a: DataFrame, b: DataFrame, key: str, tx: float, ty: float)
 
 def nearest_owner(tokens: DataFrame, segs: DataFrame, key: str = "page") -> DataFrame:
     """JN-07: (key, seg_id, token_id, d2): each token(key, token_id, x, y) goes to the nearest seg(key, seg_id, x, y) of
-    its page, and each seg keeps the nearest of its tokens. Ties go to the least id; a page without segs has no rows.
+    its page, and each seg keeps the nearest of its tokens. Ties go to the least id; a page without segs has no rows, and
+    what has no position is near to none."""
+    sides = (rows.select(key, F.lit(seg).alias("seg"), F.col(name).alias("id"), "x", "y") for seg, name, rows in ((False, "token_id", tokens), (True, "seg_id", segs)))
+    found = nearest_of_points(reduce(DataFrame.unionAll, sides), key)
+    return found.select(key, *(F.col(name).cast(dict(rows.dtypes)[name]).alias(name) for name, rows in (("seg_id", segs), ("token_id", tokens))), "d2")
+
+
+_WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def nearest_of_points(points: DataFrame, key: str = "page", most: int = 1 << 20, pairs: int = 1 << 26, held: int = 1 << 17) -> DataFrame:
+    """JN-07: nearest_owner of points(key, seg, id, x, y), segs and tokens.
+
+    Points are dealt by page, unless they lie so already, and stream through, whole pages of some `held` points at a time, in
+    which every token is compared with the segs of its page. A page of more than `most` points or `pairs` of a token and a
+    seg isn't held: it passes through and goes to a grid, which is dealt by cell. Points of other types than numbers all do."""
+    kinds, number = dict(points.dtypes), (*_WHOLE_NUMBERS, "float", "double")
+    plain = kinds["id"] in _WHOLE_NUMBERS and kinds["x"] in number and kinds["y"] in number
+    d2 = points.select((F.col("x") - F.col("x")) * (F.col("x") - F.col("x")) + (F.col("y") - F.col("y")) * (F.col("y") - F.col("y"))).dtypes[0][1]
+    page = Window.partitionBy(key)
+    found = points.where(F.col(key).isNotNull() & (F.col("id").isNotNull() | ~F.col("seg")))
+    for c in ("x", "y"):
+        found = found.where((F.col(c).cast("double") > -math.inf) & (F.col(c).cast("double") < math.inf))
+    found = found.select(key, "seg", "id", "x", "y", F.count("*").over(page).alias("_n"), F.count_if("seg").over(page).alias("_s"))
+    found = found.select(key, "seg", "id", "x", "y", ((F.col("_n") > most) | (F.col("_s") * (F.col("_n") - F.col("_s")) > pairs) | F.lit(not plain)).alias("large"))
+
+    def values(rows: pa.RecordBatch, c: str) -> np.ndarray:
+        column = rows.column(c).cast(pa.int64()) if kinds[c] in _WHOLE_NUMBERS else rows.column(c)
+        return (column.fill_null(np.iinfo(np.int64).min) if c == "id" else column).to_numpy(zero_copy_only=False)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+        for batch in batches:
+            ends = [0, *changes(batch.column("large")).tolist(), batch.num_rows] if batch.num_rows else []
+            yield from ((batch.column("large")[i].as_py(), batch.slice(i, j - i)) for i, j in pairwise(ends))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [key, "seg", "id", "other", "d2", "x", "y"]
+        for large, parts in groupby(pieces(batches), lambda piece: piece[0]):
+            rows_of = (rows for _, rows in parts)
+            for rows in rows_of if large else ():
+                none = [pa.nulls(rows.num_rows, rows.schema.field("id").type), pa.nulls(rows.num_rows, found_d2)]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in (key, "seg", "id")), *none, rows.column("x"), rows.column("y")], names=names)
+            for rows in () if large else whole_keys(rows_of, key, lambda rows: np.ones(rows.num_rows, np.int64), held):
+                number = np.zeros(rows.num_rows, np.int64)
+                number[changes(rows.column(key))] = 1
+                seg = rows.column("seg").to_numpy(zero_copy_only=False)
+                s, t, far = nearest_points(np.cumsum(number), seg, *(values(rows, c) for c in ("id", "x", "y")))
+                none = [pa.nulls(len(s), rows.schema.field(c).type) for c in ("seg", "x", "y")]
+                yield pa.RecordBatch.from_arrays([rows.column(key).take(pa.array(s)), none[0], rows.column("id").take(pa.array(s)), rows.column("id").take(pa.array(t)), pa.array(far).cast(found_d2), *none[1:]], names=names)
+
+    found_d2 = pa.int64() if {kinds["x"], kinds["y"]} <= {*_WHOLE_NUMBERS} else pa.float64()
+    schema = f"{key} {kinds[key]}, seg boolean, id {kinds['id']}, other {kinds['id']}, d2 {'bigint' if found_d2 == pa.int64() else 'double'}, x {kinds['x']}, y {kinds['y']}"
+    settled = stored_checkpoint(found.mapInArrow(run, schema))
+    done = settled.where("seg IS NULL").select(key, F.col("id").alias("seg_id"), F.col("other").alias("token_id"), F.col("d2").cast(d2).alias("d2"))
+    rest = settled.where("seg IS NOT NULL")
+    if rest.isEmpty():
+        return done
+    tokens = rest.where(~F.col("seg")).select(key, F.struct("id", "x", "y").alias("token_id"), "x", "y")  # known by all it has, as an id may be null or twice
+    grid = _nearest_by_grid(tokens, rest.where("seg").select(key, F.col("id").alias("seg_id"), "x", "y"), key)
+    return done.unionAll(grid.select(key, "seg_id", F.col("token_id.id").alias("token_id"), F.col("d2").cast(d2).alias("d2")))
+
+
+def _nearest_by_grid(tokens: DataFrame, segs: DataFrame, key: str) -> DataFrame:
+    """JN-07: nearest_owner of pages of any size.
 
     A page is a grid with about one seg a cell. A token looks at its cell and the eight around; what is nearer than a cell's
     width is the nearest. The few tokens that found nothing so near look for the narrowest cells, each twice as wide as the

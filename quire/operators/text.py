@@ -7,7 +7,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +14,7 @@ from pyspark.sql.window import Window
 from quire.functions.expressions import maths, number, token_kind
 from quire.functions.literals import excerpts
 from quire.operators import alignment
+from quire.operators.batching import changes, whole_keys
 from quire.operators.match import bag_diff
 from quire.sources.incremental import stored_checkpoint
 
@@ -270,9 +270,8 @@ def _words_of_readings(batches: Iterator[pa.RecordBatch], key: str, held_words:
     """Of rows(key, pos, _a, _b) sorted by key, some whole documents at a time: their keys, and of each word the document's number,
     whether it is the second reading's, its position and the word."""
     size = lambda toks: toks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    for held in _whole(batches, key, lambda batch: size(batch.column("_a")) + size(batch.column("_b")), held_words):
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        begins = np.append(0, _changes(rows.column(key)))
+    for rows in whole_keys(batches, key, lambda batch: size(batch.column("_a")) + size(batch.column("_b")), held_words):
+        begins = np.append(0, changes(rows.column(key)))
         number, pos = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, rows.num_rows))), rows.column("pos").to_numpy(zero_copy_only=False)
         of = [np.repeat(np.arange(rows.num_rows), size(rows.column(c))) for c in ("_a", "_b")]
         at = [pos[o] + np.arange(len(o)) - (np.cumsum(n) - n)[o] for o, n in zip(of, (size(rows.column(c)) for c in ("_a", "_b")), strict=True)]
@@ -443,29 +442,6 @@ def diff_runs(rows: DataFrame, key: str, a: Column, b: Column, rounds: int = 8,
     return found.where("op IS NOT NULL").select(*columns).unionAll(large.mapInArrow(rest, schema))
 
 
-def _changes(k: pa.Array) -> np.ndarray:
-    """The rows whose value isn't that of the row before; nulls are one value."""
-    x, y = k.slice(1), k.slice(0, len(k) - 1)
-    return np.flatnonzero(pc.or_(pc.fill_null(pc.not_equal(x, y), False), pc.xor(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)) + 1
-
-
-def _whole(batches: Iterator[pa.RecordBatch], key: str, sizes: Callable[[pa.RecordBatch], np.ndarray], most: int) -> Iterator[list[pa.RecordBatch]]:
-    """Rows sorted by key, some of size `most` in all at a time and the rest of the key that they end in."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        upto = np.cumsum(np.append(0, sizes(batch)))
-        begins = np.append(0, _changes(batch.column(key))) if batch.num_rows else []
-        for i, j in zip(begins, [*begins[1:], batch.num_rows], strict=True):
-            if size > most and held[-1].column(key)[-1] != batch.column(key)[int(i)]:
-                yield held
-                held, size = [], 0
-            held.append(batch.slice(i, j - i))
-            size += int(upto[j] - upto[i])
-    if held:
-        yield held
-
-
 def runs_of(rows: DataFrame, key: str) -> DataFrame:
     """(key, line_no, pos, toks): rows(key, line_no, pos, tok) that follow each other on a line, as one row: where they begin
     and their words. What is a run depends on the order that rows come in; none is moved, and those without a key are left out."""
@@ -481,7 +457,7 @@ def _packed(rows: DataFrame, key: str) -> DataFrame:
                 new = np.ones(batch.num_rows, dtype=bool)
                 line, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("line_no", "pos"))
                 new[1:] = (line[1:] != line[:-1]) | (pos[1:] != pos[:-1] + 1)
-                new[_changes(batch.column(key))] = True
+                new[changes(batch.column(key))] = True
                 begins = np.flatnonzero(new)
                 toks = pa.ListArray.from_arrays(pa.array(np.append(begins, batch.num_rows).astype(np.int32)), batch.column("tok"))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(begins)) for c in (key, "line_no", "pos")), toks], names=[key, "line_no", "pos", "toks"])
@@ -506,10 +482,9 @@ def breaks_of_runs(target: DataFrame, source: DataFrame, key: str, least: float
     sides = (x.where(F.col(key).isNotNull()).select(key, F.lit(own).alias("own"), *(F.col(c).cast("long").alias(c) for c in ("line_no", "pos")), "toks") for own, x in ((True, target), (False, source)))
     rows = reduce(DataFrame.unionAll, sides).repartition(key).sortWithinPartitions(key).withColumn("toks", words(F.col("toks")))
 
-    def judged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        runs = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    def judged(runs: pa.RecordBatch) -> pa.RecordBatch:
         number = np.zeros(runs.num_rows, dtype=np.int64)
-        number[_changes(runs.column(key))] = 1
+        number[changes(runs.column(key))] = 1
         sizes = runs.column("toks").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         of = np.repeat(np.arange(runs.num_rows), sizes)
         own, line, begin = (runs.column(c).to_numpy(zero_copy_only=False) for c in ("own", "line_no", "pos"))
@@ -519,6 +494,6 @@ def breaks_of_runs(target: DataFrame, source: DataFrame, key: str, least: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = lambda batch: batch.column("toks").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        yield from map(judged, _whole(batches, key, sizes, held_words))
+        yield from map(judged, whole_keys(batches, key, sizes, held_words))
 
     return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, pos long, reversed boolean")

@@ -104,8 +104,9 @@ def jn08_blocks(spark, sf_dir):
     SELECT page, seg_id, token_id, cast(d AS BIGINT) AS d2 FROM o QUALIFY row_number() OVER (PARTITION BY page, seg_id ORDER BY d, token_id) = 1""",
 )
 def jn07(spark, sf_dir):
-    boxes = views.boxes(spark, sf_dir).select("page", "box_id", F.col("x0").alias("x"), F.col("y0").alias("y"))
-    return match.nearest_owner(boxes.where("box_id % 3 <> 0").withColumnRenamed("box_id", "token_id"), boxes.where("box_id % 3 = 0").withColumnRenamed("box_id", "seg_id"))
+    """Every third box is a seg. Boxes are numbered by page, so they lie where they are compared."""
+    boxes = views.boxes(spark, sf_dir)
+    return match.nearest_of_points(boxes.select("page", (F.col("box_id") % 3 == 0).alias("seg"), F.col("box_id").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y")))
 
 
 @query(

@@ -83,12 +83,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16 orders make a page, so that pages stay as full as they are however many rows there are."""
+    """16 orders make a page, so that pages stay as full as they are however many rows there are. Places are worked out after
+    rows are dealt by page, from columns that are dealt in any case."""
     page = F.floor(F.col("l_orderkey") / 16)
     by = Window.partitionBy("page").orderBy("l_orderkey", *ROWS_OF_LINEITEM)
     x0, y0 = F.col("l_partkey") % 900, (F.col("l_suppkey") * 9) % 900
-    rows = read(spark, sf_dir, "lineitem").withColumn("page", page)
-    return rows.select("page", F.row_number().over(by).alias("box_id"), x0.alias("x0"), y0.alias("y0"), (x0 + 10 + F.col("l_quantity").cast("long")).alias("x1"), (y0 + 8 + F.col("l_linenumber")).alias("y1"))
+    rows = read(spark, sf_dir, "lineitem").withColumn("page", page).withColumn("box_id", F.row_number().over(by))
+    return rows.select("page", "box_id", x0.alias("x0"), y0.alias("y0"), (x0 + 10 + F.col("l_quantity").cast("long")).alias("x1"), (y0 + 8 + F.col("l_linenumber")).alias("y1"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

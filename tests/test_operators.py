@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from quire import plans
 from quire.functions import expressions as e
 from quire.functions.literals import alphabet, excerpts, needed_literal
-from quire.operators import alignment, evaluation, facts, layout, match, ranges, score, series, tables, text
-from quire.operators.batching import read_batched
+from quire.operators import alignment, evaluation, facts, layout, match, nearest, ranges, score, series, tables, text
+from quire.operators.batching import read_batched, whole_keys
 from quire.sources import incremental, page_json, pages, views
 from quire.streaming import quota
 
@@ -676,6 +676,59 @@ def test_nearest_owner_takes_as_many_steps_however_far_tokens_are(spark, monkeyp
     assert len(steps) <= 4
 
 
+def owners(points: list[tuple]) -> list[tuple]:
+    """(page, seg_id, token_id, d2) of points(page, seg, id, x, y), by all pairs; a token without an id comes first."""
+    kept: dict = {}
+    for p, seg, i, x, y in points:
+        if not seg and None not in (p, x, y):
+            near = min((((x - sx) * (x - sx) + (y - sy) * (y - sy), s) for q, is_seg, s, sx, sy in points if q == p and is_seg and None not in (s, sx, sy)), default=None)
+            if near:
+                kept[p, near[1]] = min(kept.get((p, near[1]), (math.inf, 0)), (near[0], -1 if i is None else i))
+    return sorted((p, s, i, d) for (p, s), (d, i) in kept.items())
+
+
+@pytest.mark.parametrize(("kind", "trials"), [("double", 5), ("bigint", 3), ("int", 2), ("decimal(9,3)", 1)])
+def test_nearest_owner_deals_pages_once_and_equals_all_pairs(spark, sf_dir, monkeypatch, kind, trials):
+    steps, rng = [], random.Random(31)
+    monkeypatch.setattr(match, "stored_checkpoint", lambda df: steps.append(df) or incremental.stored_checkpoint(df))
+    place = (lambda: float(rng.choice((0, 3, 8, 60)) + rng.random() * 3)) if kind == "double" else (lambda: rng.randint(0, 30))
+    points = [(p, rng.random() < 0.3, rng.randrange(40), place(), place()) for p in range(25) for _ in range(rng.choice((1, 2, 10, 40)))]
+    points = [*{(p, seg, i): (p, seg, i, x, y) for p, seg, i, x, y in points}.values(), (1, True, 3, place(), place()), (None, True, 1, place(), place()), (None, False, 1, place(), place())]
+    points += [(2, True, None, place(), place()), (2, False, None, place(), place()), (3, False, 90, None, place()), (4, True, 0, place(), None)]
+    rng.shuffle(points)
+    df = spark.createDataFrame(points, f"page int, seg boolean, id bigint, x {'double' if kind == 'double' else 'int'}, y {'double' if kind == 'double' else 'int'}").withColumns({c: F.col(c).cast(kind) for c in "xy"})
+    for most, pairs, held in ((1 << 20, 1 << 26, 1 << 17), (1 << 20, 1 << 26, 5), (1 << 20, 100, 30), (11, 1 << 26, 1), (0, 0, 1))[:trials]:
+        steps.clear()
+        found = match.nearest_of_points(df, "page", most, pairs, held)
+        assert got(found.fillna(-1, ["token_id"]), "page", "seg_id", "token_id", "d2") == owners(points) and (len(steps) == 1) == (pairs > 100 and most > 11 and "decimal" not in kind)
+        assert dict(found.dtypes)["d2"] == {"decimal(9,3)": "decimal(22,6)"}.get(kind, kind)
+    steps.clear()
+    plans.QUERIES["jn07_nearest_owner"](spark, sf_dir)
+    plan = steps[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(steps) == 1 and plan.count("Exchange ") == 1 and "Join" not in plan and "Generate" not in plan
+
+
+def test_pairs_of_points_are_compared_some_at_a_time():
+    rng = random.Random(32)
+    points = sorted(((p, rng.random() < 0.5, rng.randrange(30), rng.randrange(9), rng.randrange(9)) for p in range(20) for _ in range(rng.randrange(30))), key=lambda r: r[0])
+    page, seg, ids, x, y = (np.array(c) for c in zip(*points, strict=True))
+    for most in (1, 7, 1 << 22):
+        s, t, d2 = nearest.nearest_points(page, seg, ids, x, y, most)
+        assert sorted(zip(page[s].tolist(), ids[s].tolist(), ids[t].tolist(), d2.tolist(), strict=True)) == owners(points)
+    none = np.zeros(0, np.int64)
+    assert [len(c) for c in nearest.nearest_points(none, none.astype(bool), none, none, none)] == [0, 0, 0]
+
+
+def test_whole_keys_are_held_some_at_a_time():
+    rng = random.Random(33)
+    keys = sorted([rng.randrange(30) for _ in range(200)]) + [None] * 5
+    for width, most in ((1, 0), (7, 3), (50, 20), (300, 10_000)):
+        batches = [pa.record_batch({"k": pa.array(keys[i : i + width], pa.int64())}) for i in range(0, len(keys), width)]
+        held = [rows.column("k").to_pylist() for rows in whole_keys(iter([*batches, batches[0].slice(0, 0)]), "k", lambda rows: np.ones(rows.num_rows, np.int64), most)]
+        assert sum(held, []) == keys and all(len({*x} & {*y}) == 0 for x, y in itertools.pairwise(held))
+        assert all(len(x) > most and len(x) - x.count(x[-1]) <= most for x in held[:-1])
+
+
 @pytest.mark.parametrize(
     ("pattern", "literal"),
     [("([a-z]+) of ([a-z]+)", " of "), ("(a)bc?d", "b"), ("ab+cde", "cde"), ("x{2}yz", "yz"), (r"a\.b(c|d)", "a.b"), ("ab|cd", ""), ("(?i)abc", ""), (r"\x41bc", ""), (r"\p{Lu}bc", "bc"), (r"[]a]bc", ""), (r"[^a\]]bc", "bc"), (r"\Qa|b\E", ""),
